@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import urlfilter
+from tidewater.llm import langid, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
+        "op4_langid": langid.query,
         "op7_url_filter": urlfilter.query,
     }
 
