@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, quality, urlfilter
+from tidewater.llm import langid, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.query,
         "op4_langid": langid.query,
+        "op9_toxicity": toxicity.query,
         "op7_url_filter": urlfilter.query,
     }
 
