@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, langid, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, langid, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.query,
         "op4_langid": langid.query,
         "op9_toxicity": toxicity.query,
+        "op5_decontaminate": decontam.query,
         "op7_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": urlfilter.ORACLE}
+    return {"op5_decontaminate": decontam.ORACLE, "op7_url_filter": urlfilter.ORACLE}
