@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontam, langid, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, html, langid, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.query,
+        "op2_html": html.query,
         "op3_bpe": bpe.query,
         "op4_langid": langid.query,
         "op9_toxicity": toxicity.query,
