@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontam, html, langid, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, html, langid, linededup, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": langid.query,
         "op9_toxicity": toxicity.query,
         "op5_decontaminate": decontam.query,
+        "op8_line_dedup": linededup.query,
         "op7_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontam.ORACLE, "op7_url_filter": urlfilter.ORACLE}
+    return {"op5_decontaminate": decontam.ORACLE, "op7_url_filter": urlfilter.ORACLE, "op8_line_dedup": linededup.ORACLE}
