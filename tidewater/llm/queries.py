@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontam, html, langid, linededup, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, embdedup, html, langid, linededup, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.query,
         "op5_decontaminate": decontam.query,
         "op8_line_dedup": linededup.query,
+        "op6_embedding_dedup": embdedup.query,
         "op7_url_filter": urlfilter.query,
     }
 
