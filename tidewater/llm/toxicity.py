@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from tidewater.llm.common import bounded_sample, drop_written, fold, materialise
 
 #: Labelled rows of each class that the fit reads, about; terms kept at most.
 SAMPLE_PER_CLASS = 5000
-LEXICON_TERMS = 20_000
+LEXICON_TERMS = 10_000
 THRESHOLD = 0.7
 #: Least lift (log odds) of a term; shortest word that may be a misspelling; edits allowed.
 LEAST_LIFT = 2.5
@@ -32,7 +33,7 @@ EDITS = 1
 #: Words before and after a hit that make its window.
 WINDOW = 6
 #: Words of one worker's memory of looked-up words.
-MEMORY = 400_000
+MEMORY = 120_000
 
 _WORD = re.compile(r"\w+")
 OPENING, CLOSING = "\"“„«‹‘'", "\"”“»›’'"
@@ -119,6 +120,17 @@ class Lexicon(dict):
         return found
 
 
+#: The lexicon that this worker used last, under its name: tasks of one job share it.
+_HELD: dict[str, Lexicon] = {}
+
+
+def held_lexicon(name: str, weights: dict[str, float]) -> Lexicon:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Lexicon(weights)
+    return _HELD[name]
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the hits in a whole text say; a null text counts as empty."""
     words = _WORD.findall(text or "")
@@ -202,19 +214,22 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sizes = Counter({(r["_half"], r["_y"]): r["n"] for r in sample.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()})
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
         for b in batches:
+            counts: dict[tuple[int, int], Counter] = {}
             for text, half, y in zip(b["text"], b["_half"], b["_y"], strict=True):
-                counts.update((w, half, y) for w in {w.lower() for w in _WORD.findall(text or "")})
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["word", "half", "y", "n"])
+                counts.setdefault((half, y), Counter()).update({w.lower() for w in _WORD.findall(text or "")})
+            for (half, y), own in counts.items():
+                yield pd.DataFrame({"word": list(own), "half": half, "y": y, "n": list(own.values())})
 
     one = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
     counted = materialise(sample.mapInPandas(words, "word string, half int, y int, n long").groupBy("word").agg(one(0, 1).alias("t0"), one(0, 0).alias("c0"), one(1, 1).alias("t1"), one(1, 0).alias("c1")), "toxic-words")
     first = _lexicon(counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), "half", sizes[0, 1], sizes[0, 0])
     both = _lexicon(counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), "all", sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0])
 
+    name = uuid.uuid4().hex
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(first)
+        lexicon = held_lexicon(f"{name}-half", first)
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype("int32"), "x": [features(t, lexicon) for t in b["text"]]})
 
@@ -232,12 +247,14 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text:
     Texts are read whole; null and empty texts, and those without hits, take the base score. One
     row in, one row out, repeated rows alike."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model.weights)
+    scorer = Toxicity({}, model.coefficients, model.intercept)
 
     @F.pandas_udf("double")
     def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = Lexicon(model.weights)
+        lexicon = held_lexicon(name, weights.value)
         for texts in batches:
-            yield pd.Series(model.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, len(FEATURES))))
+            yield pd.Series(scorer.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, len(FEATURES))))
 
     return docs.select(*kept, own(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
