@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontam, embdedup, html, langid, linededup, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, embdedup, html, jaccard, langid, linededup, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontam.query,
         "op8_line_dedup": linededup.query,
         "op6_embedding_dedup": embdedup.query,
+        "op10_ngram_jaccard": jaccard.query,
         "op7_url_filter": urlfilter.query,
     }
 
