@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import small_batches, table
 
 #: Words that a worker remembers before it starts anew; symbols of a word from which merging goes
 #: by a heap, whose time grows as n log n.
@@ -235,4 +235,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, their number, and the digests of ids and decoded text."""
+    small_batches(spark)
     return round_trip(docs.select("doc_id", "lang", "source", "text"), keep_ids=True)

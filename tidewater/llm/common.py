@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow carry BATCH_ROWS rows at a time from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder `sf_dir`."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

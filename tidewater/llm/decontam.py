@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import small_batches, table
 
 WINDOW = 13
 #: Characters of benchmark text in one block, about.
@@ -169,6 +169,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the contaminated documents."""
+    small_batches(spark)
     return find(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
 
 

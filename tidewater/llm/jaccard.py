@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, materialise, table
+from tidewater.llm.common import drop_written, materialise, small_batches, table
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -373,6 +373,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest id."""
-    kept = materialise(near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one document of each group of near duplicates: the one with the smallest id, once.
+
+    Rows with a null id can't be named, and stay. Where the ids that go are few they are broadcast,
+    so that the texts aren't shuffled."""
+    small_batches(spark)
+    judged = materialise(near_duplicates(docs), "judged")
+    gone = judged.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = judged.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = docs.join(few(gone), "doc_id", "left_anti")
+    if repeated.limit(1).count():
+        again = few(repeated)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)

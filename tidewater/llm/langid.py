@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_sample, fold, table
+from tidewater.llm.common import bounded_sample, fold, small_batches, table
 
 #: Symbols: 0 is the gap between words, 1-26 are a-z, other letters share the rest by code point.
 SYMBOLS = 64
@@ -141,5 +141,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language at all: those judged `und` go."""
+    small_batches(spark)
     langs, prototypes = learn(docs.filter(fold("doc_id", 5) != 0))
     return predict(docs, langs, prototypes).filter(F.col("lang_pred") != "und").select(*docs.columns)

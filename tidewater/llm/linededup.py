@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, materialise, table
+from tidewater.llm.common import drop_written, materialise, small_batches, table
 
 #: A template in so many documents recurs; lines of fewer tokens stay; longer ones generalise.
 MIN_DOCS = 5
@@ -142,6 +142,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their recurring lines; n_chars follows the text."""
+    small_batches(spark)
     out = dedup(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
