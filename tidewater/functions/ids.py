@@ -49,20 +49,12 @@ def report_url(agency: Column, agency_id: Column) -> Column:
 
 
 def previous_section(section: Column) -> Column:
-    """The section before: the last number less one; from x.1 down to x-1, from x.y.1 to x.(y-1),
-    and 1.1 is its own predecessor."""
+    """The section before: the last number less one; a last number of 1 gives way to the part in
+    front of it, and section 1 is its own predecessor."""
     part = lambda k: F.split_part(section, F.lit("."), F.lit(k)).try_cast("int")
-    a, b, c, n = part(1), part(2), part(3), F.size(F.split(section, r"\."))
+    a, b, c = part(1), part(2), part(3)
     text = lambda *cols: F.concat_ws(".", *[x.cast("string") for x in cols])
-    return (
-        F.when((n == 3) & (c > 1), text(a, b, c - 1))
-        .when((n == 3) & (b > 1), text(a, b - 1))
-        .when(n == 3, text(a))
-        .when((n == 2) & (b > 1), text(a, b - 1))
-        .when((n == 2) & (a > 1), text(a - 1))
-        .when(n == 2, section)
-        .when((n == 1) & (a > 1), text(a - 1))
-    )
+    return F.when(c > 1, text(a, b, c - 1)).when(b > 1, text(a, b - 1)).otherwise(text(F.greatest(a - 1, F.lit(1))))
 
 
 def investigation_type(kind: Column, klass: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.columns", "operators.joins", "operators.analytics")
+MODULES: tuple[str, ...] = ("operators.columns", "operators.joins", "operators.analytics", "operators.documents")
 
 
 def _gather(attribute: str) -> dict:
