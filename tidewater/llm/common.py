@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what it no longer refers to, so that the shuffle files of finished steps
+    are deleted now and don't add up over a long query."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_sample(rows: DataFrame, key: str, strata: list[str], per_stratum: int) -> DataFrame:
     """About `per_stratum` rows of each stratum at most, chosen by a hash of `key`.
 

@@ -7,11 +7,12 @@ differ is at most the size of the sets' symmetric difference, and a similarity b
 Sets are joined per size band. Of the P lanes of a band, two linked sets differ in d at most, so
 they share a lane among any d + 1 lanes that one order of lanes puts first for both. That order
 puts lanes of corpus-wide shingles behind the others and empty lanes last. Sets that share such a
-lane are candidates; a sketch of 1024 bits rejects most wrong ones, and the sets themselves decide.
+lane are candidates; a sketch of two to four bits a token rejects most wrong ones, and the sets
+themselves decide.
 
 Equal sets are compared once. Of many sets that share a lane, each is first compared with one;
-those that end in different components are then compared with each other, so no link between
-components is lost and pairs within a group aren't spelled out.
+those that end in different components are then compared with each other, in blocks, so no link
+between components is lost and pairs within a group never become rows.
 
 Shingles and sets are known by 64-bit hashes: two of them are taken for one with a chance of about
 count squared / 2^65.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, materialise, small_batches, table
+from tidewater.llm.common import drop_written, materialise, release, small_batches, table
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -37,7 +38,7 @@ PERCENT = 75
 #: Upper end of a size band over its lower end; lanes for each token of the largest set.
 BAND = 4
 LANES = 4
-SKETCH_BITS = 1024
+SKETCH_LEAST = 128
 #: A shingle in so many documents is common; so many common ones order the lanes at most, held in
 #: a table of so many bits.
 COMMON_DOCS = 32
@@ -47,12 +48,11 @@ COMMON_TABLE = 1 << 23
 COUNT_DOCS = 4096
 BUCKET_KEYS = 500_000
 FLUSH_KEYS = 1_000_000
-#: Up to so many sets that share a lane are compared pair by pair at once.
-SMALL_GROUP = 6
-#: Sets of one side of a block of comparisons; ids that are broadcast at most.
+#: Sets of one side of a block of comparisons; pairs verified together; ids that are broadcast at most.
 BLOCK = 1024
+GROUP_PAIRS = 200
+FAMILY_BLOCK = 128
 BROADCAST_IDS = 500_000
-MEMORY = 300_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,31 +64,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+#: Which bytes part words, and a coefficient for each place within a word.
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_PLACES = np.random.default_rng(5).integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
 
 
-_KNOWN = _Words()
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text: the sum of its bytes, each by its place's coefficient."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    inside = ~_SPACE[raw]
+    turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths = turns[1::2] - turns[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    weight = _PLACES[place & 4095]
+    if lengths.max() > 4096:
+        weight = weight + (place >> 12).astype(np.uint64) * _M3
+    sums = np.add.reduceat(raw[inside] * weight, first)
+    return mix(sums + lengths.astype(np.uint64) * _M1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a whole text's shingles. Words are runs without ASCII white
     space, A-Z lower-cased; a text of fewer than five words has one shingle, one without any none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, n)
+    own = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not (n := len(own)):
+        return own
     span = min(n, WORDS)
     out = np.full(n - span + 1, np.uint64(span))
     for k in range(span):
         out = out * _M1 + own[k : n - span + 1 + k]
         out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+    out = np.sort(mix(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -97,9 +107,42 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def bit_sketch(tokens: np.ndarray) -> bytes:
-    """The parity of the tokens in each of SKETCH_BITS places."""
-    places = (tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """The parity of the tokens in each of m places; m is a power of two, twice the tokens or more."""
+    m = max(SKETCH_LEAST, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH_LEAST
+    places = (tokens & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Bit sketches of several lengths. A longer one is folded (its halves XORed) to be compared
+    with a shorter: the places of a token are its lowest bits."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.size = raw, np.fromiter(map(len, raw), np.int64, len(raw))
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def matrix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each sketch or -1, rows of 64-bit numbers) of those of `size` bytes or twice that."""
+        if size not in self.at:
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            rows = np.empty((len(own), size // 8), np.uint64)
+            for k, i in enumerate(own.tolist()):
+                x = np.frombuffer(self.raw[i], np.uint64)
+                rows[k] = x if len(x) == size // 8 else x[: len(x) // 2] ^ x[len(x) // 2 :]
+            where = np.full(len(self.raw), -1)
+            where[own] = np.arange(len(own))
+            self.at[size] = where, rows
+        return self.at[size]
+
+    def differ(self, k: int, others: np.ndarray) -> np.ndarray:
+        """The places in which sketch k differs from others of half to twice its length."""
+        out = np.zeros(len(others), np.int64)
+        for size in {int(self.size[k]), int(self.size[k]) // 2}:
+            here = (np.minimum(self.size[others], self.size[k]) == size) if size >= SKETCH_LEAST // 8 else np.zeros(len(others), bool)
+            if here.any():
+                where, rows = self.matrix(size)
+                out[here] = np.bitwise_count(rows[where[others[here]]] ^ rows[where[k]]).sum(axis=1)
+        return out
 
 
 def most_apart(a, b):
@@ -179,7 +222,7 @@ def common_table(counted: DataFrame) -> np.ndarray:
 
 def lane_groups(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     """Sets that share a lane: rows of kind 0 are pairs (a, b) of nodes to compare; rows of kind 1
-    tell that node b stands with role `role` in the large group a."""
+    tell that node b stands with role `role` in the group a of three sets or more."""
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,29 +287,18 @@ def pairs_of_groups(keys: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray
         owns = sum(r == 0 for r, _ in members)
         if not owns or len(members) < 2:
             continue
-        if len(members) <= SMALL_GROUP:
-            for i in range(owns):
-                for _, other in members[i + 1 :]:
-                    pairs.add((min(members[i][1], other), max(members[i][1], other)))
-            continue
-        if (key := tuple(members)) in groups:
-            continue
-        groups[key] = int(lane[s]) - (1 << 62)
         hub = members[0][1]
         pairs.update((min(hub, other), max(hub, other)) for _, other in members[1:])
+        if len(members) > 2 and owns > 1:
+            groups.setdefault(tuple(members), int(lane[s]) - (1 << 62))
     rows = [(0, a, b, 0) for a, b in pairs if a != b] + [(1, g, node, r) for members, g in groups.items() for r, node in members]
     out = np.array(rows, np.int64).reshape(-1, 4)
     return {"kind": out[:, 0].astype(np.int32), "a": out[:, 1], "b": out[:, 2], "role": out[:, 3].astype(np.int32)}
 
 
-def _far_apart(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-    """Which pairs their sizes or bit sketches rule out; sketches are rows of 64-bit numbers."""
-    differ = np.bitwise_count(sa ^ sb).sum(axis=-1)
-    return (100 * np.minimum(na, nb) < PERCENT * np.maximum(na, nb)) | (differ > most_apart(na, nb))
-
-
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+def comparable(na, nb):
+    """Whether sizes leave a link possible."""
+    return 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,66 +307,174 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        return pd.Series(~_far_apart(na.to_numpy(), nb.to_numpy(), _sketches(sa), _sketches(sb)) if len(na) else np.zeros(0, bool))
+        out = np.zeros(len(na), bool)
+        both = Sketches([*sa, *sb])
+        for i in np.flatnonzero(comparable(na.to_numpy(), nb.to_numpy())).tolist():
+            out[i] = both.differ(i, np.array([i + len(na)]))[0] <= most_apart(int(na.iat[i]), int(nb.iat[i]))
+        return pd.Series(out)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near("na", "nb", "sa", "sb")).select("a", "b")
+    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).filter(near("na", "nb", "sa", "sb")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole sets. The texts of the sets that occur are
-    read once more; where they are few, their ids are broadcast."""
-    ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    wanted = sets.join(ends, "node", "left_semi").select("node", "rid")
+    """The pairs (a, b) that are links, by their whole sets.
+
+    The partners of each a are dealt into groups of about GROUP_PAIRS; a set is made from its text
+    in one more scan and sent to each group that needs it. Where the list of what goes where is
+    short it is broadcast, so that only those sets are shuffled."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts"))
+    dealt = materialise(pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part"), "dealt")
+    ends = dealt.select(F.col("b").alias("node"), "a", "part").union(dealt.select("a", "a", "part")).distinct()
+    orders = materialise(ends.join(sets.select("node", "rid"), "node"), "orders")
+    n = orders.count()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // GROUP_PAIRS)
     texts = docs.select(F.col("doc_id").alias("rid"), "text")
-    texts = texts.join(F.broadcast(wanted), "rid") if ends.count() <= BROADCAST_IDS else texts.join(wanted, "rid")
+    wanted = texts.join(F.broadcast(orders) if n <= BROADCAST_IDS else orders, "rid")
+    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).cast("int")).select("bucket", "a", "part", "node", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, raw = None, b""
         for b in batches:
-            own = [shingles(t) for t in b["text"]]
-            fits = [set_key(s) == node for s, node in zip(own, b["node"], strict=True)]
-            yield pd.DataFrame({"node": b["node"][fits], "tokens": [s.tobytes() for s, fit in zip(own, fits, strict=True) if fit]})
-
-    held = materialise(texts.mapInPandas(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+            out = []
+            for bucket, a, part, node, text in b.itertuples(index=False):
+                if last != (node, text):
+                    own = shingles(text)
+                    last, raw = (node, text), own.tobytes() if set_key(own) == node else None
+                if raw is not None:
+                    out.append((bucket, a, part, node, raw))
+            yield pd.DataFrame(out, columns=["bucket", "a", "part", "node", "tokens"])
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((x, y)), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        return pd.Series(out, dtype=bool)
-
-    side = lambda x: held.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
-    found = materialise(pairs.join(side("b"), "b").join(side("a"), "a").filter(linked("ta", "tb")).select("a", "b"), "set-links")
-    drop_written(held)
-    drop_written(ends)
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        hubs, found = {}, []
+        for a, part, node, raw in pdf[pdf["node"] == pdf["a"]][["a", "part", "node", "tokens"]].itertuples(index=False):
+            hubs[a, part] = np.frombuffer(raw, np.uint64)
+        for a, part, node, raw in pdf[["a", "part", "node", "tokens"]].itertuples(index=False):
+            if node != a and (a, part) in hubs:
+                x, y = hubs[a, part], np.frombuffer(raw, np.uint64)
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+                    found.append((a, node))
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=np.int64)
+
+    sent = wanted.mapInPandas(send, "bucket int, a long, part int, node long, tokens binary")
+    found = materialise(sent.groupBy("bucket").applyInPandas(compare, "a long, b long").distinct(), "set-links")
+    drop_written(dealt)
+    drop_written(orders)
     return found
 
 
-def cross_pairs(groups: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """The possible pairs of large groups (a: the group, b: node, role) whose nodes lie in
-    different components. Large groups are dealt out in pairs of blocks."""
+def cross_edges(groups: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): edges that join what the possible pairs of different components within the groups
+    (a: the group, b: node, role) join; a task gives fewer edges than it has nodes. Many small
+    groups are compared in one go; those of more than BLOCK sets are dealt out in pairs of blocks."""
     named = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "role").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "group-members")
     split = named.groupBy("g").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    full = named.join(split, "g").join(sets.select("node", "n", "sketch"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keep = ["node", "role", "component", "n", "sketch", "g"]
-    both = dealt.select(*keep, F.lit(0).alias("side"), F.col("at").alias("i"), F.col("other").alias("j")).union(dealt.select(*keep, F.lit(1).alias("side"), F.col("other").alias("i"), F.col("at").alias("j")))
+    full = materialise(named.join(split, "g"), "mixed-groups").join(sets.select("node", "n", "sketch"), "node")
+    buckets = max(1, named.count() // (4 * BLOCK))
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = full.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keep = ["g", "node", "role", "component", "n", "sketch"]
+    one = full.filter("blocks = 1").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), *keep)
+    large = dealt.filter("blocks > 1")
+    left = large.filter("role = 0").select(F.col("g").alias("bucket"), F.col("at").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *keep)
+    right = large.select(F.col("g").alias("bucket"), F.col("other").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), *keep)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[(pdf["side"] == 0) & (pdf["role"] == 0)], pdf[pdf["side"] == 1]
-        out = []
-        if len(left) and len(right):
-            n, comp, ids, bits = right["n"].to_numpy(), right["component"].to_numpy(), right["node"].to_numpy(), _sketches(right["sketch"])
-            for node, own_n, own_comp, own in zip(left["node"], left["n"], left["component"], _sketches(left["sketch"]), strict=True):
-                fine = (comp != own_comp) & ~_far_apart(np.int64(own_n), n, own, bits)
-                out += [(min(node, x), max(node, x)) for x in ids[fine].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype=np.int64)
+        pdf = pdf.sort_values("g", kind="stable")
+        g, side, role, n, comp, node = (pdf[c].to_numpy() for c in ("g", "side", "role", "n", "component", "node"))
+        bits, joined = Sketches(pdf["sketch"].tolist()), Union()
+        edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist()
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            here = np.arange(s, e)
+            owns, others = here[(side[s:e] != 1) & (role[s:e] == 0)], here[side[s:e] != 0]
+            for k in owns.tolist():
+                fine = others[(comp[others] != comp[k]) & comparable(n[k], n[others])]
+                fine = fine[bits.differ(k, fine) <= most_apart(n[k], n[fine])] if len(fine) else fine
+                for x in node[fine].tolist():
+                    joined.add(int(node[k]), x)
+        return pd.DataFrame(joined.edges(), columns=["a", "b"], dtype=np.int64)
+
+    return one.union(left).union(right).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+class Union:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        if x not in up:
+            return x
+        top = x
+        while top in up:
+            top = up[top]
+        while x in up and up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    def add(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(self.find(x), x) for x in self.up]
+
+
+def verify_families(families: DataFrame, components: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different components within the families (node, component: the
+    family), enough to join all that such links join. Each set is sent where its family is
+    compared, large families in pairs of blocks, so pairs never become rows."""
+    named = families.withColumnRenamed("component", "family")
+    sizes = named.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    members = named.join(sizes, "family").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets.select("node", "rid"), "node")
+    members = materialise(members, "family-members")
+    n = members.count()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // FAMILY_BLOCK)
+    texts = docs.select(F.col("doc_id").alias("rid"), "text")
+    wanted = texts.join(F.broadcast(members) if n <= BROADCAST_IDS else members, "rid").withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets)).cast("long"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text, node, family, blocks, component, bucket in b[["text", "node", "family", "blocks", "component", "bucket"]].itertuples(index=False):
+                own = shingles(text)
+                if set_key(own) != node:
+                    continue
+                at = node % blocks
+                for other in range(blocks):
+                    side = 2 if other == at else int(other < at)
+                    out.append((bucket if blocks == 1 else family, min(at, other), max(at, other), side, family, component, node, own.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "i", "j", "side", "family", "component", "node", "tokens"])
 
-    return both.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        joined, found = Union(), []
+        for _, own in pdf.drop_duplicates(["family", "node", "side"]).groupby("family"):
+            rows = [(int(node), int(c), int(side), np.frombuffer(t, np.uint64)) for node, c, side, t in own[["node", "component", "side", "tokens"]].sort_values("node").itertuples(index=False)]
+            left, right = [r for r in rows if r[2] != 1], [r for r in rows if r[2] != 0]
+            same = any(r[2] == 2 for r in rows)
+            for a, ca, _, x in left:
+                for b, cb, _, y in right:
+                    if (same and b <= a) or not comparable(len(x), len(y)) or joined.find(ca) == joined.find(cb):
+                        continue
+                    both = np.sort(np.concatenate((x, y)), kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+                        joined.add(ca, cb)
+                        found.append((min(a, b), max(a, b)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    sent = wanted.mapInPandas(send, "bucket long, i int, j int, side int, family long, component long, node long, tokens binary")
+    found = materialise(sent.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long"), "family-links")
+    drop_written(members)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -353,12 +493,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = sets.filter("rid is not null").agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(0.5 * total / BUCKET_KEYS))
     found = materialise(lane_groups(docs, common_table(measured.filter("kind = 1")), buckets), "lane-groups")
+    release(spark)
     pairs = materialise(possible(found.filter("kind = 0").select("a", "b").distinct(), sets), "pairs")
     links = verify(pairs, docs, sets)
+    release(spark)
     components = materialise(connected_components(links), "components")
-    more = materialise(cross_pairs(found.filter("kind = 1"), components, sets).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        links = links.union(verify(more, docs, sets))
+    edges = materialise(cross_edges(found.filter("kind = 1"), components, sets), "cross-edges")
+    if edges.limit(1).count():
+        families = materialise(connected_components(edges), "families")
+        links = links.union(verify_families(families, components, docs, sets))
+        release(spark)
         components = materialise(connected_components(links), "components")
     named = sets.select("node", "rid").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "named")
