@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled documents. A word is looked up in the trie; a word that isn't
 in it becomes a Levenshtein automaton that walks the trie beside it, so that misspelled terms are
-found. Each hit counts by its window: within quotation marks or after a verb of report it counts
+found. Terms that clean documents' words resemble as closely are taken by the letter only. Each hit counts by its window: within quotation marks or after a verb of report it counts
 as quoted, else as abuse. A logistic score over these counts is fitted to the labels.
 """
 
@@ -39,7 +39,9 @@ _WORD = re.compile(r"\w+")
 OPENING, CLOSING = "\"“„«‹‘'", "\"”“»›’'"
 #: Verbs that report someone else's words.
 REPORTING = frozenset("said says called calls quoted wrote writes reported term word dit écrit nannte sagte schrieb dijo llamó escribió".split())
-FEATURES = ("best", "abuse", "terms", "density", "near", "quoted", "misspelt")
+FEATURES = ("best", "abuse", "terms", "density", "near", "quoted")
+#: Weight of a misspelled term, of its own.
+MISSPELT = 0.8
 
 
 class LevenshteinAutomaton:
@@ -76,18 +78,18 @@ class Trie:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = weight
+            node[""] = (weight, term)
 
-    def within(self, word: str, edits: int) -> tuple[float, int] | None:
-        """The weight and distance of the nearest term within `edits`, the heavier of equals."""
+    def within(self, word: str, edits: int) -> tuple[float, int, str] | None:
+        """The weight, distance and letters of the nearest term within `edits`, the heavier of equals."""
         automaton = LevenshteinAutomaton(word, edits)
         best, todo = None, [(self.root, automaton.start())]
         while todo:
             node, state = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    if (d := automaton.distance(state)) <= edits and (best is None or (d, -child) < (best[1], -best[0])):
-                        best = (child, d)
+                    if (d := automaton.distance(state)) <= edits and (best is None or (d, -child[0], child[1]) < (best[1], -best[0], best[2])):
+                        best = (child[0], d, child[1])
                 elif automaton.alive(after := automaton.step(state, c)):
                     todo.append((child, after))
         return best
@@ -98,11 +100,14 @@ def _shortened(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """word -> (weight, distance) or None, remembered; a bounded memory that starts anew when full."""
+    """word -> (weight, distance, term) or None, remembered; a bounded memory that starts anew when
+    full. Terms in `literal` are met by the letter only."""
 
-    def __init__(self, weights: dict[str, float], edits: int = EDITS):
+    def __init__(self, weights: dict[str, float], literal: frozenset[str] = frozenset(), edits: int = EDITS):
         super().__init__()
-        self.weights, self.edits, self.trie = weights, edits, Trie(weights)
+        self.weights, self.edits = weights, edits
+        weights = {t: w for t, w in weights.items() if t not in literal}
+        self.trie = Trie(weights)
         # Two words one edit apart share a form with at most one character left out.
         self.forms = {f for t in weights if len(t) >= FUZZY_LENGTH for f in _shortened(t)} if edits == 1 else None
 
@@ -111,7 +116,7 @@ class Lexicon(dict):
             self.clear()
         key = word.lower()
         if (weight := self.weights.get(key)) is not None:
-            found = (weight, 0)
+            found = (weight, 0, key)
         elif len(key) < FUZZY_LENGTH or not self.edits or (self.forms is not None and self.forms.isdisjoint(_shortened(key))):
             found = None
         else:
@@ -124,10 +129,10 @@ class Lexicon(dict):
 _HELD: dict[str, Lexicon] = {}
 
 
-def held_lexicon(name: str, weights: dict[str, float]) -> Lexicon:
+def held_lexicon(name: str, weights: dict[str, float], literal: frozenset[str]) -> Lexicon:
     if name not in _HELD:
         _HELD.clear()
-        _HELD[name] = Lexicon(weights)
+        _HELD[name] = Lexicon(weights, literal)
     return _HELD[name]
 
 
@@ -137,10 +142,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     hits = [i for i, w in enumerate(words) if lexicon[w]]
     if not hits:
         return [0.0] * len(FEATURES)
-    found = [lexicon[w] or (0.0, 0) for w in map(words.__getitem__, hits)]
+    found = [lexicon[w] for w in map(words.__getitem__, hits)]
     spans = [m.span() for m in _WORD.finditer(text)]
-    abuse, quoted, misspelt, best, near, terms = 0.0, 0.0, 0.0, 0.0, 0, set()
-    for k, (i, (weight, distance)) in enumerate(zip(hits, found, strict=True)):
+    abuse, quoted, best, near, terms = 0.0, 0.0, 0.0, 0, set()
+    for k, (i, (weight, distance, term)) in enumerate(zip(hits, found, strict=True)):
+        weight *= MISSPELT if distance else 1
         first, last = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
         before, after = text[spans[first][0] : spans[i][0]], text[spans[i][1] : spans[last][1] + 1]
         opened = max((before.rfind(q) for q in OPENING), default=-1)
@@ -148,19 +154,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         if inside or any(w.lower() in REPORTING for w in words[max(0, i - 3) : i]):
             quoted += weight
             continue
-        if distance:
-            misspelt += weight
-            continue
         abuse += weight
         best = max(best, weight)
-        terms.add(words[i].lower())
+        terms.add(term)
         near += k > 0 and i - hits[k - 1] <= WINDOW
-    return [best, math.log1p(abuse), math.log1p(len(terms)), math.log1p(100 * abuse / len(words)), math.log1p(near), math.log1p(quoted), math.log1p(misspelt)]
+    return [best, math.log1p(abuse), math.log1p(len(terms)), math.log1p(100 * abuse / len(words)), math.log1p(near), math.log1p(quoted)]
 
 
 @dataclass(frozen=True)
 class Toxicity:
     weights: dict[str, float]
+    literal: frozenset[str]
     coefficients: np.ndarray
     intercept: float
 
@@ -201,6 +205,17 @@ def _lexicon(counted: DataFrame, column: str, n_toxic: int, n_clean: int) -> dic
     return out
 
 
+def _literal(words: DataFrame, weights: dict[str, float]) -> frozenset[str]:
+    """The terms that some of the clean documents' words come as near as a misspelling would."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(weights)
+        for b in batches:
+            yield pd.DataFrame({"term": [h[2] for h in map(lexicon.__missing__, b["word"]) if h and h[1]]}, dtype=object)
+
+    return frozenset(r["term"] for r in words.select("word").mapInPandas(near, "term string").distinct().collect())
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Toxicity:
     """Fits the lexicon and the score on about `per_class` labelled rows of each class.
 
@@ -226,19 +241,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     first = _lexicon(counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), "half", sizes[0, 1], sizes[0, 0])
     both = _lexicon(counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), "all", sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0])
 
-    name = uuid.uuid4().hex
+    name, first_literal = uuid.uuid4().hex, _literal(counted.filter("c0 > 0"), first)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = held_lexicon(f"{name}-half", first)
+        lexicon = held_lexicon(f"{name}-half", first, first_literal)
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype("int32"), "x": [features(t, lexicon) for t in b["text"]]})
 
     got = sorted((tuple(r["x"]), r["y"]) for r in sample.filter("_half = 1").mapInPandas(measure, "y int, x array<double>").collect())
     x, y = np.array([r[0] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=int)
     coefficients, intercept = logistic(x, y)
+    literal = _literal(counted.filter("c0 + c1 > 0"), both)
     drop_written(sample)
     drop_written(counted)
-    return Toxicity(both, coefficients, intercept)
+    return Toxicity(both, literal, coefficients, intercept)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -247,12 +263,12 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text:
     Texts are read whole; null and empty texts, and those without hits, take the base score. One
     row in, one row out, repeated rows alike."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model.weights)
-    scorer = Toxicity({}, model.coefficients, model.intercept)
+    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.weights, model.literal))
+    scorer = Toxicity({}, frozenset(), model.coefficients, model.intercept)
 
     @F.pandas_udf("double")
     def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = held_lexicon(name, weights.value)
+        lexicon = held_lexicon(name, *weights.value)
         for texts in batches:
             yield pd.Series(scorer.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, len(FEATURES))))
 
