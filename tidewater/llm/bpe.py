@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,18 +23,24 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import small_batches, table
 
-#: Words that a worker remembers before it starts anew; symbols of a word from which merging goes
+#: Words that a worker remembers, besides as many that it met before those; symbols of a word from which merging goes
 #: by a heap, whose time grows as n log n.
-MEMORY = 300_000
+MEMORY = 250_000
 LONG_WORD = 2048
 #: Symbols merged together at most, so that memory stays bounded.
-FLAT_SYMBOLS = 1_000_000
+FLAT_SYMBOLS = 200_000
 _SHIFT = 20
 _NONE = np.iinfo(np.int64).max
 #: Fixed value: the word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+#: The same pattern for texts in which no other character occurs than these.
+_LATIN, _SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", "\t\n\x0b\x0c\r "
+_NOT_LATIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ]")
+_LATIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACES}{_LATIN}0-9]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that the vocabulary file writes for each byte, to that byte: printable
     Latin-1 stands for itself, the others follow from U+0100 on in order."""
@@ -63,15 +70,20 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.pattern = regex.compile(PATTERN)
+        self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str]:
         """The text in pieces that no merge crosses; joined they are the text."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self.pattern.findall(text)
-        return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self.pattern.findall(part))]
+            return self.pieces(text)
+        return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self.pieces(part))]
+
+    def pieces(self, text: str) -> list[str]:
+        """The pattern's matches; texts of plain and Latin letters alone go by a faster equal pattern."""
+        return self.find(text) if _NOT_LATIN.search(text) else _LATIN_PATTERN.findall(text)
 
     def rank(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of each pair key, or _NONE."""
@@ -83,28 +95,38 @@ class Codec:
         out: list[tuple[int, ...]] = [()] * len(words)
         symbols = self.symbol_of_byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ranks = np.full(len(symbols), _NONE)
+        todo = np.flatnonzero(owner[1:] == owner[:-1])
         while len(symbols):
-            inner = owner[1:] == owner[:-1]
-            ranks = np.full(len(symbols), _NONE)
-            ranks[:-1][inner] = self.rank(symbols[:-1][inner] << _SHIFT | symbols[1:][inner])
+            # Only pairs with a symbol that has just come about are looked up.
+            ranks[todo] = self.rank(symbols[todo] << _SHIFT | symbols[todo + 1])
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sizes = np.diff(np.append(starts, len(owner)))
             lowest = np.minimum.reduceat(ranks, starts)
             if (over := lowest == _NONE).any():
-                for s, n in zip(starts[over], sizes[over], strict=True):
-                    out[owner[s]] = tuple(symbols[s : s + n].tolist())
                 stay = np.repeat(~over, sizes)
+                done, ends = symbols[~stay].tolist(), np.cumsum(sizes[over]).tolist()
+                for w, a, b in zip(owner[starts[over]].tolist(), [0, *ends], ends, strict=False):
+                    out[w] = tuple(done[a:b])
                 symbols, owner, ranks, lowest, sizes = symbols[stay], owner[stay], ranks[stay], lowest[~over], sizes[~over]
                 if not len(symbols):
                     break
             sites = ranks == np.repeat(lowest, sizes)
-            at = np.arange(len(sites))
-            # In a run of overlapping sites (one letter again and again) every other one merges.
-            run = np.maximum.accumulate(np.where(sites & ~np.concatenate(([False], sites[:-1])), at, -1))
-            sites &= (at - run) % 2 == 0
-            symbols[sites] = self.merged[ranks[sites]]
-            gone = np.concatenate(([False], sites[:-1]))
-            symbols, owner = symbols[~gone], owner[~gone]
+            if (sites[1:] & sites[:-1]).any():
+                # In a run of overlapping sites (one letter again and again) every other one merges.
+                at = np.arange(len(sites))
+                run = np.maximum.accumulate(np.where(sites & ~np.concatenate(([False], sites[:-1])), at, -1))
+                sites &= (at - run) % 2 == 0
+            here = np.flatnonzero(sites)
+            symbols[here] = self.merged[ranks[here]]
+            stay = np.ones(len(symbols), bool)
+            stay[here + 1] = False
+            symbols, owner, ranks = symbols[stay], owner[stay], ranks[stay]
+            here = here - np.arange(len(here))
+            ranks[here] = _NONE
+            new = np.zeros(len(symbols), bool)
+            new[here] = new[here[here > 0] - 1] = True
+            todo = np.flatnonzero(new[:-1] & (owner[:-1] == owner[1:]))
         return out
 
     def merge_long(self, word: bytes) -> tuple[int, ...]:
@@ -158,9 +180,11 @@ class Codec:
         """The ids of each whole text; null and empty texts have none."""
         cut = [self.words(t) if t else [] for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = set(chain.from_iterable(cut)).difference(self.known)
-        self.learn_words(new)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        self.learn_words(new.difference(again))
         ids = self.known.__getitem__
         return [list(chain.from_iterable(map(ids, ws))) for ws in cut]
 
