@@ -22,7 +22,7 @@ def con():
 
 def flat(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or (not isinstance(v, (list, dict, str)) and pd.isna(v)) else f"{v:.6f}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if v is None or (not isinstance(v, (list, dict, str)) and pd.isna(v)) else str(int(v)) if isinstance(v, float) and v == int(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in row) for row in df.astype(object).itertuples(index=False))
 
 
