@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,35 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_HELD: dict = {}
+
+
+def trim() -> None:
+    """Hands memory that this worker has freed back to the system."""
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_state(key, make):
+    """What `make()` gives, kept in this worker under `key` until another key is asked for: the
+    tasks of a step share it, and what earlier steps held in the same worker goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def tidy(name: str, batches: Iterator) -> Iterator:
+    """The batches of a step; what other steps left in this worker goes before them, and freed
+    memory after them."""
+    worker_state(("step", name), dict)
+    yield from batches
+    trim()
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver drop what it no longer refers to, so that the shuffle files of finished steps
     are deleted now and don't add up over a long query."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, materialise, release, small_batches, table
+from tidewater.llm.common import drop_written, materialise, release, small_batches, table, tidy
 from tidewater.llm.components import connected_components
 
 WORDS = 5
@@ -41,13 +41,13 @@ LANES = 4
 SKETCH_LEAST = 128
 #: A shingle in so many documents is common; so many common ones order the lanes at most, held in
 #: a table of so many bits.
-COMMON_DOCS = 32
-COMMON_MOST = 100_000
-COMMON_TABLE = 1 << 23
+COMMON_DOCS = 3
+COMMON_MOST = 1_000_000
+COMMON_TABLE = 1 << 26
 #: Documents whose shingles are counted together; lane keys of one bucket and of one flush.
 COUNT_DOCS = 4096
 BUCKET_KEYS = 500_000
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 500_000
 #: Sets of one side of a block of comparisons; pairs verified together; ids that are broadcast at most.
 BLOCK = 1024
 GROUP_PAIRS = 200
@@ -163,10 +163,11 @@ def roles(n: int) -> tuple[tuple[int, int, int, int], ...]:
 
 
 def lane_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The keys that index a set, with the role in their lowest bit. `common` is a table of bits
-    that tells (with few errors, alike for all sets) which tokens are common."""
+    """The keys that index a set, with the role in their lowest bit. `common` is a packed table of
+    bits that tells (with few errors, alike for all sets) which tokens are common."""
     out = []
-    rare = ~common[(tokens & np.uint64(len(common) - 1)).astype(np.int64)]
+    place = (tokens & np.uint64(8 * len(common) - 1)).astype(np.int64)
+    rare = (common[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 0
     high = tokens >> np.uint64(32)
     for band, lanes, role, wanted in roles(len(tokens)):
         salt = np.uint64((band + 1) * int(_M3) % (1 << 64))
@@ -199,7 +200,7 @@ def measure(docs: DataFrame) -> DataFrame:
             waiting.clear()
             return pd.DataFrame({"kind": 1, "doc_id": None, "n": counts[often], "node": tokens[often].view(np.int64), "sketch": None})
 
-        for b in batches:
+        for b in tidy("measure", batches):
             sets = [shingles(t) for t in b["text"]]
             yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": [set_key(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]})
             waiting.extend(sets)
@@ -212,21 +213,23 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def common_table(counted: DataFrame) -> np.ndarray:
-    """The table of common shingles: those in the most documents, COMMON_MOST at most."""
+    """The packed table of common shingles: those that recur most, COMMON_MOST at most. Which they
+    are decides how well lanes are ordered, not which links are found."""
     sums = counted.groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_DOCS)
-    out = np.zeros(COMMON_TABLE, bool)
-    for r in sums.orderBy(F.desc("n"), "node").limit(COMMON_MOST).collect():
-        out[r["node"] & (COMMON_TABLE - 1)] = True
+    most = sums.orderBy(F.desc("n"), "node").limit(COMMON_MOST).select("node").toArrow().column("node").to_numpy()
+    places = np.unique(most & (COMMON_TABLE - 1))
+    out = np.zeros(COMMON_TABLE // 8, np.uint8)
+    np.bitwise_or.at(out, places >> 3, (1 << (places & 7)).astype(np.uint8))
     return out
 
 
 def lane_groups(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     """Sets that share a lane: rows of kind 0 are pairs (a, b) of nodes to compare; rows of kind 1
     tell that node b stands with role `role` in the group a of three sets or more."""
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(held.value).astype(bool)
+        bits = held.value
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         seen: set[int] = set()
@@ -243,12 +246,12 @@ def lane_groups(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             ends = np.append(starts[1:], len(k))
             return pd.DataFrame({"bucket": bucket[starts].astype(np.int64), "payload": [k[s:e].tobytes() + v[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]})
 
-        for b in batches:
+        for b in tidy("index", batches):
             for text in b["text"]:
                 tokens = shingles(text)
                 if not len(tokens) or (node := set_key(tokens)) in seen:
                     continue
-                if len(seen) >= 500_000:
+                if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(node)
                 own = lane_keys(tokens, bits)
@@ -335,7 +338,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, raw = None, b""
-        for b in batches:
+        for b in tidy("send", batches):
             out = []
             for bucket, a, part, node, text in b.itertuples(index=False):
                 if last != (node, text):
@@ -442,7 +445,7 @@ def verify_families(families: DataFrame, components: DataFrame, docs: DataFrame,
     wanted = texts.join(F.broadcast(members) if n <= BROADCAST_IDS else members, "rid").withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets)).cast("long"))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy("send", batches):
             out = []
             for text, node, family, blocks, component, bucket in b[["text", "node", "family", "blocks", "component", "bucket"]].itertuples(index=False):
                 own = shingles(text)
