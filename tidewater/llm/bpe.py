@@ -12,7 +12,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, table
+from tidewater.llm.common import small_batches, table, trim, worker_state
 
 #: Words that a worker remembers, besides as many that it met before those; symbols of a word from which merging goes
 #: by a heap, whose time grows as n log n.
-MEMORY = 250_000
+MEMORY = 150_000
 LONG_WORD = 2048
 #: Symbols merged together at most, so that memory stays bounded.
 FLAT_SYMBOLS = 200_000
@@ -195,9 +194,9 @@ class Codec:
         return [b"".join(map(known, own if not own or (min(own) >= 0 and max(own) < top) else [i for i in own if 0 <= i < top])).decode("utf-8", "replace") for own in ids]
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """This worker's codec of a vocabulary file."""
+    return worker_state(("bpe", path), lambda: Codec(path))
 
 
 def default_path() -> str:
@@ -248,6 +247,7 @@ def round_trip(docs: DataFrame, path: str | None = None, keep_ids: bool = False)
                 "ids_sha256": [hashlib.sha256(",".join(map(decimal.__getitem__, i)).encode()).hexdigest() for i in ids],
                 "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded],
             } | ({"token_ids": ids} if keep_ids else {}))
+        trim()
 
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * keep_ids
     return docs.select(*kept, both(F.col("text")).alias("_b")).select(*kept, *(f"_b.{c}" for c in columns))

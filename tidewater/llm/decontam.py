@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches, table
+from tidewater.llm.common import small_batches, table, tidy
 
 WINDOW = 13
 #: Characters of benchmark text in one block, about.
@@ -101,10 +101,11 @@ def _held_by(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in tidy("decontam", batches):
             for text in b["text"]:
                 counts.update(shared.value.intersection(words(text)))
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     rows = docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["word"]): r["n"] for r in rows}
@@ -114,17 +115,18 @@ def _pass(index):
     """The function that adds one block's hits to what earlier blocks found."""
 
     @F.pandas_udf(STATE)
-    def step(texts: pd.Series, state: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        for text, runs, ids in zip(texts, state["runs"], state["items"], strict=True):
-            doc = words(text)
-            new, found = index.value.hits(doc)
-            earlier = [] if runs is None else list(zip(runs[::2], runs[1::2], strict=True))
-            if ids is not None:
-                found.update(ids)
-            own = merged(new + earlier)
-            got.append((len(doc), sum(b - a for a, b in own), [int(x) for r in own for x in r], sorted(found)))
-        return pd.DataFrame(got, columns=["n_words", "n_hit", "runs", "items"])
+    def step(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, state in tidy("decontam", batches):
+            got = []
+            for text, runs, ids in zip(texts, state["runs"], state["items"], strict=True):
+                doc = words(text)
+                new, found = index.value.hits(doc)
+                earlier = [] if runs is None else list(zip(runs[::2], runs[1::2], strict=True))
+                if ids is not None:
+                    found.update(ids)
+                own = merged(new + earlier)
+                got.append((len(doc), sum(b - a for a, b in own), [int(x) for r in own for x in r], sorted(found)))
+            yield pd.DataFrame(got, columns=["n_words", "n_hit", "runs", "items"])
 
     return step
 

@@ -284,7 +284,8 @@ def _extract_joined(pages: DataFrame, keys: DataFrame, kept: list[str]) -> DataF
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(u, h, host_key(host_of(u), n.key)) for u, h in zip(b["url"], b["html"], strict=True) for n in subtrees(parse(h))]
-            yield pd.DataFrame({"page": [xxhash.xxh128_hexdigest(f"{u}\x00{h}") for u, h, _ in rows], "k": np.array([k for _, _, k in rows], np.int64)})
+            if rows:
+                yield pd.DataFrame({"page": [xxhash.xxh128_hexdigest(f"{u}\x00{h}") for u, h, _ in rows], "k": np.array([k for _, _, k in rows], np.int64)})
 
     pairs = pages.select("url", "html").distinct().mapInPandas(emit, "page string, k long")
     found = materialise(pairs.join(keys, "k", "left_semi").groupBy("page").agg(F.collect_set("k").alias("_keys")), "page-templates")

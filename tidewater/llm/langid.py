@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_sample, fold, small_batches, table
+from tidewater.llm.common import bounded_sample, fold, small_batches, table, tidy
 
 #: Symbols: 0 is the gap between words, 1-26 are a-z, other letters share the rest by code point.
 SYMBOLS = 64
@@ -42,11 +42,15 @@ def _letters(dimensions: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def trigram_vectors(dimensions: int) -> np.ndarray:
-    """The bound vector of every trigram: twice permuted first, once permuted second, plain third."""
+def _pairs(dimensions: int) -> np.ndarray:
+    """The bound vectors of first (twice permuted) and second (once permuted) letters."""
     one = _letters(dimensions)
-    pairs = (np.roll(one, 2, axis=1)[:, None, :] * np.roll(one, 1, axis=1)[None, :, :]).reshape(-1, dimensions)
-    return (pairs[:, None, :] * one[None, :, :]).reshape(-1, dimensions)
+    return (np.roll(one, 2, axis=1)[:, None, :] * np.roll(one, 1, axis=1)[None, :, :]).reshape(-1, dimensions)
+
+
+def trigram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
+    """The bound vector of each trigram: its first two letters' with its third's."""
+    return _pairs(dimensions)[grams // SYMBOLS] * _letters(dimensions)[grams % SYMBOLS]
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -73,7 +77,7 @@ def encode(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | None:
         return None
     vector = np.zeros(dimensions, np.float32)
     for k in range(0, len(grams[0]), 4096):
-        vector += np.sqrt(grams[1][k : k + 4096], dtype=np.float32) @ trigram_vectors(dimensions)[grams[0][k : k + 4096]].astype(np.float32)
+        vector += np.sqrt(grams[1][k : k + 4096], dtype=np.float32) @ trigram_vectors(grams[0][k : k + 4096], dimensions).astype(np.float32)
     norm = float(np.linalg.norm(vector))
     return vector / norm if norm else vector
 
@@ -89,11 +93,12 @@ def learn(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dimensions: int = DI
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidy("langid", batches):
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 if (vector := encode(text, dimensions)) is not None:
                     sums[lang] = sums[lang] + vector if lang in sums else vector.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     sums: dict[str, np.ndarray] = {}
     for row in sample.mapInPandas(bundle, "lang string, vector array<double>").collect():
@@ -115,19 +120,20 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text: str
     weights = prototypes.astype(np.float32)
 
     @F.pandas_udf("lang_pred string, score double")
-    def best(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
-        for t in texts:
-            vector = encode(t, weights.shape[1]) if langs else None
-            if vector is None:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            cosines = weights @ vector
-            at = int(cosines.argmax())
-            names.append(langs[at])
-            scores.append(float(min(1.0, max(0.0, cosines[at]))))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in tidy("langid", batches):
+            names, scores = [], []
+            for t in texts:
+                vector = encode(t, weights.shape[1]) if langs else None
+                if vector is None:
+                    names.append("und")
+                    scores.append(0.0)
+                    continue
+                cosines = weights @ vector
+                at = int(cosines.argmax())
+                names.append(langs[at])
+                scores.append(float(min(1.0, max(0.0, cosines[at]))))
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return docs.select(*kept, best(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import drop_written, materialise, small_batches, table
+from tidewater.llm.common import drop_written, materialise, small_batches, table, tidy
 
 #: A template in so many documents recurs; lines of fewer tokens stay; longer ones generalise.
 MIN_DOCS = 5
@@ -62,7 +62,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in tidy("lines", batches):
             for text in b["text"]:
                 counts.update({k for line in set(lines_of(text)) for k in templates(line.encode("utf-8", "surrogatepass"))[1]})
             if len(counts) > 200_000:
@@ -103,10 +103,11 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SH
         held = docs.sparkSession.sparkContext.broadcast(array)
 
         @F.pandas_udf(shape)
-        def cut(texts: pd.Series) -> pd.DataFrame:
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             all_ = held.value
             known = (lambda k: all_[np.minimum(np.searchsorted(all_, k), len(all_) - 1)] == k) if len(all_) else (lambda k: np.zeros(len(k), bool))
-            return pd.DataFrame([without(t, known, copy_share) for t in texts], columns=["text", "n_lines", "n_dropped"])
+            for texts in tidy("lines", batches):
+                yield pd.DataFrame([without(t, known, copy_share) for t in texts], columns=["text", "n_lines", "n_dropped"])
 
         out = docs.withColumn("_cut", cut("text"))
     else:
@@ -121,7 +122,8 @@ def _joined(docs: DataFrame, keys: DataFrame, copy_share: float, shape: str) ->
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(xxhash.xxh128_hexdigest(t), k) for t in b["text"] if t for k in {k for x in lines_of(t) for k in templates(x.encode("utf-8", "surrogatepass"))[1]}]
-            yield pd.DataFrame({"_t": [t for t, _ in rows], "k": np.array([k for _, k in rows], np.int64)})
+            if rows:
+                yield pd.DataFrame({"_t": [t for t, _ in rows], "k": np.array([k for _, k in rows], np.int64)})
 
     @F.pandas_udf("string")
     def text_key(texts: pd.Series) -> pd.Series:

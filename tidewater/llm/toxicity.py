@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_sample, drop_written, fold, materialise, table
+from tidewater.llm.common import bounded_sample, drop_written, fold, materialise, table, worker_state
 
 #: Labelled rows of each class that the fit reads, about; terms kept at most.
 SAMPLE_PER_CLASS = 5000
@@ -125,15 +125,9 @@ class Lexicon(dict):
         return found
 
 
-#: The lexicon that this worker used last, under its name: tasks of one job share it.
-_HELD: dict[str, Lexicon] = {}
-
-
 def held_lexicon(name: str, weights: dict[str, float], literal: frozenset[str]) -> Lexicon:
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Lexicon(weights, literal)
-    return _HELD[name]
+    """This worker's lexicon of a name: tasks of one job share it."""
+    return worker_state(("lexicon", name), lambda: Lexicon(weights, literal))
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -211,7 +205,8 @@ def _literal(words: DataFrame, weights: dict[str, float]) -> frozenset[str]:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(weights)
         for b in batches:
-            yield pd.DataFrame({"term": [h[2] for h in map(lexicon.__missing__, b["word"]) if h and h[1]]}, dtype=object)
+            if terms := {h[2] for h in map(lexicon.__missing__, b["word"]) if h and h[1]}:
+                yield pd.DataFrame({"term": list(terms)})
 
     return frozenset(r["term"] for r in words.select("word").mapInPandas(near, "term string").distinct().collect())
 
@@ -233,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             counts: dict[tuple[int, int], Counter] = {}
             for text, half, y in zip(b["text"], b["_half"], b["_y"], strict=True):
                 counts.setdefault((half, y), Counter()).update({w.lower() for w in _WORD.findall(text or "")})
-            for (half, y), own in counts.items():
+            for (half, y), own in ((k, c) for k, c in counts.items() if c):
                 yield pd.DataFrame({"word": list(own), "half": half, "y": y, "n": list(own.values())})
 
     one = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
