@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
