@@ -4,10 +4,14 @@ In each pass the signs of random projections are concatenated to one long number
 sorted by it, and each is compared with a bounded window of neighbours. Pairs whose cosine reaches
 the threshold are united across passes. Within the components so found every link is then counted
 exactly, in blocks, so that a window never bounds how many partners a vector has.
+
+The windows may miss a pair, so an exact pass follows: every vector meets all others in blocks,
+of which a block is skipped only where its angle to the vector rules out any link.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise, table
+from tidewater.llm.common import drop_written, materialise, release, table, worker_state
 from tidewater.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -28,6 +32,12 @@ SEED = 7
 #: Rows of a side of a block of links; rows of a sorted partition, about.
 BLOCK = 512
 PARTITION_ROWS = 20_000
+#: Exact pass: pivots that order the vectors; rows of a partition, about; values broadcast at once.
+PIVOTS = 256
+EXACT_ROWS = 2048
+CHUNK_VALUES = 4_000_000
+#: What single precision may err by in a cosine, on the safe side.
+SLACK = 1e-4
 
 
 def usable(vector: Column) -> Column:
@@ -124,6 +134,98 @@ def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int)
     return found
 
 
+class Chunk:
+    """Rows of (dim, pivot, rid, unit) in that order, cut into blocks with centre and radius."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        rows = sorted(rows, key=lambda r: r[:3])
+        self.by_dim: dict[int, tuple] = {}
+        for dim in sorted({r[0] for r in rows}):
+            own = [r for r in rows if r[0] == dim]
+            unit = np.array([np.frombuffer(r[3]) for r in own])
+            blocks = []
+            for at in range(0, len(own), BLOCK):
+                part = unit[at : at + BLOCK]
+                centre = part.sum(0)
+                size = np.sqrt((centre * centre).sum())
+                centre = centre / size if size > SLACK else part[0]
+                radius = np.arccos(np.clip((part @ centre).min(), -1, 1))
+                blocks.append((at, own[min(at + BLOCK, len(own)) - 1][1:3], centre, radius))
+            self.by_dim[dim] = (np.array([r[2] for r in own], np.int64), unit, unit.astype(np.float32), blocks)
+
+    def links(self, dim: int, first: tuple[int, int], ids: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[list, list]:
+        """Ids of the pairs of rows and own rows within the threshold; blocks wholly before the key
+        `first` are left to the rows that stand there."""
+        left, right = [], []
+        if dim not in self.by_dim:
+            return left, right
+        own, exact, single, blocks = self.by_dim[dim]
+        blocks = [b for b in blocks if b[1] >= first]
+        if not blocks:
+            return left, right
+        angles = np.arccos(np.clip(unit @ np.array([b[2] for b in blocks]).T, -1, 1))
+        reach = np.arccos(np.clip(threshold, -1, 1)) + np.array([b[3] for b in blocks]) + SLACK
+        rows32 = unit.astype(np.float32)
+        for k, (at, *_) in enumerate(blocks):
+            rows = np.flatnonzero(angles[:, k] <= reach[k])
+            if not len(rows):
+                continue
+            i, j = np.nonzero(rows32[rows] @ single[at : at + BLOCK].T >= threshold - SLACK)
+            i, j = rows[i], j + at
+            other = ids[i] != own[j]
+            i, j = i[other], j[other]
+            near = np.einsum("ij,ij->i", unit[i], exact[j]) >= threshold
+            left.append(ids[i[near]])
+            right.append(own[j[near]])
+        return left, right
+
+
+def exact_links(reps: DataFrame, threshold: float, chunk_values: int = CHUNK_VALUES) -> DataFrame:
+    """(a, b): verified links of distinct vectors (rid, embedding) that unite all pairs within the
+    threshold. Chunks of bounded size are broadcast one after the other and met by all rows; the
+    work grows with the square of the rows as far as the blocks' angles exclude nothing."""
+    spark = reps.sparkSession
+    size = F.size("embedding")
+    n, values = reps.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    chosen = reps.orderBy(F.xxhash64(F.lit("pivot"), "rid")).limit(PIVOTS).select("embedding").collect()
+    pivots: dict[int, list] = {}
+    for u in units([r["embedding"] for r in chosen]):
+        pivots.setdefault(len(u), []).append(u)
+    matrices = {dim: np.array(own) for dim, own in pivots.items()}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = units(b["embedding"].tolist())
+            at = [int((matrices[len(u)] @ u).argmax()) if len(u) in matrices else 0 for u in own]
+            yield pd.DataFrame({"dim": [len(u) for u in own], "pivot": at, "rid": b["rid"], "unit": [u.tobytes() for u in own]})
+
+    placed = materialise(reps.select("rid", "embedding").mapInPandas(place, "dim long, pivot long, rid long, unit binary"), "vector-places")
+    chunks = max(1, -(-values // chunk_values))
+    found = None
+    for c in range(chunks):
+        mine = placed.filter(F.pmod(F.xxhash64(F.lit("chunk"), "rid"), F.lit(chunks)) == c)
+        held, name = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()]), uuid.uuid4().hex
+
+        def compare(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
+            chunk = worker_state(("vector-chunk", name), lambda: Chunk(held.value))
+            for b in batches:
+                left, right = [], []
+                for dim, own in b.groupby("dim"):
+                    first = min(zip(own["pivot"].tolist(), own["rid"].tolist(), strict=True))
+                    some = chunk.links(dim, first, own["rid"].to_numpy(), np.array([np.frombuffer(u) for u in own["unit"]]), threshold)
+                    left += some[0]
+                    right += some[1]
+                yield pd.DataFrame(forest(np.concatenate(left), np.concatenate(right)) if left else [], columns=["a", "b"], dtype=np.int64)
+
+        ordered = placed.repartitionByRange(max(1, round(n / EXACT_ROWS)), "dim", "pivot", "rid").sortWithinPartitions("dim", "pivot", "rid")
+        links = materialise(ordered.mapInPandas(compare, "a long, b long").distinct(), "vector-links")
+        found = links if found is None else found.union(links)
+        held.unpersist()
+        release(spark)
+    drop_written(placed)
+    return found
+
+
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(rid, n): for members (component, rid, mult, embedding) the copies of all others of their
     component within the threshold. Large components are dealt out in pairs of blocks."""
@@ -167,7 +269,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     keyed = own.withColumns({"h1": F.when(fine, F.xxhash64("embedding")), "h2": F.when(fine, F.xxhash64(F.lit("second"), "embedding"))})
     classes = keyed.filter(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("rid"), F.count("*").alias("mult"), F.any_value("embedding").alias("embedding"))
     classes = materialise(classes, "vector-classes")
-    links = find_links(classes, threshold, passes, neighbours)
+    links = find_links(classes, threshold, passes, neighbours).union(exact_links(classes, threshold))
     nodes = materialise(connected_components(links).select(F.col("node").alias("rid"), "component"), "vector-components")
     members = classes.join(nodes, "rid").select("component", "rid", "mult", "embedding")
     counts = materialise(count_links(materialise(members, "vector-members"), threshold), "vector-counts")
