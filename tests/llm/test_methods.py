@@ -207,6 +207,20 @@ def test_levenshtein_automaton():
     assert plain[1] > 0 == quoted[1] and quoted[5] > 0 == plain[5]
 
 
+def test_near_clean_words_leave_other_misspellings(spark):
+    r = random.Random(4)
+    plain = ["".join(r.choices("abdefgimnpqvxz", k=7)) for _ in range(300)]
+    fill = lambda *own: " ".join([*r.choices(plain, k=8), *own, *r.choices(plain, k=8)])
+    rows = [(i, fill("clown") if i % 2 else fill("crown") if i < 40 else fill('"clowm"') if i < 60 else fill(), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert set(model.weights) == {"clown"}
+    asked = ["clown", "cloown", "clowm", "crown", "plain"]
+    said = spark.createDataFrame([(w, fill(w)) for w in asked], "word string, text string")
+    got = {x["word"]: x["predicted"] for x in toxicity.score(said, model).collect()}
+    assert got == {"clown": 1, "cloown": 1, "clowm": 1, "crown": 0, "plain": 0}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")

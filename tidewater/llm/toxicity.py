@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled documents. A word is looked up in the trie; a word that isn't
 in it becomes a Levenshtein automaton that walks the trie beside it, so that misspelled terms are
-found. Terms that clean documents' words resemble as closely are taken by the letter only. Each hit counts by its window: within quotation marks or after a verb of report it counts
-as quoted, else as abuse. A logistic score over these counts is fitted to the labels.
+found. Words near a term that clean documents use unquoted, and toxic ones not much more often,
+are words of their own and no misspellings. Each hit counts by its window: within quotation marks
+or after a verb of report it counts as quoted, else as abuse. A logistic score over these counts is fitted to the labels.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ THRESHOLD = 0.7
 LEAST_LIFT = 2.5
 FUZZY_LENGTH = 5
 EDITS = 1
+#: A word near a term that clean documents use is exempt unless its share of toxic documents exceeds so many
+#: times that of clean ones, with a statistic of its counts that chance gives in 5 % of cases.
+EXEMPT_RATIO, CHANCE = 3, 3.84
 #: Words before and after a hit that make its window.
 WINDOW = 6
 #: Words of one worker's memory of looked-up words.
@@ -101,11 +105,11 @@ def _shortened(word: str) -> list[str]:
 
 class Lexicon(dict):
     """word -> (weight, distance, term) or None, remembered; a bounded memory that starts anew when
-    full. Terms in `literal` are met by the letter only."""
+    full. Terms in `literal` are met by the letter only; words in `exempt` are no misspellings."""
 
-    def __init__(self, weights: dict[str, float], literal: frozenset[str] = frozenset(), edits: int = EDITS):
+    def __init__(self, weights: dict[str, float], literal: frozenset[str] = frozenset(), edits: int = EDITS, exempt: frozenset[str] = frozenset()):
         super().__init__()
-        self.weights, self.edits = weights, edits
+        self.weights, self.edits, self.exempt = weights, edits, exempt
         weights = {t: w for t, w in weights.items() if t not in literal}
         self.trie = Trie(weights)
         # Two words one edit apart share a form with at most one character left out.
@@ -117,7 +121,7 @@ class Lexicon(dict):
         key = word.lower()
         if (weight := self.weights.get(key)) is not None:
             found = (weight, 0, key)
-        elif len(key) < FUZZY_LENGTH or not self.edits or (self.forms is not None and self.forms.isdisjoint(_shortened(key))):
+        elif len(key) < FUZZY_LENGTH or not self.edits or key in self.exempt or (self.forms is not None and self.forms.isdisjoint(_shortened(key))):
             found = None
         else:
             found = self.trie.within(key, self.edits)
@@ -125,9 +129,18 @@ class Lexicon(dict):
         return found
 
 
-def held_lexicon(name: str, weights: dict[str, float], literal: frozenset[str]) -> Lexicon:
+def held_lexicon(name: str, weights: dict[str, float], exempt: frozenset[str]) -> Lexicon:
     """This worker's lexicon of a name: tasks of one job share it."""
-    return worker_state(("lexicon", name), lambda: Lexicon(weights, literal))
+    return worker_state(("lexicon", name), lambda: Lexicon(weights, exempt=exempt))
+
+
+def is_quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
+    """Whether word i stands within quotation marks or after a verb of report."""
+    first, last = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
+    before, after = text[spans[first][0] : spans[i][0]], text[spans[i][1] : spans[last][1] + 1]
+    opened = max((before.rfind(q) for q in OPENING), default=-1)
+    inside = opened >= 0 and (opened == 0 or not before[opened - 1].isalnum()) and any(q in after for q in CLOSING)
+    return inside or any(w.lower() in REPORTING for w in words[max(0, i - 3) : i])
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -141,11 +154,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     abuse, quoted, best, near, terms = 0.0, 0.0, 0.0, 0, set()
     for k, (i, (weight, distance, term)) in enumerate(zip(hits, found, strict=True)):
         weight *= MISSPELT if distance else 1
-        first, last = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
-        before, after = text[spans[first][0] : spans[i][0]], text[spans[i][1] : spans[last][1] + 1]
-        opened = max((before.rfind(q) for q in OPENING), default=-1)
-        inside = opened >= 0 and (opened == 0 or not before[opened - 1].isalnum()) and any(q in after for q in CLOSING)
-        if inside or any(w.lower() in REPORTING for w in words[max(0, i - 3) : i]):
+        if is_quoted(text, words, spans, i):
             quoted += weight
             continue
         abuse += weight
@@ -158,7 +167,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 @dataclass(frozen=True)
 class Toxicity:
     weights: dict[str, float]
-    literal: frozenset[str]
+    exempt: frozenset[str]
     coefficients: np.ndarray
     intercept: float
 
@@ -199,16 +208,38 @@ def _lexicon(counted: DataFrame, column: str, n_toxic: int, n_clean: int) -> dic
     return out
 
 
-def _literal(words: DataFrame, weights: dict[str, float]) -> frozenset[str]:
-    """The terms that some of the clean documents' words come as near as a misspelling would."""
+def _exempt(sample: DataFrame, counted: DataFrame, weights: dict[str, float], n_toxic: int, n_clean: int) -> frozenset[str]:
+    """Words near a term that aren't misspellings of it: clean documents use them unquoted, and the
+    share of toxic documents that hold them isn't clearly more than EXEMPT_RATIO times as large.
+    From rows of (text, _y) and their words' counts (word, toxic, clean)."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(weights)
         for b in batches:
-            if terms := {h[2] for h in map(lexicon.__missing__, b["word"]) if h and h[1]}:
-                yield pd.DataFrame({"term": list(terms)})
+            some = [(w, n) for w, n in zip(b["word"], b["toxic"], strict=True) if (h := lexicon.__missing__(w)) and h[1]]
+            if some:
+                yield pd.DataFrame({"word": [w for w, _ in some], "toxic": [n for _, n in some]})
+
+    toxic = {r["word"]: r["toxic"] for r in counted.filter("clean > 0").select("word", "toxic").mapInPandas(near, "word string, toxic long").collect()}
+    if not toxic:
+        return frozenset()
+    held = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
+
+    def unquoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for b in batches:
+            for text in b["text"]:
+                words = _WORD.findall(text or "")
+                at = [i for i, w in enumerate(words) if w.lower() in held.value]
+                if at:
+                    spans = [m.span() for m in _WORD.finditer(text)]
+                    counts.update({words[i].lower() for i in at if not is_quoted(text, words, spans, i)})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    return frozenset(r["term"] for r in words.select("word").mapInPandas(near, "term string").distinct().collect())
+    rows = sample.filter("_y = 0").select("text").mapInPandas(unquoted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    own = [(r["word"], toxic[r["word"]], r["n"]) for r in rows]
+    return frozenset(w for w, t, c in own if t * n_clean <= EXEMPT_RATIO * c * n_toxic or lift(t, c, n_toxic, n_clean)[1] < CHANCE)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Toxicity:
@@ -233,23 +264,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     one = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
     counted = materialise(sample.mapInPandas(words, "word string, half int, y int, n long").groupBy("word").agg(one(0, 1).alias("t0"), one(0, 0).alias("c0"), one(1, 1).alias("t1"), one(1, 0).alias("c1")), "toxic-words")
-    first = _lexicon(counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), "half", sizes[0, 1], sizes[0, 0])
-    both = _lexicon(counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), "all", sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0])
+    half = counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), sizes[0, 1], sizes[0, 0]
+    whole = counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0]
+    first, both = _lexicon(half[0], "half", *half[1:]), _lexicon(whole[0], "all", *whole[1:])
 
-    name, first_literal = uuid.uuid4().hex, _literal(counted.filter("c0 > 0"), first)
+    name, first_exempt = uuid.uuid4().hex, _exempt(sample.filter("_half = 0"), half[0], first, *half[1:])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = held_lexicon(f"{name}-half", first, first_literal)
+        lexicon = held_lexicon(f"{name}-half", first, first_exempt)
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype("int32"), "x": [features(t, lexicon) for t in b["text"]]})
 
     got = sorted((tuple(r["x"]), r["y"]) for r in sample.filter("_half = 1").mapInPandas(measure, "y int, x array<double>").collect())
     x, y = np.array([r[0] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=int)
     coefficients, intercept = logistic(x, y)
-    literal = _literal(counted.filter("c0 + c1 > 0"), both)
+    exempt = _exempt(sample, whole[0], both, *whole[1:])
     drop_written(sample)
     drop_written(counted)
-    return Toxicity(both, literal, coefficients, intercept)
+    return Toxicity(both, exempt, coefficients, intercept)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -258,7 +290,7 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text:
     Texts are read whole; null and empty texts, and those without hits, take the base score. One
     row in, one row out, repeated rows alike."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.weights, model.literal))
+    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.weights, model.exempt))
     scorer = Toxicity({}, frozenset(), model.coefficients, model.intercept)
 
     @F.pandas_udf("double")
