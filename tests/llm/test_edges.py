@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, embdedup, html, jaccard, langid, linededup, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, linededup, quality, toxicity, urlfilter
 
 LONG = "word another third " * 40_000
 TEXTS = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, "same text of six plain words"), (5, "same text of six plain words"), (6, " \n\t "), (None, "no id at all here today"), (7, "\x00 odd � \U0001f600 text")]
@@ -94,17 +94,6 @@ def test_linededup(docs, empty, spark):
         assert all("alpha" not in r["text"] and r["text"].endswith("tiny") for r in out.values() if r["n_dropped"])
 
 
-def test_html(spark):
-    rows = [(1, None, None), (2, "http://h/x", ""), (3, "http://h/y", "<p>plain &amp; simple"), (4, "h", "<div>" * 3000 + "deep" + "</div>" * 3000), (5, "http://h/z", "<article><h1>T</h1><script>x</script><p>a<br>b</p><div class='comments'>no</div></article>" + "<nav>menu</nav>")]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows + rows[2:3]], "page_id int, url string, html string, text string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
-    assert got == {1: ("", 0), 2: ("", 0), 3: ("plain & simple", 14), 4: ("deep", 4), 5: ("T\na b", 5)}
-    assert html.extract(pages.filter("1 = 0")).count() == 0
-    site = spark.createDataFrame([(i, f"http://h/{i}", f"<div><b>Menu of</b> all<p>x</div><div><p>text {i} alone</p></div>") for i in range(20)], "page_id int, url string, html string")
-    for most in (1000, 0):
-        assert {r["page_id"]: r["text"] for r in html.extract(site, most=most).collect()} == {i: f"text {i} alone" for i in range(20)}
-
-
 def test_embeddings(spark):
     v = [1.0] + [0.0] * 3
     rows = [(1, v), (2, v), (2, v), (3, [0.99, 0.05, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [float("inf")] * 4), (9, []), (10, [1.0, 0.0]), (None, v), (11, [1e300, 0.0, 0.0, 0.0]), (12, [-1.0, 0.0, 0.0, 0.0])]

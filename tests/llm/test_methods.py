@@ -2,13 +2,12 @@
 
 import hashlib
 import random
-import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm import bpe, decontam, embdedup, html, jaccard, langid, linededup, quality, toxicity
+from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, linededup, quality, toxicity
 from tidewater.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -162,18 +161,6 @@ def test_embeddings_whose_links_no_window_meets(spark):
     assert components([(x["a"], x["b"]) for x in links], range(len(rows))) == want
 
 
-def test_html_text(spark):
-    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
-    from html import unescape
-
-    want = {}
-    for r in pages.collect():
-        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        blocks = [" ".join(unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        want[r["page_id"]] = "\n".join(b for b in blocks if b)
-    assert {r["page_id"]: r["text"] for r in html.query(spark, SMALL).collect()} == want
-
-
 def test_lines_against_sql(spark):
     import duckdb
 
