@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, linededup, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, quality, toxicity, urlfilter
 
 LONG = "word another third " * 40_000
 TEXTS = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, "same text of six plain words"), (5, "same text of six plain words"), (6, " \n\t "), (None, "no id at all here today"), (7, "\x00 odd � \U0001f600 text")]
@@ -82,18 +82,6 @@ def test_decontam(spark, docs, empty):
     assert {r["n_items"] for r in decontam.find(docs, items.filter("1 = 0")).collect()} == {0} and decontam.find(empty, items).count() == 0
 
 
-def test_linededup(docs, empty, spark):
-    assert {r["doc_id"]: r["n_dropped"] for r in linededup.dedup(docs).collect()}[1] == 0
-    assert linededup.dedup(empty).count() == 0
-    own = "alpha beta gamma delta epsilon zeta number {0} of page {0}"
-    rows = [(i, "\n".join([own.format(i)] + [f"unique{i}x{k} words stand here in line{k}q{i} for document v{i}" for k in range(4)] + ["tiny"])) for i in range(9)]
-    small = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (1000, 0):
-        out = {r["doc_id"]: r for r in linededup.dedup(small, most=most).collect()}
-        assert all(r["n_lines"] == 6 for r in out.values())
-        assert all("alpha" not in r["text"] and r["text"].endswith("tiny") for r in out.values() if r["n_dropped"])
-
-
 def test_embeddings(spark):
     v = [1.0] + [0.0] * 3
     rows = [(1, v), (2, v), (2, v), (3, [0.99, 0.05, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [float("inf")] * 4), (9, []), (10, [1.0, 0.0]), (None, v), (11, [1e300, 0.0, 0.0, 0.0]), (12, [-1.0, 0.0, 0.0, 0.0])]

@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, linededup, quality, toxicity
+from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, quality, toxicity
 from tidewater.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -161,16 +161,6 @@ def test_embeddings_whose_links_no_window_meets(spark):
     assert components([(x["a"], x["b"]) for x in links], range(len(rows))) == want
 
 
-def test_lines_against_sql(spark):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    want = {r[0]: r[1:] for r in con.execute(linededup.ORACLE).fetchall()}
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.query(spark, SMALL).collect()}
-    assert got == want
-
-
 def test_levenshtein_automaton():
     def distance(a, b):
         row = list(range(len(b) + 1))

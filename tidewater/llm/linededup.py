@@ -2,17 +2,19 @@
 
 A line goes down the tree by its token count, then by its leading tokens, and ends in templates
 that generalise variable fields: tokens with a digit, an @ or a :// stand for any such token, and
-in lines of some length one third of the remaining tokens may vary. Templates that recur in many
-documents are boilerplate; their lines are dropped.
-
-A document most of whose tokens lie in recurring lines is a copy of other documents rather than a
-page with boilerplate. It stays as it is: choosing among copies is the work of near-dedup.
+in lines of some length one third of the remaining tokens may vary. A node of the tree is known by
+the hash of the way to it. Templates that recur across documents are boilerplate; their lines are
+dropped, whatever their length and whatever else the document holds.
+
+Copies of a document don't make its lines boilerplate. A text counts once, however many documents
+have it; and for each template the rest of a text (its other lines) has a min-hash over its shingles,
+which near copies mostly share. So many different rests must hold the template, and they must be a
+share of the texts with it that near copies (shingles alike to 0.75 or more) don't reach.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +25,31 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import drop_written, materialise, small_batches, table, tidy
 
-#: A template in so many documents recurs; lines of fewer tokens stay; longer ones generalise.
+#: A template recurs from so many different rests of texts on, and from this share of its texts.
 MIN_DOCS = 5
-MIN_TOKENS = 3
+MIN_SHARE = 0.3
+#: Lines of fewer tokens keep all of them; leading tokens of a way down the tree.
 GENERAL_TOKENS = 6
 LEADING = 2
-#: A document stays whole if recurring lines hold more than this share of its tokens.
-COPY_SHARE = 0.5
 #: So many recurring templates at most are broadcast; beyond, they are joined.
 BROADCAST_KEYS = 4_000_000
 _VARIABLE = re.compile(rb"[0-9@]|://")
+#: Fixed values of the min-hash: words of a shingle with their coefficients, and the modulus; a letter at place i of
+#: a word counts by i * i * FACTOR modulo PLACES, a word's sum modulo WORD.
+COEFFICIENTS = (104729, 15485863, 32452843, 49979687, 67867967)
+MODULUS = 1099511627689
+FACTOR, PLACES, WORD = 40503, 65521, 4294967291
+#: Characters of texts whose shingles are hashed in one go, about.
+CHUNK = 500_000
 
 
 def templates(line: bytes) -> tuple[int, list[int]]:
     """(tokens of a line, keys of the templates at the end of its way down the tree)."""
     tokens = line.split()
     n = len(tokens)
-    if n < MIN_TOKENS:
-        return n, []
-    if _VARIABLE.search(line):
+    if not n:
+        return 0, []
+    if len(line.translate(None, b"0123456789@:")) < len(line):
         tokens = [b"\x00" if _VARIABLE.search(t) else t for t in tokens]
     if n < GENERAL_TOKENS:
         return n, [xxhash.xxh64_intdigest(b"%d " % n + b" ".join(tokens)) - (1 << 63)]
@@ -56,49 +64,112 @@ def lines_of(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Column k: the keys of templates that occur in `min_docs` documents or more, of all documents.
-    A template counts once a document; what a task has counted is summed before it is shuffled."""
+_SPACE = np.zeros(128, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def least_shingles(text: str) -> np.ndarray:
+    """For each line of a text the least hash of its shingles: runs of as many words as there are
+    coefficients, or the whole of a shorter line; MODULUS for a line without words."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(points, 127)] & (points < 128)
+    turns = np.flatnonzero(np.diff(~space, prepend=False, append=False))
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    lines = np.flatnonzero(points == 10)
+    out = np.full(len(lines) + 1, MODULUS, np.int64)
+    if not len(starts):
+        return out
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(1, first[-1] + lengths[-1] + 1) - np.repeat(first, lengths)
+    place = place * place % PLACES * FACTOR % PLACES
+    numbers = np.add.reduceat(points[~space] * place, first) % WORD
+    line = np.searchsorted(lines, starts)
+    sums, alike = numbers * COEFFICIENTS[0], np.ones(len(line), bool)
+    for k, c in enumerate(COEFFICIENTS[1:], 1):
+        alike[-k:] = False
+        alike[:-k] &= line[k:] == line[:-k]
+        sums[:-k] += np.where(line[k:] == line[:-k], numbers[k:] * c, 0)
+    sums %= MODULUS
+    opens = np.concatenate(([True], line[1:] != line[:-1]))
+    counts = np.flatnonzero(opens)
+    # The first window of a line counts always, the others where they lie within it.
+    sums[~(opens | alike)] = MODULUS
+    out[line[counts]] = np.minimum.reduceat(sums, counts)
+    return out
+
+
+def rests(text: str, least: np.ndarray) -> dict[int, int]:
+    """template key -> min-hash of the shingles of the text's other lines, -1 where there are none;
+    `least` has those of its lines. A line counts once; of several lines with a template the least
+    rest is taken."""
+    lines = {x: n for x, n in zip(lines_of(text), least.tolist(), strict=True) if n < MODULUS}
+    if not lines:
+        return {}
+    (second, _), (one, first) = (sorted((n, x) for x, n in lines.items())[1::-1] if len(lines) > 1 else ((-1, ""), (0, next(iter(lines)))))
+    out: dict[int, int] = {}
+    for line in lines:
+        rest = second if line == first else one
+        for k in templates(line.encode("utf-8", "surrogatepass"))[1]:
+            out[k] = min(rest, out.get(k, rest))
+    return out
+
+
+def rests_of(texts: list[str]) -> Iterator[tuple[str, dict[int, int]]]:
+    """Each text with its `rests`; several short texts are hashed in one go."""
+    waiting, size = [], 0
+    for at, text in enumerate(texts, 1):
+        waiting.append(text)
+        size += len(text)
+        if size >= CHUNK or at == len(texts):
+            least, line = least_shingles("\n".join(waiting)), 0
+            for own in waiting:
+                n = own.count("\n") + 1
+                yield own, rests(own, least[line : line + n])
+                line += n
+            waiting, size = [], 0
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Column k: the keys of templates that recur, of all texts: see the module's description."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in tidy("lines", batches):
-            for text in b["text"]:
-                counts.update({k for line in set(lines_of(text)) for k in templates(line.encode("utf-8", "surrogatepass"))[1]})
-            if len(counts) > 200_000:
-                yield pd.DataFrame({"k": np.fromiter(counts, np.int64, len(counts)), "n": list(counts.values())})
-                counts.clear()
-        yield pd.DataFrame({"k": np.fromiter(counts, np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+            keys, texts, others = [], [], []
+            for text, own in rests_of([t for t in set(b["text"].dropna()) if t]):
+                keys.extend(own)
+                others.extend(own.values())
+                texts.extend([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own))
+            yield pd.DataFrame({"k": np.array(keys, np.int64), "t": np.array(texts, np.int64), "rest": np.array(others, np.int64)})
 
-    counted = docs.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= min_docs).select("k")
+    once = docs.select("text").mapInPandas(emit, "k long, t long, rest long").groupBy("k", "rest", "t").agg(F.lit(1).alias("one"))
+    by_rest = once.groupBy("k", "rest").agg(F.count("one").alias("n"))
+    counted = by_rest.groupBy("k").agg(F.count("*").alias("rests"), F.sum("n").alias("texts"))
+    return counted.filter((F.col("rests") >= min_docs) & (F.col("rests") >= min_share * F.col("texts"))).select("k")
 
 
-def without(text: str | None, known, copy_share: float = COPY_SHARE) -> tuple[str | None, int, int]:
+def without(text: str | None, known) -> tuple[str | None, int, int]:
     """(the text without its recurring lines, lines, dropped lines); `known(keys)` tells of an
     array of keys which recur."""
     lines = lines_of(text)
     if not lines:
         return text, 0, 0
-    cut = [templates(x.encode("utf-8", "surrogatepass")) for x in lines]
-    owner = [i for i, (_, keys) in enumerate(cut) for _ in keys]
-    gone = {owner[i] for i in np.flatnonzero(known(np.array([k for _, keys in cut for k in keys], np.int64)))} if owner else set()
-    if not gone or sum(cut[i][0] for i in gone) > copy_share * sum(n for n, _ in cut):
-        return text, len(lines), 0
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
+    cut = [templates(x.encode("utf-8", "surrogatepass"))[1] for x in lines]
+    owner = [i for i, keys in enumerate(cut) for _ in keys]
+    gone = {owner[i] for i in np.flatnonzero(known(np.array([k for keys in cut for k in keys], np.int64)))} if owner else set()
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text, len(lines), len(gone)
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE, most: int = BROADCAST_KEYS) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most: int = BROADCAST_KEYS) -> DataFrame:
     """The documents with text, n_lines and n_dropped; columns of those names are replaced.
 
     Null texts stay null and empty ones empty, without lines. A line repeated in one document
-    counts once but is dropped everywhere. One row in, one row out; repeated rows count as
-    documents of their own.
+    counts once but is dropped everywhere. A document of recurring lines only has an empty text.
+    One row in, one row out; repeated rows, like other documents with the same text, count once.
     """
-    keys = materialise(recurring(docs, min_docs), "line-templates")
+    keys = materialise(recurring(docs, min_docs, min_share), "line-templates")
     shape = "text string, n_lines long, n_dropped long"
     if keys.count() <= most:
-        array = np.sort(np.array([r["k"] for r in keys.collect()], np.int64))
+        array = np.sort(keys.toArrow().column("k").to_numpy())
         drop_written(keys)
         held = docs.sparkSession.sparkContext.broadcast(array)
 
@@ -107,16 +178,16 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SH
             all_ = held.value
             known = (lambda k: all_[np.minimum(np.searchsorted(all_, k), len(all_) - 1)] == k) if len(all_) else (lambda k: np.zeros(len(k), bool))
             for texts in tidy("lines", batches):
-                yield pd.DataFrame([without(t, known, copy_share) for t in texts], columns=["text", "n_lines", "n_dropped"])
+                yield pd.DataFrame([without(t, known) for t in texts], columns=["text", "n_lines", "n_dropped"])
 
         out = docs.withColumn("_cut", cut("text"))
     else:
-        out = _joined(docs, keys, copy_share, shape)
+        out = _joined(docs, keys, shape)
     order = [F.col(f"_cut.{c}").alias(c) if c in ("text", "n_lines", "n_dropped") else F.col(c) for c in (*docs.columns, *(x for x in ("n_lines", "n_dropped") if x not in docs.columns))]
     return out.select(*order)
 
 
-def _joined(docs: DataFrame, keys: DataFrame, copy_share: float, shape: str) -> DataFrame:
+def _joined(docs: DataFrame, keys: DataFrame, shape: str) -> DataFrame:
     """For many recurring templates: each distinct text meets its own keys in a shuffled join."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +202,7 @@ def _joined(docs: DataFrame, keys: DataFrame, copy_share: float, shape: str) ->
 
     @F.pandas_udf(shape)
     def cut(texts: pd.Series, sets: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, lambda k, s=s: np.isin(k, np.array([] if s is None else s, np.int64)), copy_share) for t, s in zip(texts, sets, strict=True)], columns=["text", "n_lines", "n_dropped"])
+        return pd.DataFrame([without(t, lambda k, s=s: np.isin(k, np.array([] if s is None else s, np.int64))) for t, s in zip(texts, sets, strict=True)], columns=["text", "n_lines", "n_dropped"])
 
     pairs = docs.select("text").mapInPandas(emit, "_t string, k long").distinct()
     found = materialise(pairs.join(keys, "k", "left_semi").groupBy("_t").agg(F.collect_set("k").alias("_keys")), "text-templates")
@@ -143,7 +214,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their recurring lines; n_chars follows the text."""
+    """The documents without their recurring lines; n_chars follows the text (0 for a null text).
+    One row in, one row out, with the columns it came with; an empty table gives none."""
     small_batches(spark)
     out = dedup(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
@@ -151,24 +223,36 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: The same by strings instead of keys.
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text <> '')
-), t AS (
-  SELECT *, list_transform(regexp_extract_all(line, '[^\t\n\v\f\r ]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN chr(0) ELSE x END) AS w FROM l
+WITH texts AS (
+  SELECT text, row_number() OVER () AS t FROM (SELECT DISTINCT text FROM documents WHERE text <> '')
+), l AS (
+  SELECT t, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM (SELECT t, string_split(text, chr(10)) AS lines FROM texts)
+), w AS (
+  SELECT *, regexp_extract_all(line, '[^	
+
+ ]+') AS raw FROM l
 ), k AS (
-  SELECT *, len(w) AS n, 2 + (len(w) - 2) // 3 AS b1, 2 + (len(w) - 2) * 2 // 3 AS b2 FROM t
+  SELECT t, pos, line, raw, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN chr(0) ELSE x END) AS w,
+    len(raw) AS n, 2 + (len(raw) - 2) // 3 AS b1, 2 + (len(raw) - 2) * 2 // 3 AS b2 FROM w
 ), keys AS (
-  SELECT doc_id, pos, n, unnest(CASE WHEN n < 3 THEN [] WHEN n < 6 THEN [[w]] ELSE [[w[1:2], ['0'], w[b1 + 1:b2], w[b2 + 1:n]], [w[1:2], ['1'], w[3:b1], w[b2 + 1:n]], [w[1:2], ['2'], w[3:b1], w[b1 + 1:b2]]] END) AS key FROM k
+  SELECT t, pos, line, n, unnest(CASE WHEN n = 0 THEN [] WHEN n < 6 THEN [[w]] ELSE [[w[1:2], ['0'], w[b1 + 1:b2], w[b2 + 1:n]], [w[1:2], ['1'], w[3:b1], w[b2 + 1:n]], [w[1:2], ['2'], w[3:b1], w[b1 + 1:b2]]] END) AS key FROM k
+), numbers AS (
+  SELECT DISTINCT t, line, n, list_transform(raw, lambda x: CAST(list_sum(list_transform(range(1, length(x) + 1), lambda i: unicode(x[i]) * (((i * i) % 65521) * 40503 % 65521))) % 4294967291 AS BIGINT)) AS h FROM k WHERE n > 0
+), least AS (
+  SELECT t, line, list_min(list_transform(range(1, greatest(n - 4, 1) + 1), lambda i: (h[i] * 104729 + coalesce(h[i + 1], 0) * 15485863 + coalesce(h[i + 2], 0) * 32452843
+    + coalesce(h[i + 3], 0) * 49979687 + coalesce(h[i + 4], 0) * 67867967) % 1099511627689)) AS least FROM numbers
+), two AS (
+  SELECT t, min(least) AS one, CASE WHEN count(*) > 1 THEN list_sort(list(least))[2] ELSE -1 END AS other, arg_min(line, least) AS lowest, count(*) AS lines FROM least GROUP BY t
+), rests AS (
+  SELECT n, key, t, min(CASE WHEN lines = 1 THEN -1 WHEN line = lowest THEN other ELSE one END) AS rest FROM keys JOIN two USING (t) GROUP BY n, key, t
 ), often AS (
-  SELECT n, key FROM keys GROUP BY n, key HAVING count(DISTINCT doc_id) >= 5
+  SELECT n, key FROM rests GROUP BY n, key HAVING count(DISTINCT rest) >= 5 AND count(DISTINCT rest) >= 0.3 * count(*)
 ), gone AS (
-  SELECT DISTINCT doc_id, pos FROM keys JOIN often USING (n, key)
+  SELECT DISTINCT t, pos FROM keys JOIN often USING (n, key)
 ), d AS (
-  SELECT k.doc_id, any_value(text) AS text, count(*) AS n_lines, sum(n) AS total, sum(CASE WHEN gone.pos IS NOT NULL THEN n ELSE 0 END) AS hit, count(gone.pos) AS n_gone,
-    string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY k.pos) AS rest
-  FROM k LEFT JOIN gone USING (doc_id, pos) GROUP BY k.doc_id
+  SELECT l.t, count(*) AS n_lines, count(gone.pos) AS n_gone, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS rest
+  FROM l LEFT JOIN gone USING (t, pos) GROUP BY l.t
 )
-SELECT documents.doc_id, CASE WHEN hit > 0 AND hit <= 0.5 * total THEN rest ELSE documents.text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-  CAST(CASE WHEN hit > 0 AND hit <= 0.5 * total THEN n_gone ELSE 0 END AS BIGINT) AS n_dropped
-FROM documents LEFT JOIN d USING (doc_id)
+SELECT doc_id, CASE WHEN n_gone > 0 THEN coalesce(rest, '') ELSE documents.text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_dropped
+FROM documents LEFT JOIN texts ON documents.text = texts.text LEFT JOIN d USING (t)
 """
