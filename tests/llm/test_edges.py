@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, quality, toxicity, urlfilter
+from tidewater.llm import bpe, decontam, jaccard, langid, quality, toxicity, urlfilter
 
 LONG = "word another third " * 40_000
 TEXTS = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, "same text of six plain words"), (5, "same text of six plain words"), (6, " \n\t "), (None, "no id at all here today"), (7, "\x00 odd � \U0001f600 text")]
@@ -82,16 +82,6 @@ def test_decontam(spark, docs, empty):
     assert {r["n_items"] for r in decontam.find(docs, items.filter("1 = 0")).collect()} == {0} and decontam.find(empty, items).count() == 0
 
 
-def test_embeddings(spark):
-    v = [1.0] + [0.0] * 3
-    rows = [(1, v), (2, v), (2, v), (3, [0.99, 0.05, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [float("inf")] * 4), (9, []), (10, [1.0, 0.0]), (None, v), (11, [1e300, 0.0, 0.0, 0.0]), (12, [-1.0, 0.0, 0.0, 0.0])]
-    vectors = spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<double>, n_links int")
-    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_duplicates(vectors).collect())
-    assert got[:6] == [(-1, 0, None, False), (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True)]
-    assert (11, 4, 1, False) in got and all((i, 0, i, True) in got for i in (5, 6, 7, 8, 9, 10, 12))
-    assert embdedup.near_duplicates(vectors.filter("1 = 0")).count() == 0
-
-
 def test_jaccard(spark, docs, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 3, 4), (5, 2, 5), (6, 0, 6), (7, 1, 7)} <= got

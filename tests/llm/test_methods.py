@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm import bpe, decontam, embdedup, jaccard, langid, quality, toxicity
+from tidewater.llm import bpe, decontam, jaccard, langid, quality, toxicity
 from tidewater.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -127,40 +127,6 @@ def test_linked_sets_share_an_indexed_lane():
             assert s.differ(0, np.array([1]))[0] <= len(a) + len(b) - 2 * shared
 
 
-def test_embeddings_against_brute_force(spark):
-    r = np.random.default_rng(2)
-    centres = r.standard_normal((150, 64))
-    rows = np.concatenate([centres] + [centres[:40] + r.standard_normal((40, 64)) * s for s in (0.1, 0.2, 0.3, 0.35)] + [centres[:1] + r.standard_normal((700, 64)) * 0.15])
-    rows = np.concatenate([rows, rows[:5]])
-    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    np.fill_diagonal(near, False)
-    got = {x["vec_id"]: x for x in embdedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
-    found, exact = sum(x["n_links"] for x in got.values()), int(near.sum())
-    assert found <= exact and found >= 0.98 * exact
-    want = components(list(zip(*np.nonzero(near), strict=True)), range(len(rows)))
-    assert np.mean([got[i]["component_id"] == want[i] for i in want]) > 0.95 and all(x["kept"] == (i == x["component_id"]) for i, x in got.items())
-
-
-def test_embeddings_whose_links_no_window_meets(spark):
-    r = np.random.default_rng(9)
-    shared = r.standard_normal(64)
-    rows = shared / np.linalg.norm(shared) * 0.85 + 0.53 * r.standard_normal((1500, 64)) / 8
-    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    aside = r.standard_normal((60, 64))
-    aside -= (aside * unit[:60]).sum(1, keepdims=True) * unit[:60]
-    rows = np.concatenate([unit, 0.901 * unit[:60] + np.sqrt(1 - 0.901**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)])
-    near = rows @ rows.T >= 0.9
-    np.fill_diagonal(near, False)
-    want = components(list(zip(*np.nonzero(near), strict=True)), range(len(rows)))
-    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
-    got = embdedup.near_duplicates(vectors, passes=1, neighbours=1).collect()
-    assert near.sum() >= 120 and {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == {i: (int(near[i].sum()), want[i]) for i in want}
-    reps = vectors.withColumnRenamed("vec_id", "rid")
-    links = embdedup.exact_links(reps, 0.9, chunk_values=64 * 400).collect()
-    assert components([(x["a"], x["b"]) for x in links], range(len(rows))) == want
-
-
 def test_levenshtein_automaton():
     def distance(a, b):
         row = list(range(len(b) + 1))

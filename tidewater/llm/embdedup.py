@@ -1,21 +1,26 @@
 """Embedding near-dedup by sorted projection passes.
 
 In each pass the signs of random projections are concatenated to one long number; vectors are
-sorted by it, and each is compared with a bounded window of neighbours. Pairs whose cosine reaches
-the threshold are united across passes. Within the components so found every link is then counted
-exactly, in blocks, so that a window never bounds how many partners a vector has.
-
-The windows may miss a pair, so an exact pass follows: every vector meets all others in blocks,
-of which a block is skipped only where its angle to the vector rules out any link.
+sorted by it, and each is compared with a bounded window of neighbours, across the ends of
+partitions too. Pairs whose cosine reaches the threshold are united across passes. The projections
+are of the vectors less their mean, so that a direction which all share doesn't decide the order.
+
+A pair is met in a pass if it agrees in about the first log2(rows / neighbours) signs, so the number
+of passes follows from the number of rows, the spread of the vectors and the wanted recall: it grows
+with the table and the recall doesn't fall. Within the components so found every link is counted
+exactly, so that a window never bounds how many partners a vector has. An exact pass over all pairs
+of blocks (`exact`) is there for tables that must not lose one link; its work grows with the square.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +28,25 @@ from tidewater.llm.common import drop_written, materialise, release, table, work
 from tidewater.llm.components import connected_components
 
 THRESHOLD = 0.9
-#: Passes, of which so many run in one job; neighbours after each vector; hashes of a key.
-PASSES = 16
+#: Share of the pairs just at the threshold that the passes are to meet, each pair for itself.
+RECALL = 0.995
+#: Passes of one job; neighbours after each vector; hashes of a key; least passes.
 PASSES_AT_ONCE = 4
-NEIGHBOURS = 64
+NEIGHBOURS = 256
 HASHES = 63
+LEAST_PASSES = 4
+#: Least chance that is reckoned with for two vectors at the threshold to agree in a sign.
+LEAST_AGREEMENT = 0.7
 SEED = 7
-#: Rows of a side of a block of links; rows of a sorted partition, about.
+#: Rows of a block of comparisons; rows of a sorted partition, about.
 BLOCK = 512
 PARTITION_ROWS = 20_000
 #: Exact pass: pivots that order the vectors; rows of a partition, about; values broadcast at once.
 PIVOTS = 256
 EXACT_ROWS = 2048
 CHUNK_VALUES = 4_000_000
+#: Members of small components that are compared in one group, about.
+GROUP_ROWS = 4096
 #: What single precision may err by in a cosine, on the safe side.
 SLACK = 1e-4
 
@@ -56,26 +67,57 @@ def units(vectors: list) -> list[np.ndarray]:
     return out
 
 
-def sort_keys(unit: np.ndarray, first: int, passes: int) -> np.ndarray:
+def passes_for(rows: int, spread: float, threshold: float, neighbours: int, recall: float) -> int:
+    """The passes after which two vectors of cosine `threshold` have met with the chance `recall`.
+    `spread` is the mean squared distance of unit vectors from their mean: less the mean, such a
+    pair has the cosine 1 - (1 - threshold) / spread, and agrees in a sign with the chance of its angle."""
+    cosine = max(-1.0, 1 - (1 - threshold) / max(spread, 1e-9))
+    agree = max(LEAST_AGREEMENT, 1 - math.acos(cosine) / math.pi)
+    met = agree ** math.log2(max(2.0, rows / neighbours))
+    return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
+def sort_keys(unit: np.ndarray, first: int, passes: int, mean: np.ndarray | float = 0.0) -> np.ndarray:
     """(rows, passes) keys: the signs of HASHES random projections of each pass, the first leading."""
     out = np.empty((len(unit), passes), np.int64)
     weights = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
     for p in range(passes):
         planes = np.random.default_rng((SEED, first + p, unit.shape[1])).standard_normal((HASHES, unit.shape[1]))
-        out[:, p] = ((unit @ planes.T) >= 0) @ weights
+        out[:, p] = ((unit - mean) @ planes.T >= 0) @ weights
     return out
 
 
-def _spread(first: int, passes: int):
+def centres(reps: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """length -> (mean of the unit vectors of that length, their mean squared distance from it)."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for u in units(b["embedding"].tolist()):
+                held = sums.setdefault(len(u), [0, 0.0])
+                held[0] += 1
+                held[1] = held[1] + u
+        yield pd.DataFrame([(d, n, total.tolist()) for d, (n, total) in sums.items()], columns=["dim", "n", "total"])
+
+    found: dict[int, list] = {}
+    for r in reps.select("embedding").mapInPandas(add, "dim long, n long, total array<double>").toLocalIterator():
+        held = found.setdefault(r["dim"], [0, 0.0])
+        held[0] += r["n"]
+        held[1] = held[1] + np.array(r["total"])
+    means = {d: total / n for d, (n, total) in found.items()}
+    return {d: (m, 1 - float(m @ m)) for d, m in means.items()}
+
+
+def _spread(first: int, passes: int, means: dict[int, np.ndarray]):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = units(b["embedding"].tolist())
             for dim in sorted({len(u) for u in own}):
                 at = [i for i, u in enumerate(own) if len(u) == dim]
                 matrix = np.array([own[i] for i in at])
-                keys, ids, raw = sort_keys(matrix, first, passes), b["rid"].to_numpy()[at], [u.tobytes() for u in matrix]
+                keys, ids, raw = sort_keys(matrix, first, passes, means[dim]), b["rid"].to_numpy()[at], [u.tobytes() for u in matrix]
                 for p in range(passes):
-                    yield pd.DataFrame({"lane": np.int64(dim) * 1000 + first + p, "key": keys[:, p], "rid": ids, "unit": raw})
+                    yield pd.DataFrame({"lane": np.int64(dim) * 100_000 + first + p, "key": keys[:, p], "rid": ids, "unit": raw})
 
     return emit
 
@@ -97,40 +139,87 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in root if find(x) != x]
 
 
+def near_pairs(unit: np.ndarray, threshold: float, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows and those of their next `neighbours` rows that are within the threshold."""
+    single, left, right = unit.astype(np.float32), [], []
+    for at in range(0, len(unit), neighbours):
+        i, j = np.nonzero(single[at : at + neighbours] @ single[at : at + 2 * neighbours].T >= threshold - SLACK)
+        fine = (j > i) & (j - i <= neighbours)
+        i, j = i[fine] + at, j[fine] + at
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        left.append(i[near])
+        right.append(j[near])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _links(rows: pd.DataFrame, threshold: float, neighbours: int) -> list[tuple[int, int]]:
+    """Links that unite what the windows over sorted rows (lane, rid, unit) meet."""
+    out = []
+    for _, own in rows.groupby("lane", sort=False):
+        ids, unit = own["rid"].to_numpy(), np.frombuffer(b"".join(own["unit"])).reshape(len(own), -1)
+        i, j = near_pairs(unit, threshold, neighbours)
+        out += forest(ids[i], ids[j])
+    return out
+
+
+#: Rows of kind 0 are links (a, b); those of kind 1 the ends of partitions: a the border, b the id, and the place in order.
+MET = "kind int, a long, b long, lane long, place long, unit binary"
+
+
 def _windows(threshold: float, neighbours: int):
-    """Compares each row of a sorted partition with the next ones; memory holds one window and batch."""
+    """Compares each row of a sorted partition with the next ones; memory holds one window and batch.
+    The first and last rows go to the borders with the partitions before and behind."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: list[tuple[int, int, bytes]] = []
+        part, seen, waiting, size = TaskContext.get().partitionId(), 0, [], 0
+        tail = pd.DataFrame({"lane": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "unit": []})
+
+        def ends(rows: pd.DataFrame, border: int, place: int) -> pd.DataFrame:
+            return pd.DataFrame({"kind": 1, "a": border, "b": rows["rid"], "lane": rows["lane"], "place": np.arange(place, place + len(rows)), "unit": rows["unit"]})
+
+        def met(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(0, x, y, 0, 0, None) for x, y in _links(rows, threshold, neighbours)], columns=["kind", "a", "b", "lane", "place", "unit"])
+
         for b in batches:
-            rows = tail + list(zip(b["lane"].tolist(), b["rid"].tolist(), b["unit"].tolist(), strict=True))
-            lanes = np.array([r[0] for r in rows], np.int64)
-            left, right = [], []
-            for lane in np.unique(lanes):
-                at = np.flatnonzero(lanes == lane)
-                ids = np.array([rows[i][1] for i in at], np.int64)
-                unit = np.array([np.frombuffer(rows[i][2]) for i in at])
-                for d in range(1, min(neighbours, len(at) - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", unit[d:], unit[:-d]) >= threshold)
-                    left.append(ids[near])
-                    right.append(ids[near + d])
-            tail = rows[-neighbours:]
-            yield pd.DataFrame(forest(np.concatenate(left), np.concatenate(right)) if left else [], columns=["a", "b"], dtype=np.int64)
+            own = b[["lane", "rid", "unit"]]
+            if seen < neighbours:
+                yield ends(own.iloc[: neighbours - seen], part, seen)
+            seen += len(own)
+            waiting.append(own)
+            size += len(own)
+            if size >= 8 * neighbours:
+                rows = pd.concat([tail, *waiting], ignore_index=True)
+                yield met(rows)
+                tail, waiting, size = rows.iloc[-neighbours:], [], 0
+        rows = pd.concat([tail, *waiting], ignore_index=True)
+        yield met(rows)
+        yield ends(rows.iloc[-neighbours:], part + 1, -min(neighbours, len(rows)))
 
     return compare
 
 
-def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int) -> DataFrame:
+def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int, means: dict[int, np.ndarray]) -> DataFrame:
     """(a, b): verified links of distinct vectors (rid, embedding) that unite what the passes find."""
     n = reps.count()
     found = None
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("place").rename(columns={"b": "rid"})
+        return pd.DataFrame(_links(rows, threshold, neighbours), columns=["a", "b"], dtype=np.int64)
+
     for first in range(0, passes, PASSES_AT_ONCE):
         some = min(PASSES_AT_ONCE, passes - first)
         parts = max(1, round(n * some / PARTITION_ROWS))
-        spread = reps.select("rid", "embedding").mapInPandas(_spread(first, some), "lane long, key long, rid long, unit binary")
+        spread = reps.select("rid", "embedding").mapInPandas(_spread(first, some, means), "lane long, key long, rid long, unit binary")
         ordered = spread.repartitionByRange(parts, "lane", "key", "rid").sortWithinPartitions("lane", "key", "rid")
-        links = materialise(ordered.mapInPandas(_windows(threshold, neighbours), "a long, b long").distinct(), "vector-links")
+        met = materialise(ordered.mapInPandas(_windows(threshold, neighbours), MET), "vector-windows")
+        links = met.filter("kind = 0").select("a", "b")
+        if parts > 1:
+            links = links.union(met.filter("kind = 1").groupBy("a").applyInPandas(meet, "a long, b long"))
+        links = materialise(links.distinct(), "vector-links")
+        drop_written(met)
         found = links if found is None else found.union(links)
+        release(reps.sparkSession)
     return found
 
 
@@ -226,39 +315,81 @@ def exact_links(reps: DataFrame, threshold: float, chunk_values: int = CHUNK_VAL
     return found
 
 
-def count_links(members: DataFrame, threshold: float) -> DataFrame:
+def count_links(members: DataFrame, threshold: float, chunk_values: int = CHUNK_VALUES) -> DataFrame:
     """(rid, n): for members (component, rid, mult, embedding) the copies of all others of their
-    component within the threshold. Large components are dealt out in pairs of blocks."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    everywhere = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    small = F.pmod(F.xxhash64("component"), F.lit(64)).cast("int")
-    shape = lambda side, i, j: everywhere.filter((F.col("blocks") > 1) | (F.lit(side) == 0)).select("component", "rid", "mult", "embedding", F.lit(side).alias("side"), F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - small).alias("g"), F.col(i).alias("i"), F.col(j).alias("j"), (F.col("blocks") > 1).alias("dealt"))
-    both = shape(0, "at", "other").union(shape(1, "other", "at"))
+    component within the threshold. Small components are compared many at a time; of large ones a
+    chunk of bounded size is broadcast and met by their members, so that no vector is sent twice."""
+    spark = members.sparkSession
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum(F.size("embedding").cast("long")).alias("values"))
+    sized = materialise(members.join(sizes, "component"), "vector-sized")
+    small, large = sized.filter(F.col("size") <= BLOCK), sized.filter(F.col("size") > BLOCK)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in pdf.groupby("component"):
-            left = own[own["side"] == 0]
-            right = own[own["side"] == 1] if own["dealt"].iloc[0] else left
-            lu, ru = units(left["embedding"].tolist()), units(right["embedding"].tolist())
-            for dim in {len(u) for u in lu}:
-                li, ri = [k for k, u in enumerate(lu) if len(u) == dim], [k for k, u in enumerate(ru) if len(u) == dim]
-                if not ri:
-                    continue
-                near = np.array([lu[k] for k in li]) @ np.array([ru[k] for k in ri]).T >= threshold
-                ids, others, mult = left["rid"].to_numpy()[li], right["rid"].to_numpy()[ri], right["mult"].to_numpy()[ri]
-                near &= ids[:, None] != others[None, :]
-                out.append(pd.DataFrame({"rid": ids, "n": near @ mult}))
+            unit = units(own["embedding"].tolist())
+            for dim in {len(u) for u in unit}:
+                at = [k for k, u in enumerate(unit) if len(u) == dim]
+                matrix = np.array([unit[k] for k in at])
+                near = matrix @ matrix.T >= threshold
+                np.fill_diagonal(near, False)
+                out.append(pd.DataFrame({"rid": own["rid"].to_numpy()[at], "n": near @ own["mult"].to_numpy()[at]}))
         return pd.concat(out) if out else pd.DataFrame({"rid": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
 
-    return both.groupBy("g", "i", "j").applyInPandas(count, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n"))
+    groups = max(1, small.count() // GROUP_ROWS)
+    counted = small.withColumn("g", F.pmod(F.xxhash64("component"), F.lit(groups))).groupBy("g").applyInPandas(count, "rid long, n long")
+    counted = materialise(counted, "vector-counts")
+    values = large.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    chunks = -(-values // chunk_values)
+    # A large component lies in one chunk; one of more values than a chunk is cut into several.
+    cuts = F.ceil(F.col("values") / chunk_values)
+    placed = large.withColumns({"chunk": F.pmod(F.xxhash64("component"), F.lit(max(1, chunks))), "cut": F.pmod(F.xxhash64(F.lit("cut"), "rid"), cuts), "cuts": cuts})
+    for c in range(chunks):
+        own = materialise(placed.filter(F.col("chunk") == c), "vector-chunk")
+        for k in range(own.agg(F.max("cuts")).first()[0] or 0):
+            some = own.filter(F.col("cut") == k).select("component", "rid", "mult", "embedding")
+            held, name = spark.sparkContext.broadcast([(r["component"], r["rid"], r["mult"], u.tobytes()) for r in some.toLocalIterator() for u in units([r["embedding"]])]), uuid.uuid4().hex
+
+            def compare(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
+                def arrange() -> dict:
+                    out: dict[tuple[int, int], list] = {}
+                    for component, rid, mult, raw in held.value:
+                        out.setdefault((component, len(raw) // 8), []).append((rid, mult, raw))
+                    return {key: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)) for key, rows in out.items()}
+
+                chunk = worker_state(("vector-chunk", name), arrange)
+                for b in batches:
+                    out = []
+                    for component, rows in b.groupby("component"):
+                        unit = units(rows["embedding"].tolist())
+                        for dim in {len(u) for u in unit}:
+                            if (component, dim) not in chunk:
+                                continue
+                            at = [i for i, u in enumerate(unit) if len(u) == dim]
+                            ids, mults, others = chunk[component, dim]
+                            mine, n = rows["rid"].to_numpy()[at], np.zeros(len(at), np.int64)
+                            matrix = np.array([unit[i] for i in at])
+                            for s in range(0, len(ids), 8 * BLOCK):
+                                near = matrix @ others[s : s + 8 * BLOCK].T >= threshold
+                                near &= mine[:, None] != ids[None, s : s + 8 * BLOCK]
+                                n += near @ mults[s : s + 8 * BLOCK]
+                            out.append(pd.DataFrame({"rid": mine, "n": n}))
+                    if out:
+                        yield pd.concat(out)
+
+            met = own.select("component", "rid", "embedding").repartition(max(1, round(own.count() / EXACT_ROWS)), "rid")
+            counted = counted.union(materialise(met.mapInPandas(compare, "rid long, n long"), "vector-counts"))
+            held.unpersist()
+        drop_written(own)
+    out = materialise(counted.groupBy("rid").agg(F.sum("n").alias("n")), "vector-counts")
+    drop_written(sized)
+    return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, neighbours: int = NEIGHBOURS, passes: int | None = None, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
+    The passes follow from `recall` unless their number is given; `exact` adds the pass over all pairs.
     Equal vectors are one class that is compared once; a class of n copies has n - 1 links inside.
     Null, empty or all-zero vectors, those with a null or non-finite component, and rows with a
     null id link with nothing. Vectors of different lengths never link. Ids are taken as unique,
@@ -269,10 +400,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     keyed = own.withColumns({"h1": F.when(fine, F.xxhash64("embedding")), "h2": F.when(fine, F.xxhash64(F.lit("second"), "embedding"))})
     classes = keyed.filter(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("rid"), F.count("*").alias("mult"), F.any_value("embedding").alias("embedding"))
     classes = materialise(classes, "vector-classes")
-    links = find_links(classes, threshold, passes, neighbours).union(exact_links(classes, threshold))
+    around = centres(classes)
+    if passes is None:
+        passes = passes_for(classes.count(), min((v for _, v in around.values()), default=1.0), threshold, neighbours, recall)
+    links = find_links(classes, threshold, passes, neighbours, {d: m for d, (m, _) in around.items()})
+    if exact:
+        links = links.union(exact_links(classes, threshold))
     nodes = materialise(connected_components(links).select(F.col("node").alias("rid"), "component"), "vector-components")
     members = classes.join(nodes, "rid").select("component", "rid", "mult", "embedding")
-    counts = materialise(count_links(materialise(members, "vector-members"), threshold), "vector-counts")
+    counts = count_links(materialise(members, "vector-members"), threshold)
     judged = classes.select("h1", "h2", "rid", "mult").join(nodes, "rid", "left").join(counts, "rid", "left")
     judged = materialise(judged.select("h1", "h2", F.coalesce("component", "rid").alias("component"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "vector-results")
     out = keyed.select("vec_id", "h1", "h2").join(judged, ["h1", "h2"], "left")
