@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,32 +38,56 @@ def fold(key: str, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 
-    Only where the session names none (a test on one machine) a local folder is made and set.
+    Where the session names none a folder of this machine is made and set, but only if the executors
+    are threads of this process; on a cluster that is an error, for others couldn't read it.
     """
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         where = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+#: The folders that each open `scratch` has to delete, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str = "part", keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: later jobs don't repeat its work, and
-    a lost executor loses nothing."""
+    a lost executor loses nothing. What is to be kept outlives the `scratch` around it."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any of Spark's file systems; one that is gone already is fine."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that `materialise` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(df.sparkSession, file.rpartition("/")[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever `materialise` has written within it, even if that failed. What a
+    lazy result still reads must therefore be written outside of it or before its end."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_folder(spark, path)
 
 
 _HELD: dict = {}

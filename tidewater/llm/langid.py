@@ -2,8 +2,9 @@
 
 Every letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) the vectors of
 its letters, each permuted by its place; a text's vector bundles (adds) those of its n-grams, each
-by the square root of its count, so that a repeated word doesn't drown the rest. A language's prototype bundles the unit vectors of its sample texts; a document takes the language
-whose prototype has the greatest cosine with it.
+by the square root of its count, so that a repeated word doesn't drown the rest. A language's
+prototype bundles the unit vectors of its sample texts; a document takes the language whose
+prototype has the greatest cosine with it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ DIMENSIONS = 512
 SEED = 20_11
 #: Sample texts a language, about.
 SAMPLE_PER_LANG = 1500
+#: Least cosine with the nearest prototype: chance alone gives unlike texts less than 0.1 in so many dimensions.
+LEAST_SCORE = 0.1
 
 
 @lru_cache(1)
@@ -145,8 +148,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def select(docs: DataFrame, langs: list[str], prototypes: np.ndarray, wanted: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents in one of the `wanted` languages (all that were learned, if None), with
+    lang_pred and score. Those of other languages, those whose score is less than `least` (texts in
+    a language that wasn't learned, and junk) and those judged `und` go."""
+    judged = predict(docs, langs, prototypes)
+    return judged.filter(F.col("lang_pred").isin(langs if wanted is None else wanted) & (F.col("lang_pred") != "und") & (F.col("score") >= least))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language at all: those judged `und` go."""
+    """Keeps the documents whose language is one of the learned ones; `lang` becomes the language
+    that was found, so that later stages and the output carry it.
+
+    Null texts and texts without a letter go, as do all where no row has a language. Repeated rows
+    are judged alike; an empty table gives none. The columns are those of `docs`.
+    """
     small_batches(spark)
     langs, prototypes = learn(docs.filter(fold("doc_id", 5) != 0))
-    return predict(docs, langs, prototypes).filter(F.col("lang_pred") != "und").select(*docs.columns)
+    own = docs.select(*(F.col(c).alias(f"_own_{c}") if c in ("lang_pred", "score") else F.col(c) for c in docs.columns))
+    out = select(own, langs, prototypes).withColumn("lang", F.col("lang_pred"))
+    return out.select(*(F.col(f"_own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns))
