@@ -40,10 +40,29 @@ def test_urlfilter(spark):
     assert joined == got
     assert urlfilter.judge_urls(pages.filter("1 = 0")).count() == 0
     assert {r["verdict"] for r in urlfilter.judge_urls(pages, rules=()).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://example.org/en/1" + "x" * 300_000), (2, "http://a.net/?" + "q=casino&" * 10_000)], "page_id int, url string")
+    assert [(r["rule"], r["verdict"]) for r in urlfilter.judge_urls(long).orderBy("page_id").collect()] == [("example.org/en/1", "block"), (None, "allow")]
     with pytest.raises(ValueError):
         urlfilter.judge_urls(pages, rules=(urlfilter.Rule("x", "block", "x", (), 1),))
 
 
+def test_url_rules_from_a_table(spark):
+    rows = [("block", "Example.org/Docs/", None), ("allow", "example.org/Docs/Free/", None), ("block", None, "C++ Tips"), ("block", None, "a.b"), ("block", "x.com", None), ("allow", "x.com", None), ("block", "q.net/a\\Eb/", None), ("block", None, " "), ("block", "x.com", None)]
+    written = spark.createDataFrame(rows, "action string, place string, words string")
+    plain = tuple({urlfilter.place_rule(a, p) if p else urlfilter.word_rule(a, w) for a, p, w in rows if p or w.strip()})
+    urls = ["http://example.org/Docs/x", "http://example.org/docs/x", "http://www.EXAMPLE.org/Docs/Free/y", "http://h/c++-tips", "http://h/c-tips", "http://h/a.b/", "http://h/axb/", "http://x.com/", "http://x.com", "http://q.net/a\\Eb/c"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {}
+    for rules in (urlfilter.rules_from(written), plain, urlfilter.rules_table(spark, plain)):
+        for inline in (100, 0):
+            got[len(got)] = [(r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, rules, inline=inline).orderBy("page_id").collect()]
+    assert got[0] == [("Example.org/Docs/", "block"), (None, "allow"), ("example.org/Docs/Free/", "allow"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), ("x.com", "allow"), (None, "allow"), ("q.net/a\\Eb/", "block")]
+    assert all(x == got[0] for x in got.values())
+    joined = urlfilter.judge_urls(pages, urlfilter.rules_from(written), inline=0)
+    assert "Python" not in joined._jdf.queryExecution().toString()
+    assert urlfilter.judge_urls(pages, urlfilter.rules_from(written.filter("1 = 0"))).filter("verdict = 'allow'").count() == len(urls)
+
+
 def test_langid(spark, docs, empty):
     langs, prototypes = langid.learn(docs)
     got = langid.predict(docs, langs, prototypes)

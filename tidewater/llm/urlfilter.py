@@ -3,6 +3,9 @@
 Every rule is a regular expression with the literal tokens that any matching url must hold. The
 tokens are counted over all urls; each rule is filed under the rarest of its own. A url's tokens
 fetch candidate rules, and only those run their expressions. All of it is DataFrame functions.
+
+Rules come as a table (`rules_from` makes one from written places and words) or as a few `Rule`s. Few
+travel inside the plan as one constant, and nothing is shuffled; many are joined.
 """
 
 from __future__ import annotations
@@ -10,10 +13,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules travel inside the plan as one constant; more are joined as a table.
@@ -32,18 +35,27 @@ class Rule:
     rank: int
 
 
+def _quoted(text: str) -> str:
+    """`text` as a literal of a regular expression."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
 def place_rule(action: str, place: str) -> Rule:
-    """The rule for a host with its subdomains and a path prefix, written `host/prefix`."""
+    """The rule for a host with its subdomains and a path prefix, written `host/prefix`. Hosts are
+    lower-cased, paths aren't; the tokens are lower-cased as those of urls are."""
     host, _, path = place.partition("/")
-    whole = re.findall(r"[a-z0-9]+", host) + [t for t in re.findall(r"[a-z0-9]+(?=[^A-Za-z0-9])", "/" + path) if t]
-    return Rule(place, action, rf"^(?:[^/]*\.)?\Q{host}/{path}\E", tuple(dict.fromkeys(whole)), 1000 + len(place))
+    host = host.translate(str.maketrans(UPPER, LOWER))
+    ended = re.findall(r"[a-z0-9]+(?=[^a-z0-9])", "/" + path.translate(str.maketrans(UPPER, LOWER)))
+    tokens = tuple(dict.fromkeys(re.findall(r"[a-z0-9]+", host) + ended))
+    return Rule(place, action, rf"^(?:[^/]*\.)?{_quoted(f'{host}/{path}')}", tokens, 1000 + len(place))
 
 
 def word_rule(action: str, words: str) -> Rule:
-    """The rule for hosts or paths that hold these words one after another."""
-    parts = words.split()
-    inner = "[^a-z0-9]+".join(parts)
-    return Rule(None, action, rf"(?i)(?:^|[^a-z0-9]){inner}(?:[^a-z0-9]|$)", tuple(parts), 1)
+    """The rule for hosts or paths that hold these words one after another, in either case."""
+    parts = words.translate(str.maketrans(UPPER, LOWER)).split()
+    inner = "[^a-z0-9]+".join(map(_quoted, parts))
+    tokens = tuple(dict.fromkeys(t for x in parts for t in re.findall(r"[a-z0-9]+", x)))
+    return Rule(None, action, rf"(?i)(?:^|[^a-z0-9]){inner}(?:[^a-z0-9]|$)", tokens, 1)
 
 
 #: The site rules that the query is asked for.
@@ -55,7 +67,7 @@ SITE_RULES = (
     place_rule("block", "com/de/"),
 )
 #: Words of gambling, pharmacy and advert hosts.
-SPAM_RULES = tuple(word_rule("block", w) for w in ("casino win", "casino", "free bets", "cheap pills", "ads track", "poker", "viagra"))
+SPAM_RULES = tuple(word_rule("block", w) for w in ("casino", "free bets", "cheap pills", "ads track", "poker", "viagra"))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,42 +80,83 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """Each rule under the token of its own that the fewest urls hold; ties go to the longer, then
-    the first token. `urls` has the column `tokens`; the counts are as many as the rules' tokens."""
-    words = sorted({t for r in rules for t in r.tokens})
-    if any(not r.tokens for r in rules):
+RULES = "label string, action string, pattern string, tokens array<string>, rank int"
+
+
+def rules_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rules as a table of RULES."""
+    return spark.createDataFrame([(r.label, r.action, r.pattern, list(r.tokens), r.rank) for r in rules], RULES)
+
+
+def rules_from(written: DataFrame) -> DataFrame:
+    """A table of RULES from rows of (action, place, words): a row with a place (`host/prefix`) gives
+    what `place_rule` does, one with words what `word_rule` does; a row without either gives none.
+    Repeated rows are one rule."""
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    low = lambda x: F.translate(x, UPPER, LOWER)
+    place, words = F.col("place"), F.col("words")
+    host = low(F.substring_index(place, "/", 1))
+    path = F.when(F.contains(place, F.lit("/")), F.regexp_replace(place, "^[^/]*/", "")).otherwise("")
+    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    by_place = written.filter(place.isNotNull()).select(
+        place.alias("label"),
+        "action",
+        F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(F.concat(host, F.lit("/"), path))).alias("pattern"),
+        F.array_distinct(F.concat(found(host, "[a-z0-9]+"), found(F.concat(F.lit("/"), low(path)), "[a-z0-9]+(?=[^a-z0-9])"))).alias("tokens"),
+        (F.length(place) + 1000).cast("int").alias("rank"),
+    )
+    parts = F.filter(F.split(low(words), r"\s+"), lambda x: x != "")
+    by_words = written.filter(place.isNull() & (F.trim(words) != "")).select(
+        F.lit(None).cast("string").alias("label"),
+        "action",
+        F.concat(F.lit("(?i)(?:^|[^a-z0-9])"), F.array_join(F.transform(parts, quoted), "[^a-z0-9]+"), F.lit("(?:[^a-z0-9]|$)")).alias("pattern"),
+        F.array_distinct(found(low(words), "[a-z0-9]+")).alias("tokens"),
+        F.lit(1).alias("rank"),
+    )
+    return by_place.union(by_words).distinct()
+
+
+def filed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules with the token of their own that the fewest urls hold; ties go to the longer, then
+    the first token. `urls` has the column `_tokens`; only rules' tokens are counted and shuffled,
+    after a sum in each task."""
+    if rules.filter((F.size("tokens") <= 0) | F.col("tokens").isNull()).limit(1).count():
         raise ValueError("a rule without a literal token can't be indexed")
-    held = F.explode(F.array_intersect("tokens", F.array(*map(F.lit, words)))) if words else None
-    counts = {} if held is None else {r["t"]: r["n"] for r in urls.select(held.alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    index: dict[str, list[Rule]] = {}
-    for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(r)
-    return index
+    own = rules.select("*", F.explode("tokens").alias("token"))
+    held = urls.select(F.explode("_tokens").alias("token")).join(own.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    order = F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "token")
+    best = own.join(counts, "token", "left").groupBy("label", "action", "pattern", "rank").agg(F.min_by("token", order).alias("token"))
+    return best.select("token", (-F.col("rank")).alias("rank"), "label", "action", "pattern")
 
 
-def judge_urls(urls: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + SPAM_RULES, default: str = "allow", url: str = "url", inline: int = INLINE_RULES) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame | tuple[Rule, ...] = SITE_RULES + SPAM_RULES, default: str = "allow", url: str = "url", inline: int = INLINE_RULES) -> DataFrame:
     """Adds host, path, rule and verdict to every row of `urls`; columns of those names are replaced.
 
     Of the rules that match, the one of the highest rank decides; equal ranks go to the smaller
-    label, then to `block`. No match: `default` and a null rule. A null, empty or odd url has no
-    token, so no rule. Repeated rows are judged alike; an empty table gives an empty result.
+    label, then to the smaller action (allow before block). No match: `default` and a null rule. A
+    null, empty or odd url has no token, so no rule. Repeated rows are judged alike; an empty table
+    gives an empty result. Up to `inline` rules travel in the plan; more are joined.
     """
     at = F.col(url)
     host, path = split_url(at)
     own = urls.withColumns({"host": host, "path": path})
     own = own.withColumn("_tokens", F.array_distinct(F.split(F.translate(F.concat("host", "path"), UPPER, LOWER), "[^a-z0-9]+")))
-    index = rarest_tokens(own.select(F.col("_tokens").alias("tokens")), rules) if rules else {}
-    if sum(map(len, index.values())) <= inline:
-        return _inline(own, index, default)
-    return _joined(own, index, default, url)
+    given = rules if isinstance(rules, DataFrame) else rules_table(own.sparkSession, rules)
+    index = filed(own, given)
+    if given.limit(inline + 1).count() > inline:
+        return _joined(own, index, default, url)
+    held: dict[str, list] = {}
+    for r in index.collect():
+        held.setdefault(r["token"], []).append(r)
+    return _inline(own, held, default)
 
 
-def _as_struct(r: Rule) -> Column:
-    return F.struct(F.lit(-r.rank).alias("rank"), F.lit(r.label).cast("string").alias("label"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))
+def _as_struct(r: Row) -> Column:
+    return F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["label"]).cast("string").alias("label"), F.lit(r["action"]).alias("action"), F.lit(r["pattern"]).alias("pattern"))
 
 
-def _inline(own: DataFrame, index: dict[str, list[Rule]], default: str) -> DataFrame:
+def _inline(own: DataFrame, index: dict[str, list[Row]], default: str) -> DataFrame:
     """No shuffle: the index is a constant map from token to rules."""
     if not index:
         return own.drop("_tokens").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -114,12 +167,13 @@ def _inline(own: DataFrame, index: dict[str, list[Rule]], default: str) -> DataF
     return own.withColumn("_best", best).withColumns({"rule": F.col("_best.label"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_tokens", "_best")
 
 
-def _joined(own: DataFrame, index: dict[str, list[Rule]], default: str, url: str) -> DataFrame:
-    """For large rule sets: distinct urls' tokens meet the rules in a shuffled join."""
-    spark = own.sparkSession
-    rules = spark.createDataFrame([(t, -r.rank, r.label, r.action, r.pattern) for t, rs in index.items() for r in rs], "token string, rank int, label string, action string, pattern string")
+def _joined(own: DataFrame, index: DataFrame, default: str, url: str) -> DataFrame:
+    """For large rule sets: of the tokens of distinct urls those of the index stay, and meet the
+    rules filed under them in a join whose plan doesn't grow with the rules."""
+    index = materialise(index, "url-rules")
     pairs = own.select(url, "host", "path", "_tokens").dropDuplicates([url]).select(F.col(url).alias("_url"), F.concat("host", "path").alias("_place"), F.explode("_tokens").alias("token"))
-    hits = pairs.join(rules.hint("shuffle_hash"), "token").filter(F.regexp_like("_place", F.col("pattern")))
+    pairs = pairs.join(index.select("token").distinct(), "token", "left_semi")
+    hits = pairs.join(index, "token").filter(F.regexp_like("_place", F.col("pattern")))
     best = hits.groupBy("_url").agg(F.min(F.struct("rank", "label", "action")).alias("_best"))
     out = own.drop("_tokens").join(best, F.col(url) == F.col("_url"), "left")
     return out.withColumns({"rule": F.col("_best.label"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_url", "_best")
