@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewater.llm import bpe, decontam, jaccard, langid, quality, toxicity
+from tidewater.llm.common import fold
 from tidewater.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -129,12 +131,15 @@ def test_linked_sets_share_an_indexed_lane():
 
 def test_levenshtein_automaton():
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a, 1):
-            row, last = [i], row
+            row = [i]
             for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+                row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+            rows.append(row)
+        return rows[-1][-1]
 
     @settings(max_examples=200, deadline=None)
     @given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=8), st.text("abcd", max_size=7), st.integers(0, 2))
@@ -144,8 +149,11 @@ def test_levenshtein_automaton():
         assert (got and got[1]) == (best if best <= edits else None)
 
     same()
-    lexicon = toxicity.Lexicon({"horrid": 5.0})
-    assert lexicon["HORRID"] == (5.0, 0, "horrid") and lexicon["horid"] == (5.0, 1, "horrid") and toxicity.Lexicon({"horrid": 5.0}, frozenset(["horrid"]))["horid"] is None and lexicon["hrid"] is None
+    lexicon = toxicity.Lexicon({"horrid": 5.0, "scum": 4.0})
+    assert lexicon["HORRID"] == (5.0, 0, "horrid") and lexicon["horid"] == lexicon["horrdi"] == (5.0 * toxicity.MISSPELT, 1, "horrid") and lexicon["hrid"] is None
+    assert lexicon["scmu"] == (4.0 * toxicity.MISSPELT_SHORT, 1, "scum") and lexicon["scu"] is None
+    graded = toxicity.Lexicon({"horrid": 5.0}, {"horid": 0.0, "torrid": 0.5})
+    assert graded["horid"] is None and graded["torrid"] == (2.5, 1, "horrid") and toxicity.Lexicon({"horrid": 5.0}, edits=0)["horid"] is None
     plain, quoted = toxicity.features("you horrid thing", lexicon), toxicity.features('he wrote of "a horrid thing" once', lexicon)
     assert plain[1] > 0 == quoted[1] and quoted[5] > 0 == plain[5]
 
@@ -173,3 +181,24 @@ def test_held_out_accuracy(spark):
     assert np.mean(right(toxicity.query(spark, d).filter("held_out").join(labels, "doc_id"), "toxic")) > 0.95
     spoken = langid.query(spark, d).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").selectExpr("lang = lang_pred").collect()
     assert np.mean([r[0] for r in spoken]) > 0.97
+
+
+def test_misspelled_terms_are_caught_by_the_automata(spark):
+    """Held-out toxic documents with an edit in each term: caught as the plain ones are, with the
+    automata on, and hardly without them."""
+    d, r = "/root/testdata/sf0.1", random.Random(3)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.learn(docs, labels.filter(fold("doc_id", 3) != 1))
+    texts = [x["text"] for x in docs.join(labels.filter("toxic = 1"), "doc_id").filter(fold("doc_id", 3) == 1).select("text").collect()]
+
+    def typo(word):
+        i = r.randrange(len(word) - 1)
+        return r.choice([word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + word[i + 1 :], word[:i] + r.choice("abcdefgh") + word[i + 1 :], word[:i] + word[i] + word[i:]])
+
+    def caught(texts, edits):
+        lexicon = toxicity.Lexicon(model.weights, model.forms, edits)
+        return model.score(np.array([toxicity.features(t, lexicon) for t in texts])) >= toxicity.THRESHOLD
+
+    misspelt = [re.sub(r"\w+", lambda m: typo(m[0].lower()) if m[0].lower() in model.weights and len(m[0]) > 3 else m[0], t) for t in texts]
+    plain = caught(texts, 1)
+    assert plain.mean() > 0.85 and caught(misspelt, 1)[plain].mean() >= 0.95 and caught(misspelt, 0)[plain].mean() < 0.3

@@ -2,9 +2,11 @@
 
 The lexicon is learned from labelled documents. A word is looked up in the trie; a word that isn't
 in it becomes a Levenshtein automaton that walks the trie beside it, so that misspelled terms are
-found. Words near a term that clean documents use unquoted, and toxic ones not much more often,
-are words of their own and no misspellings. Each hit counts by its window: within quotation marks
-or after a verb of report it counts as quoted, else as abuse. A logistic score over these counts is fitted to the labels.
+found; letters that have changed places are one edit. A word near a term weighs as the labelled
+documents that hold it say: as much less than the term as its own lift is less, nothing if clean
+documents hold it as often, and a fixed share if none holds it. Each hit counts by its window:
+within quotation marks or after a verb of report it counts as quoted, else as abuse. A logistic
+score over these counts is fitted to the labels.
 """
 
 from __future__ import annotations
@@ -23,17 +25,15 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import bounded_sample, drop_written, fold, materialise, table, worker_state
 
-#: Labelled rows of each class that the fit reads, about; terms kept at most.
+#: Labelled rows of each class that the fit reads, about.
 SAMPLE_PER_CLASS = 5000
-LEXICON_TERMS = 10_000
 THRESHOLD = 0.7
 #: Least lift (log odds) of a term; shortest word that may be a misspelling; edits allowed.
 LEAST_LIFT = 2.5
-FUZZY_LENGTH = 5
+FUZZY_LENGTH = 4
 EDITS = 1
-#: A word near a term that clean documents use is exempt unless its share of toxic documents exceeds so many
-#: times that of clean ones, with a statistic of its counts that chance gives in 5 % of cases.
-EXEMPT_RATIO, CHANCE = 3, 3.84
+#: The statistic of a word's counts that chance exceeds in 5 % of cases.
+CHANCE = 3.84
 #: Words before and after a hit that make its window.
 WINDOW = 6
 #: Words of one worker's memory of looked-up words.
@@ -41,36 +41,43 @@ MEMORY = 120_000
 
 _WORD = re.compile(r"\w+")
 OPENING, CLOSING = "\"“„«‹‘'", "\"”“»›’'"
-#: Verbs that report someone else's words.
+#: Verbs that report someone else's words; a parameter of the fit.
 REPORTING = frozenset("said says called calls quoted wrote writes reported term word dit écrit nannte sagte schrieb dijo llamó escribió".split())
 FEATURES = ("best", "abuse", "terms", "density", "near", "quoted")
-#: Weight of a misspelled term, of its own.
-MISSPELT = 0.8
+#: Weight of a misspelling that no labelled document holds, of the term's own, and of one with fewer than five letters.
+MISSPELT, MISSPELT_SHORT = 0.8, 0.4
 
 
 class LevenshteinAutomaton:
-    """Accepts the words within `edits` of `word`. A state is the row of edit distances to the
-    word's prefixes, cut off above `edits`; equal rows are one state."""
+    """Accepts the words within `edits` of `word`; two neighbouring letters that have changed places
+    are one edit. A state is the row of edit distances to the word's prefixes, cut off above
+    `edits`, with the row before it and the letter between them; equal ones are one state."""
 
     def __init__(self, word: str, edits: int):
         self.word, self.edits, self.next = word, edits, {}
 
-    def start(self) -> tuple[int, ...]:
-        return tuple(min(i, self.edits + 1) for i in range(len(self.word) + 1))
+    def start(self) -> tuple:
+        return tuple(min(i, self.edits + 1) for i in range(len(self.word) + 1)), None, ""
 
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
+    def step(self, state: tuple, char: str) -> tuple:
         if (found := self.next.get((state, char))) is None:
-            row, cap = [min(state[0] + 1, self.edits + 1)], self.edits + 1
-            for i, own in enumerate(self.word):
-                row.append(min(row[i] + 1, state[i] + (own != char), state[i + 1] + 1, cap))
-            found = self.next[state, char] = tuple(row)
+            last, before, letter = state
+            word, cap = self.word, self.edits + 1
+            row = [min(last[0] + 1, cap)]
+            for i, own in enumerate(word):
+                least = min(row[i] + 1, last[i] + (own != char), last[i + 1] + 1, cap)
+                if before is not None and i and own == letter and word[i - 1] == char:
+                    least = min(least, before[i - 1] + 1)
+                row.append(least)
+            # The letter and the row before it matter only where the next letter may swap with it.
+            found = self.next[state, char] = (tuple(row), last, char) if char in word else (tuple(row), None, "")
         return found
 
-    def distance(self, state: tuple[int, ...]) -> int:
-        return state[-1]
+    def distance(self, state: tuple) -> int:
+        return state[0][-1]
 
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.edits
+    def alive(self, state: tuple) -> bool:
+        return min(state[0]) <= self.edits or (state[1] is not None and min(state[1]) < self.edits)
 
 
 class Trie:
@@ -105,15 +112,14 @@ def _shortened(word: str) -> list[str]:
 
 class Lexicon(dict):
     """word -> (weight, distance, term) or None, remembered; a bounded memory that starts anew when
-    full. Terms in `literal` are met by the letter only; words in `exempt` are no misspellings."""
+    full. `forms` has the share of a term's weight for words that labelled documents hold."""
 
-    def __init__(self, weights: dict[str, float], literal: frozenset[str] = frozenset(), edits: int = EDITS, exempt: frozenset[str] = frozenset()):
+    def __init__(self, weights: dict[str, float], forms: dict[str, float] | None = None, edits: int = EDITS, reporting: frozenset[str] = REPORTING):
         super().__init__()
-        self.weights, self.edits, self.exempt = weights, edits, exempt
-        weights = {t: w for t, w in weights.items() if t not in literal}
+        self.weights, self.edits, self.forms, self.reporting = weights, edits, forms or {}, reporting
         self.trie = Trie(weights)
         # Two words one edit apart share a form with at most one character left out.
-        self.forms = {f for t in weights if len(t) >= FUZZY_LENGTH for f in _shortened(t)} if edits == 1 else None
+        self.near = {f for t in weights if len(t) >= FUZZY_LENGTH for f in _shortened(t)} if edits == 1 else None
 
     def __missing__(self, word: str):
         if len(self) >= MEMORY:
@@ -121,26 +127,27 @@ class Lexicon(dict):
         key = word.lower()
         if (weight := self.weights.get(key)) is not None:
             found = (weight, 0, key)
-        elif len(key) < FUZZY_LENGTH or not self.edits or key in self.exempt or (self.forms is not None and self.forms.isdisjoint(_shortened(key))):
+        elif len(key) < FUZZY_LENGTH or not self.edits or (self.near is not None and self.near.isdisjoint(_shortened(key))):
             found = None
-        else:
-            found = self.trie.within(key, self.edits)
+        elif (found := self.trie.within(key, self.edits)) is not None:
+            share = self.forms.get(key, MISSPELT if min(len(key), len(found[2])) > FUZZY_LENGTH else MISSPELT_SHORT)
+            found = (found[0] * share, found[1], found[2]) if share > 0 and len(found[2]) >= FUZZY_LENGTH else None
         self[word] = found
         return found
 
 
-def held_lexicon(name: str, weights: dict[str, float], exempt: frozenset[str]) -> Lexicon:
+def held_lexicon(name: str, *made_of) -> Lexicon:
     """This worker's lexicon of a name: tasks of one job share it."""
-    return worker_state(("lexicon", name), lambda: Lexicon(weights, exempt=exempt))
+    return worker_state(("lexicon", name), lambda: Lexicon(*made_of))
 
 
-def is_quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
+def is_quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int, reporting: frozenset[str] = REPORTING) -> bool:
     """Whether word i stands within quotation marks or after a verb of report."""
     first, last = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
     before, after = text[spans[first][0] : spans[i][0]], text[spans[i][1] : spans[last][1] + 1]
     opened = max((before.rfind(q) for q in OPENING), default=-1)
     inside = opened >= 0 and (opened == 0 or not before[opened - 1].isalnum()) and any(q in after for q in CLOSING)
-    return inside or any(w.lower() in REPORTING for w in words[max(0, i - 3) : i])
+    return inside or any(w.lower() in reporting for w in words[max(0, i - 3) : i])
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -152,9 +159,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     found = [lexicon[w] for w in map(words.__getitem__, hits)]
     spans = [m.span() for m in _WORD.finditer(text)]
     abuse, quoted, best, near, terms = 0.0, 0.0, 0.0, 0, set()
-    for k, (i, (weight, distance, term)) in enumerate(zip(hits, found, strict=True)):
-        weight *= MISSPELT if distance else 1
-        if is_quoted(text, words, spans, i):
+    for k, (i, (weight, _, term)) in enumerate(zip(hits, found, strict=True)):
+        if is_quoted(text, words, spans, i, lexicon.reporting):
             quoted += weight
             continue
         abuse += weight
@@ -167,9 +173,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 @dataclass(frozen=True)
 class Toxicity:
     weights: dict[str, float]
-    exempt: frozenset[str]
+    forms: dict[str, float]
     coefficients: np.ndarray
     intercept: float
+    reporting: frozenset[str] = REPORTING
+    edits: int = EDITS
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -30, 30)))
@@ -195,34 +203,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 80)
     return w[:-1], float(w[-1])
 
 
-def _lexicon(counted: DataFrame, column: str, n_toxic: int, n_clean: int) -> dict[str, float]:
+def _tested(counted: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """Rows of (word, toxic, clean) with `lift` and its statistic `g`, as the function lift has them."""
+    t, c, base = F.col("toxic"), F.col("clean"), n_toxic / max(1, n_toxic + n_clean)
+    up = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    part = lambda k, p: F.when((k > 0) & F.lit(p > 0), 2 * k * F.log(k / ((t + c) * (p or 1)))).otherwise(0.0)
+    return counted.withColumns({"lift": up, "g": part(t, base) + part(c, 1 - base)})
+
+
+def _lexicon(counted: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Terms from rows of (word, toxic, clean): the counts' statistic must beat twice the log of
-    the number of words, so that chance alone adds hardly one."""
+    the number of words, so that chance alone adds hardly one. All words are tested; those that
+    pass are few, as the sample's documents are bounded."""
     total = counted.count()
-    rows = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") * max(1, n_clean) > F.col("clean") * max(1, n_toxic) * 3)).orderBy(F.desc("toxic"), "word").limit(LEXICON_TERMS).collect()
-    out = {}
-    for r in rows:
-        up, g = lift(r["toxic"], r["clean"], n_toxic, n_clean)
-        if up >= LEAST_LIFT and g >= 2 * math.log(max(2, total)):
-            out[r["word"]] = up
-    return out
+    rows = _tested(counted.filter("toxic >= 2"), n_toxic, n_clean).filter((F.col("lift") >= LEAST_LIFT) & (F.col("g") >= 2 * math.log(max(2, total))))
+    return {r["word"]: r["lift"] for r in rows.select("word", "lift").collect()}
 
 
-def _exempt(sample: DataFrame, counted: DataFrame, weights: dict[str, float], n_toxic: int, n_clean: int) -> frozenset[str]:
-    """Words near a term that aren't misspellings of it: clean documents use them unquoted, and the
-    share of toxic documents that hold them isn't clearly more than EXEMPT_RATIO times as large.
-    From rows of (text, _y) and their words' counts (word, toxic, clean)."""
+def _forms(sample: DataFrame, counted: DataFrame, weights: dict[str, float], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """The words near a term that clean documents use unquoted, with the share of the term's weight
+    that their own lift makes: nothing where clean documents hold them as often, or where chance
+    explains the difference. From rows of (text, _y) and their words' counts (word, toxic, clean)."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(weights)
         for b in batches:
-            some = [(w, n) for w, n in zip(b["word"], b["toxic"], strict=True) if (h := lexicon.__missing__(w)) and h[1]]
+            some = [(w, n, h[2]) for w, n in zip(b["word"], b["toxic"], strict=True) if (h := lexicon.__missing__(w)) and h[1]]
             if some:
-                yield pd.DataFrame({"word": [w for w, _ in some], "toxic": [n for _, n in some]})
+                yield pd.DataFrame(some, columns=["word", "toxic", "term"])
 
-    toxic = {r["word"]: r["toxic"] for r in counted.filter("clean > 0").select("word", "toxic").mapInPandas(near, "word string, toxic long").collect()}
+    toxic = {r["word"]: (r["toxic"], r["term"]) for r in counted.filter("clean > 0").select("word", "toxic").mapInPandas(near, "word string, toxic long, term string").collect()}
     if not toxic:
-        return frozenset()
+        return {}
     held = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
 
     def unquoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,11 +250,15 @@ def _exempt(sample: DataFrame, counted: DataFrame, weights: dict[str, float], n_
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     rows = sample.filter("_y = 0").select("text").mapInPandas(unquoted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    own = [(r["word"], toxic[r["word"]], r["n"]) for r in rows]
-    return frozenset(w for w, t, c in own if t * n_clean <= EXEMPT_RATIO * c * n_toxic or lift(t, c, n_toxic, n_clean)[1] < CHANCE)
+    out = {}
+    for r in rows:
+        own, term = toxic[r["word"]]
+        up, g = lift(own, r["n"], n_toxic, n_clean)
+        out[r["word"]] = min(1.0, max(0.0, up / weights[term])) if g >= CHANCE else 0.0
+    return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Toxicity:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, reporting: frozenset[str] = REPORTING, edits: int = EDITS) -> Toxicity:
     """Fits the lexicon and the score on about `per_class` labelled rows of each class.
 
     One half of the sample gives a first lexicon, the other half the score's coefficients over
@@ -266,22 +282,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     counted = materialise(sample.mapInPandas(words, "word string, half int, y int, n long").groupBy("word").agg(one(0, 1).alias("t0"), one(0, 0).alias("c0"), one(1, 1).alias("t1"), one(1, 0).alias("c1")), "toxic-words")
     half = counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), sizes[0, 1], sizes[0, 0]
     whole = counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0]
-    first, both = _lexicon(half[0], "half", *half[1:]), _lexicon(whole[0], "all", *whole[1:])
-
-    name, first_exempt = uuid.uuid4().hex, _exempt(sample.filter("_half = 0"), half[0], first, *half[1:])
+    first, both = _lexicon(*half), _lexicon(*whole)
+    name, first_forms = uuid.uuid4().hex, _forms(sample.filter("_half = 0"), half[0], first, *half[1:])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = held_lexicon(f"{name}-half", first, first_exempt)
+        lexicon = held_lexicon(f"{name}-half", first, first_forms, edits, reporting)
         for b in batches:
             yield pd.DataFrame({"y": b["_y"].astype("int32"), "x": [features(t, lexicon) for t in b["text"]]})
 
     got = sorted((tuple(r["x"]), r["y"]) for r in sample.filter("_half = 1").mapInPandas(measure, "y int, x array<double>").collect())
     x, y = np.array([r[0] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], dtype=int)
     coefficients, intercept = logistic(x, y)
-    exempt = _exempt(sample, whole[0], both, *whole[1:])
+    forms = _forms(sample, whole[0], both, *whole[1:])
     drop_written(sample)
     drop_written(counted)
-    return Toxicity(both, exempt, coefficients, intercept)
+    return Toxicity(both, forms, coefficients, intercept, reporting, edits)
 
 
 def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -290,8 +305,8 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text:
     Texts are read whole; null and empty texts, and those without hits, take the base score. One
     row in, one row out, repeated rows alike."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.weights, model.exempt))
-    scorer = Toxicity({}, frozenset(), model.coefficients, model.intercept)
+    name, weights = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.weights, model.forms, model.edits, model.reporting))
+    scorer = Toxicity({}, {}, model.coefficients, model.intercept)
 
     @F.pandas_udf("double")
     def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
