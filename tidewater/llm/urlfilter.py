@@ -118,13 +118,14 @@ def rules_from(written: DataFrame) -> DataFrame:
 
 def filed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The rules with the token of their own that the fewest urls hold; ties go to the longer, then
-    the first token. `urls` has the column `_tokens`; only rules' tokens are counted and shuffled,
-    after a sum in each task."""
+    the first token. `urls` has the column `_tokens`; tokens are summed in each task before they are
+    shuffled, and where the rules have few, only theirs."""
     if rules.filter((F.size("tokens") <= 0) | F.col("tokens").isNull()).limit(1).count():
         raise ValueError("a rule without a literal token can't be indexed")
     own = rules.select("*", F.explode("tokens").alias("token"))
-    held = urls.select(F.explode("_tokens").alias("token")).join(own.select("token").distinct(), "token", "left_semi")
-    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    few = [r["token"] for r in own.select("token").distinct().limit(INLINE_RULES + 1).collect()]
+    held = F.col("_tokens") if len(few) > INLINE_RULES else F.array_intersect("_tokens", F.array(*map(F.lit, sorted(few)))) if few else F.array().cast("array<string>")
+    counts = urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "token")
     best = own.join(counts, "token", "left").groupBy("label", "action", "pattern", "rank").agg(F.min_by("token", order).alias("token"))
     return best.select("token", (-F.col("rank")).alias("rank"), "label", "action", "pattern")
