@@ -56,20 +56,34 @@ def is_noise_section(text: Column) -> Column:
     return source | blank
 
 
+#: Fixed value: the words `safety issue`, or `issues`, of which letters may stand apart.
+ISSUE = "s ?a ?f ?e ?t ?y ? ?i ?s ?s ?u ?e ?s?"
+
+
 def issue_statements(text: Column) -> Column:
-    """The statements after `Safety issue:` or `Safety issue -`, each up to a blank line, the next
-    statement or the end."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?is)safety issue\s?[:\-]\s*(.+?)(?=\n\s*\n|safety issue\s?[:\-]|\z)"), F.lit(1)), lambda s: F.regexp_replace(F.trim(s), r"\s+", " "))
+    """The statements after `Safety issue` and a hyphen or a colon, whichever of the two is found
+    more often (the hyphen, if equal); each reaches up to a section number or the next mention of a
+    safety issue. One that neither ends isn't a statement."""
+    found = lambda mark: F.regexp_extract_all(text, F.lit(rf"(?i){ISSUE} {{0,3}}{mark} {{0,3}}([\s\S]+?)(?=[0-9]+\.|{ISSUE})"), F.lit(1))
+    dashes, colons = found("-"), found(":")
+    return F.when(F.size(colons) > F.size(dashes), colons).otherwise(dashes)
+
+
+#: Key words of the categories of replies.
+REPLY_WORDS = {"accepted": ("accepted", "implemented", "accept", "implement"), "under consideration": ("under", "consideration", "consider"), "rejected": ("rejected",)}
 
 
 def reply_category(reply: Column) -> Column:
-    """Category of a reply by its key words; the first that fits, else n/a."""
+    """Category of a reply by the key words it holds as whole words: rejected before under
+    consideration before accepted, which with a word of implementing is accepted and implemented;
+    else n/a."""
     low = F.lower(reply)
-    has = lambda *words: F.rlike(low, F.lit("|".join(words)))
+    has = lambda words: F.rlike(low, F.lit(rf"\b(?:{'|'.join(words)})\b"))
+    done = [w for w in REPLY_WORDS["accepted"] if w.startswith("implement")]
     return (
-        F.when(has("implemented", "completed", "has been done"), "accepted and implemented")
-        .when(has("reject", "not accept", "decline"), "rejected")
-        .when(has("consider", "review", "assess"), "under consideration")
-        .when(has("accept", "agree"), "accepted")
+        F.when(has(REPLY_WORDS["rejected"]), "rejected")
+        .when(has(REPLY_WORDS["under consideration"]), "under consideration")
+        .when(has(done), "accepted and implemented")
+        .when(has(REPLY_WORDS["accepted"]), "accepted")
         .otherwise("n/a")
     )

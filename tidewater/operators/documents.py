@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ def column_udf(ddl: str):
     return lambda f: lambda *cols: F.pandas_udf(f, ddl)(*cols)
 
 
-ROMAN_LIST = [pages.to_roman(k) for k in range(1, 41)]
+#: The numerals that page labels may have.
+ROMAN_LIST = [pages.to_roman(k) for k in range(1, 400)]
 
 
 def page_slices(docs: DataFrame, body: str = "text", key: str = "report_id") -> DataFrame:
@@ -60,7 +62,7 @@ def validate_labels(labelled: DataFrame, key: str = "report_id") -> DataFrame:
     numerals = F.create_map(*[F.lit(x) for k, r in enumerate(ROMAN_LIST) for x in (r, k + 1)])
     typed = F.transform("labels", lambda x: F.struct(F.when(x == "", 0).when(F.rlike(x, F.lit("^[0-9]+$")), 2).otherwise(1).alias("kind"), F.coalesce(x.try_cast("int"), F.element_at(numerals, x), F.lit(0)).alias("n")))
     rows = labelled.withColumn("t", typed)
-    pair = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: ~(((b["kind"] == 0) & (a["kind"] != 0)) | ((a["kind"] == 2) & (b["kind"] != 2)) | ((a["kind"] == b["kind"]) & (a["kind"] != 0) & (b["n"] != a["n"] + 1)) | ((a["kind"] == 1) & (b["kind"] == 2) & ~b["n"].isin(1) & (b["n"] != a["n"] + 1))))
+    pair = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.size("t")), lambda a, b: ~(((b["kind"] == 0) & (a["kind"] != 0)) | ((a["kind"] == 2) & (b["kind"] != 2)) | ((a["kind"] == b["kind"]) & (a["kind"] != 0) & (b["n"] != a["n"] + 1)) | ((a["kind"] == 1) & (b["kind"] == 2) & ~b["n"].isin(1) & (b["n"] != a["n"] + 1))))
     return rows.select(key, (F.forall(pair, lambda x: x) & F.exists("t", lambda x: x["kind"] == 2)).alias("valid"))
 
 
@@ -85,20 +87,37 @@ def page_ranges(reply: Column) -> Column:
 
 
 def lpt_batches(rows: DataFrame, key: str, weight: str, batches: int, shard_rows: int = 10_000) -> DataFrame:
-    """(key, shard, batch): in each shard the heaviest row goes to the lightest batch so far. Shards
-    bound what one task holds."""
-    shards = max(1, -(-rows.count() // shard_rows))
+    """(key, batch): the heaviest row goes to the lightest batch so far, of min(batches, rows) ones.
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        load, out = [0] * min(batches, len(pdf)), []
-        for r in pdf.sort_values(["w", "k"], ascending=[False, True]).itertuples():
-            b = min(range(len(load)), key=lambda i: (load[i], i))
-            load[b] += r.w
-            out.append((r.k, r.shard, b))
-        return pd.DataFrame(out, columns=["k", "shard", "batch"])
+    Shards of about `shard_rows` rows are packed each for itself into as many bins; then the bins,
+    the heaviest first, go to the lightest batches, one of each shard to a batch. The driver holds
+    the bins' loads only, and one shard gives the plain rule. Null weights count as 0."""
+    n = rows.count()
+    shards, bins = max(1, -(-n // shard_rows)), max(1, min(batches, n))
 
-    dealt = rows.select(F.col(key).alias("k"), F.col(weight).alias("w"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(pack, "k string, shard int, batch int").withColumnRenamed("k", key)
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        load, out = [(0, b) for b in range(bins)], []
+        for k, w, shard in pdf.sort_values(["w", "k"], ascending=[False, True]).itertuples(index=False):
+            total, b = heapq.heappop(load)
+            heapq.heappush(load, (total + w, b))
+            out.append((k, w, shard, b))
+        return pd.DataFrame(out, columns=["k", "w", "shard", "bin"])
+
+    dealt = rows.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("w"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
+    packed = dealt.groupBy("shard").applyInPandas(pack, "k string, w long, shard int, bin int")
+    if shards == 1:
+        return packed.select(F.col("k").alias(key), F.col("bin").alias("batch"))
+    load, where = [0] * bins, []
+    loads: dict[int, list[tuple[int, int]]] = {}
+    for r in packed.groupBy("shard", "bin").agg(F.sum("w").alias("w")).collect():
+        loads.setdefault(r["shard"], []).append((-r["w"], r["bin"]))
+    for shard, own in sorted(loads.items(), key=lambda x: min(x[1])):
+        lightest = sorted(range(bins), key=lambda b: (load[b], b))
+        for (w, b), batch in zip(sorted(own), lightest, strict=False):
+            load[batch] -= w
+            where.append((shard, b, batch))
+    names = rows.sparkSession.createDataFrame(where, "shard int, bin int, batch int")
+    return packed.join(names, ["shard", "bin"]).select(F.col("k").alias(key), "batch")
 
 
 @column_udf("array<struct<section:string,section_text:string>>")
@@ -173,12 +192,16 @@ def q_regex_extract(spark, d):
 
 
 def q_safety_issue_regex(spark, d):
-    told = F.concat(F.lit("Intro.\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("Safety issue: "), x, F.lit("\n\n"))).otherwise(x)), "\n"))
+    mark = F.when(F.col("doc_id") % 3 == 0, " - ").otherwise(": ")
+    said = lambda x, i: F.concat(F.when(i % 8 == 1, "S a f e t y issues").otherwise("Safety Issue"), mark, x, F.when(i % 3 == 0, "\n").otherwise(" 2.1 "))
+    told = F.concat(F.lit("Intro.\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, said(x, i)).otherwise(x)), "\n"))
     return _reports(spark, d).select("report_id", F.posexplode(text.issue_statements(told)).alias("k", "safety_issue"))
 
 
 def q_regex_replace(spark, d):
-    return _reports(spark, d).select("report_id", F.regexp_replace(F.concat("report_id", F.lit(" Aviation Rail Marine")), " (Aviation)|(Rail)|(Marine)", "").alias("title"))
+    title = F.concat("report_id", F.when(F.col("mode") == "0", " Aviation").when(F.col("mode") == "1", " Rail Marine").otherwise(" Marineland"), F.when(F.col("doc_id") % 2 == 0, " Aviation"))
+    title = F.coalesce(title, F.concat(F.lit("Aviation "), "report_id"))
+    return _reports(spark, d).select("report_id", F.regexp_replace(title, " (Aviation)|(Rail)|(Marine)", "").alias("title"))
 
 
 def q_split_paragraphs(spark, d):
@@ -217,7 +240,7 @@ def q_log_props(spark, d):
 
 
 def q_parse_yaml(spark, d):
-    body = F.concat(F.lit("```yaml\n"), F.concat_ws("\n", F.transform(F.slice(F.split("text", "\n"), 1, 100000), lambda x: F.concat(F.lit("- safety_issue: "), F.to_json(F.array(x)), F.lit("\n  quality: exact")))), F.lit("\n```"))
+    body = F.concat(F.lit("```yaml\n"), F.concat_ws("\n", F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("- safety_issue: "), F.to_json(F.array(x)), F.lit("\n  quality: exact")))), F.lit("\n```"))
     return _reports(spark, d).select("report_id", F.size(issues_from_yaml(body)).alias("n_issues"))
 
 
@@ -246,8 +269,9 @@ def q_array_ops(spark, d):
 
 
 def q_extra_context(spark, d):
-    told = F.concat(F.lit("On review, "), "text", F.lit("\nThe Commission recommends that it be done."))
-    return _reports(spark, d).select("report_id", F.regexp_extract(told, "(?is)(.*)the commission recommend", 1).alias("context"))
+    k = F.col("doc_id") % 4
+    told = F.concat(F.lit("On review, "), "text", F.when(k == 0, "\nThe Commission recommends that it be done.").when(k == 1, " The commission recommended this, and THE COMMISSION RECOMMENDS that.").when(k == 2, "\nthe Commission noted it").otherwise(""))
+    return _reports(spark, d).select("report_id", F.nullif(F.regexp_extract(told, "(?is)(.*)the commission recommend", 1), F.lit("")).alias("context"))
 
 
 def q_compose_id(spark, d):
@@ -261,8 +285,12 @@ def q_page_sync(spark, d):
 
 def q_page_validate(spark, d):
     k = F.col("doc_id").cast("int")
-    number = F.transform(F.sequence(F.lit(1), 1 + k % 6), lambda x: F.when((k % 5 == 0) & (x > 2), x + 1).otherwise(x).cast("string"))
-    labels = F.concat(F.array_repeat(F.lit(""), k % 3), F.slice(F.array(*map(F.lit, ROMAN_LIST)), F.lit(1), k % 4), number)
+    romans = F.slice(F.array(*map(F.lit, ROMAN_LIST)), F.lit(1), F.when(k % 7 == 0, 41 + k % 30).otherwise(k % 4))
+    romans = F.when((k % 11 == 0) & (F.size(romans) > 1), F.filter(romans, lambda x: x != "ii")).otherwise(romans)
+    first = F.when(k % 13 == 0, 2).when(k % 9 == 0, F.size(romans) + 1).otherwise(1)
+    number = F.transform(F.sequence(F.lit(0), k % 6), lambda x: F.when((k % 5 == 0) & (x > 1), first + x + 1).otherwise(first + x).cast("string"))
+    behind = F.when(k % 17 == 0, F.array(F.lit(""))).when(k % 19 == 0, F.array(F.lit("v"))).otherwise(F.array().cast("array<string>"))
+    labels = F.when(k % 23 == 0, romans).otherwise(F.concat(F.array_repeat(F.lit(""), k % 3), romans, number, behind))
     return validate_labels(_reports(spark, d).select("report_id", labels.alias("labels")))
 
 
@@ -297,14 +325,25 @@ def q_previous_section(spark, d):
 
 
 def q_extract_sections(spark, d):
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((F.floor(i / 6) + 1).cast("string"), F.lit("."), (i % 6 + 1).cast("string"), F.lit(" "), x)), "\n")
-    return _reports(spark, d).select("report_id", F.inline(section_list(numbered)))
+    words = F.transform(F.split(F.regexp_replace("text", "[0-9.]", ""), "\n"), lambda x: F.trim(F.substring(x, 1, 300)))
+    plain = lambda x, i: F.concat(F.floor(i / 6) + 1, F.lit("."), i % 6 + 1, F.lit(" "), x)
+    deep = lambda x, i: F.concat(F.floor(i / 12) + 1, F.lit("."), F.floor(i % 12 / 4) + 1, F.lit("."), i % 4 + 1, F.lit("  "), x)
+    lines = F.when(F.col("doc_id") % 2 == 0, F.transform(words, plain)).otherwise(F.transform(words, deep))
+    return _reports(spark, d).select("report_id", F.inline(section_list(F.array_join(lines, "\n"))))
 
 
 def q_choose_link(spark, d):
-    r = _reports(spark, d)
+    r, k = _reports(spark, d), F.col("doc_id") % 6
     at = lambda *x: F.concat(F.lit("https://files.example/"), *x)
-    links = F.array(at("agency_id", F.lit(".pdf")), at("agency_id", F.lit("-interim.pdf")), F.when(F.col("doc_id") % 3 == 0, at(F.lit("old/"), "agency_id", F.lit(".pdf"))).otherwise(at(F.lit("annex.pdf"))))
+    own, interim, annex = at("agency_id", F.lit(".pdf")), at("agency_id", F.lit("-Interim.pdf")), at(F.lit("annex.pdf"))
+    links = (
+        F.when(k == 0, F.array(own, interim, annex))
+        .when(k == 1, F.array(own, at(F.lit("old/"), "agency_id", F.lit(".pdf")), annex))
+        .when(k == 2, F.array(own, at("agency_id", F.lit("-part2.pdf"))))
+        .when(k == 3, F.array(own, own, F.concat(own, F.lit("?download=1"))))
+        .when(k == 4, F.array(at(F.lit("x.pdf")), at(F.lit("y.pdf")), at(F.lit("prelim.pdf"))))
+        .otherwise(F.array(interim, interim))
+    )
     return r.select("report_id", choose_link(links, F.col("agency_id")).alias("link"))
 
 
@@ -327,8 +366,13 @@ def q_event_type_exact(spark, d):
     return _reports(spark, d).select("report_id", "event_type").join(F.broadcast(known), "event_type", "left_semi").select("report_id", "event_type")
 
 
+#: Endings that give the fixture's replies every category, and words that only look like key words.
+REPLY_ENDINGS = ("The recommendation is accepted.", "It was ACCEPTED and implemented.", "We will implement it.", "This is under review.", "We consider it.", "It is rejected, though we considered it.", "Not acceptable, misunderstood.", "")
+
+
 def q_classify_reply(spark, d):
-    return view(spark, d, "replies").select("conv_id", "turn", text.reply_category(F.col("reply_text")).alias("response_category"))
+    ending = F.get(F.array(*map(F.lit, REPLY_ENDINGS)), ((F.col("conv_id") + F.col("turn")) % len(REPLY_ENDINGS)).cast("int"))
+    return view(spark, d, "replies").select("conv_id", "turn", text.reply_category(F.concat("reply_text", F.lit(" "), ending)).alias("response_category"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -341,7 +385,7 @@ ORACLES = {
     "clean_text": with_views("SELECT report_id, translate(translate(text, '''\"', '’“') || '–›‹', '–’‘“”›‹', '-''''\"\"><') AS text FROM reports", _R),
     "string_basics": with_views("SELECT report_id, right(report_id, 3) AS last3, right(report_id, 5) AS last5, lower(agency) AS agency, replace(report_id, '_', '-') AS dashed, split_part(report_id, '_', 4) AS number FROM reports", _R),
     "regex_extract": with_views("SELECT report_id, nullif(regexp_extract(agency_id, '-([0-9]{4})-([0-9]+)-rev', 2), '') AS revised, nullif(regexp_extract(text, 'Version ([0-9.]+)', 1), '') AS version FROM reports", _R),
-    "regex_replace": with_views("SELECT report_id, report_id || '  ' AS title FROM reports", _R),
+    "regex_replace": with_views("SELECT report_id, regexp_replace(coalesce(report_id || CASE mode WHEN '0' THEN ' Aviation' WHEN '1' THEN ' Rail Marine' ELSE ' Marineland' END || CASE WHEN doc_id % 2 = 0 THEN ' Aviation' END, 'Aviation ' || report_id), ' (Aviation)|(Rail)|(Marine)', '', 'g') AS title FROM reports", _R),
     "split_paragraphs": with_views("WITH p AS (SELECT report_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM reports) SELECT report_id, CAST(unnest(range(len(p))) AS INT) AS k, unnest(p) AS paragraph FROM p", _R),
     "roman_numerals": with_views(f"SELECT CAST(doc_id % 40 + 1 AS INT) AS n, report_id, {_ROMANS}[doc_id % 40 + 1] AS roman FROM reports", _R),
     "date_parse_year": with_views("SELECT report_id, CASE WHEN doc_id % 4 > 0 THEN year END AS year FROM reports", _R),
@@ -352,9 +396,17 @@ ORACLES = {
     "token_count": with_views("SELECT report_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS n_tokens, CAST(ceil(length(text) / 4) AS BIGINT) AS by_length FROM reports", _R),
     "truncate_document": with_views("SELECT report_id, substr(text, 1, 462) AS text FROM reports", _R),
     "array_ops": with_views("WITH n AS (SELECT report_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS n FROM reports) SELECT report_id, CAST(len(n) AS BIGINT) AS n, CAST(list_max(n) AS INT) AS longest, CAST(list_min(n) AS INT) AS shortest, CAST(len(list_filter(n, lambda x: x > 100)) AS BIGINT) AS long, CAST(list_position(n, list_max(n)) AS BIGINT) AS at FROM n", _R),
-    "extra_context": with_views("SELECT report_id, 'On review, ' || text || chr(10) AS context FROM reports", _R),
+    "extra_context": with_views("""WITH t AS (SELECT report_id, 'On review, ' || text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'The Commission recommends that it be done.' WHEN 1 THEN ' The commission recommended this, and THE COMMISSION RECOMMENDS that.' WHEN 2 THEN chr(10) || 'the Commission noted it' ELSE '' END AS told FROM reports)
+SELECT report_id, CASE WHEN pos > 0 THEN left(told, length(told) - pos - 23) END AS context FROM (SELECT *, strpos(reverse(lower(told)), reverse('the commission recommend')) AS pos FROM t)""", _R),
     "compose_id": with_views("SELECT report_id, mode || lpad(CAST(year % 100 AS VARCHAR), 2, '0') || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS composed FROM reports", _R),
-    "page_validate": with_views("SELECT report_id, NOT (doc_id % 5 = 0 AND 1 + doc_id % 6 > 2) AS valid FROM reports", _R),
+    "page_validate": with_views(f"""WITH b AS (SELECT report_id, doc_id AS k, {_ROMANS}[1:CASE WHEN doc_id % 7 = 0 THEN 41 + doc_id % 30 ELSE doc_id % 4 END] AS r0 FROM reports),
+r AS (SELECT report_id, k, CASE WHEN k % 11 = 0 AND len(r0) > 1 THEN list_filter(r0, lambda x: x <> 'ii') ELSE r0 END AS r FROM b),
+n AS (SELECT *, CASE WHEN k % 13 = 0 THEN 2 WHEN k % 9 = 0 THEN len(r) + 1 ELSE 1 END AS first FROM r),
+l AS (SELECT report_id, CASE WHEN k % 23 = 0 THEN r ELSE list_concat(list_transform(range(k % 3), lambda x: ''), r, list_transform(range(k % 6 + 1), lambda x: CAST(first + x + CASE WHEN k % 5 = 0 AND x > 1 THEN 1 ELSE 0 END AS VARCHAR)), CASE WHEN k % 17 = 0 THEN [''] WHEN k % 19 = 0 THEN ['v'] ELSE [] END) END AS l FROM n),
+t AS (SELECT report_id, unnest(range(len(l))) AS pos, unnest(l) AS x FROM l),
+y AS (SELECT report_id, pos, CASE WHEN x = '' THEN 0 WHEN regexp_full_match(x, '[0-9]+') THEN 2 ELSE 1 END AS kind, coalesce(TRY_CAST(x AS INT), list_position({_ROMANS}, x)) AS n FROM t),
+z AS (SELECT *, lag(kind) OVER w AS before, lag(n) OVER w AS last FROM y WINDOW w AS (PARTITION BY report_id ORDER BY pos))
+SELECT reports.report_id, coalesce(valid, false) AS valid FROM reports LEFT JOIN (SELECT report_id, bool_and(before IS NULL OR kind >= before AND (kind = 0 OR before = 0 OR n = last + 1 OR kind = 2 AND before = 1 AND n = 1)) AND bool_or(kind = 2) AS valid FROM z GROUP BY report_id) USING (report_id)""", _R),
     "pages_from_text": with_views(f"WITH {_PAGED}, {_SLICES} SELECT report_id, page, page_text FROM sl", _R),
     "page_range_text": with_views(f"WITH {_PAGED}, m AS (SELECT report_id, text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE strpos(text, '<< Page 1 >>') END AS a, strpos(text, '<< Page 2 >>') AS b FROM paged) SELECT report_id, CASE WHEN a > 0 AND b > 0 THEN substr(text, a, b + 12 - a) END AS read FROM m", _R),
     "page_text": with_views(f"WITH {_PAGED}, m AS (SELECT report_id, text, strpos(text, '<< Page 2 >>') AS a, regexp_extract_all(text, '<< Page [0-9]+ >>') AS marks FROM paged) SELECT report_id, CASE WHEN a = 0 THEN NULL WHEN marks[-1] = '<< Page 2 >>' THEN substr(text, a) ELSE substr(text, a, strpos(text, marks[-1]) + length(marks[-1]) - a) END AS read FROM m", _R),
@@ -362,10 +414,28 @@ ORACLES = {
     "previous_section": with_views("""WITH s AS (SELECT report_id, pos, pos % 7 + 1 AS a, pos % 4 + 1 AS b, pos % 5 + 1 AS c FROM lines)
 SELECT report_id, pos, CASE pos % 3 WHEN 0 THEN CAST(pos + 1 AS VARCHAR) WHEN 1 THEN a || '.' || b ELSE a || '.' || b || '.' || c END AS section,
 CASE WHEN pos % 3 = 0 THEN CAST(greatest(pos, 1) AS VARCHAR) WHEN pos % 3 = 2 AND c > 1 THEN a || '.' || b || '.' || (c - 1) WHEN b > 1 THEN a || '.' || (b - 1) ELSE CAST(greatest(a - 1, 1) AS VARCHAR) END AS previous FROM s""", "lines"),
-    "choose_link": with_views("SELECT report_id, CASE WHEN doc_id % 3 > 0 THEN 'https://files.example/' || agency_id || '.pdf' END AS link FROM reports", _R),
+    "choose_link": with_views("SELECT report_id, CASE doc_id % 6 WHEN 0 THEN 'https://files.example/' || agency_id || '.pdf' WHEN 1 THEN 'https://files.example/annex.pdf' WHEN 3 THEN 'https://files.example/' || agency_id || '.pdf?download=1' WHEN 5 THEN 'https://files.example/' || agency_id || '-Interim.pdf' END AS link FROM reports", _R),
     "synth_ids": with_views("SELECT report_id, recommendation_id AS old, report_id || '_rec_' || CAST(row_number() OVER (PARTITION BY report_id ORDER BY recommendation_id) - 1 AS VARCHAR) AS recommendation_id FROM recommendations", "recommendations"),
     "parse_page_ranges": with_views("""SELECT report_id, 'i' AS start, '2' AS "end" FROM reports WHERE doc_id % 5 = 1 UNION ALL SELECT report_id, '10', '12' FROM reports WHERE doc_id % 5 = 1 UNION ALL SELECT report_id, '7', '13' FROM reports WHERE doc_id % 5 = 2 UNION ALL SELECT report_id, '20', NULL FROM reports WHERE doc_id % 5 = 2 UNION ALL SELECT report_id, CAST(doc_id % 9 AS VARCHAR), '17' FROM reports WHERE doc_id % 5 > 2""", _R),
     "event_type_exact": with_views("SELECT report_id, event_type FROM reports WHERE event_type IN (SELECT 'type ' || CAST(length(event_type) % 11 AS VARCHAR) FROM events)", _R),
     "text_similarity": with_views("SELECT recommendation_id, safety_issue_id, CAST(levenshtein(regexp_replace(recommendation, '[^ -~]', '', 'g'), regexp_replace(safety_issue, '[^ -~]', '', 'g')) AS INT) AS edits FROM recommendations JOIN issues USING (report_id)", "recommendations", "issues"),
-    "classify_reply": with_views("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(reply_text), 'implemented|completed|has been done') THEN 'accepted and implemented' WHEN regexp_matches(lower(reply_text), 'reject|not accept|decline') THEN 'rejected' WHEN regexp_matches(lower(reply_text), 'consider|review|assess') THEN 'under consideration' WHEN regexp_matches(lower(reply_text), 'accept|agree') THEN 'accepted' ELSE 'n/a' END AS response_category FROM replies", "replies"),
+    "classify_reply": with_views("""WITH t AS (SELECT conv_id, turn, lower(reply_text || ' ' || ["""+', '.join("'"+e+"'" for e in ("The recommendation is accepted.", "It was ACCEPTED and implemented.", "We will implement it.", "This is under review.", "We consider it.", "It is rejected, though we considered it.", "Not acceptable, misunderstood.", ""))+"""][(conv_id + turn) % 8 + 1]) AS low FROM replies), w AS (SELECT conv_id, turn, regexp_extract_all(low, '[a-z0-9_]+') AS w FROM t)
+SELECT conv_id, turn, CASE WHEN list_contains(w, 'rejected') THEN 'rejected' WHEN list_has_any(w, ['under', 'consideration', 'consider']) THEN 'under consideration' WHEN list_has_any(w, ['implemented', 'implement']) THEN 'accepted and implemented' WHEN list_has_any(w, ['accepted', 'accept']) THEN 'accepted' ELSE 'n/a' END AS response_category FROM w""", "replies"),
+    "parse_yaml": with_views("SELECT report_id, CAST(len(string_split(text, chr(10))) AS INT) AS n_issues FROM reports", _R),
+    "safety_issue_regex": with_views(r"""WITH t AS (SELECT report_id, 'Intro.' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 1 THEN CASE WHEN (i - 1) % 8 = 1 THEN 'S a f e t y issues' ELSE 'Safety Issue' END || CASE WHEN doc_id % 3 = 0 THEN ' - ' ELSE ': ' END || x || CASE WHEN (i - 1) % 3 = 0 THEN chr(10) ELSE ' 2.1 ' END ELSE x END), chr(10)) AS told FROM reports),
+p AS (SELECT report_id, regexp_split_to_array(told, '(?i)s ?a ?f ?e ?t ?y ? ?i ?s ?s ?u ?e ?s?') AS p FROM t),
+r AS (SELECT report_id, unnest(range(2, len(p) + 1)) AS pos, unnest(p[2:]) AS part, len(p) AS last, unnest(['-', ':']) AS mark FROM p),
+q AS (SELECT report_id, pos, last, part, mark FROM (SELECT report_id, pos, part, last FROM r WHERE part IS NOT NULL), (SELECT unnest(['-', ':']) AS mark)),
+s AS (SELECT *, CASE WHEN mark = '-' THEN regexp_extract(part, '^ {0,3}- {0,3}([\\s\\S]+?)[0-9]+\\.', 1) ELSE regexp_extract(part, '^ {0,3}: {0,3}([\\s\\S]+?)[0-9]+\\.', 1) END AS cut, CASE WHEN mark = '-' THEN regexp_extract(part, '^ {0,3}- {0,3}([\\s\\S]+)$', 1) ELSE regexp_extract(part, '^ {0,3}: {0,3}([\\s\\S]+)$', 1) END AS whole FROM q),
+f AS (SELECT report_id, pos, mark, CASE WHEN cut <> '' THEN cut WHEN pos < last THEN whole ELSE '' END AS said FROM s),
+n AS (SELECT *, count(*) FILTER (mark = '-') OVER (PARTITION BY report_id) AS dashes, count(*) FILTER (mark = ':') OVER (PARTITION BY report_id) AS colons FROM f WHERE said <> '')
+SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY pos) - 1 AS INT) AS k, said AS safety_issue FROM n WHERE mark = CASE WHEN colons > dashes THEN ':' ELSE '-' END""".replace("\\\\", "\\"), _R),
+    "extract_sections": with_views(r"""WITH l AS (SELECT doc_id, report_id, list_transform(string_split(regexp_replace(text, '[0-9.]', '', 'g'), chr(10)), lambda x: trim(substr(x, 1, 300), ' ')) AS w FROM reports),
+r AS (SELECT doc_id, report_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM l),
+h AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN (i // 6 + 1) || '.' || (i % 6 + 1) ELSE (i // 12 + 1) || '.' || (i % 12 // 4 + 1) || '.' || (i % 4 + 1) END AS section FROM r),
+t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN section || ' ' || x ELSE section || '  ' || x END AS line FROM h),
+f AS (SELECT * FROM t WHERE i < n - 1 AND CASE WHEN doc_id % 2 = 0 THEN i < 84 ELSE i < 168 AND i % 4 < 3 END),
+g AS (SELECT report_id, count(*) > 4 AND avg(length(trim(line, ' '))) < 2000 AS fine FROM f GROUP BY report_id)
+SELECT report_id, section, trim(line, ' ') AS section_text FROM f JOIN g USING (report_id) WHERE fine
+UNION ALL SELECT report_id, 'p0.0', trim(string_agg(line, chr(10) ORDER BY i), ' ') FROM t WHERE report_id NOT IN (SELECT report_id FROM g WHERE fine) GROUP BY report_id""", _R),
 }
