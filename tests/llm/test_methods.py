@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, decontam, jaccard, langid, quality, toxicity
 from tidewater.llm.common import fold
@@ -87,7 +89,12 @@ def test_decontamination_windows():
     same()
 
 
-def test_jaccard_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_equals_brute_force(spark, monkeypatch, small):
+    """With the module's limits, and with such that nothing is broadcast and all is cut into blocks."""
+    if small:
+        for name, value in {"BROADCAST_IDS": 0, "BLOCK": 8, "FAMILY_BLOCK": 4, "GROUP_PAIRS": 3, "BUCKET_KEYS": 500}.items():
+            monkeypatch.setattr(jaccard, name, value)
     r = random.Random(11)
     vocabulary = [f"w{k}" for k in range(400)]
     common = r.choices(vocabulary, k=30)
@@ -109,6 +116,18 @@ def test_jaccard_equals_brute_force(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == {i: (len(sets[i]), want[i]) for i in range(len(sets))}
 
 
+def test_sets_of_one_key_are_told_apart(spark, monkeypatch):
+    """Two texts that share the first hash: the second keeps the other from becoming a copy."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z"), (None, "only here without an id now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = jaccard.measure(docs)
+    nodes = {r["doc_id"]: r["node"] for r in real.filter("kind = 0").collect()}
+    clash = real.withColumn("node", F.when((F.col("kind") == 0) & (F.col("doc_id") == 3), nodes[1]).otherwise(F.col("node")))
+    monkeypatch.setattr(jaccard, "measure", lambda _: clash)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, None: None}
+
+
 def test_linked_sets_share_an_indexed_lane():
     r = np.random.default_rng(3)
     none = np.zeros(jaccard.COMMON_TABLE // 8, np.uint8)

@@ -14,8 +14,9 @@ Equal sets are compared once. Of many sets that share a lane, each is first comp
 those that end in different components are then compared with each other, in blocks, so no link
 between components is lost and pairs within a group never become rows.
 
-Shingles and sets are known by 64-bit hashes: two of them are taken for one with a chance of about
-count squared / 2^65.
+Shingles and sets are known by 64-bit hashes. A second hash of each set tells those apart that share
+the first: only rows with both hashes of the compared set take its component, so that a chance hit
+can't make a document a copy of another.
 """
 
 from __future__ import annotations
@@ -64,13 +65,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Which bytes part words, and a coefficient for each place within a word.
+#: Which bytes part words, a number for each byte, and a coefficient for each place within a word.
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BYTES = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
 _PLACES = np.random.default_rng(5).integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of a text: the sum of its bytes, each by its place's coefficient."""
+    """A 64-bit hash of each word of a text: the sum of its bytes' numbers, each by its place's coefficient."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
     inside = ~_SPACE[raw]
     turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -82,7 +84,7 @@ def word_hashes(text: str) -> np.ndarray:
     weight = _PLACES[place & 4095]
     if lengths.max() > 4096:
         weight = weight + (place >> 12).astype(np.uint64) * _M3
-    sums = np.add.reduceat(raw[inside] * weight, first)
+    sums = np.add.reduceat(_BYTES[raw[inside]] * weight, first)
     return mix(sums + lengths.astype(np.uint64) * _M1)
 
 
@@ -106,6 +108,11 @@ def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def second_key(tokens: np.ndarray) -> int:
+    """Another number for a set, to tell apart those of one key."""
+    return xxhash.xxh64_intdigest(tokens.tobytes(), seed=1) - (1 << 63)
+
+
 def bit_sketch(tokens: np.ndarray) -> bytes:
     """The parity of the tokens in each of m places; m is a power of two, twice the tokens or more."""
     m = max(SKETCH_LEAST, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH_LEAST
@@ -188,8 +195,8 @@ def lane_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0 for every document (doc_id, n shingles, node: the set's key, sketch), and of
-    kind 1 for shingles that recur within COUNT_DOCS documents (node: the shingle, n: how often)."""
+    """Rows of kind 0 for every document (doc_id, n shingles, node: the set's key, its second key,
+    sketch), and of kind 1 for shingles that recur within COUNT_DOCS documents (node: the shingle, n: how often)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[np.ndarray] = []
@@ -198,18 +205,18 @@ def measure(docs: DataFrame) -> DataFrame:
             tokens, counts = np.unique(np.concatenate(waiting), return_counts=True)
             often = counts > 1
             waiting.clear()
-            return pd.DataFrame({"kind": 1, "doc_id": None, "n": counts[often], "node": tokens[often].view(np.int64), "sketch": None})
+            return pd.DataFrame({"kind": 1, "doc_id": None, "n": counts[often], "node": tokens[often].view(np.int64), "second": 0, "sketch": None})
 
         for b in tidy("measure", batches):
             sets = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": [set_key(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]})
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": [set_key(s) for s in sets], "second": [second_key(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]})
             waiting.extend(sets)
             if len(waiting) >= COUNT_DOCS:
                 yield recurring()
         if waiting:
             yield recurring()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, n long, node long, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, n long, node long, second long, sketch binary")
 
 
 def common_table(counted: DataFrame) -> np.ndarray:
@@ -485,14 +492,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest id that links reach, itself included. Null texts and texts without
     words have no shingle, link with nothing and keep their own id. Equal sets of any number are
-    one node. Rows with a null id take part as copies and carriers, and have their component's id.
-    An empty table gives no rows.
+    one node. Rows with a null id have the component of the rows with an id that hold their set; a
+    set that only rows without an id hold links with nothing, and theirs is null. Ids must be whole
+    numbers. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = materialise(measure(docs), "measured")
     rows = measured.filter("kind = 0")
-    sets = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rid"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    sets = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rid"), F.max("n").alias("n"), F.min("sketch").alias("sketch"), F.min_by("second", "doc_id").alias("second")), "nodes")
     total = sets.filter("rid is not null").agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(0.5 * total / BUCKET_KEYS))
     found = materialise(lane_groups(docs, common_table(measured.filter("kind = 1")), buckets), "lane-groups")
@@ -507,12 +515,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(verify_families(families, components, docs, sets))
         release(spark)
         components = materialise(connected_components(links), "components")
-    named = sets.select("node", "rid").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = sets.select("node", "rid", "second").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "named")
     least = materialise(named.groupBy("component").agg(F.min("rid").alias("component_id")), "least")
-    by_node = materialise(named.join(least, "component").select("node", "component_id"), "by-node")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_node = materialise(named.join(least, "component").select("node", "component_id", F.col("second").alias("held")), "by-node")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node", "second").join(by_node, "node", "left")
+    linked = (F.col("n_shingles") > 0) & (F.col("second") == F.col("held"))
+    return out.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,8 +531,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest id, once.
 
-    Rows with a null id can't be named, and stay. Where the ids that go are few they are broadcast,
-    so that the texts aren't shuffled."""
+    Rows with a null id can't be named, and stay, as do null and empty texts; of rows that repeat an
+    id one stays. Where the ids that go are few they are broadcast, so that the texts aren't
+    shuffled. The columns are those of `docs`; an empty table gives none."""
     small_batches(spark)
     judged = materialise(near_duplicates(docs), "judged")
     gone = judged.filter("doc_id <> component_id").select("doc_id").distinct()
