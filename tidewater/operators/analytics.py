@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
-from tidewater.operators.joins import link_candidates, link_label, token_jaccard
+from tidewater.operators.joins import link_label, worded_pairs
 from tidewater.sources.fixtures import table, view, with_views
 
 
@@ -23,10 +23,40 @@ def top_with_others(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     return top.unionByName(rest.select(F.lit("Others").alias(key), (F.col("all") - F.col("top")).alias("n")))
 
 
+#: Slices of a group's range of values in which quantiles are sought.
+SLICES = 4096
+
+
+def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column for each name of `shares`): exact quantiles, linear between neighbours.
+
+    Values are counted; a group's range is cut into slices, whose sums tell in which ones the wanted
+    places lie; only their values are put in order. So no task holds or sorts a whole group."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counted.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
+    at = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (SLICES - 1))).otherwise(0).cast("int")
+    sliced = counted.join(ends, key).withColumn("_slice", at)
+    sums = sliced.groupBy(key, "_slice", "_all").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("share")) for n, p in shares.items()])
+    place = sums.select(key, "_slice", "_n", "_before", F.explode(names).alias("q"), "_all").withColumn("_at", F.col("q.share") * (F.col("_all") - 1))
+    sides = place.select(key, "_slice", "_n", "_before", F.col("q.name").alias("name"), "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    wanted = sides.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(key, "_slice", "_before", "name", "_at", "_rank")
+    inner = Window.partitionBy(key, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    some = sliced.join(wanted.select(key, "_slice").distinct(), [key, "_slice"], "left_semi")
+    placed = some.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0))).select(key, "_slice", "_v", "_inside", F.col("_n").alias("_many"))
+    hit = wanted.join(placed, [key, "_slice"]).filter((F.col("_rank") - F.col("_before") >= F.col("_inside")) & (F.col("_rank") - F.col("_before") < F.col("_inside") + F.col("_many")))
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    found = hit.groupBy(key, "name").agg((low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("_q"))
+    return found.groupBy(key).pivot("name", list(shares)).agg(F.first("_q"))
+
+
 def describe_by(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max of each group."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), digits)
-    return rows.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("std"), F.min(value).cast("double").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(value).cast("double").alias("max"))
+    plain = rows.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("std"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
+    q = quantiles_by(rows, key, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return plain.join(q, key, "left").select(key, "n", "mean", "std", "min", *[F.round(p, digits).alias(p) for p in ("p25", "p50", "p75")], "max")
 
 
 def fill_pages(paragraphs: DataFrame, key: str = "report_id", page: str = "page", order: str = "pos") -> DataFrame:
@@ -120,8 +150,8 @@ def q_nest_by_report(spark, d):
 
 
 def q_section_length_stats(spark, d):
-    s = view(spark, d, "lines").groupBy("report_id").agg(F.collect_list(F.length("line")).alias("n"))
-    return s.select("report_id", F.size("n").cast("long").alias("n_sections"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.round(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("n"), 6).alias("mean"))
+    n = F.length("line")
+    return view(spark, d, "lines").groupBy("report_id").agg(F.count("*").alias("n_sections"), F.sum(n).alias("total"), F.round(F.sum(n) / F.count("*"), 6).alias("mean"))
 
 
 def q_token_totals(spark, d):
@@ -157,8 +187,8 @@ def q_change_counts(spark, d):
 
 
 def _links(spark, d) -> DataFrame:
-    pairs = link_candidates(view(spark, d, "recommendations"), view(spark, d, "issues"))
-    return pairs.select("report_id", "recommendation_id", "safety_issue_id", link_label(token_jaccard(F.col("recommendation"), F.col("safety_issue"))).alias("link"))
+    pairs = worded_pairs(view(spark, d, "recommendations"), view(spark, d, "issues"))
+    return pairs.select("report_id", "recommendation_id", "safety_issue_id", link_label(F.col("score")).alias("link"))
 
 
 def q_link_summary(spark, d):
@@ -226,9 +256,22 @@ def q_merge_small_sections(spark, d):
     return merge_small(view(spark, d, "lines"))
 
 
+def first_ranks(rows: DataFrame, key: str, member: str, *order: Column) -> DataFrame:
+    """(key, member, first_rank): the place of each member's first row among the rows of its key.
+
+    Only each member's first row is gathered; every row is counted under the number of first rows
+    before it, and the counts are summed up. No key's rows are put in order."""
+    placed = rows.withColumn("_o", F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)]))
+    firsts = placed.groupBy(key, member).agg(F.min("_o").alias("_o"))
+    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(member).alias("m")))).alias("_firsts"))
+    counted = placed.join(lists, key).select(key, F.size(F.filter("_firsts", lambda f: f["o"] < F.col("_o"))).alias("_k")).groupBy(key, "_k").agg(F.count("*").alias("_n"))
+    ranked = lists.select(key, F.posexplode("_firsts").alias("_j", "_f")).join(counted, key).filter(F.col("_k") <= F.col("_j"))
+    return ranked.groupBy(key, F.col("_f.m").alias(member)).agg(F.sum("_n").cast("int").alias("first_rank"))
+
+
 def q_first_rank(spark, d):
-    ranked = _scored(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")))
-    return ranked.groupBy(F.col("label").alias("query_id"), (F.col("vec_id") % 40).alias("report")).agg(F.min("rank").alias("first_rank"))
+    rows = _scored(spark, d).select(F.col("label").alias("query_id"), (F.col("vec_id") % 40).alias("report"), "score", "vec_id")
+    return first_ranks(rows, "query_id", "report", -F.col("score"), F.col("vec_id"))
 
 
 def q_topn_per_group(spark, d):
@@ -258,10 +301,29 @@ def q_ndcg(spark, d):
     return ndcg(ranked.select(F.col("label").alias("query_id"), "rank", (F.col("vec_id") % 3 == 0).alias("relevant")))
 
 
+def recall(ranked: DataFrame, expected: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, recall): the share of expected rows (key, item) that are among the ranked ones."""
+    hits = expected.join(ranked.select(key, item).distinct(), [key, item], "left_semi").groupBy(key).agg(F.count("*").alias("_hits"))
+    return expected.groupBy(key).agg(F.count("*").alias("_all")).join(hits, key, "left").select(key, F.round(F.coalesce("_hits", F.lit(0)) / F.col("_all"), 6).alias("recall"))
+
+
 def q_recall_at_k(spark, d):
-    top = top_per_group(_scored(spark, d), "label", 20, F.desc("score"), F.col("vec_id")).groupBy("label").agg(F.collect_list("vec_id").alias("found"))
-    want = _scored(spark, d).filter("score > 0.2").groupBy("label").agg(F.collect_list("vec_id").alias("expected"))
-    return want.join(top, "label").select("label", F.round(F.size(F.array_intersect("found", "expected")) / F.size("expected"), 6).alias("recall"))
+    top = top_per_group(_scored(spark, d), "label", 20, F.desc("score"), F.col("vec_id"))
+    return recall(top, _scored(spark, d).filter("score > 0.2").select("label", "vec_id"), "label", "vec_id")
+
+
+def ndcg_standard(ranked: DataFrame, relevant: DataFrame, most: int, key: str = "query_id") -> DataFrame:
+    """Discounted gain of relevant ranks over the best that (query, n) relevant rows allow in `most` ranks."""
+    got = ranked.groupBy(key).agg(F.sum(F.when(F.col("relevant"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("_got"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(most)).cast("int")), F.lit(0.0), lambda a, k: a + 1 / F.log2(k + 1))
+    best = relevant.filter("n > 0").select(key, ideal.alias("_best"))
+    return got.join(best, key).select(key, F.round(F.col("_got") / F.col("_best"), 6).alias("ndcg"))
+
+
+def q_ndcg_standard(spark, d):
+    ranked = top_per_group(_scored(spark, d), "label", 100, F.desc("score"), F.col("vec_id"))
+    relevant = _scored(spark, d).filter("vec_id % 3 = 0").groupBy(F.col("label").alias("query_id")).agg(F.count("*").alias("n"))
+    return ndcg_standard(ranked.select(F.col("label").alias("query_id"), "rank", (F.col("vec_id") % 3 == 0).alias("relevant")), relevant, 100)
 
 
 def q_search_leaderboard(spark, d):
@@ -271,8 +333,8 @@ def q_search_leaderboard(spark, d):
 
 
 def q_jaccard(spark, d):
-    r = view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id")
-    return r.select("recommendation_id", "safety_issue_id", F.round(token_jaccard(F.col("recommendation"), F.col("safety_issue")), 6).alias("jaccard"))
+    pairs = worded_pairs(view(spark, d, "recommendations"), view(spark, d, "issues"))
+    return pairs.select("recommendation_id", "safety_issue_id", F.round("score", 6).alias("jaccard"))
 
 
 def q_manhattan(spark, d):
@@ -334,4 +396,5 @@ SELECT report_id, CAST(first AS VARCHAR) || '-' || CAST(last AS VARCHAR) AS sect
     "search_leaderboard": "WITH m AS (SELECT label, f, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(['first', 'second', 'third']) AS f, unnest(embedding[1:3]) AS x FROM embeddings) GROUP BY ALL) SELECT label, arg_max(f, (mean, f)) AS best, max(mean) AS mean FROM m GROUP BY label",
     "jaccard": with_views(f"SELECT recommendation_id, safety_issue_id, round({_SCORE}, 6) AS jaccard FROM recommendations JOIN issues USING (report_id)", "recommendations", "issues"),
     "manhattan": "WITH x AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL) SELECT vec_id, round(sum(abs(v - m)), 5) AS distance FROM x JOIN c USING (label, i) GROUP BY vec_id",
+    "ndcg_standard": f"WITH {_RK}, n AS (SELECT label, least(count(*), 100) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label), b AS (SELECT label, sum(1 / log2(k + 1)) AS best FROM (SELECT label, unnest(range(1, n + 1)) AS k FROM n) GROUP BY label) SELECT k.label AS query_id, round(sum(CASE WHEN vec_id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(best), 6) AS ndcg FROM k JOIN b ON b.label = k.label WHERE rank <= 100 GROUP BY k.label",
 }

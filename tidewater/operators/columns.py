@@ -91,7 +91,7 @@ def q_mode_label(spark, d):
 
 def q_document_schema_union(spark, d):
     sections = view(spark, d, "lines").select("report_id", F.col("pos").cast("string").alias("section"), F.col("line").alias("section_text"))
-    summaries = _reports(spark, d).select("report_id", F.substring("text", 1, 300).alias("summary"))
+    summaries = _reports(spark, d).select("report_id", F.col("text").alias("summary"))
     return document_union(view(spark, d, "issues"), view(spark, d, "recommendations"), sections, summaries)
 
 
@@ -221,7 +221,7 @@ SELECT doc_id, report_id, CAST(CASE regexp_extract(report_id, '_([amr])_', 1) WH
     "document_schema_union": with_views("""SELECT safety_issue AS document, concat_ws('_', safety_issue_id, 'si', report_id) AS document_id, report_id, 'safety_issue' AS document_type FROM issues
 UNION ALL SELECT recommendation, concat_ws('_', recommendation_id, 'rec', report_id), report_id, 'recommendation' FROM recommendations
 UNION ALL SELECT line, concat_ws('_', CAST(pos AS VARCHAR), 'sec', report_id), report_id, 'section' FROM lines
-UNION ALL SELECT substr(text, 1, 300), concat_ws('_', 'sum', report_id), report_id, 'summary' FROM reports""", "issues", "recommendations", _R),
+UNION ALL SELECT text, concat_ws('_', 'sum', report_id), report_id, 'summary' FROM reports""", "issues", "recommendations", _R),
     "concat_text": with_views("SELECT report_id, concat_ws(chr(10), event_type, agency_id) AS title_text FROM reports", _R),
     "id_prefix": with_views("SELECT report_id, array_to_string(string_split(agency_id, '-')[1:3], '-') AS prefix FROM reports", _R),
     "result_clean": with_views("SELECT report_id, document_type, CASE mode WHEN '0' THEN 'Aviation' WHEN '1' THEN 'Rail' WHEN '2' THEN 'Marine' END AS mode_label, printf('%.4f', CAST(embedding[1] AS DOUBLE) / 2 + 0.5) AS relevance, CASE WHEN length(document) < 1200 THEN document ELSE substr(document, 1, 1200) || '...' END AS document FROM vectors", "vectors"),

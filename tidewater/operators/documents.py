@@ -205,7 +205,7 @@ def q_regex_replace(spark, d):
 
 
 def q_split_paragraphs(spark, d):
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return _reports(spark, d).select("report_id", F.posexplode(parts).alias("k", "paragraph"))
 
 

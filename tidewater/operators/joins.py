@@ -77,20 +77,34 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(often, key)
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != ""))
-    both, either = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
+def word_set(text: Column) -> Column:
+    """The different words a-z of a text, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != ""))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Shared over all items of two arrays of different items; 0 where both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either == 0, 0.0).otherwise(both.cast("double") / either)
 
 
+def worded_pairs(recommendations: DataFrame, issues: DataFrame) -> DataFrame:
+    """The pairs of link_candidates with `score`, the Jaccard similarity of their words; each text is
+    cut into words once, before the join, and isn't carried through it."""
+    r = recommendations.select("report_id", "recommendation_id", word_set(F.col("recommendation")).alias("_r"))
+    i = issues.select("report_id", "safety_issue_id", word_set(F.col("safety_issue")).alias("_i"))
+    return link_candidates(r, i).select("report_id", "recommendation_id", "safety_issue_id", set_jaccard(F.col("_r"), F.col("_i")).alias("score"))
+
+
 def link_label(score: Column) -> Column:
     """The offline label of a recommendation and an issue by their shared words."""
     return F.when(score >= 0.5, "Confirmed").when(score >= 0.15, "Possible").otherwise("None")
 
 
 def _links(spark, d) -> DataFrame:
-    pairs = link_candidates(view(spark, d, "recommendations"), view(spark, d, "issues"))
-    return pairs.select("report_id", "recommendation_id", "safety_issue_id", link_label(token_jaccard(F.col("recommendation"), F.col("safety_issue"))).alias("link"))
+    pairs = worded_pairs(view(spark, d, "recommendations"), view(spark, d, "issues"))
+    return pairs.select("report_id", "recommendation_id", "safety_issue_id", link_label(F.col("score")).alias("link"))
 
 
 def q_extracted_reports(spark, d):
@@ -100,6 +114,8 @@ def q_extracted_reports(spark, d):
         r.filter("lang <> 'es'").select("report_id", "event_type"),
         view(spark, d, "issues").groupBy("report_id").agg(F.count("*").alias("n_issues")),
         view(spark, d, "recommendations").groupBy("report_id").agg(F.count("*").alias("n_recommendations")),
+        view(spark, d, "bounds").filter("last_pos > 3").select("report_id", "last_pos"),
+        r.filter("agency <> 'TSB'").select("report_id", "source"),
     ]
     return combine_reports(parts, r.select("report_id", "agency_id", "investigation_type"))
 
@@ -183,8 +199,8 @@ def q_merge_indicator(spark, d):
 
 
 def q_match_coverage(spark, d):
-    pairs = link_candidates(view(spark, d, "recommendations"), view(spark, d, "issues"))
-    best = pairs.groupBy("report_id", "safety_issue_id").agg(F.max((token_jaccard(F.col("recommendation"), F.col("safety_issue")) > 0.1).cast("int")).alias("matched"))
+    pairs = worded_pairs(view(spark, d, "recommendations"), view(spark, d, "issues"))
+    best = pairs.groupBy("report_id", "safety_issue_id").agg(F.max((F.col("score") > 0.1).cast("int")).alias("matched"))
     per = best.groupBy("report_id").agg(F.avg("matched").alias("coverage"))
     return per.agg(F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.avg((F.col("coverage") == 1).cast("int")), 6).alias("fully_matched"), F.count("*").alias("n_reports"))
 
@@ -237,8 +253,9 @@ _LINKS = f"links AS (SELECT report_id, recommendation_id, safety_issue_id, CASE
 _R = "reports"
 ORACLES = {
     "extracted_reports": with_views("""WITH a AS (SELECT report_id, CAST(length(text) AS INT) AS n_chars FROM reports WHERE year <> 2007), b AS (SELECT report_id, event_type FROM reports WHERE lang <> 'es'),
-c AS (SELECT report_id, count(*) AS n_issues FROM issues GROUP BY report_id), e AS (SELECT report_id, count(*) AS n_recommendations FROM recommendations GROUP BY report_id)
-SELECT report_id, n_chars, b.event_type, n_issues, n_recommendations, t.agency_id, t.investigation_type FROM a FULL JOIN b USING (report_id) FULL JOIN c USING (report_id) FULL JOIN e USING (report_id) LEFT JOIN reports t USING (report_id)""", _R, "issues", "recommendations"),
+c AS (SELECT report_id, count(*) AS n_issues FROM issues GROUP BY report_id), e AS (SELECT report_id, count(*) AS n_recommendations FROM recommendations GROUP BY report_id),
+f AS (SELECT report_id, last_pos FROM bounds WHERE last_pos > 3), g AS (SELECT report_id, source FROM reports WHERE agency <> 'TSB')
+SELECT report_id, n_chars, b.event_type, n_issues, n_recommendations, f.last_pos, g.source, t.agency_id, t.investigation_type FROM a FULL JOIN b USING (report_id) FULL JOIN c USING (report_id) FULL JOIN e USING (report_id) FULL JOIN f USING (report_id) FULL JOIN g USING (report_id) LEFT JOIN reports t USING (report_id)""", _R, "issues", "recommendations", "bounds"),
     "unassigned_types": with_views("SELECT report_id, event_type FROM reports WHERE agency = 'ATSB'", _R),
     "safety_issue_inputs": with_views("WITH a AS (SELECT report_id, year FROM reports WHERE agency <> 'TAIC'), b AS (SELECT report_id, lang FROM reports WHERE lang = 'en') SELECT report_id, a.year, b.lang, t.investigation_type FROM a FULL JOIN b USING (report_id) LEFT JOIN reports t USING (report_id)", _R),
     "missing_recommendations": with_views("SELECT report_id, agency_id FROM reports WHERE agency = 'ATSB' AND NOT EXISTS (SELECT 1 FROM recommendations c WHERE c.report_id = reports.report_id AND length(c.recommendation) > 200)", _R, "recommendations"),

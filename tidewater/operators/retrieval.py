@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
+from tidewater.plans.shared import shared_path
 from tidewater.sources.fixtures import table, view, with_views
 
 #: Result limits, by kind of search.
@@ -16,6 +21,8 @@ SEARCH_LIMIT, EVERYTHING_LIMIT = 5000, 1_000_000
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Every so manyth row is a query of the search queries.
 QUERY_STEP = 50
+#: Values of the queries that are broadcast for one pass; rows that are compared with them at once.
+QUERY_VALUES, ROWS_AT_ONCE = 1_000_000, 64
 DOCUMENT_TYPES = ("safety_issue", "recommendation", "section", "summary")
 #: Names of document types on the form that differ from the stored ones.
 FORM_TYPES = {"report_section": "section", "report_text": "summary"}
@@ -62,40 +69,104 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def query_blocks(queries: DataFrame, rows: int = 1000) -> list[DataFrame]:
-    """The queries in blocks of about `rows`, each small enough to be broadcast."""
-    blocks = max(1, -(-queries.count() // rows))
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the vectors that have a direction, those scaled to length one in double precision)."""
+    at = [i for i, v in enumerate(vectors) if v is not None and len(v)]
+    rows = np.array([vectors[i] for i in at], np.float64).reshape(len(at), -1) if at else np.zeros((0, 1))
+    norms = np.sqrt((rows * rows).sum(1))
+    fine = norms > 0
+    return np.array(at, int)[fine], rows[fine] / norms[fine, None]
+
+
+class Nearest:
+    """The k best rows of each of some queries so far: by relevance to six digits, then the smaller
+    key. A row that doesn't reach a query's k-th relevance is gone after one comparison."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, k: int):
+        self.ids, self.unit, self.k = ids, unit, k
+        self.least = np.full(len(ids), -np.iinfo(np.int64).max)
+        self.held = [np.zeros(0, np.int64)] * 3  # query, relevance in millionths, key
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        for s in range(0, len(keys), ROWS_AT_ONCE):
+            scores = np.rint(rows[s : s + ROWS_AT_ONCE] @ self.unit.T * 1e6).astype(np.int64)
+            i, q = np.nonzero((scores >= self.least) & (keys[s : s + ROWS_AT_ONCE, None] != self.ids))
+            if not len(i):
+                continue
+            query, score, key = (np.concatenate(x) for x in zip(self.held, (q, scores[i, q], keys[s + i]), strict=True))
+            order = np.lexsort((key, -score, query))
+            query, score, key = query[order], score[order], key[order]
+            starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+            rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+            best = rank < self.k
+            self.least[query[rank == self.k - 1]] = score[rank == self.k - 1]
+            self.held = [query[best], score[best], key[best]]
+
+    def rows(self, key: str) -> pd.DataFrame:
+        query, score, best = self.held
+        return pd.DataFrame({"query_id": self.ids[query], key: best, "millionths": score})
+
+
+def knn(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block_values: int = QUERY_VALUES) -> DataFrame:
+    """(query_id, key, relevance, rank): the k nearest rows of every query, itself left out. Queries
+    are rows of (query_id, q), docs of (key, embedding); ids are whole numbers, vectors of one length.
+
+    The queries go past all rows in blocks of `block_values` values, each broadcast for one pass; a
+    task keeps k rows a query, and only those are shuffled. Several blocks are written one after the
+    other to the shared folder and read as one table, so neither the plan nor the driver's memory
+    grows with the queries. Vectors that are null, empty or zero are nobody's neighbours."""
+    spark = docs.sparkSession
+    values = queries.agg(F.sum(F.size("q").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-values // block_values))
+    w = Window.partitionBy("query_id").orderBy(F.desc("millionths"), key)
+    shape = f"query_id long, {key} long, millionths long"
+    folder = shared_path(spark, "nearest") if blocks > 1 else None
+    for block in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").collect()
+        at, unit = unit_rows([r["q"] for r in own])
+        held = spark.sparkContext.broadcast((np.array([own[i]["query_id"] for i in at], np.int64), unit))
+
+        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            best = Nearest(*held.value, k)
+            for b in batches:
+                at, rows = unit_rows(b["embedding"].tolist())
+                if len(at) and len(best.ids):
+                    best.add(b[key].to_numpy(np.int64)[at], rows)
+            yield best.rows(key)
+
+        near = docs.select(F.col(key).cast("long").alias(key), "embedding").mapInPandas(search, shape)
+        top = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        top = top.select("query_id", key, F.round(F.col("millionths") / 1e6, 6).alias("relevance"), "rank")
+        if folder is None:
+            return top
+        top.write.mode("append").parquet(folder)
+        held.destroy()
+    return spark.read.parquet(folder)
 
 
-def knn(docs: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, key, relevance, rank): the k nearest rows of every query. Queries of (query_id,
-    q) go past all rows in broadcast blocks; each task keeps k rows a query before they are shuffled."""
-    best = None
-    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), key)
-    for block in query_blocks(queries):
-        near = docs.join(F.broadcast(block), F.col(key) != F.col("query_id")).select("query_id", key, F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("relevance"))
-        top = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        best = top if best is None else best.unionByName(top)
-    return best
+def words_of(text: Column) -> Column:
+    """The words a-z of a text, in order, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) from a row for each place."""
-    return terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def bm25(docs: DataFrame, wanted: list[str], key: str = "doc_id", body: str = "text") -> DataFrame:
+    """(key, score) of documents with any of the terms. A document's length and its counts of the
+    terms are found where it is read; what is shuffled is one row of sums over all documents."""
+    wanted = list(dict.fromkeys(wanted))
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
+    words = docs.select(key, words_of(F.col(body)).alias("w")).filter(F.size("w") > 0)
+    count = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
+    counted = words.select(key, F.size("w").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    totals = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
+    joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0).join(F.broadcast(totals), F.lit(True))
+    part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return joined.select(key, F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(wanted))]), 6).alias("score"))
 
 
-def bm25(terms: DataFrame, wanted: list[str]) -> DataFrame:
-    """(doc_id, score) of documents with any of the terms. Only their postings are joined; lengths
-    and document frequencies are counted over all."""
-    lengths = terms.groupBy("doc_id").agg(F.count("*").alias("len"))
-    size = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    post = postings(terms.filter(F.col("term").isin(wanted)))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    joined = post.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(size), F.lit(True))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy("doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """(term, key, tf) of every word of the documents."""
+    return docs.select(key, F.explode(words_of(F.col(body))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def fuse(ranked: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFrame:
@@ -106,10 +177,10 @@ def fuse(ranked: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFr
     return votes.groupBy(key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
 
 
-def tfidf(terms: DataFrame, stop: list[str]) -> DataFrame:
+def tfidf(docs: DataFrame, stop: list[str]) -> DataFrame:
     """(doc_id, term, tfidf) without stop-words; the number of documents is counted over all."""
-    kept = postings(terms.filter(~F.col("term").isin(stop)))
-    n = terms.agg(F.countDistinct("doc_id").alias("docs"))
+    kept = postings(docs).filter(~F.col("term").isin(stop))
+    n = docs.agg(F.sum((F.size(words_of(F.col("text"))) > 0).cast("long")).alias("docs"))
     df = kept.groupBy("term").agg(F.count("*").alias("df"))
     return kept.join(df, "term").join(F.broadcast(n), F.lit(True)).select("doc_id", "term", (F.col("tf") * F.log(F.col("docs") / F.col("df"))).alias("tfidf"))
 
@@ -119,10 +190,9 @@ def plan(spark: SparkSession, sf_dir: str, query: str, settings: SearchSettings,
     docs = view(spark, sf_dir, "vectors").filter(settings.predicate())
     kind = search_type(query)
     if kind == "none":
-        return docs.withColumn("relevance", F.lit(0.0)).limit(EVERYTHING_LIMIT)
+        return docs.withColumn("relevance", F.lit(0.0)).orderBy("vec_id").limit(EVERYTHING_LIMIT)
     if kind == "fts":
-        terms = docs.select(F.col("vec_id").alias("doc_id"), F.explode(F.regexp_extract_all(F.lower("document"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
-        hits = bm25(terms, query.lower().strip('" ').split()).withColumnsRenamed({"doc_id": "vec_id", "score": "relevance"})
+        hits = bm25(docs, query.lower().strip('" ').split(), "vec_id", "document").withColumnRenamed("score", "relevance")
         return docs.join(hits, "vec_id").orderBy(F.desc("relevance"), "vec_id").limit(SEARCH_LIMIT)
     q = F.array(*[F.lit(float(x)) for x in vector])
     return docs.withColumn("relevance", cosine(F.col("embedding"), q)).orderBy(F.desc("relevance"), "vec_id").limit(SEARCH_LIMIT)
@@ -141,6 +211,12 @@ def nearest_cells(docs: DataFrame, cells: int = 16, seed: int = 3, sample_rows:
     return model.transform(rows).withColumnRenamed("prediction", "cell").drop("features"), [list(map(float, c)) for c in model.clusterCenters()]
 
 
+def probe_order(vector: Column, centres: list[list[float]]) -> Column:
+    """The cells by the cosine of their centres with a vector, the nearest first."""
+    far = F.array(*[F.struct((-cosine(vector, F.array(*map(F.lit, c)))).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
+    return F.transform(F.array_sort(far), lambda x: x["cell"])
+
+
 def _queries(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").filter(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
@@ -161,7 +237,7 @@ def q_knn_join(spark, d):
 
 
 def q_bm25_search(spark, d):
-    return bm25(view(spark, d, "terms"), SEARCH_TERMS)
+    return bm25(table(spark, d, "documents"), SEARCH_TERMS)
 
 
 def q_fts_phrase_terms(spark, d):
@@ -170,7 +246,7 @@ def q_fts_phrase_terms(spark, d):
 
 
 def q_hybrid_rrf(spark, d):
-    words = bm25(view(spark, d, "terms"), SEARCH_TERMS).orderBy(F.desc("score"), "doc_id").limit(100)
+    words = bm25(table(spark, d, "documents"), SEARCH_TERMS).orderBy(F.desc("score"), "doc_id").limit(100)
     mean = table(spark, d, "embeddings").agg(F.array(*[F.avg(F.element_at("embedding", k + 1).cast("double")) for k in range(64)]).alias("q"))
     near = table(spark, d, "embeddings").join(F.broadcast(mean), F.lit(True)).select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
     ranked = [x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))) for x in (words, near)]
@@ -200,20 +276,21 @@ def q_report_weighted(spark, d):
 
 
 def q_tfidf_top_terms(spark, d):
-    scored = tfidf(view(spark, d, "terms"), STOP_WORDS).withColumn("tfidf", F.round("tfidf", 6))
+    scored = tfidf(table(spark, d, "documents"), STOP_WORDS).withColumn("tfidf", F.round("tfidf", 6))
     w = Window.partitionBy("doc_id").orderBy(F.desc("tfidf"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
 def q_ivf_recall(spark, d):
+    """Recall of the ten nearest by the number of probed cells. Within the probed cells the search is
+    exact, so a neighbour is found if its cell is among the first probes of its query."""
     docs = table(spark, d, "embeddings").select("vec_id", "embedding")
     cells, centres = nearest_cells(docs)
-    probes = F.slice(F.array_sort(F.array(*[F.struct((-cosine(F.col("q"), F.array(*map(F.lit, c)))).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])), 1, 14)
-    asked = _queries(spark, d).withColumn("cell", F.explode(F.transform(probes, lambda x: x["cell"])))
-    near = cells.join(F.broadcast(asked), "cell").filter("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("relevance"))
-    found = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id"))).filter("rank <= 10")
-    exact = knn(docs, _queries(spark, d), 10)
-    return exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), F.count("*").alias("n"))
+    asked = _queries(spark, d).select("query_id", probe_order(F.col("q"), centres).alias("order"))
+    near = knn(docs, _queries(spark, d), 10).select("query_id", "vec_id").join(cells.select("vec_id", "cell"), "vec_id").join(asked, "query_id")
+    place = near.select(F.array_position("order", F.col("cell")).alias("place"))
+    probes = F.explode(F.sequence(F.lit(1), F.lit(len(centres))))
+    return place.select("place", probes.alias("probes")).groupBy("probes").agg(F.round(F.avg((F.col("place") <= F.col("probes")).cast("int")), 4).alias("recall"), F.count("*").alias("n"))
 
 
 def q_kmeans_clusters(spark, d):
@@ -224,7 +301,7 @@ def q_kmeans_clusters(spark, d):
 def q_rag_context(spark, d):
     hits = knn(table(spark, d, "embeddings").select("vec_id", "embedding"), _queries(spark, d), 5)
     told = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    line = F.concat(F.lit("["), F.col("vec_id").cast("string"), F.lit("] "), "text")
+    line = F.concat(F.lit("["), F.col("vec_id").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
     return told.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("context"))
 
 
@@ -243,9 +320,10 @@ ORACLES = {
     "hybrid_rrf": with_views(f"""WITH {_BM25}, x AS (SELECT unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS q FROM (SELECT i, avg(v) AS a FROM x GROUP BY i)),
 n AS (SELECT vec_id AS doc_id, round({_COS.format(a='embedding', b='q')}, 6) AS score FROM embeddings, m), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM n)
 SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM r WHERE rank <= 100 GROUP BY doc_id""", "terms"),
-    "search_all": with_views("SELECT vec_id, report_id, CAST(0 AS DOUBLE) AS relevance FROM vectors WHERE year BETWEEN 2005 AND 2015", "vectors"),
+    "search_all": with_views("SELECT vec_id, report_id, CAST(0 AS DOUBLE) AS relevance FROM vectors WHERE year BETWEEN 2005 AND 2015 ORDER BY vec_id LIMIT 1000000", "vectors"),
     "search_type": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'none' WHEN turn % 3 = 1 THEN 'fts' WHEN trim(text, ' ') = '' THEN 'none' WHEN starts_with(trim(text, ' '), '\"') AND ends_with(trim(text, ' '), '\"') THEN 'fts' ELSE 'vector' END AS search_type FROM conversations",
     "rerank": "WITH " + _KNN.format(docs="embeddings") + ", s AS (SELECT query_id, vec_id, relevance + coalesce(len(string_split(text, chr(10))), 0) / 1000 AS second FROM k LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 20) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY second DESC, vec_id) AS INT) AS rank FROM s",
     "report_weighted": "WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings), r AS (SELECT label, avg(score) AS rel FROM v WHERE score > 0.15 GROUP BY label) SELECT vec_id, round(score * coalesce(rel, 10), 6) AS weighted FROM v LEFT JOIN r USING (label)",
     "tfidf_top_terms": with_views(f"WITH p AS (SELECT term, doc_id, count(*) AS tf FROM terms WHERE term NOT IN {_STOP} GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS docs FROM terms), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT doc_id, term, round(tf * ln(docs / df), 6) AS tfidf FROM p JOIN df USING (term), n) SELECT doc_id, term, tfidf, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank FROM s) WHERE rank <= 5", "terms"),
+    "rag_context": "WITH " + _KNN.format(docs="embeddings") + " SELECT query_id, string_agg('[' || vec_id || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = vec_id WHERE rank <= 5 GROUP BY query_id",
 }

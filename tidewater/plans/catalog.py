@@ -35,10 +35,26 @@ class Catalog:
 
     def write(self, df: DataFrame, table: str, keep: int = 2) -> None:
         """Writes a new version and drops all but the last `keep`. A failed write leaves the current one."""
-        df.write.parquet(f"{self.root}/{table}/{time.time_ns():020d}")
+        path = f"{self.root}/{table}/{time.time_ns():020d}"
+        try:
+            df.write.parquet(path)
+        except Exception:
+            self.fs.delete(self.path(path), True)
+            raise
         for old in self.versions(table)[:-keep]:
             self.fs.delete(self.path(f"{self.root}/{table}/{old}"), True)
 
+    def compact(self, table: str, file_bytes: int = 256 << 20, days: float = 14) -> None:
+        """Writes the current version again in files of about `file_bytes`, then drops the versions
+        that are older than `days`; the current one always stays."""
+        current = self.versions(table)[-1]
+        size = self.fs.getContentSummary(self.path(f"{self.root}/{table}/{current}")).getLength()
+        self.write(self.read(table).repartition(max(1, -(-size // file_bytes))), table, keep=1 << 30)
+        oldest = time.time_ns() - int(days * 86_400e9)
+        for old in self.versions(table)[:-1]:
+            if int(old) < oldest:
+                self.fs.delete(self.path(f"{self.root}/{table}/{old}"), True)
+
 
 def run_incremental(catalog: Catalog, table: str, inputs: DataFrame, step, key: str, refresh: bool = False) -> DataFrame:
     """Applies `step` to the inputs whose key the table lacks, and writes the table with the new
