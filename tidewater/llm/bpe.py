@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import small_batches, table, trim, worker_state
 
-#: Words that a worker remembers, besides as many that it met before those; symbols of a word from which merging goes
-#: by a heap, whose time grows as n log n.
+#: Words that a worker remembers, besides as many that it met before those, and their most letters; symbols of a word
+#: from which merging goes by a heap, whose time grows as n log n.
 MEMORY = 150_000
+KEPT_LETTERS = 64
 LONG_WORD = 2048
 #: Symbols merged together at most, so that memory stays bounded.
 FLAT_SYMBOLS = 200_000
@@ -185,7 +186,10 @@ class Codec:
         self.known.update(again)
         self.learn_words(new.difference(again))
         ids = self.known.__getitem__
-        return [list(chain.from_iterable(map(ids, ws))) for ws in cut]
+        out = [list(chain.from_iterable(map(ids, ws))) for ws in cut]
+        for word in [w for w in new if len(w) > KEPT_LETTERS]:
+            del self.known[word]
+        return out
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
         """The text of each list of ids; bytes that aren't UTF-8 become U+FFFD. An id outside the
