@@ -55,8 +55,27 @@ def statistics(text: str | None) -> np.ndarray:
     packed = len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1))
     ends = Counter(w[-1] for w in words)
     return np.array([
-        np.log1p(chars), np.log1p(n), np.log(lengths.mean()), np.log1p(lengths.std()), np.sqrt(kinds[1]), np.sqrt(kinds[3]), np.sqrt(kinds[6]), np.sqrt(kinds[5]), np.sqrt(bare / n), len(counts) / n**0.9,
-        np.sqrt(counts.most_common(1)[0][1] / n), np.sqrt(repeats / n), np.log1p(len(lines)), np.log1p(n / max(1, len(lines))), np.sqrt(1 - len(set(lines)) / max(1, len(lines))), packed / (chars + 100.0), np.sqrt(kinds[2]), np.sqrt((lengths <= 3).mean()), np.sqrt(sum(1 for w in words if w[0].isupper()) / n), np.sqrt((ends["."] + ends["!"] + ends["?"]) / n), np.sqrt(sum(v for k, v in ends.items() if not k.isalnum() and k not in ".,;:?'\")-") / n),
+        np.log1p(chars),
+        np.log1p(n),
+        np.log(lengths.mean()),
+        np.log1p(lengths.std()),
+        np.sqrt(kinds[1]),
+        np.sqrt(kinds[3]),
+        np.sqrt(kinds[6]),
+        np.sqrt(kinds[5]),
+        np.sqrt(bare / n),
+        len(counts) / n**0.9,
+        np.sqrt(counts.most_common(1)[0][1] / n),
+        np.sqrt(repeats / n),
+        np.log1p(len(lines)),
+        np.log1p(n / max(1, len(lines))),
+        np.sqrt(1 - len(set(lines)) / max(1, len(lines))),
+        packed / (chars + 100.0),
+        np.sqrt(kinds[2]),
+        np.sqrt((lengths <= 3).mean()),
+        np.sqrt(sum(1 for w in words if w[0].isupper()) / n),
+        np.sqrt((ends["."] + ends["!"] + ends["?"]) / n),
+        np.sqrt(sum(v for k, v in ends.items() if not k.isalnum() and k not in ".,;:?'\")-") / n),
     ])
 
 
