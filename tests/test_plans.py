@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import retrieval
 from tidewater.plans import providers
 from tidewater.plans.catalog import Catalog, ledger_rows, run_incremental
+from tidewater.plans.index import SearchIndex
 from tidewater.streaming.incremental import stream_new
 
 
@@ -35,6 +37,38 @@ def test_incremental(spark, tmp_path):
     assert ledger_rows(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "document_id int, v string")).count() == 2
 
 
+def test_checkpoints_within_a_run(spark, tmp_path):
+    c, seen = Catalog(spark, f"file://{tmp_path}"), []
+
+    def step(df):
+        seen.append(df.count())
+        if len(seen) == 3:
+            raise RuntimeError("broken off")
+        return df
+
+    with pytest.raises(RuntimeError):
+        run_incremental(c, "s", spark.range(200), step, "id", every=50)
+    done = c.read("s").count()
+    assert done == sum(seen[:2]) > 0
+    assert run_incremental(c, "s", spark.range(200), step, "id", every=50).count() == 200 and sum(seen[3:]) == 200 - done
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), F.col("vec_id") == F.col("doc_id")).select("vec_id", F.col("text").alias("document"), "embedding")
+    index, half = SearchIndex(Catalog(spark, f"file://{tmp_path}")), docs.filter("vec_id % 2 = 0")
+    index.build(half, cells=4)
+    index.add(docs)
+    index.add(docs)
+    words = ["licensed", "reserved", "the"]
+    want = {r["vec_id"]: r["score"] for r in retrieval.bm25(docs, words, "vec_id", "document").collect()}
+    assert {r["vec_id"]: r["score"] for r in index.bm25(words).collect()} == pytest.approx(want, abs=2e-6) and want
+    q = docs.filter("vec_id = 3").first()["embedding"]
+    asked = spark.createDataFrame([(-1, list(map(float, q)))], "query_id long, q array<double>")
+    exact = [r["vec_id"] for r in retrieval.knn(docs, asked, 5).orderBy("rank").collect()]
+    assert [r["vec_id"] for r in index.nearest(q, 5, probes=4).orderBy("rank").collect()] == exact and exact[0] == 3
+    assert index.nearest(q, 5, probes=1).first()["relevance"] > 0
+
+
 def test_providers(spark):
     df = spark.createDataFrame([("brake failure on the train",), ("",)], "document string")
     rows = providers.embed_column(df, providers.HashEmbedder(8)).collect()

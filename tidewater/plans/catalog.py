@@ -56,13 +56,18 @@ class Catalog:
                 self.fs.delete(self.path(f"{self.root}/{table}/{old}"), True)
 
 
-def run_incremental(catalog: Catalog, table: str, inputs: DataFrame, step, key: str, refresh: bool = False) -> DataFrame:
+def run_incremental(catalog: Catalog, table: str, inputs: DataFrame, step, key: str, refresh: bool = False, every: int | None = None) -> DataFrame:
     """Applies `step` to the inputs whose key the table lacks, and writes the table with the new
-    rows; `refresh` does all anew."""
+    rows; `refresh` does all anew. With `every` the table is written after about so many inputs, and
+    a run that breaks off goes on where it stopped."""
     old = None if refresh or not catalog.versions(table) else catalog.read(table)
-    new = step(inputs if old is None else inputs.join(old.select(key), key, "left_anti"))
-    catalog.write(new if old is None else old.unionByName(new), table)
-    return catalog.read(table)
+    lacking = lambda rows: rows if old is None else rows.join(old.select(key), key, "left_anti")
+    parts = 1 if every is None else max(1, -(-lacking(inputs).count() // every))
+    for part in range(parts):
+        new = step(lacking(inputs.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else inputs))
+        catalog.write(new if old is None else old.unionByName(new), table)
+        old = catalog.read(table)
+    return old
 
 
 def ledger_rows(df: DataFrame, key: str = "document_id") -> DataFrame:
