@@ -24,7 +24,7 @@ from tidewater.llm.common import small_batches, table, trim, worker_state
 
 #: Words that a worker remembers, besides as many that it met before those, and their most letters; symbols of a word
 #: from which merging goes by a heap, whose time grows as n log n.
-MEMORY = 150_000
+MEMORY = 50_000
 KEPT_LETTERS = 64
 LONG_WORD = 2048
 #: Symbols merged together at most, so that memory stays bounded.

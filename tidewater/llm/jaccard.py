@@ -46,9 +46,9 @@ COMMON_DOCS = 3
 COMMON_MOST = 1_000_000
 COMMON_TABLE = 1 << 26
 #: Documents whose shingles are counted together; lane keys of one bucket and of one flush.
-COUNT_DOCS = 4096
+COUNT_DOCS = 2048
 BUCKET_KEYS = 500_000
-FLUSH_KEYS = 500_000
+FLUSH_KEYS = 250_000
 #: Sets of one side of a block of comparisons; pairs verified together; ids that are broadcast at most.
 BLOCK = 1024
 GROUP_PAIRS = 200
