@@ -34,19 +34,34 @@ def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]
     places lie; only their values are put in order. So no task holds or sorts a whole group."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     ends = counted.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    at = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (SLICES - 1))).otherwise(0).cast("int")
+    at = F.when(
+        F.col("_high") > F.col("_low"),
+        F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (SLICES - 1)),
+    ).otherwise(0).cast("int")
     sliced = counted.join(ends, key).withColumn("_slice", at)
     sums = sliced.groupBy(key, "_slice", "_all").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("share")) for n, p in shares.items()])
     place = sums.select(key, "_slice", "_n", "_before", F.explode(names).alias("q"), "_all").withColumn("_at", F.col("q.share") * (F.col("_all") - 1))
-    sides = place.select(key, "_slice", "_n", "_before", F.col("q.name").alias("name"), "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
-    wanted = sides.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).select(key, "_slice", "_before", "name", "_at", "_rank")
+    sides = place.select(
+        key,
+        "_slice",
+        "_n",
+        "_before",
+        F.col("q.name").alias("name"),
+        "_at",
+        F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"),
+    )
+    wanted = sides.filter(
+        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")),
+    ).select(key, "_slice", "_before", "name", "_at", "_rank")
     inner = Window.partitionBy(key, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     some = sliced.join(wanted.select(key, "_slice").distinct(), [key, "_slice"], "left_semi")
     placed = some.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0))).select(key, "_slice", "_v", "_inside", F.col("_n").alias("_many"))
-    hit = wanted.join(placed, [key, "_slice"]).filter((F.col("_rank") - F.col("_before") >= F.col("_inside")) & (F.col("_rank") - F.col("_before") < F.col("_inside") + F.col("_many")))
+    hit = wanted.join(placed, [key, "_slice"]).filter(
+        (F.col("_rank") - F.col("_before") >= F.col("_inside")) & (F.col("_rank") - F.col("_before") < F.col("_inside") + F.col("_many")),
+    )
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
     found = hit.groupBy(key, "name").agg((low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("_q"))
     return found.groupBy(key).pivot("name", list(shares)).agg(F.first("_q"))
@@ -54,7 +69,13 @@ def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
 def describe_by(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max of each group."""
-    plain = rows.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("std"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
+    plain = rows.groupBy(key).agg(
+        F.count(value).alias("n"),
+        F.round(F.avg(value), digits).alias("mean"),
+        F.round(F.stddev_samp(value), digits).alias("std"),
+        F.min(value).cast("double").alias("min"),
+        F.max(value).cast("double").alias("max"),
+    )
     q = quantiles_by(rows, key, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return plain.join(q, key, "left").select(key, "n", "mean", "std", "min", *[F.round(p, digits).alias(p) for p in ("p25", "p50", "p75")], "max")
 
@@ -80,14 +101,22 @@ def merge_small(sections: DataFrame, key: str = "report_id", order: str = "pos",
 
     def step(acc: Column, x: Column) -> Column:
         o = acc["open"]
-        add = F.struct(F.coalesce(o["first"], x["pos"]).alias("first"), x["pos"].alias("last"), F.when(o["text"].isNull(), x["body"]).otherwise(F.concat(o["text"], F.lit("\n"), x["body"])).alias("text"))
+        add = F.struct(
+            F.coalesce(o["first"], x["pos"]).alias("first"),
+            x["pos"].alias("last"),
+            F.when(o["text"].isNull(), x["body"]).otherwise(F.concat(o["text"], F.lit("\n"), x["body"])).alias("text"),
+        )
         new = F.struct(x["pos"].alias("first"), x["pos"].alias("last"), x["body"].alias("text"))
         full = o["text"].isNotNull() & (F.length(o["text"]) >= least)
         return F.struct(F.when(full, F.concat(acc["done"], F.array(o))).otherwise(acc["done"]).alias("done"), F.when(full, new).otherwise(add).alias("open"))
 
     end = lambda acc: F.when(acc["open"]["text"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
     chunks = sections.groupBy(key).agg(ordered.alias("_s")).select(key, F.explode(F.aggregate("_s", start, step, end)).alias("_c"))
-    return chunks.select(key, F.concat_ws("-", F.col("_c.first").cast("string"), F.col("_c.last").cast("string")).alias("section"), F.col("_c.text").alias("section_text"))
+    return chunks.select(
+        key,
+        F.concat_ws("-", F.col("_c.first").cast("string"), F.col("_c.last").cast("string")).alias("section"),
+        F.col("_c.text").alias("section_text"),
+    )
 
 
 def top_per_group(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -99,7 +128,10 @@ def minmax(rows: DataFrame, value: str) -> DataFrame:
     """Adds `scaled`: the value between the least (0) and the greatest (1); 0 where all are equal."""
     ends = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     span = F.col("_high") - F.col("_low")
-    return rows.join(F.broadcast(ends), F.lit(True)).withColumn("scaled", F.when(span == 0, 0.0).otherwise((F.col(value) - F.col("_low")) / span)).drop("_low", "_high")
+    return rows.join(F.broadcast(ends), F.lit(True)).withColumn(
+        "scaled",
+        F.when(span == 0, 0.0).otherwise((F.col(value) - F.col("_low")) / span),
+    ).drop("_low", "_high")
 
 
 def missing_sections(sections: DataFrame, key: str = "report_id") -> DataFrame:
@@ -146,12 +178,20 @@ def q_result_summary(spark, d):
 
 def q_nest_by_report(spark, d):
     nested = F.array_sort(F.collect_list(F.struct("safety_issue_id", "quality")))
-    return view(spark, d, "issues").groupBy("report_id").agg(nested.alias("n")).select("report_id", F.size("n").cast("long").alias("n_issues"), F.array_join(F.transform("n", lambda x: F.concat_ws(":", x["safety_issue_id"], x["quality"])), ",").alias("issues"))
+    return view(spark, d, "issues").groupBy("report_id").agg(nested.alias("n")).select(
+        "report_id",
+        F.size("n").cast("long").alias("n_issues"),
+        F.array_join(F.transform("n", lambda x: F.concat_ws(":", x["safety_issue_id"], x["quality"])), ",").alias("issues"),
+    )
 
 
 def q_section_length_stats(spark, d):
     n = F.length("line")
-    return view(spark, d, "lines").groupBy("report_id").agg(F.count("*").alias("n_sections"), F.sum(n).alias("total"), F.round(F.sum(n) / F.count("*"), 6).alias("mean"))
+    return view(spark, d, "lines").groupBy("report_id").agg(
+        F.count("*").alias("n_sections"),
+        F.sum(n).alias("total"),
+        F.round(F.sum(n) / F.count("*"), 6).alias("mean"),
+    )
 
 
 def q_token_totals(spark, d):
@@ -166,7 +206,12 @@ def q_pipeline_funnel(spark, d):
     r = view(spark, d, "reports")
     issues = view(spark, d, "issues").filter(F.length("safety_issue") > 100).select("report_id").distinct().withColumn("i", F.lit(1))
     recs = view(spark, d, "recommendations").filter(F.length("recommendation") > 100).select("report_id").distinct().withColumn("r", F.lit(1))
-    flags = r.join(issues, "report_id", "left").join(recs, "report_id", "left").agg(F.count("*").alias("a"), F.sum(F.col("event_type").isNotNull().cast("int")).alias("b"), F.count("i").alias("c"), F.count("r").alias("e"))
+    flags = r.join(issues, "report_id", "left").join(recs, "report_id", "left").agg(
+        F.count("*").alias("a"),
+        F.sum(F.col("event_type").isNotNull().cast("int")).alias("b"),
+        F.count("i").alias("c"),
+        F.count("r").alias("e"),
+    )
     return flags.select(F.expr("stack(4, 'reports', a, 0L, 'typed', b, a - b, 'issues', c, b - c, 'recommendations', e, c - e) AS (stage, n, dropped)"))
 
 
@@ -193,7 +238,15 @@ def _links(spark, d) -> DataFrame:
 
 def q_link_summary(spark, d):
     is_ = lambda x: F.round(F.avg((F.col("link") == x).cast("int")), 6)
-    return _links(spark, d).agg(F.countDistinct("recommendation_id").alias("n_recommendations"), F.countDistinct("report_id", "safety_issue_id").alias("n_issues"), F.countDistinct("report_id").alias("n_reports"), F.round(F.countDistinct("recommendation_id") / F.countDistinct("report_id"), 6).alias("per_report"), is_("Confirmed").alias("confirmed"), is_("Possible").alias("possible"), is_("None").alias("none"))
+    return _links(spark, d).agg(
+        F.countDistinct("recommendation_id").alias("n_recommendations"),
+        F.countDistinct("report_id", "safety_issue_id").alias("n_issues"),
+        F.countDistinct("report_id").alias("n_reports"),
+        F.round(F.countDistinct("recommendation_id") / F.countDistinct("report_id"), 6).alias("per_report"),
+        is_("Confirmed").alias("confirmed"),
+        is_("Possible").alias("possible"),
+        is_("None").alias("none"),
+    )
 
 
 def q_ratio_by_year(spark, d):
@@ -264,7 +317,10 @@ def first_ranks(rows: DataFrame, key: str, member: str, *order: Column) -> DataF
     placed = rows.withColumn("_o", F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)]))
     firsts = placed.groupBy(key, member).agg(F.min("_o").alias("_o"))
     lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(member).alias("m")))).alias("_firsts"))
-    counted = placed.join(lists, key).select(key, F.size(F.filter("_firsts", lambda f: f["o"] < F.col("_o"))).alias("_k")).groupBy(key, "_k").agg(F.count("*").alias("_n"))
+    counted = placed.join(lists, key).select(
+        key,
+        F.size(F.filter("_firsts", lambda f: f["o"] < F.col("_o"))).alias("_k"),
+    ).groupBy(key, "_k").agg(F.count("*").alias("_n"))
     ranked = lists.select(key, F.posexplode("_firsts").alias("_j", "_f")).join(counted, key).filter(F.col("_k") <= F.col("_j"))
     return ranked.groupBy(key, F.col("_f.m").alias(member)).agg(F.sum("_n").cast("int").alias("first_rank"))
 
@@ -283,7 +339,11 @@ def q_minmax_score(spark, d):
 
 
 def q_missing_sections(spark, d):
-    s = view(spark, d, "lines").filter(F.length("line") > 80).select("report_id", F.floor(F.col("pos") / 6).cast("int").alias("major"), (F.col("pos") % 6).alias("minor"))
+    s = view(spark, d, "lines").filter(F.length("line") > 80).select(
+        "report_id",
+        F.floor(F.col("pos") / 6).cast("int").alias("major"),
+        (F.col("pos") % 6).alias("minor"),
+    )
     return missing_sections(s)
 
 
@@ -304,7 +364,10 @@ def q_ndcg(spark, d):
 def recall(ranked: DataFrame, expected: DataFrame, key: str, item: str) -> DataFrame:
     """(key, recall): the share of expected rows (key, item) that are among the ranked ones."""
     hits = expected.join(ranked.select(key, item).distinct(), [key, item], "left_semi").groupBy(key).agg(F.count("*").alias("_hits"))
-    return expected.groupBy(key).agg(F.count("*").alias("_all")).join(hits, key, "left").select(key, F.round(F.coalesce("_hits", F.lit(0)) / F.col("_all"), 6).alias("recall"))
+    return expected.groupBy(key).agg(F.count("*").alias("_all")).join(hits, key, "left").select(
+        key,
+        F.round(F.coalesce("_hits", F.lit(0)) / F.col("_all"), 6).alias("recall"),
+    )
 
 
 def q_recall_at_k(spark, d):
@@ -327,7 +390,15 @@ def q_ndcg_standard(spark, d):
 
 
 def q_search_leaderboard(spark, d):
-    scored = table(spark, d, "embeddings").select("label", F.explode(F.arrays_zip(F.array(F.lit("first"), F.lit("second"), F.lit("third")).alias("f"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("x"))).alias("z")).select("label", "z.f", "z.x")
+    scored = table(spark, d, "embeddings").select(
+        "label",
+        F.explode(
+            F.arrays_zip(
+                F.array(F.lit("first"), F.lit("second"), F.lit("third")).alias("f"),
+                F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("x"),
+            ),
+        ).alias("z"),
+    ).select("label", "z.f", "z.x")
     means = scored.groupBy("label", "f").agg(F.round(F.avg("x"), 6).alias("mean"))
     return means.groupBy("label").agg(F.max_by("f", F.struct("mean", "f")).alias("best"), F.max("mean").alias("mean"))
 
@@ -349,7 +420,8 @@ QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 _TOK = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda w: w <> ''))"
 _A, _B = _WORDS.format(c="recommendation"), _WORDS.format(c="safety_issue")
-_SCORE = f"CASE WHEN len(list_distinct(list_concat({_A}, {_B}))) = 0 THEN 0.0 ELSE CAST(len(list_intersect({_A}, {_B})) AS DOUBLE) / len(list_distinct(list_concat({_A}, {_B}))) END"
+_SCORE = f"""CASE WHEN len(list_distinct(list_concat({_A}, {_B}))) = 0 THEN 0.0 ELSE CAST(len(list_intersect({_A},
+{_B})) AS DOUBLE) / len(list_distinct(list_concat({_A}, {_B}))) END"""
 _SC = "s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings)"
 _RK = f"{_SC}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)"
 _R = "reports"
@@ -358,29 +430,51 @@ ORACLES = {
     "count_by_mode": with_views("SELECT mode, count(*) AS n FROM reports GROUP BY ALL", _R),
     "count_by_agency": with_views("SELECT agency, count(*) AS n FROM reports GROUP BY ALL", _R),
     "year_histogram": with_views("SELECT year, count(*) AS n FROM reports GROUP BY ALL", _R),
-    "top5_others": with_views("WITH c AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM reports WHERE event_type IS NOT NULL GROUP BY event_type) SELECT event_type, n FROM c WHERE k <= 5 UNION ALL SELECT 'Others', CAST(coalesce(sum(n), 0) AS BIGINT) FROM c WHERE k > 5", _R),
+    "top5_others": with_views("""WITH c AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM reports
+WHERE event_type IS NOT NULL GROUP BY event_type) SELECT event_type, n FROM c WHERE k <= 5 UNION ALL SELECT 'Others', CAST(coalesce(sum(n),
+0) AS BIGINT) FROM c WHERE k > 5""", _R),
     "result_summary": with_views("SELECT count(*) AS n_rows, count(DISTINCT report_id) AS n_reports FROM vectors", "vectors"),
-    "nest_by_report": with_views("SELECT report_id, count(*) AS n_issues, string_agg(safety_issue_id || ':' || quality, ',' ORDER BY safety_issue_id, quality) AS issues FROM issues GROUP BY report_id", "issues"),
-    "section_length_stats": with_views("SELECT report_id, count(*) AS n_sections, CAST(sum(length(line)) AS BIGINT) AS total, round(CAST(sum(length(line)) AS DOUBLE) / count(*), 6) AS mean FROM lines GROUP BY report_id", "lines"),
+    "nest_by_report": with_views("""SELECT report_id, count(*) AS n_issues, string_agg(safety_issue_id || ':' || quality, ',' ORDER BY safety_issue_id, quality) AS issues
+FROM issues GROUP BY report_id""", "issues"),
+    "section_length_stats": with_views("""SELECT report_id, count(*) AS n_sections, CAST(sum(length(line)) AS BIGINT) AS total, round(CAST(sum(length(line)) AS DOUBLE) / count(*),
+6) AS mean FROM lines GROUP BY report_id""", "lines"),
     "token_totals": with_views(f"SELECT agency, CAST(sum({_TOK}) AS BIGINT) AS n_tokens FROM reports GROUP BY agency", _R),
-    "describe_by_group": with_views("SELECT agency, count(*) AS n, round(avg(length(text)), 6) AS mean, round(stddev_samp(length(text)), 6) AS std, CAST(min(length(text)) AS DOUBLE) AS min, round(quantile_cont(length(text), 0.25), 6) AS p25, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.75), 6) AS p75, CAST(max(length(text)) AS DOUBLE) AS max FROM reports GROUP BY agency", _R),
-    "pipeline_funnel": with_views("""WITH i AS (SELECT DISTINCT report_id FROM issues WHERE length(safety_issue) > 100), r AS (SELECT DISTINCT report_id FROM recommendations WHERE length(recommendation) > 100), f AS (SELECT count(*) AS a, count(event_type) AS b, count(i.report_id) AS c, count(r.report_id) AS e FROM reports LEFT JOIN i USING (report_id) LEFT JOIN r ON r.report_id = reports.report_id)
-SELECT 'reports' AS stage, a AS n, 0 AS dropped FROM f UNION ALL SELECT 'typed', b, a - b FROM f UNION ALL SELECT 'issues', c, b - c FROM f UNION ALL SELECT 'recommendations', e, c - e FROM f""", _R, "issues", "recommendations"),
+    "describe_by_group": with_views("""SELECT agency, count(*) AS n, round(avg(length(text)), 6) AS mean, round(stddev_samp(length(text)), 6) AS std,
+CAST(min(length(text)) AS DOUBLE) AS min, round(quantile_cont(length(text), 0.25), 6) AS p25, round(quantile_cont(length(text), 0.5),
+6) AS p50, round(quantile_cont(length(text), 0.75), 6) AS p75, CAST(max(length(text)) AS DOUBLE) AS max FROM reports GROUP BY agency""", _R),
+    "pipeline_funnel": with_views("""WITH i AS (SELECT DISTINCT report_id FROM issues WHERE length(safety_issue) > 100), r AS (SELECT DISTINCT report_id FROM recommendations
+WHERE length(recommendation) > 100), f AS (SELECT count(*) AS a, count(event_type) AS b, count(i.report_id) AS c, count(r.report_id) AS e
+FROM reports LEFT JOIN i USING (report_id) LEFT JOIN r ON r.report_id = reports.report_id)
+SELECT 'reports' AS stage, a AS n, 0 AS dropped FROM f UNION ALL SELECT 'typed', b, a - b FROM f UNION ALL SELECT 'issues', c, b - c FROM f
+UNION ALL SELECT 'recommendations', e, c - e FROM f""", _R, "issues", "recommendations"),
     "count_year_agency_mode": with_views("SELECT year, agency, mode, count(*) AS n FROM reports GROUP BY ALL", _R),
-    "accuracy": "SELECT count(*) AS n, round(avg(CASE WHEN quality = CASE WHEN regexp_matches(text, '[|#$%&*!][|#$%&*!]') OR contains(text, ' | ') THEN 0 ELSE 1 END THEN 1 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id)",
-    "change_counts": "SELECT CASE quality WHEN 1 THEN 'high' ELSE 'low' END || ' -> ' || CASE toxic WHEN 1 THEN 'high' ELSE 'low' END AS change, count(*) AS n FROM labels GROUP BY ALL",
-    "link_summary": with_views(f"WITH l AS (SELECT report_id, recommendation_id, safety_issue_id, CASE WHEN s >= 0.5 THEN 'Confirmed' WHEN s >= 0.15 THEN 'Possible' ELSE 'None' END AS link FROM (SELECT report_id, recommendation_id, safety_issue_id, {_SCORE} AS s FROM recommendations JOIN issues USING (report_id))) SELECT count(DISTINCT recommendation_id) AS n_recommendations, count(DISTINCT (report_id, safety_issue_id)) AS n_issues, count(DISTINCT report_id) AS n_reports, round(CAST(count(DISTINCT recommendation_id) AS DOUBLE) / count(DISTINCT report_id), 6) AS per_report, round(avg(CASE WHEN link = 'Confirmed' THEN 1 ELSE 0 END), 6) AS confirmed, round(avg(CASE WHEN link = 'Possible' THEN 1 ELSE 0 END), 6) AS possible, round(avg(CASE WHEN link = 'None' THEN 1 ELSE 0 END), 6) AS none FROM l", "recommendations", "issues"),
-    "ratio_by_year": with_views("WITH r AS (SELECT CAST(split_part(report_id, '_', 3) AS INT) AS year, count(*) AS n FROM recommendations GROUP BY ALL), p AS (SELECT year, count(*) AS m FROM reports GROUP BY year) SELECT year, m AS n_reports, n AS n_recommendations, round(CAST(n AS DOUBLE) / m, 6) AS ratio FROM p JOIN r USING (year)", _R, "recommendations"),
+    "accuracy": """SELECT count(*) AS n, round(avg(CASE WHEN quality = CASE WHEN regexp_matches(text, '[|#$%&*!][|#$%&*!]') OR contains(text, ' | ') THEN 0
+ELSE 1 END THEN 1 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id)""",
+    "change_counts": """SELECT CASE quality WHEN 1 THEN 'high' ELSE 'low' END || ' -> ' || CASE toxic WHEN 1 THEN 'high' ELSE 'low' END AS change, count(*) AS n
+FROM labels GROUP BY ALL""",
+    "link_summary": with_views(f"""WITH l AS (SELECT report_id, recommendation_id, safety_issue_id, CASE WHEN s >= 0.5 THEN 'Confirmed' WHEN s >= 0.15 THEN 'Possible'
+ELSE 'None' END AS link FROM (SELECT report_id, recommendation_id, safety_issue_id, {_SCORE} AS s FROM recommendations
+JOIN issues USING (report_id))) SELECT count(DISTINCT recommendation_id) AS n_recommendations, count(DISTINCT (report_id,
+safety_issue_id)) AS n_issues, count(DISTINCT report_id) AS n_reports,
+round(CAST(count(DISTINCT recommendation_id) AS DOUBLE) / count(DISTINCT report_id), 6) AS per_report, round(avg(CASE
+WHEN link = 'Confirmed' THEN 1 ELSE 0 END), 6) AS confirmed, round(avg(CASE WHEN link = 'Possible' THEN 1 ELSE 0 END), 6) AS possible,
+round(avg(CASE WHEN link = 'None' THEN 1 ELSE 0 END), 6) AS none FROM l""", "recommendations", "issues"),
+    "ratio_by_year": with_views("""WITH r AS (SELECT CAST(split_part(report_id, '_', 3) AS INT) AS year, count(*) AS n FROM recommendations GROUP BY ALL), p AS (SELECT year,
+count(*) AS m FROM reports GROUP BY year) SELECT year, m AS n_reports, n AS n_recommendations, round(CAST(n AS DOUBLE) / m, 6) AS ratio
+FROM p JOIN r USING (year)""", _R, "recommendations"),
     "report_relevance": f"WITH {_RK} SELECT label, round(avg(score), 6) AS relevance FROM k WHERE rank <= 50 GROUP BY label",
     "collapse_expand": with_views("SELECT DISTINCT report_id, line FROM lines", "lines"),
-    "split_balance": with_views("SELECT CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split, mode, count(*) AS n FROM reports GROUP BY ALL", _R),
+    "split_balance": with_views("""SELECT CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split, mode, count(*) AS n
+FROM reports GROUP BY ALL""", _R),
     "split_60_20_20": with_views("SELECT report_id, CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM reports", _R),
     "valid_rate": with_views("SELECT report_id, round(avg(CASE WHEN page IS NOT NULL THEN 1 ELSE 0 END), 6) AS valid_rate FROM paragraphs GROUP BY report_id", "paragraphs"),
     "searches_per_user": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id",
     "share_under_limit": with_views(f"SELECT round(avg(CASE WHEN {_TOK} < 300 THEN 1 ELSE 0 END), 6) AS share, CAST(sum({_TOK}) AS BIGINT) AS total FROM reports", _R),
     "token_cost": with_views(f"SELECT agency, round(sum({_TOK}) * 2.5 / 1e6, 8) AS cost FROM reports GROUP BY agency", _R),
     "page_ffill": with_views("SELECT report_id, pos, coalesce(last_value(page IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY pos), '0') AS page FROM paragraphs", "paragraphs"),
-    "paragraph_number": with_views("WITH f AS (SELECT report_id, pos, coalesce(last_value(page IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY pos), '0') AS page FROM paragraphs) SELECT report_id, pos, 'p' || page || '.' || CAST(row_number() OVER (PARTITION BY report_id, page ORDER BY pos) - 1 AS VARCHAR) AS section FROM f", "paragraphs"),
+    "paragraph_number": with_views("""WITH f AS (SELECT report_id, pos, coalesce(last_value(page IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY pos), '0') AS page
+FROM paragraphs) SELECT report_id, pos, 'p' || page || '.' || CAST(row_number() OVER (PARTITION BY report_id, page
+ORDER BY pos) - 1 AS VARCHAR) AS section FROM f""", "paragraphs"),
     "merge_small_sections": with_views("""WITH f AS (SELECT report_id, pos, pos AS first, line AS text FROM lines WHERE pos = 0
   UNION ALL SELECT l.report_id, l.pos, CASE WHEN length(f.text) >= 1000 THEN l.pos ELSE f.first END, CASE WHEN length(f.text) >= 1000 THEN l.line ELSE f.text || chr(10) || l.line END FROM f JOIN lines l ON l.report_id = f.report_id AND l.pos = f.pos + 1),
 e AS (SELECT report_id, first, max(pos) AS last, arg_max(text, pos) AS text FROM f GROUP BY report_id, first)
@@ -388,13 +482,24 @@ SELECT report_id, CAST(first AS VARCHAR) || '-' || CAST(last AS VARCHAR) AS sect
     "first_rank": f"WITH {_RK} SELECT label AS query_id, vec_id % 40 AS report, min(rank) AS first_rank FROM k GROUP BY ALL",
     "topn_per_group": f"WITH {_RK} SELECT label, vec_id, rank FROM k WHERE rank <= 10",
     "minmax_score": f"WITH {_SC} SELECT vec_id, round((score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()), 6) AS scaled FROM s",
-    "missing_sections": with_views("WITH s AS (SELECT report_id, CAST(floor(pos / 6) AS INT) AS major, pos % 6 AS minor FROM lines WHERE length(line) > 80), g AS (SELECT report_id, coalesce(lead(minor) OVER (PARTITION BY report_id, major ORDER BY minor) - minor - 1, 0) AS gap FROM s) SELECT report_id, CAST(sum(gap) AS BIGINT) AS n_missing, round(CAST(sum(gap) AS DOUBLE) / (sum(gap) + count(*)), 6) AS share FROM g GROUP BY report_id", "lines"),
+    "missing_sections": with_views("""WITH s AS (SELECT report_id, CAST(floor(pos / 6) AS INT) AS major, pos % 6 AS minor FROM lines WHERE length(line) > 80), g
+AS (SELECT report_id, coalesce(lead(minor) OVER (PARTITION BY report_id, major ORDER BY minor) - minor - 1, 0) AS gap FROM s)
+SELECT report_id, CAST(sum(gap) AS BIGINT) AS n_missing, round(CAST(sum(gap) AS DOUBLE) / (sum(gap) + count(*)), 6) AS share FROM g
+GROUP BY report_id""", "lines"),
     "cap_per_year": with_views("SELECT report_id, mode, year FROM (SELECT *, row_number() OVER (PARTITION BY mode, year ORDER BY report_id) AS k FROM reports) WHERE k <= 5", _R),
     "sort_relevance": f"WITH {_SC} SELECT vec_id, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id",
-    "ndcg": f"WITH {_RK} SELECT label AS query_id, round(sum(CASE WHEN vec_id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) / sum(1 / log2(rank + 1)), 6) AS ndcg FROM k WHERE rank <= 100 GROUP BY label",
-    "recall_at_k": f"WITH {_RK} SELECT label, round(CAST(count(*) FILTER (rank <= 20 AND score > 0.2) AS DOUBLE) / count(*) FILTER (score > 0.2), 6) AS recall FROM k GROUP BY label HAVING count(*) FILTER (score > 0.2) > 0",
-    "search_leaderboard": "WITH m AS (SELECT label, f, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(['first', 'second', 'third']) AS f, unnest(embedding[1:3]) AS x FROM embeddings) GROUP BY ALL) SELECT label, arg_max(f, (mean, f)) AS best, max(mean) AS mean FROM m GROUP BY label",
+    "ndcg": f"""WITH {_RK} SELECT label AS query_id, round(sum(CASE WHEN vec_id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) / sum(1 / log2(rank + 1)),
+6) AS ndcg FROM k WHERE rank <= 100 GROUP BY label""",
+    "recall_at_k": f"""WITH {_RK} SELECT label, round(CAST(count(*) FILTER (rank <= 20 AND score > 0.2) AS DOUBLE) / count(*) FILTER (score > 0.2), 6) AS recall
+FROM k GROUP BY label HAVING count(*) FILTER (score > 0.2) > 0""",
+    "search_leaderboard": """WITH m AS (SELECT label, f, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(['first', 'second', 'third']) AS f,
+unnest(embedding[1:3]) AS x FROM embeddings) GROUP BY ALL) SELECT label, arg_max(f, (mean, f)) AS best, max(mean) AS mean FROM m
+GROUP BY label""",
     "jaccard": with_views(f"SELECT recommendation_id, safety_issue_id, round({_SCORE}, 6) AS jaccard FROM recommendations JOIN issues USING (report_id)", "recommendations", "issues"),
-    "manhattan": "WITH x AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL) SELECT vec_id, round(sum(abs(v - m)), 5) AS distance FROM x JOIN c USING (label, i) GROUP BY vec_id",
-    "ndcg_standard": f"WITH {_RK}, n AS (SELECT label, least(count(*), 100) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label), b AS (SELECT label, sum(1 / log2(k + 1)) AS best FROM (SELECT label, unnest(range(1, n + 1)) AS k FROM n) GROUP BY label) SELECT k.label AS query_id, round(sum(CASE WHEN vec_id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(best), 6) AS ndcg FROM k JOIN b ON b.label = k.label WHERE rank <= 100 GROUP BY k.label",
+    "manhattan": """WITH x AS (SELECT vec_id, label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, i,
+avg(v) AS m FROM x GROUP BY ALL) SELECT vec_id, round(sum(abs(v - m)), 5) AS distance FROM x JOIN c USING (label, i) GROUP BY vec_id""",
+    "ndcg_standard": f"""WITH {_RK}, n AS (SELECT label, least(count(*), 100) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label), b AS (SELECT label,
+sum(1 / log2(k + 1)) AS best FROM (SELECT label, unnest(range(1, n + 1)) AS k FROM n) GROUP BY label) SELECT k.label AS query_id,
+round(sum(CASE WHEN vec_id % 3 = 0 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(best), 6) AS ndcg FROM k JOIN b ON b.label = k.label
+WHERE rank <= 100 GROUP BY k.label""",
 }

@@ -34,7 +34,10 @@ def found_issues(texts: pd.Series) -> pd.Series:
 def outline_rows(entries: Column) -> Column:
     """(title, level, page) of outline entries that have a place in the document's structure, of an
     array of structs (title, level, page, structured)."""
-    return F.transform(F.filter(entries, lambda x: F.coalesce(x["structured"], F.lit(False))), lambda x: F.struct(x["title"].alias("title"), x["level"].alias("level"), F.coalesce(x["page"].cast("string"), F.lit("")).alias("page")))
+    return F.transform(
+        F.filter(entries, lambda x: F.coalesce(x["structured"], F.lit(False))),
+        lambda x: F.struct(x["title"].alias("title"), x["level"].alias("level"), F.coalesce(x["page"].cast("string"), F.lit("")).alias("page")),
+    )
 
 
 def joined_title(paragraphs: Column, date: Column) -> Column:
@@ -45,7 +48,12 @@ def joined_title(paragraphs: Column, date: Column) -> Column:
 
 def year_summary(years: DataFrame, key: str) -> DataFrame:
     """(key, collected, potential, seconds, mean_seconds) from a row for each collected year."""
-    return years.groupBy(key).agg(F.sum("collected").alias("collected"), F.sum("potential").alias("potential"), F.round(F.sum("seconds"), 6).alias("seconds"), F.round(F.avg("seconds"), 6).alias("mean_seconds"))
+    return years.groupBy(key).agg(
+        F.sum("collected").alias("collected"),
+        F.sum("potential").alias("potential"),
+        F.round(F.sum("seconds"), 6).alias("seconds"),
+        F.round(F.avg("seconds"), 6).alias("mean_seconds"),
+    )
 
 
 def rows_with_nulls(rows: DataFrame, key: str, most: int = 200) -> DataFrame:
@@ -71,7 +79,13 @@ def q_html_tables(spark, d):
 def q_summary_block(spark, d):
     line = F.element_at(F.split("text", "\n"), 1)
     heading = F.when(F.col("doc_id") % 3 == 0, "<h2>Executive Summary</h2>").when(F.col("doc_id") % 3 == 1, "<h2>Findings</h2>").otherwise("")
-    page = F.concat(F.lit("<div><h2>Facts</h2>facts "), heading, F.lit("<p>"), F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p><h2>Next</h2>next</div>"))
+    page = F.concat(
+        F.lit("<div><h2>Facts</h2>facts "),
+        heading,
+        F.lit("<p>"),
+        F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+        F.lit("</p><h2>Next</h2>next</div>"),
+    )
     return view(spark, d, "reports").select("report_id", summary_of(page).alias("summary"))
 
 
@@ -104,13 +118,22 @@ def q_rows_with_nulls(spark, d):
 
 def q_list_setting(spark, d):
     k = F.col("doc_id") % 4
-    told = F.when(k == 0, F.concat(F.lit("['"), "lang", F.lit("', \"x y\", 3]"))).when(k == 1, F.concat(F.lit(" [0, -1, 2.5, "), F.col("doc_id").cast("string"), F.lit("] "))).when(k == 2, "[]")
+    told = F.when(k == 0, F.concat(F.lit("['"), "lang", F.lit("', \"x y\", 3]"))).when(
+        k == 1,
+        F.concat(F.lit(" [0, -1, 2.5, "), F.col("doc_id").cast("string"), F.lit("] ")),
+    ).when(k == 2, "[]")
     return view(spark, d, "reports").select("report_id", F.array_join(list_setting(F.coalesce(told, F.lit("no list"))), "|").alias("items"))
 
 
 def q_evaluation_set(spark, d):
     e = table(spark, d, "embeddings").filter("vec_id % 7 = 0").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    one = F.concat(F.lit("- query: \"label "), F.col("label").cast("string"), F.lit("\"\n  expected_reports:\n"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("    - \"r"), x.cast("string"), F.lit("\""))), "\n"), F.lit("\n  settings:\n    min_year: 2000\n    max_year: 2024\n    modes: [0, 2]\n    relevanceCutoff: 0.5\n"))
+    one = F.concat(
+        F.lit("- query: \"label "),
+        F.col("label").cast("string"),
+        F.lit("\"\n  expected_reports:\n"),
+        F.array_join(F.transform("ids", lambda x: F.concat(F.lit("    - \"r"), x.cast("string"), F.lit("\""))), "\n"),
+        F.lit("\n  settings:\n    min_year: 2000\n    max_year: 2024\n    modes: [0, 2]\n    relevanceCutoff: 0.5\n"),
+    )
     got = e.select(F.inline(files.searches_from_yaml(one)))
     return got.select("query", F.explode("expected_reports").alias("report"), "min_year", "max_year", F.size("modes").alias("n_modes"), "cutoff")
 
@@ -121,21 +144,39 @@ def q_extract_issues(spark, d):
 
 
 def q_parse_recommendations(spark, d):
-    body = F.concat_ws("\n", F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("- recommendation: "), F.to_json(F.array(x)), F.lit("\n  recommendation_id: R"), i.cast("string"), F.lit("\n  recipient: someone\n  made:"))))
+    body = F.concat_ws(
+        "\n",
+        F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("- recommendation: "), F.to_json(F.array(x)), F.lit("\n  recommendation_id: R"), i.cast("string"), F.lit("\n  recipient: someone\n  made:"))),
+    )
     reply = F.when(F.col("doc_id") % 5 == 0, "None").otherwise(F.concat(F.lit("```yaml\n"), body, F.lit("\n```")))
     got = F.inline(recommendations_of(reply))
     return view(spark, d, "reports").select("report_id", got).select("report_id", "recommendation_id", "recipient", "made")
 
 
 def q_contents_text(spark, d):
-    told = F.concat(F.lit("Contents of the report\nsection list ........ 1\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.substring(x, 1, 30), F.lit(" ...... "), (i + 1).cast("string"))), "\n"), F.lit("\n"), F.repeat("text", F.lit(4)))
+    told = F.concat(
+        F.lit("Contents of the report\nsection list ........ 1\n"),
+        F.array_join(
+            F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.substring(x, 1, 30), F.lit(" ...... "), (i + 1).cast("string"))),
+            "\n",
+        ),
+        F.lit("\n"),
+        F.repeat("text", F.lit(4)),
+    )
     at = view(spark, d, "reports").select("report_id", told.alias("told")).withColumn("c", contents_of("told"))
     return at.select("report_id", F.expr("substring(told, c.start + 1, c.end - c.start)").alias("contents"))
 
 
 def q_answer_column(spark, d):
     asked = F.concat(F.lit("What is licensed?\n"), "text")
-    return providers.answer_column(view(spark, d, "reports").select("report_id", asked.alias("prompt")), {"offline": providers.ExtractiveModel()}, "offline", "Answer from the context only.", "prompt", n=2).select("report_id", F.size("answers").alias("n_answers"), F.element_at("answers", 1).alias("answer"))
+    return providers.answer_column(
+        view(spark, d, "reports").select("report_id", asked.alias("prompt")),
+        {"offline": providers.ExtractiveModel()},
+        "offline",
+        "Answer from the context only.",
+        "prompt",
+        n=2,
+    ).select("report_id", F.size("answers").alias("n_answers"), F.element_at("answers", 1).alias("answer"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -144,15 +185,27 @@ _R = "reports"
 _LINES = "l AS (SELECT report_id, doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM reports)"
 ORACLES = {
     "html_tables": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation)
-SELECT n_regionkey, 0 AS "table", CAST(row AS INT) AS row, 'Key' AS "column", CAST(n_nationkey AS VARCHAR) AS text, NULL AS href FROM n UNION ALL SELECT n_regionkey, 0, CAST(row AS INT), 'Name', n_name || ' & co', '/p/' || n_nationkey FROM n UNION ALL SELECT n_regionkey, 0, CAST(row AS INT), 'Note', '', NULL FROM n""",
+SELECT n_regionkey, 0 AS "table", CAST(row AS INT) AS row, 'Key' AS "column", CAST(n_nationkey AS VARCHAR) AS text, NULL AS href FROM n
+UNION ALL SELECT n_regionkey, 0, CAST(row AS INT), 'Name', n_name || ' & co', '/p/' || n_nationkey FROM n UNION ALL SELECT n_regionkey, 0,
+CAST(row AS INT), 'Note', '', NULL FROM n""",
     "summary_block": with_views("""WITH t AS (SELECT report_id, doc_id % 3 AS k, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'), ' ') AS x FROM reports)
 SELECT report_id, CASE k WHEN 0 THEN nullif(x, '') ELSE trim('facts ' || x, ' ') || 'next' END AS summary FROM t""", _R),
-    "page_starts": with_views(f"WITH {_LINES} SELECT report_id, string_agg(chr(10) || chr(10) || '--- Page ' || (i + 1) || ' start ---' || chr(10) || CASE WHEN i % 7 = 3 THEN '' ELSE x END, '' ORDER BY i) AS text FROM l GROUP BY report_id", _R),
-    "outline_rows": with_views(f"WITH {_LINES} SELECT report_id, substr(x, 1, 40) AS title, CAST(i % 3 + 1 AS INT) AS level, CASE WHEN i % 4 > 0 THEN CAST(i + 1 AS VARCHAR) ELSE '' END AS page FROM l WHERE i % 5 > 0", _R),
-    "joined_title": with_views(f"WITH {_LINES}, p AS (SELECT report_id, string_agg(trim(x, ' '), ', ' ORDER BY i) FILTER (trim(x, ' ') <> '' AND i < 3) AS t FROM l GROUP BY report_id) SELECT report_id, concat_ws(', ', t, CASE WHEN doc_id % 2 = 0 THEN '15 March ' || year END) AS title FROM reports JOIN p USING (report_id)", _R),
-    "year_collection": "WITH y AS (SELECT event_type, event_id % 12 AS year, count(*) FILTER (value > 50) AS collected, count(*) AS potential, count(*) / 8 AS seconds FROM events GROUP BY ALL) SELECT event_type, CAST(sum(collected) AS BIGINT) AS collected, CAST(sum(potential) AS BIGINT) AS potential, round(sum(seconds), 6) AS seconds, round(avg(seconds), 6) AS mean_seconds FROM y GROUP BY event_type",
+    "page_starts": with_views(f"""WITH {_LINES} SELECT report_id, string_agg(chr(10) || chr(10) || '--- Page ' || (i + 1) || ' start ---' || chr(10) || CASE
+WHEN i % 7 = 3 THEN '' ELSE x END, '' ORDER BY i) AS text FROM l GROUP BY report_id""", _R),
+    "outline_rows": with_views(f"""WITH {_LINES} SELECT report_id, substr(x, 1, 40) AS title, CAST(i % 3 + 1 AS INT) AS level, CASE WHEN i % 4 > 0 THEN CAST(i + 1 AS VARCHAR)
+ELSE '' END AS page FROM l WHERE i % 5 > 0""", _R),
+    "joined_title": with_views(f"""WITH {_LINES}, p AS (SELECT report_id, string_agg(trim(x, ' '), ', ' ORDER BY i) FILTER (trim(x, ' ') <> '' AND i < 3) AS t FROM l
+GROUP BY report_id) SELECT report_id, concat_ws(', ', t, CASE WHEN doc_id % 2 = 0 THEN '15 March ' || year END) AS title FROM reports
+JOIN p USING (report_id)""", _R),
+    "year_collection": """WITH y AS (SELECT event_type, event_id % 12 AS year, count(*) FILTER (value > 50) AS collected, count(*) AS potential,
+count(*) / 8 AS seconds FROM events GROUP BY ALL) SELECT event_type, CAST(sum(collected) AS BIGINT) AS collected,
+CAST(sum(potential) AS BIGINT) AS potential, round(sum(seconds), 6) AS seconds, round(avg(seconds), 6) AS mean_seconds FROM y
+GROUP BY event_type""",
     "list_setting": with_views("SELECT report_id, CASE doc_id % 4 WHEN 0 THEN lang || '|x y|3' WHEN 1 THEN '0|-1|2.5|' || doc_id WHEN 2 THEN '' END AS items FROM reports", _R),
-    "evaluation_set": "SELECT 'label ' || label AS query, 'r' || vec_id AS report, 2000 AS min_year, 2024 AS max_year, 2 AS n_modes, CAST(0.5 AS DOUBLE) AS cutoff FROM embeddings WHERE vec_id % 7 = 0",
-    "extract_issues": with_views(f"WITH {_LINES} SELECT report_id, CAST(count(DISTINCT trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) AS INT) AS n_issues FROM l GROUP BY report_id", _R),
-    "parse_recommendations": with_views(f"WITH {_LINES} SELECT report_id, 'R' || i AS recommendation_id, 'someone' AS recipient, CAST(NULL AS VARCHAR) AS made FROM l WHERE doc_id % 5 > 0", _R),
+    "evaluation_set": """SELECT 'label ' || label AS query, 'r' || vec_id AS report, 2000 AS min_year, 2024 AS max_year, 2 AS n_modes, CAST(0.5 AS DOUBLE) AS cutoff
+FROM embeddings WHERE vec_id % 7 = 0""",
+    "extract_issues": with_views(f"""WITH {_LINES} SELECT report_id, CAST(count(DISTINCT trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) AS INT) AS n_issues FROM l
+GROUP BY report_id""", _R),
+    "parse_recommendations": with_views(f"""WITH {_LINES} SELECT report_id, 'R' || i AS recommendation_id, 'someone' AS recipient, CAST(NULL AS VARCHAR) AS made FROM l
+WHERE doc_id % 5 > 0""", _R),
 }

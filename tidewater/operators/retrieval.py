@@ -158,7 +158,11 @@ def bm25(docs: DataFrame, wanted: list[str], key: str = "doc_id", body: str = "t
     words = docs.select(key, words_of(F.col(body)).alias("w")).filter(F.size("w") > 0)
     count = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
     counted = words.select(key, F.size("w").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    totals = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
+    totals = counted.agg(
+        F.count("*").alias("docs"),
+        F.avg("len").alias("avg_len"),
+        *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))],
+    )
     joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0).join(F.broadcast(totals), F.lit(True))
     part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return joined.select(key, F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(wanted))]), 6).alias("score"))
@@ -229,7 +233,15 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "for", "la", "de", "le
 def q_vector_topk(spark, d):
     docs = view(spark, d, "vectors").filter(SearchSettings((2002, 2020), ("safety_issue", "section", "summary")).predicate())
     hits = knn(docs.select("vec_id", "embedding"), _queries(spark, d), 10)
-    return hits.join(docs.select("vec_id", "report_id", "document_type", text.shorten(F.col("document")).alias("document")), "vec_id").select("query_id", "rank", "vec_id", "report_id", "document_type", "relevance", F.length("document").cast("long").alias("n_chars"))
+    return hits.join(docs.select("vec_id", "report_id", "document_type", text.shorten(F.col("document")).alias("document")), "vec_id").select(
+        "query_id",
+        "rank",
+        "vec_id",
+        "report_id",
+        "document_type",
+        "relevance",
+        F.length("document").cast("long").alias("n_chars"),
+    )
 
 
 def q_knn_join(spark, d):
@@ -248,7 +260,10 @@ def q_fts_phrase_terms(spark, d):
 def q_hybrid_rrf(spark, d):
     words = bm25(table(spark, d, "documents"), SEARCH_TERMS).orderBy(F.desc("score"), "doc_id").limit(100)
     mean = table(spark, d, "embeddings").agg(F.array(*[F.avg(F.element_at("embedding", k + 1).cast("double")) for k in range(64)]).alias("q"))
-    near = table(spark, d, "embeddings").join(F.broadcast(mean), F.lit(True)).select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
+    near = table(spark, d, "embeddings").join(F.broadcast(mean), F.lit(True)).select(
+        F.col("vec_id").alias("doc_id"),
+        F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"),
+    ).orderBy(F.desc("score"), "doc_id").limit(100)
     ranked = [x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))) for x in (words, near)]
     return fuse(ranked)
 
@@ -290,7 +305,10 @@ def q_ivf_recall(spark, d):
     near = knn(docs, _queries(spark, d), 10).select("query_id", "vec_id").join(cells.select("vec_id", "cell"), "vec_id").join(asked, "query_id")
     place = near.select(F.array_position("order", F.col("cell")).alias("place"))
     probes = F.explode(F.sequence(F.lit(1), F.lit(len(centres))))
-    return place.select("place", probes.alias("probes")).groupBy("probes").agg(F.round(F.avg((F.col("place") <= F.col("probes")).cast("int")), 4).alias("recall"), F.count("*").alias("n"))
+    return place.select("place", probes.alias("probes")).groupBy("probes").agg(
+        F.round(F.avg((F.col("place") <= F.col("probes")).cast("int")), 4).alias("recall"),
+        F.count("*").alias("n"),
+    )
 
 
 def q_kmeans_clusters(spark, d):
@@ -302,28 +320,47 @@ def q_rag_context(spark, d):
     hits = knn(table(spark, d, "embeddings").select("vec_id", "embedding"), _queries(spark, d), 5)
     told = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     line = F.concat(F.lit("["), F.col("vec_id").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
-    return told.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("context"))
+    return told.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("context"),
+    )
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _COS = "CAST(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) AS DOUBLE)"
-_KNN = f"near AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS relevance FROM {{docs}} e JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id) AS INT) AS rank FROM near)"
+_KNN = f"""near AS (SELECT q.vec_id AS query_id, e.vec_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS relevance FROM {{docs}} e
+JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+ORDER BY relevance DESC, vec_id) AS INT) AS rank FROM near)"""
 _LIST = "(" + ", ".join(f"'{t}'" for t in SEARCH_TERMS) + ")"
-_BM25 = f"len AS (SELECT doc_id, count(*) AS len FROM terms GROUP BY doc_id), size AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM len), post AS (SELECT term, doc_id, count(*) AS tf FROM terms WHERE term IN {_LIST} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), bm AS (SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM post JOIN df USING (term) JOIN len USING (doc_id), size GROUP BY doc_id)"
+_BM25 = f"""len AS (SELECT doc_id, count(*) AS len FROM terms GROUP BY doc_id), size AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM len), post
+AS (SELECT term, doc_id, count(*) AS tf FROM terms WHERE term IN {_LIST} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post
+GROUP BY term), bm AS (SELECT doc_id,
+round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM post
+JOIN df USING (term) JOIN len USING (doc_id), size GROUP BY doc_id)"""
 _STOP = "(" + ", ".join(f"'{t}'" for t in STOP_WORDS) + ")"
 ORACLES = {
     "vector_topk": with_views("WITH docs AS (SELECT * FROM vectors WHERE year BETWEEN 2002 AND 2020 AND document_type IN ('safety_issue', 'section', 'summary')), " + _KNN.format(docs="docs") + " SELECT query_id, rank, k.vec_id, report_id, document_type, relevance, CAST(CASE WHEN length(document) < 1200 THEN length(document) ELSE 1203 END AS BIGINT) AS n_chars FROM k JOIN docs ON docs.vec_id = k.vec_id WHERE rank <= 10", "vectors"),
     "knn_join": "WITH " + _KNN.format(docs="embeddings") + " SELECT query_id, vec_id, relevance, rank FROM k WHERE rank <= 20",
     "bm25_search": with_views(f"WITH {_BM25} SELECT doc_id, score FROM bm", "terms"),
     "fts_phrase_terms": with_views("SELECT report_id FROM reports WHERE regexp_matches(lower(text), '(^|[^a-z])all rights reserved([^a-z]|$)')", "reports"),
-    "hybrid_rrf": with_views(f"""WITH {_BM25}, x AS (SELECT unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT list(a ORDER BY i) AS q FROM (SELECT i, avg(v) AS a FROM x GROUP BY i)),
-n AS (SELECT vec_id AS doc_id, round({_COS.format(a='embedding', b='q')}, 6) AS score FROM embeddings, m), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM n)
+    "hybrid_rrf": with_views(f"""WITH {_BM25}, x AS (SELECT unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT list(a
+ORDER BY i) AS q FROM (SELECT i, avg(v) AS a FROM x GROUP BY i)),
+n AS (SELECT vec_id AS doc_id, round({_COS.format(a='embedding', b='q')}, 6) AS score FROM embeddings, m), r AS (SELECT doc_id,
+row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)
+FROM n)
 SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM r WHERE rank <= 100 GROUP BY doc_id""", "terms"),
     "search_all": with_views("SELECT vec_id, report_id, CAST(0 AS DOUBLE) AS relevance FROM vectors WHERE year BETWEEN 2005 AND 2015 ORDER BY vec_id LIMIT 1000000", "vectors"),
-    "search_type": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'none' WHEN turn % 3 = 1 THEN 'fts' WHEN trim(text, ' ') = '' THEN 'none' WHEN starts_with(trim(text, ' '), '\"') AND ends_with(trim(text, ' '), '\"') THEN 'fts' ELSE 'vector' END AS search_type FROM conversations",
-    "rerank": "WITH " + _KNN.format(docs="embeddings") + ", s AS (SELECT query_id, vec_id, relevance + coalesce(len(string_split(text, chr(10))), 0) / 1000 AS second FROM k LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 20) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY second DESC, vec_id) AS INT) AS rank FROM s",
-    "report_weighted": "WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings), r AS (SELECT label, avg(score) AS rel FROM v WHERE score > 0.15 GROUP BY label) SELECT vec_id, round(score * coalesce(rel, 10), 6) AS weighted FROM v LEFT JOIN r USING (label)",
-    "tfidf_top_terms": with_views(f"WITH p AS (SELECT term, doc_id, count(*) AS tf FROM terms WHERE term NOT IN {_STOP} GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS docs FROM terms), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT doc_id, term, round(tf * ln(docs / df), 6) AS tfidf FROM p JOIN df USING (term), n) SELECT doc_id, term, tfidf, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank FROM s) WHERE rank <= 5", "terms"),
-    "rag_context": "WITH " + _KNN.format(docs="embeddings") + " SELECT query_id, string_agg('[' || vec_id || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = vec_id WHERE rank <= 5 GROUP BY query_id",
+    "search_type": """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'none' WHEN turn % 3 = 1 THEN 'fts' WHEN trim(text, ' ') = '' THEN 'none'
+WHEN starts_with(trim(text, ' '), '\"') AND ends_with(trim(text, ' '), '\"') THEN 'fts' ELSE 'vector' END AS search_type FROM conversations""",
+    "rerank": "WITH " + _KNN.format(docs="embeddings") + """, s AS (SELECT query_id, vec_id, relevance + coalesce(len(string_split(text, chr(10))), 0) / 1000 AS second FROM k LEFT
+JOIN documents ON doc_id = vec_id WHERE rank <= 20) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id
+ORDER BY second DESC, vec_id) AS INT) AS rank FROM s""",
+    "report_weighted": """WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings), r AS (SELECT label, avg(score) AS rel FROM v
+WHERE score > 0.15 GROUP BY label) SELECT vec_id, round(score * coalesce(rel, 10), 6) AS weighted FROM v LEFT JOIN r USING (label)""",
+    "tfidf_top_terms": with_views(f"""WITH p AS (SELECT term, doc_id, count(*) AS tf FROM terms WHERE term NOT IN {_STOP} GROUP BY ALL), n
+AS (SELECT count(DISTINCT doc_id) AS docs FROM terms), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT doc_id, term,
+round(tf * ln(docs / df), 6) AS tfidf FROM p JOIN df USING (term), n) SELECT doc_id, term, tfidf, CAST(rank AS INT) AS rank FROM (SELECT *,
+row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank FROM s) WHERE rank <= 5""", "terms"),
+    "rag_context": "WITH " + _KNN.format(docs="embeddings") + """ SELECT query_id, string_agg('[' || vec_id || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS context FROM k
+JOIN documents ON doc_id = vec_id WHERE rank <= 5 GROUP BY query_id""",
 }

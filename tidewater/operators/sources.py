@@ -80,7 +80,12 @@ def q_html_links(spark, d):
 
 def q_page_metadata(spark, d):
     get = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
-    return table(spark, d, "pages").select("page_id", get("(?s)<title>(.*?)</title>").alias("title"), get('<html lang="([a-z]+)"').alias("lang"), get("(?s)<h1>(.*?)</h1>").alias("h1"))
+    return table(spark, d, "pages").select(
+        "page_id",
+        get("(?s)<title>(.*?)</title>").alias("title"),
+        get('<html lang="([a-z]+)"').alias("lang"),
+        get("(?s)<h1>(.*?)</h1>").alias("h1"),
+    )
 
 
 def q_latest_version(spark, d):
@@ -89,7 +94,12 @@ def q_latest_version(spark, d):
 
 
 def q_result_log_json(spark, d):
-    v = view(spark, d, "vectors").select("agency", "vec_id", "report_id", F.round(F.element_at("embedding", 1).cast("double"), 6).cast("decimal(10,6)").alias("relevance"))
+    v = view(spark, d, "vectors").select(
+        "agency",
+        "vec_id",
+        "report_id",
+        F.round(F.element_at("embedding", 1).cast("double"), 6).cast("decimal(10,6)").alias("relevance"),
+    )
     top = v.withColumn("rank", F.row_number().over(Window.partitionBy("agency").orderBy(F.desc("relevance"), "vec_id"))).filter("rank <= 100")
     return top.groupBy("agency").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "report_id", "relevance")))).alias("results"))
 
@@ -97,16 +107,28 @@ def q_result_log_json(spark, d):
 def q_chat_jsonl(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))))
     c = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    return c.select("conv_id", F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("line"))
+    return c.select(
+        "conv_id",
+        F.to_json(
+            F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")),
+        ).alias("line"),
+    )
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents",
     "scan_event_types": "SELECT DISTINCT p_type AS \"Value\", CAST(p_size % 3 AS VARCHAR) AS mode FROM part",
-    "page_metadata": "SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang, nullif(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '') AS h1 FROM pages",
+    "page_metadata": """SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html,
+'<html lang=\"([a-z]+)\"', 1), '') AS lang, nullif(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '') AS h1 FROM pages""",
     "latest_version": "SELECT strftime(max(o_orderdate), '%Y-%m-%d_%H:%M:%S') AS version FROM orders",
-    "result_log_json": with_views("WITH v AS (SELECT agency, vec_id, report_id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DECIMAL(10, 6)) AS relevance FROM vectors), r AS (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY relevance DESC, vec_id) AS rank FROM v) SELECT agency, '[' || string_agg('{\"rank\":' || rank || ',\"vec_id\":' || vec_id || ',\"report_id\":\"' || report_id || '\",\"relevance\":' || relevance || '}', ',' ORDER BY rank) || ']' AS results FROM r WHERE rank <= 100 GROUP BY agency", "vectors"),
-    "chat_jsonl": "SELECT conv_id, '{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"content\":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn) || ']}' AS line FROM conversations GROUP BY conv_id",
-    "html_links": "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text FROM pages) SELECT * FROM l",
+    "result_log_json": with_views("""WITH v AS (SELECT agency, vec_id, report_id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DECIMAL(10, 6)) AS relevance FROM vectors), r
+AS (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY relevance DESC, vec_id) AS rank FROM v) SELECT agency,
+'[' || string_agg('{\"rank\":' || rank || ',\"vec_id\":' || vec_id || ',\"report_id\":\"' || report_id || '\",\"relevance\":' || relevance || '}',
+',' ORDER BY rank) || ']' AS results FROM r WHERE rank <= 100 GROUP BY agency""", "vectors"),
+    "chat_jsonl": """SELECT conv_id,
+'{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"content\":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn) || ']}' AS line
+FROM conversations GROUP BY conv_id""",
+    "html_links": """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href, unnest(regexp_extract_all(html,
+'<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS text FROM pages) SELECT * FROM l""",
 }

@@ -37,10 +37,16 @@ def workbook(sheets: dict[str, list[list]]) -> bytes:
         z.writestr("[Content_Types].xml", _TYPES.format("".join(map(_SHEET_TYPE.format, n))))
         z.writestr("_rels/.rels", _RELS.format(_REL.format(1, "officeDocument", "xl/workbook.xml")))
         z.writestr("xl/_rels/workbook.xml.rels", _RELS.format("".join(_REL.format(k, "worksheet", f"worksheets/sheet{k}.xml") for k in n)))
-        z.writestr("xl/workbook.xml", _BOOK.format("".join(f'<sheet name="{escape(name)}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, sheets, strict=True))))
+        z.writestr(
+            "xl/workbook.xml",
+            _BOOK.format("".join(f'<sheet name="{escape(name)}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, sheets, strict=True))),
+        )
         for k, rows in zip(n, sheets.values(), strict=True):
             body = "".join("<row>" + "".join(map(cell, row)) + "</row>" for row in rows)
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+            z.writestr(
+                f"xl/worksheets/sheet{k}.xml",
+                f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>',
+            )
     return out.getvalue()
 
 

@@ -42,16 +42,25 @@ _VIEWS["lines"] = (
     "SELECT doc_id, report_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS pos, unnest(string_split(text, chr(10))) AS line FROM {reports}",
 )
 #: Paragraphs with a page marker before every fifth.
-_same("paragraphs", "SELECT doc_id, report_id, pos, line, CASE WHEN pos % 5 = 2 THEN CAST(CAST(floor(pos / 5) AS BIGINT) + 1 AS VARCHAR(10)) END AS page FROM {lines}")
+_same(
+    "paragraphs",
+    "SELECT doc_id, report_id, pos, line, CASE WHEN pos % 5 = 2 THEN CAST(CAST(floor(pos / 5) AS BIGINT) + 1 AS VARCHAR(10)) END AS page FROM {lines}",
+)
 _same("bounds", "SELECT doc_id, report_id, max(pos) AS last_pos FROM {lines} GROUP BY doc_id, report_id")
-_same("issues", "SELECT report_id, CAST(pos AS VARCHAR(10)) AS safety_issue_id, line AS safety_issue, CASE WHEN pos = 0 THEN 'exact' ELSE 'inferred' END AS quality FROM {lines} WHERE pos <= 1")
+_same(
+    "issues",
+    "SELECT report_id, CAST(pos AS VARCHAR(10)) AS safety_issue_id, line AS safety_issue, CASE WHEN pos = 0 THEN 'exact' ELSE 'inferred' END AS quality FROM {lines} WHERE pos <= 1",
+)
 _same(
     "recommendations",
     """SELECT l.report_id, concat(l.report_id, '_rec_', CAST(l.pos AS VARCHAR(10))) AS recommendation_id, l.line AS recommendation, concat('agency ', CAST(l.pos % 4 AS VARCHAR(2))) AS recipient,
   CASE WHEN l.pos % 3 = 0 THEN NULL ELSE concat('20', lpad(CAST(l.pos % 25 AS VARCHAR(2)), 2, '0'), '-01-15') END AS made
 FROM {lines} l JOIN {bounds} b ON l.report_id = b.report_id WHERE l.pos >= b.last_pos - 1""",
 )
-_same("vectors", "SELECT e.vec_id, e.embedding, r.report_id, r.agency, r.mode, r.year, r.event_type, CASE e.label % 4 WHEN 0 THEN 'safety_issue' WHEN 1 THEN 'recommendation' WHEN 2 THEN 'section' ELSE 'summary' END AS document_type, r.text AS document FROM embeddings e JOIN {reports} r ON e.vec_id = r.doc_id")
+_same(
+    "vectors",
+    "SELECT e.vec_id, e.embedding, r.report_id, r.agency, r.mode, r.year, r.event_type, CASE e.label % 4 WHEN 0 THEN 'safety_issue' WHEN 1 THEN 'recommendation' WHEN 2 THEN 'section' ELSE 'summary' END AS document_type, r.text AS document FROM embeddings e JOIN {reports} r ON e.vec_id = r.doc_id",
+)
 #: Every report's words, once per place.
 _VIEWS["terms"] = (
     "SELECT doc_id, explode(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM documents",
