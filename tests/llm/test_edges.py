@@ -6,13 +6,26 @@ from pyspark.sql import functions as F
 from tidewater.llm import bpe, decontam, jaccard, langid, quality, toxicity, urlfilter
 
 LONG = "word another third " * 40_000
-TEXTS = [(1, None), (2, ""), (3, "a"), (4, LONG), (5, "same text of six plain words"), (5, "same text of six plain words"), (6, " \n\t "), (None, "no id at all here today"), (7, "\x00 odd � \U0001f600 text")]
+TEXTS = [
+    (1, None),
+    (2, ""),
+    (3, "a"),
+    (4, LONG),
+    (5, "same text of six plain words"),
+    (5, "same text of six plain words"),
+    (6, " \n\t "),
+    (None, "no id at all here today"),
+    (7, "\x00 odd � \U0001f600 text"),
+]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en" if t else None, "src0", 0, 0.5, "x", "und", 1) for i, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, lang_pred string, n_items int")
+    return spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, lang_pred string, n_items int",
+    )
 
 
 @pytest.fixture(scope="module")
@@ -47,16 +60,48 @@ def test_urlfilter(spark):
 
 
 def test_url_rules_from_a_table(spark):
-    rows = [("block", "Example.org/Docs/", None), ("allow", "example.org/Docs/Free/", None), ("block", None, "C++ Tips"), ("block", None, "a.b"), ("block", "x.com", None), ("allow", "x.com", None), ("block", "q.net/a\\Eb/", None), ("block", None, " "), ("block", "x.com", None)]
+    rows = [
+        ("block", "Example.org/Docs/", None),
+        ("allow", "example.org/Docs/Free/", None),
+        ("block", None, "C++ Tips"),
+        ("block", None, "a.b"),
+        ("block", "x.com", None),
+        ("allow", "x.com", None),
+        ("block", "q.net/a\\Eb/", None),
+        ("block", None, " "),
+        ("block", "x.com", None),
+    ]
     written = spark.createDataFrame(rows, "action string, place string, words string")
     plain = tuple({urlfilter.place_rule(a, p) if p else urlfilter.word_rule(a, w) for a, p, w in rows if p or w.strip()})
-    urls = ["http://example.org/Docs/x", "http://example.org/docs/x", "http://www.EXAMPLE.org/Docs/Free/y", "http://h/c++-tips", "http://h/c-tips", "http://h/a.b/", "http://h/axb/", "http://x.com/", "http://x.com", "http://q.net/a\\Eb/c"]
+    urls = [
+        "http://example.org/Docs/x",
+        "http://example.org/docs/x",
+        "http://www.EXAMPLE.org/Docs/Free/y",
+        "http://h/c++-tips",
+        "http://h/c-tips",
+        "http://h/a.b/",
+        "http://h/axb/",
+        "http://x.com/",
+        "http://x.com",
+        "http://q.net/a\\Eb/c",
+    ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     got = {}
     for rules in (urlfilter.rules_from(written), plain, urlfilter.rules_table(spark, plain)):
         for inline in (100, 0):
             got[len(got)] = [(r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, rules, inline=inline).orderBy("page_id").collect()]
-    assert got[0] == [("Example.org/Docs/", "block"), (None, "allow"), ("example.org/Docs/Free/", "allow"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), ("x.com", "allow"), (None, "allow"), ("q.net/a\\Eb/", "block")]
+    assert got[0] == [
+        ("Example.org/Docs/", "block"),
+        (None, "allow"),
+        ("example.org/Docs/Free/", "allow"),
+        (None, "block"),
+        (None, "allow"),
+        (None, "block"),
+        (None, "allow"),
+        ("x.com", "allow"),
+        (None, "allow"),
+        ("q.net/a\\Eb/", "block"),
+    ]
     assert all(x == got[0] for x in got.values())
     joined = urlfilter.judge_urls(pages, urlfilter.rules_from(written), inline=0)
     assert "Python" not in joined._jdf.queryExecution().toString()
@@ -91,7 +136,10 @@ def test_bpe(docs, empty):
 
 
 def test_decontam(spark, docs, empty):
-    items = spark.createDataFrame([(1, "plain words"), (2, None), (3, ""), (None, "no id at all here today"), (1, "plain words"), (4, "word another third " * 10)], "item_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "plain words"), (2, None), (3, ""), (None, "no id at all here today"), (1, "plain words"), (4, "word another third " * 10)],
+        "item_id long, text string",
+    )
     got = {r["doc_id"]: r for r in decontam.find(docs, items).collect()}
     assert got[1]["n_words"] == got[2]["n_hit"] == 0 and not got[1]["contaminated"]
     assert (got[5]["n_hit"], got[5]["n_items"], got[5]["items"]) == (2, 1, ["1"]) and got[5]["contaminated"]

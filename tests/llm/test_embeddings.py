@@ -84,12 +84,17 @@ def test_borders_of_partitions(spark, monkeypatch):
 def test_links_of_large_components_in_chunks(spark):
     rng = np.random.default_rng(6)
     centre = rng.standard_normal((2, 16))
-    rows = np.concatenate([centre[:1] + 0.25 * rng.standard_normal((900, 16)), centre[1:] + 0.25 * rng.standard_normal((700, 16)), rng.standard_normal((50, 16))])
+    rows = np.concatenate(
+        [centre[:1] + 0.25 * rng.standard_normal((900, 16)), centre[1:] + 0.25 * rng.standard_normal((700, 16)), rng.standard_normal((50, 16))],
+    )
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
     own = components(list(zip(*np.nonzero(near), strict=True)), range(len(rows)))
-    members = spark.createDataFrame([(int(own[i]), i, 1 + i % 3, v.tolist()) for i, v in enumerate(rows)], "component long, rid long, mult long, embedding array<double>")
+    members = spark.createDataFrame(
+        [(int(own[i]), i, 1 + i % 3, v.tolist()) for i, v in enumerate(rows)],
+        "component long, rid long, mult long, embedding array<double>",
+    )
     want = {i: int(near[i] @ (1 + np.arange(len(rows)) % 3)) for i in range(len(rows))}
     for values in (4_000_000, 16 * 300):
         assert {r["rid"]: r["n"] for r in embdedup.count_links(members, 0.9, chunk_values=values).collect()} == want
@@ -97,7 +102,22 @@ def test_links_of_large_components_in_chunks(spark):
 
 def test_edges(spark):
     v = [1.0] + [0.0] * 3
-    rows = [(1, v), (2, v), (2, v), (3, [0.99, 0.05, 0.0, 0.0]), (4, None), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [float("inf")] * 4), (9, []), (10, [1.0, 0.0]), (None, v), (11, [1e300, 0.0, 0.0, 0.0]), (12, [-1.0, 0.0, 0.0, 0.0])]
+    rows = [
+        (1, v),
+        (2, v),
+        (2, v),
+        (3, [0.99, 0.05, 0.0, 0.0]),
+        (4, None),
+        (5, [0.0] * 4),
+        (6, [float("nan"), 1.0, 1.0, 1.0]),
+        (7, [None, 1.0, 1.0, 1.0]),
+        (8, [float("inf")] * 4),
+        (9, []),
+        (10, [1.0, 0.0]),
+        (None, v),
+        (11, [1e300, 0.0, 0.0, 0.0]),
+        (12, [-1.0, 0.0, 0.0, 0.0]),
+    ]
     vectors = spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<double>, n_links int")
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_duplicates(vectors).collect())
     assert got[:6] == [(-1, 0, None, False), (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True)]

@@ -87,7 +87,9 @@ def test_names_drop_no_running_text():
     assert plain('<article><p id="search">a</p><h2 class="section-header">b</h2><p class="ad">c</p></article>') == ["a", "b", "c"]
     assert plain('<article>a<div class="ad">x</div><section id="comments"><p>y</section><aside>z</aside><form>f</form></article>') == ["a"]
     assert plain('<div class="page-with-sidebar"><p>the whole page</p></div><p>b</p>') == ["the whole page", "b"]
-    assert plain('<p>a long enough page</p><div class="site-footer">x</div><div class="cookie-box">y</div><nav>z</nav><header>h</header>') == ["a long enough page"]
+    assert plain(
+        '<p>a long enough page</p><div class="site-footer">x</div><div class="cookie-box">y</div><nav>z</nav><header>h</header>',
+    ) == ["a long enough page"]
     assert plain("<form><div>a page within a form</div></form><p>b</p>") == ["a page within a form", "b"]
 
 
@@ -116,7 +118,10 @@ def test_fixture_articles(spark):
 
 def test_edges(spark):
     rows = [(1, None, None), (2, "http://h/x", ""), (3, "http://h/y", "<p>plain &amp; simple"), (4, "h", "<div>" * 3000 + "deep" + "</div>" * 3000)]
-    rows += [(5, "http://h/z", "<article><h1>T</h1><script>x</script><p>a<br>b</p><div class='comments'>no</div></article><nav>menu</nav>"), (6, None, "<p>long " + "word " * 300_000)]
+    rows += [
+        (5, "http://h/z", "<article><h1>T</h1><script>x</script><p>a<br>b</p><div class='comments'>no</div></article><nav>menu</nav>"),
+        (6, None, "<p>long " + "word " * 300_000),
+    ]
     pages = spark.createDataFrame([(*r, "clash", 0) for r in rows + rows[2:3]], "page_id int, url string, html string, text string, k int")
     out = html.extract(pages)
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in out.collect()}

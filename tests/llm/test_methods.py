@@ -212,7 +212,14 @@ def test_misspelled_terms_are_caught_by_the_automata(spark):
 
     def typo(word):
         i = r.randrange(len(word) - 1)
-        return r.choice([word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + word[i + 1 :], word[:i] + r.choice("abcdefgh") + word[i + 1 :], word[:i] + word[i] + word[i:]])
+        return r.choice(
+            [
+                word[:i] + word[i + 1] + word[i] + word[i + 2 :],
+                word[:i] + word[i + 1 :],
+                word[:i] + r.choice("abcdefgh") + word[i + 1 :],
+                word[:i] + word[i] + word[i:],
+            ],
+        )
 
     def caught(texts, edits):
         lexicon = toxicity.Lexicon(model.weights, model.forms, edits)

@@ -63,7 +63,10 @@ def tables(spark, tmp_path):
     def write(rows):
         shape = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string, lang_pred string, k int, rest string"
         spark.createDataFrame([(i, t, lang, "src0", 0, 0.5, "x", "und", 1, "y") for i, t, lang in rows], shape).write.parquet(f"{tmp_path}/documents.parquet")
-        spark.createDataFrame([(1, "the lazy dog runs home again and the quick brown fox jumps over it"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        spark.createDataFrame(
+            [(1, "the lazy dog runs home again and the quick brown fox jumps over it"), (2, None)],
+            "item_id long, text string",
+        ).write.parquet(f"{tmp_path}/benchmark.parquet")
         return str(tmp_path)
 
     return write
@@ -73,7 +76,10 @@ def test_odd_rows_and_foreign_documents(spark, tables):
     english = [(100 + i, f"the quick brown fox number {'xyzvwuts'[i % 8] * (1 + i // 8)} jumps over the lazy dog and runs home again", "en") for i in range(20)]
     rows = [(1, None, "en"), (2, "", "en"), (3, "12 34 !?", None), (4, "Это русский текст, которого никто не учил, и он уходит из собрания", None)]
     rows += [(5, "a line about the lazy dog and the brown fox that stays here", None)] * 2 + [(None, "no id but the quick dog jumps over the fox", "en")]
-    rows += [(6, "the lazy dog runs home again and the quick brown fox jumps over it", "en"), (7, "the dog said " + "and the fox over the home again " * 30_000, "en")]
+    rows += [
+        (6, "the lazy dog runs home again and the quick brown fox jumps over it", "en"),
+        (7, "the dog said " + "and the fox over the home again " * 30_000, "en"),
+    ]
     folder = tables(english + rows)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = langid.stage(spark, docs, folder)

@@ -22,8 +22,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         start = edges
-        large = materialise(_large_star(edges), "links")
-        edges = materialise(_small_star(large), "links")
+        large = _large_star(edges)
+        edges = _small_star(large)
         drop_written(large)
         changed = edges.join(start, ["u", "v"], "left_anti").limit(1).count() or edges.count() != start.count()
         drop_written(start)
@@ -37,11 +37,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("x", "y")
     low = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "minima")
     out = both.join(low, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return out.distinct()
+    written = materialise(out.distinct(), "links")
+    drop_written(low)
+    return written
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the smallest of them."""
     low = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
     out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    written = materialise(out.filter("u <> v").distinct(), "links")
+    drop_written(low)
+    return written

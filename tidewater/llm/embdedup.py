@@ -87,8 +87,8 @@ def sort_keys(unit: np.ndarray, first: int, passes: int, mean: np.ndarray | floa
     return out
 
 
-def centres(reps: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
-    """length -> (mean of the unit vectors of that length, their mean squared distance from it)."""
+def centres(reps: DataFrame) -> dict[int, tuple[np.ndarray, float, int]]:
+    """length -> (mean of the unit vectors of that length, their mean squared distance from it, their number)."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
@@ -104,8 +104,8 @@ def centres(reps: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
         held = found.setdefault(r["dim"], [0, 0.0])
         held[0] += r["n"]
         held[1] = held[1] + np.array(r["total"])
-    means = {d: total / n for d, (n, total) in found.items()}
-    return {d: (m, 1 - float(m @ m)) for d, m in means.items()}
+    means = {d: (total / n, n) for d, (n, total) in found.items()}
+    return {d: (m, 1 - float(m @ m), n) for d, (m, n) in means.items()}
 
 
 def _spread(first: int, passes: int, means: dict[int, np.ndarray]):
@@ -175,7 +175,9 @@ def _windows(threshold: float, neighbours: int):
         tail = pd.DataFrame({"lane": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "unit": []})
 
         def ends(rows: pd.DataFrame, border: int, place: int) -> pd.DataFrame:
-            return pd.DataFrame({"kind": 1, "a": border, "b": rows["rid"], "lane": rows["lane"], "place": np.arange(place, place + len(rows)), "unit": rows["unit"]})
+            return pd.DataFrame(
+                {"kind": 1, "a": border, "b": rows["rid"], "lane": rows["lane"], "place": np.arange(place, place + len(rows)), "unit": rows["unit"]},
+            )
 
         def met(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([(0, x, y, 0, 0, None) for x, y in _links(rows, threshold, neighbours)], columns=["kind", "a", "b", "lane", "place", "unit"])
@@ -343,19 +345,23 @@ def count_links(members: DataFrame, threshold: float, chunk_values: int = CHUNK_
     chunks = -(-values // chunk_values)
     # A large component lies in one chunk; one of more values than a chunk is cut into several.
     cuts = F.ceil(F.col("values") / chunk_values)
-    placed = large.withColumns({"chunk": F.pmod(F.xxhash64("component"), F.lit(max(1, chunks))), "cut": F.pmod(F.xxhash64(F.lit("cut"), "rid"), cuts), "cuts": cuts})
+    placed = large.withColumns(
+        {"chunk": F.pmod(F.xxhash64("component"), F.lit(max(1, chunks))), "cut": F.pmod(F.xxhash64(F.lit("cut"), "rid"), cuts), "cuts": cuts},
+    )
     for c in range(chunks):
         own = materialise(placed.filter(F.col("chunk") == c), "vector-chunk")
         for k in range(own.agg(F.max("cuts")).first()[0] or 0):
             some = own.filter(F.col("cut") == k).select("component", "rid", "mult", "embedding")
-            held, name = spark.sparkContext.broadcast([(r["component"], r["rid"], r["mult"], u.tobytes()) for r in some.toLocalIterator() for u in units([r["embedding"]])]), uuid.uuid4().hex
+            chunk_rows = [(r["component"], r["rid"], r["mult"], units([r["embedding"]])[0].tobytes()) for r in some.toLocalIterator()]
+            held, name = spark.sparkContext.broadcast(chunk_rows), uuid.uuid4().hex
 
             def compare(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
                 def arrange() -> dict:
                     out: dict[tuple[int, int], list] = {}
                     for component, rid, mult, raw in held.value:
                         out.setdefault((component, len(raw) // 8), []).append((rid, mult, raw))
-                    return {key: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)) for key, rows in out.items()}
+                    matrix = lambda rows: np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1)
+                    return {key: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), matrix(rows)) for key, rows in out.items()}
 
                 chunk = worker_state(("vector-chunk", name), arrange)
                 for b in batches:
@@ -386,7 +392,14 @@ def count_links(members: DataFrame, threshold: float, chunk_values: int = CHUNK_
     return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, neighbours: int = NEIGHBOURS, passes: int | None = None, exact: bool = False) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+    neighbours: int = NEIGHBOURS,
+    passes: int | None = None,
+    exact: bool = False,
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
     The passes follow from `recall` unless their number is given; `exact` adds the pass over all pairs.
@@ -398,22 +411,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     keyed = own.withColumns({"h1": F.when(fine, F.xxhash64("embedding")), "h2": F.when(fine, F.xxhash64(F.lit("second"), "embedding"))})
-    classes = keyed.filter(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("rid"), F.count("*").alias("mult"), F.any_value("embedding").alias("embedding"))
+    classes = keyed.filter(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("rid"),
+        F.count("*").alias("mult"),
+        F.any_value("embedding").alias("embedding"),
+    )
     classes = materialise(classes, "vector-classes")
     around = centres(classes)
     if passes is None:
-        passes = passes_for(classes.count(), min((v for _, v in around.values()), default=1.0), threshold, neighbours, recall)
-    links = find_links(classes, threshold, passes, neighbours, {d: m for d, (m, _) in around.items()})
+        passes = max((passes_for(n, spread, threshold, neighbours, recall) for _, spread, n in around.values()), default=LEAST_PASSES)
+    links = find_links(classes, threshold, passes, neighbours, {d: m for d, (m, *_) in around.items()})
     if exact:
         links = links.union(exact_links(classes, threshold))
     nodes = materialise(connected_components(links).select(F.col("node").alias("rid"), "component"), "vector-components")
-    members = classes.join(nodes, "rid").select("component", "rid", "mult", "embedding")
-    counts = count_links(materialise(members, "vector-members"), threshold)
+    members = materialise(classes.join(nodes, "rid").select("component", "rid", "mult", "embedding"), "vector-members")
+    counts = count_links(members, threshold)
     judged = classes.select("h1", "h2", "rid", "mult").join(nodes, "rid", "left").join(counts, "rid", "left")
-    judged = materialise(judged.select("h1", "h2", F.coalesce("component", "rid").alias("component"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "vector-results")
+    judged = judged.select(
+        "h1",
+        "h2",
+        F.coalesce("component", "rid").alias("component"),
+        (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"),
+    )
+    judged = materialise(judged, "vector-results")
+    for served in (classes, nodes, members, counts):
+        drop_written(served)
     out = keyed.select("vec_id", "h1", "h2").join(judged, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,9 @@ _NAMES = (
 )
 _CLASS_INSIDE = re.compile(rf"(?i)(?:^|\s)(?:{_NAMES})(?:$|\s)")
 _CLASS_OUTSIDE = re.compile(rf"(?i)(?:^|[\s_-])(?:{_NAMES}|header|topbar)(?:$|\s)|(?:^|\s)(?:ads?|advert|cookie)[_-]")
-_COMMENTS = re.compile(r"(?i)(?:^|\s)(?:(?:user|reader|visitor)[_-]?)?(?:comments?|disqus)(?:[_-](?:area|list|section|thread|box|wrapper|container))?(?:$|\s)|(?:^|\s)respond(?:$|\s)")
+_COMMENTS = re.compile(
+    r"(?i)(?:^|\s)(?:(?:user|reader|visitor)[_-]?)?(?:comments?|disqus)(?:[_-](?:area|list|section|thread|box|wrapper|container))?(?:$|\s)|(?:^|\s)respond(?:$|\s)",
+)
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 #: What a tag's name and one attribute look like; elements whose content is no markup, and their end tags.
 _NAME = re.compile(r"[^\s/>]+")
@@ -274,6 +276,11 @@ def candidate(node: Node, parent: Node, inside: bool) -> bool:
     return node.letters > 0 and not node.core and (node.tag in BLOCKS or (not inside and parent.tag not in PROSE and parent.tag in BLOCKS))
 
 
+def is_list_of_links(node: Node) -> bool:
+    """Three links or more that hold most of the text: outside articles, a menu."""
+    return node.tag in ("ul", "ol", "div", "table", "section") and node.links >= 3 and node.linked >= 0.8 * node.letters
+
+
 def subtrees(root: Node) -> Iterator[tuple[Node, bool]]:
     """The elements that may belong to a template, each with whether it stands inside an article."""
     todo = [(root, False)]
@@ -322,7 +329,7 @@ def text_blocks(root: Node, is_template) -> list[str]:
                 pieces.append(part)
             elif part.tag in ("br", "img", "wbr"):
                 pieces.append(" " if part.tag == "br" else "")
-            elif part is not top and (gone(part, parent, not whole) or (whole and part.tag in ("ul", "ol", "div", "table", "section") and part.links >= 3 and part.linked >= 0.8 * part.letters)):
+            elif part is not top and (gone(part, parent, not whole) or (whole and is_list_of_links(part))):
                 if part.tag in BLOCKS:
                     end_block()
             else:
@@ -350,11 +357,18 @@ def recurring(pages: DataFrame, share: float = SHARE, at_least: int = PAGES, sha
             yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 4), columns=["h", "kind", "k", "p"])
 
     each = pages.select("url", "html").mapInPandas(emit, "h long, kind long, k long, p long").groupBy("h", "kind", "k", "p").agg(F.lit(1).alias("one"))
-    counted = materialise(each.groupBy("kind", "k").agg(F.any_value("h").alias("h"), F.count("one").alias("n")).filter(F.col("n") >= F.when(F.col("kind") == 2, 1).otherwise(min(at_least, at_least_inside))), "subtree-counts")
+    counted = materialise(
+        each.groupBy("kind", "k").agg(F.any_value("h").alias("h"), F.count("one").alias("n")).filter(
+            F.col("n") >= F.when(F.col("kind") == 2, 1).otherwise(min(at_least, at_least_inside)),
+        ),
+        "subtree-counts",
+    )
     hosts = counted.filter("kind = 2").select(F.col("k").alias("h"), F.col("n").alias("pages"))
     inside = F.col("kind") == 1
     often = (F.col("n") >= F.when(inside, at_least_inside).otherwise(at_least)) & (F.col("n") >= F.when(inside, share_inside).otherwise(share) * F.col("pages"))
-    return counted.filter("kind < 2").join(hosts, "h").filter(often).select("k")
+    found = materialise(counted.filter("kind < 2").join(hosts, "h").filter(often).select("k"), "templates")
+    drop_written(counted)
+    return found
 
 
 def extract(pages: DataFrame, most: int = BROADCAST_KEYS, **limits) -> DataFrame:
@@ -365,7 +379,7 @@ def extract(pages: DataFrame, most: int = BROADCAST_KEYS, **limits) -> DataFrame
     whole, broken markup as browsers do in the common cases. Pages without a host in their url are
     one host together. One row in, one row out; repeated rows give the same text.
     """
-    keys = materialise(recurring(pages, **limits), "templates")
+    keys = recurring(pages, **limits)
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     if keys.count() <= most:
         held = pages.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("k").to_numpy()))

@@ -209,7 +209,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
         for b in tidy("measure", batches):
             sets = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "n": [len(s) for s in sets], "node": [set_key(s) for s in sets], "second": [second_key(s) for s in sets], "sketch": [bit_sketch(s) for s in sets]})
+            yield pd.DataFrame({
+                "kind": 0,
+                "doc_id": b["doc_id"],
+                "n": [len(s) for s in sets],
+                "node": [set_key(s) for s in sets],
+                "second": [second_key(s) for s in sets],
+                "sketch": [bit_sketch(s) for s in sets],
+            })
             waiting.extend(sets)
             if len(waiting) >= COUNT_DOCS:
                 yield recurring()
@@ -381,7 +388,8 @@ def cross_edges(groups: DataFrame, components: DataFrame, sets: DataFrame) -> Da
     groups are compared in one go; those of more than BLOCK sets are dealt out in pairs of blocks."""
     named = groups.select(F.col("a").alias("g"), F.col("b").alias("node"), "role").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "group-members")
-    split = named.groupBy("g").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = named.groupBy("g").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"))
+    split = sizes.filter("c1 <> c2").select("g", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     full = materialise(named.join(split, "g"), "mixed-groups").join(sets.select("node", "n", "sketch"), "node")
     buckets = max(1, named.count() // (4 * BLOCK))
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -500,7 +508,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = materialise(measure(docs), "measured")
     rows = measured.filter("kind = 0")
-    sets = materialise(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rid"), F.max("n").alias("n"), F.min("sketch").alias("sketch"), F.min_by("second", "doc_id").alias("second")), "nodes")
+    first = F.min("doc_id").alias("rid"), F.min_by("second", "doc_id").alias("second")
+    sets = materialise(rows.filter("n > 0").groupBy("node").agg(*first, F.max("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     total = sets.filter("rid is not null").agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(0.5 * total / BUCKET_KEYS))
     found = materialise(lane_groups(docs, common_table(measured.filter("kind = 1")), buckets), "lane-groups")
@@ -519,6 +528,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = materialise(named, "named")
     least = materialise(named.groupBy("component").agg(F.min("rid").alias("component_id")), "least")
     by_node = materialise(named.join(least, "component").select("node", "component_id", F.col("second").alias("held")), "by-node")
+    for served in (sets, found, pairs, components, edges, named, least):
+        drop_written(served)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node", "second").join(by_node, "node", "left")
     linked = (F.col("n_shingles") > 0) & (F.col("second") == F.col("held"))
     return out.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -202,7 +202,10 @@ def _joined(docs: DataFrame, keys: DataFrame, shape: str) -> DataFrame:
 
     @F.pandas_udf(shape)
     def cut(texts: pd.Series, sets: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, lambda k, s=s: np.isin(k, np.array([] if s is None else s, np.int64))) for t, s in zip(texts, sets, strict=True)], columns=["text", "n_lines", "n_dropped"])
+        return pd.DataFrame(
+            [without(t, lambda k, s=s: np.isin(k, np.array([] if s is None else s, np.int64))) for t, s in zip(texts, sets, strict=True)],
+            columns=["text", "n_lines", "n_dropped"],
+        )
 
     pairs = docs.select("text").mapInPandas(emit, "_t string, k long").distinct()
     found = materialise(pairs.join(keys, "k", "left_semi").groupBy("_t").agg(F.collect_set("k").alias("_keys")), "text-templates")
@@ -253,6 +256,7 @@ WITH texts AS (
   SELECT l.t, count(*) AS n_lines, count(gone.pos) AS n_gone, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS rest
   FROM l LEFT JOIN gone USING (t, pos) GROUP BY l.t
 )
-SELECT doc_id, CASE WHEN n_gone > 0 THEN coalesce(rest, '') ELSE documents.text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_dropped
+SELECT doc_id, CASE WHEN n_gone > 0 THEN coalesce(rest, '') ELSE documents.text END AS text, CAST(coalesce(n_lines,
+0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_dropped
 FROM documents LEFT JOIN texts ON documents.text = texts.text LEFT JOIN d USING (t)
 """

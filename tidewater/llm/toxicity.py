@@ -279,9 +279,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
                 yield pd.DataFrame({"word": list(own), "half": half, "y": y, "n": list(own.values())})
 
     one = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
-    counted = materialise(sample.mapInPandas(words, "word string, half int, y int, n long").groupBy("word").agg(one(0, 1).alias("t0"), one(0, 0).alias("c0"), one(1, 1).alias("t1"), one(1, 0).alias("c1")), "toxic-words")
+    counted = materialise(
+        sample.mapInPandas(words, "word string, half int, y int, n long").groupBy("word").agg(
+            one(0, 1).alias("t0"),
+            one(0, 0).alias("c0"),
+            one(1, 1).alias("t1"),
+            one(1, 0).alias("c1"),
+        ),
+        "toxic-words",
+    )
     half = counted.select("word", F.col("t0").alias("toxic"), F.col("c0").alias("clean")), sizes[0, 1], sizes[0, 0]
-    whole = counted.select("word", (F.col("t0") + F.col("t1")).alias("toxic"), (F.col("c0") + F.col("c1")).alias("clean")), sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0]
+    whole = counted.select(
+        "word",
+        (F.col("t0") + F.col("t1")).alias("toxic"),
+        (F.col("c0") + F.col("c1")).alias("clean"),
+    ), sizes[0, 1] + sizes[1, 1], sizes[0, 0] + sizes[1, 0]
     first, both = _lexicon(*half), _lexicon(*whole)
     name, first_forms = uuid.uuid4().hex, _forms(sample.filter("_half = 0"), half[0], first, *half[1:])
 

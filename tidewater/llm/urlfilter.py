@@ -124,7 +124,10 @@ def filed(urls: DataFrame, rules: DataFrame) -> DataFrame:
         raise ValueError("a rule without a literal token can't be indexed")
     own = rules.select("*", F.explode("tokens").alias("token"))
     few = [r["token"] for r in own.select("token").distinct().limit(INLINE_RULES + 1).collect()]
-    held = F.col("_tokens") if len(few) > INLINE_RULES else F.array_intersect("_tokens", F.array(*map(F.lit, sorted(few)))) if few else F.array().cast("array<string>")
+    held = F.col("_tokens") if len(few) > INLINE_RULES else F.array_intersect(
+        "_tokens",
+        F.array(*map(F.lit, sorted(few))),
+    ) if few else F.array().cast("array<string>")
     counts = urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "token")
     best = own.join(counts, "token", "left").groupBy("label", "action", "pattern", "rank").agg(F.min_by("token", order).alias("token"))
@@ -154,7 +157,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame | tuple[Rule, ...] = SITE_RULES
 
 
 def _as_struct(r: Row) -> Column:
-    return F.struct(F.lit(r["rank"]).alias("rank"), F.lit(r["label"]).cast("string").alias("label"), F.lit(r["action"]).alias("action"), F.lit(r["pattern"]).alias("pattern"))
+    return F.struct(
+        F.lit(r["rank"]).alias("rank"),
+        F.lit(r["label"]).cast("string").alias("label"),
+        F.lit(r["action"]).alias("action"),
+        F.lit(r["pattern"]).alias("pattern"),
+    )
 
 
 def _inline(own: DataFrame, index: dict[str, list[Row]], default: str) -> DataFrame:
@@ -165,14 +173,20 @@ def _inline(own: DataFrame, index: dict[str, list[Row]], default: str) -> DataFr
     some = F.array_intersect("_tokens", F.array(*map(F.lit, sorted(index))))
     fetched = F.flatten(F.transform(some, lambda t: F.element_at(held, t)))
     best = F.array_min(F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"])))
-    return own.withColumn("_best", best).withColumns({"rule": F.col("_best.label"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_tokens", "_best")
+    return own.withColumn("_best", best).withColumns(
+        {"rule": F.col("_best.label"), "verdict": F.coalesce("_best.action", F.lit(default))},
+    ).drop("_tokens", "_best")
 
 
 def _joined(own: DataFrame, index: DataFrame, default: str, url: str) -> DataFrame:
     """For large rule sets: of the tokens of distinct urls those of the index stay, and meet the
     rules filed under them in a join whose plan doesn't grow with the rules."""
     index = materialise(index, "url-rules")
-    pairs = own.select(url, "host", "path", "_tokens").dropDuplicates([url]).select(F.col(url).alias("_url"), F.concat("host", "path").alias("_place"), F.explode("_tokens").alias("token"))
+    pairs = own.select(url, "host", "path", "_tokens").dropDuplicates([url]).select(
+        F.col(url).alias("_url"),
+        F.concat("host", "path").alias("_place"),
+        F.explode("_tokens").alias("token"),
+    )
     pairs = pairs.join(index.select("token").distinct(), "token", "left_semi")
     hits = pairs.join(index, "token").filter(F.regexp_like("_place", F.col("pattern")))
     best = hits.groupBy("_url").agg(F.min(F.struct("rank", "label", "action")).alias("_best"))
