@@ -40,7 +40,11 @@ def test_contents_and_sections():
     assert sections.contents_span(far) is None
     told = "<< Page 1 >>\n" + "\n".join(f"{a}.{b} words of part {a} and {b}" for a in (1, 2) for b in (1, 2, 3))
     assert [n for n, _ in sections.sections(told)] == ["1.1", "1.2", "1.3", "2.1", "2.2"]
-    assert sections.sections("<< Page 4 >> one\n\ntwo\n\n\n<< Page 5 >> three") == [("p4.0", "<< Page 4 >> one"), ("p4.1", "two"), ("p5.0", "<< Page 5 >> three")]
+    assert sections.sections("<< Page 4 >> one\n\ntwo\n\n\n<< Page 5 >> three") == [
+        ("p4.0", "<< Page 4 >> one"),
+        ("p4.1", "two"),
+        ("p5.0", "<< Page 5 >> three"),
+    ]
     assert sections.sections(None) == []
 
 
@@ -48,7 +52,9 @@ def test_numbered_sections():
     lines = lambda *numbers: "\n".join(f"{n} words on {n.replace('.', ' and ')}" for n in numbers)
     found = lambda text: [n for n, _ in sections.numbered_sections(text)]
     # Paragraphs without a heading of their section; the last of each section has no end.
-    assert found(lines("1.1.1", "1.1.2", "1.1.3", "1.2.1", "1.2.2", "1.2.3", "1.3.1", "1.3.2", "1.3.3")) == ["1.1.1", "1.1.2", "1.2.1", "1.2.2", "1.3.1", "1.3.2"]
+    assert found(
+        lines("1.1.1", "1.1.2", "1.1.3", "1.2.1", "1.2.2", "1.2.3", "1.3.1", "1.3.2", "1.3.3"),
+    ) == ["1.1.1", "1.1.2", "1.2.1", "1.2.2", "1.3.1", "1.3.2"]
     # A part that begins with its second section.
     assert found(lines("1.2", "1.3", "1.4", "1.5", "1.6", "1.7")) == ["1.2", "1.3", "1.4", "1.5", "1.6"]
     # One missing section of a part is stepped over, a second one ends the part.
@@ -64,7 +70,14 @@ def test_numbered_sections():
 
 
 def test_issue_statements(spark):
-    rows = ["Safety issue: the brake\nfailed 2.1 more", "S a f e t y issues - one safety issue - two 3.2.1", "safety issue: a Safety issue - b safety issue: c 1.", "safety issue: never ended", "none", None]
+    rows = [
+        "Safety issue: the brake\nfailed 2.1 more",
+        "S a f e t y issues - one safety issue - two 3.2.1",
+        "safety issue: a Safety issue - b safety issue: c 1.",
+        "safety issue: never ended",
+        "none",
+        None,
+    ]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.issue_statements(F.col("t"))).collect()]
     assert got == [["the brake\nfailed "], ["one ", "two "], ["a ", "c "], [], [], None]
 
@@ -77,7 +90,19 @@ def test_reply_categories(spark):
 
 def test_label_validity(spark):
     many = [pages.to_roman(k) for k in range(1, 42)]
-    cases = [([], False), ([""], False), (["", "i", "ii", "1", "2"], True), ([*many, "1"], True), ([*many, "42"], True), ([*many, "43"], False), (["1", "", "2"], False), (["i", "iii", "1"], False), (["1", "3"], False), (["2", "3"], True), (["1", "i"], False)]
+    cases = [
+        ([], False),
+        ([""], False),
+        (["", "i", "ii", "1", "2"], True),
+        ([*many, "1"], True),
+        ([*many, "42"], True),
+        ([*many, "43"], False),
+        (["1", "", "2"], False),
+        (["i", "iii", "1"], False),
+        (["1", "3"], False),
+        (["2", "3"], True),
+        (["1", "i"], False),
+    ]
     got = documents.validate_labels(spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "report_id int, labels array<string>")).collect()
     assert {r["report_id"]: r["valid"] for r in got} == {k: v for k, (_, v) in enumerate(cases)}
 

@@ -84,7 +84,16 @@ class Site:
 def test_crawl(spark):
     listings = spark.createDataFrame([("a", "x://a/{page}"), ("f", "x://flaky/{page}"), ("g", "x://gone/{page}")], "listing string, url string")
     got = sorted(tuple(r) for r in crawl.crawl(listings, Site(), str.split, pause=0).collect())
-    assert got == [("a", 1, "a-0"), ("a", 1, "a-1"), ("a", 2, "a-2"), ("a", 2, "a-3"), ("f", 1, "flaky-0"), ("f", 1, "flaky-1"), ("f", 2, "flaky-2"), ("f", 2, "flaky-3")]
+    assert got == [
+        ("a", 1, "a-0"),
+        ("a", 1, "a-1"),
+        ("a", 2, "a-2"),
+        ("a", 2, "a-3"),
+        ("f", 1, "flaky-0"),
+        ("f", 1, "flaky-1"),
+        ("f", 2, "flaky-2"),
+        ("f", 2, "flaky-3"),
+    ]
     urls = spark.createDataFrame([("x://a/1",), ("x://gone/1",), ("x://a/9",)], "url string")
     assert [r["outcome"] for r in crawl.fetched(urls, Site(), pause=0).collect()] == ["ok", "missing", "failed"]
 
@@ -129,11 +138,17 @@ def test_models(spark):
     assert providers.ask(Scripted(None), "", "") is None and providers.ask(Scripted(), "x" * 600_000, "") is None
     with pytest.raises(ConnectionError):
         providers.ask(Scripted(*[ConnectionError()] * 3), "", "", pause=0)
-    twice = Scripted("- {safety_issue: a, quality: exact}\n- {safety_issue: a, quality: exact}", "not: [", "```yaml\n- {safety_issue: ' a ', quality: exact}\n```")
+    twice = Scripted(
+        "- {safety_issue: a, quality: exact}\n- {safety_issue: a, quality: exact}",
+        "not: [",
+        "```yaml\n- {safety_issue: ' a ', quality: exact}\n```",
+    )
     assert providers.extract_issues(twice, "", "") == [{"safety_issue": "a", "quality": "exact"}] and twice.warmth == [0, 0.01, 0.02]
     assert providers.extract_issues(Scripted(*["x"] * 10), "", "") is None and providers.extract_issues(Scripted(None), "", "") is None
     assert providers.recommendations_from("None") is None and providers.recommendations_from(None) is None and providers.recommendations_from("[") is None
-    assert providers.recommendations_from("- recommendation: |\n    do it\n  made: 2001-02-03")[0] == {"recommendation": "do it", "recommendation_id": None, "recommendation_context": None, "recipient": None, "made": "2001-02-03"}
+    assert providers.recommendations_from(
+        "- recommendation: |\n    do it\n  made: 2001-02-03",
+    )[0] == {"recommendation": "do it", "recommendation_id": None, "recommendation_context": None, "recipient": None, "made": "2001-02-03"}
     assert providers.tidy_contents(Scripted("```\n1 a 2\n```"), "1 a .. 2") == "1 a 2" and providers.tidy_contents(None, "raw") == "raw"
     df = spark.createDataFrame([("What failed?\nthe brake failed\nrain", 1), (None, 2)], "prompt string, answers int")
     got = providers.answer_column(df, {"m": providers.ExtractiveModel(1)}, "m", "", "prompt", n=2).collect()
@@ -181,5 +196,8 @@ def test_quantiles_and_first_ranks(spark):
     rows = spark.createDataFrame([("q", m, s) for m, s in (("x", 3), ("y", 5), ("x", 9), ("z", 1), ("y", 9))], "query string, report string, score int")
     ranks = analytics.first_ranks(rows, "query", "report", -F.col("score"), F.col("report"))
     assert {(x["report"], x["first_rank"]) for x in ranks.collect()} == {("x", 1), ("y", 2), ("z", 5)}
-    pairs = joins.worded_pairs(spark.createDataFrame([("r", "1", "A b c")], "report_id string, recommendation_id string, recommendation string"), spark.createDataFrame([("r", "2", "b C d"), ("r", "3", None)], "report_id string, safety_issue_id string, safety_issue string"))
+    pairs = joins.worded_pairs(
+        spark.createDataFrame([("r", "1", "A b c")], "report_id string, recommendation_id string, recommendation string"),
+        spark.createDataFrame([("r", "2", "b C d"), ("r", "3", None)], "report_id string, safety_issue_id string, safety_issue string"),
+    )
     assert {x["safety_issue_id"]: x["score"] for x in pairs.collect()}["2"] == 0.5

@@ -54,7 +54,10 @@ def test_checkpoints_within_a_run(spark, tmp_path):
 
 
 def test_stored_index(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), F.col("vec_id") == F.col("doc_id")).select("vec_id", F.col("text").alias("document"), "embedding")
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").join(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet"),
+        F.col("vec_id") == F.col("doc_id"),
+    ).select("vec_id", F.col("text").alias("document"), "embedding")
     index, half = SearchIndex(Catalog(spark, f"file://{tmp_path}")), docs.filter("vec_id % 2 = 0")
     index.build(half, cells=4)
     index.add(docs)

@@ -17,7 +17,11 @@ def test_tables(spark):
 def test_summary_and_outline():
     assert web.summary_block("<h2>What</h2>x<h2>Executive summary</h2><p>a  b</p><h2>Next</h2>c") == "a b"
     assert web.summary_block("<p>only this</p>") == "only this" and web.summary_block(None) is None
-    items = [{"title": "A", "structured": True, "page": 1}, [{"title": "B", "structured": True, "page": "ii"}, {"title": "C"}], {"title": "D", "structured": True}]
+    items = [
+        {"title": "A", "structured": True, "page": 1},
+        [{"title": "B", "structured": True, "page": "ii"}, {"title": "C"}],
+        {"title": "D", "structured": True},
+    ]
     assert list(web.flatten_outline(items)) == [("A", 1, "1"), ("B", 2, "ii"), ("D", 1, "")]
 
 
