@@ -351,7 +351,7 @@ def q_extra_context(spark, d):
             " The commission recommended this, and THE COMMISSION RECOMMENDS that.",
         ).when(k == 2, "\nthe Commission noted it").otherwise(""),
     )
-    return _reports(spark, d).select("report_id", F.nullif(F.regexp_extract(told, "(?is)(.*)the commission recommend", 1), F.lit("")).alias("context"))
+    return _reports(spark, d).select("report_id", F.nullif(F.regexp_extract(told, r"(?is)\A(.*)the commission recommend", 1), F.lit("")).alias("context"))
 
 
 def q_compose_id(spark, d):
