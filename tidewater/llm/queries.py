@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontam, embdedup, html, jaccard, langid, linededup, quality, toxicity, urlfilter
+from tidewater.llm import bpe, codebook, decontam, embdedup, html, jaccard, langid, linededup, piece, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_dedup": embdedup.query,
         "op10_ngram_jaccard": jaccard.query,
         "op7_url_filter": urlfilter.query,
+        "op12_vector_codes": codebook.query,
+        "op13_sentencepiece": piece.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontam.ORACLE, "op7_url_filter": urlfilter.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    return {"op5_decontaminate": decontam.ORACLE, "op7_url_filter": urlfilter.ORACLE, "op8_line_dedup": linededup.ORACLE, "op12_vector_codes": codebook.ORACLE}
