@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, codebook, decontam, embdedup, html, jaccard, langid, linededup, piece, quality, toxicity, urlfilter
+from tidewater.llm import bpe, codebook, decontam, embdedup, html, jaccard, langid, linededup, piece, quality, toxicity, urlfilter, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_dedup": embdedup.query,
         "op10_ngram_jaccard": jaccard.query,
         "op7_url_filter": urlfilter.query,
+        "op11_whitening": whitening.query,
         "op12_vector_codes": codebook.query,
         "op13_sentencepiece": piece.query,
     }
