@@ -150,14 +150,15 @@ def words_of(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, wanted: list[str], key: str = "doc_id", body: str = "text") -> DataFrame:
-    """(key, score) of documents with any of the terms. A document's length and its counts of the
-    terms are found where it is read; what is shuffled is one row of sums over all documents."""
+    """(key, score) of documents with any of the terms; documents of one key count as one. A document's
+    length and its counts of the terms are summed where it is read: one row a document is shuffled."""
     wanted = list(dict.fromkeys(wanted))
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score")).filter(F.lit(False))
-    words = docs.select(key, words_of(F.col(body)).alias("w")).filter(F.size("w") > 0)
-    count = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
-    counted = words.select(key, F.size("w").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    # Words are cut once: a document's rows follow each other, so a task sums them before the shuffle.
+    words = docs.select(key, F.explode(words_of(F.col(body))).alias("term"))
+    count = lambda term: F.sum((F.col("term") == F.lit(term)).cast("long"))
+    counted = words.groupBy(key).agg(F.count("*").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(wanted)])
     totals = counted.agg(
         F.count("*").alias("docs"),
         F.avg("len").alias("avg_len"),
