@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -18,16 +18,25 @@ def number(word):
 
 def recurring(texts):
     """The recurring template keys of texts, counted plainly."""
-    found = defaultdict(dict)
+    lines, having = {}, defaultdict(set)
     for text in {t for t in texts if t}:
-        least = {}
+        lines[text] = {}
         for line in text.split("\n"):
-            w = [number(x) for x in re.findall(r"[^\t\n\v\f\r ]+", line)]
+            raw = re.findall(r"[^\t\n\v\f\r ]+", line)
+            w = [number(x) for x in raw]
             if w:
-                least[line] = min(sum(a * b for a, b in zip(w[i : i + 5], linededup.COEFFICIENTS, strict=False)) % linededup.MODULUS for i in range(max(1, len(w) - 4)))
-        for line in least:
-            rest = min((v for x, v in least.items() if x != line), default=-1)
-            for k in linededup.templates(line.encode())[1]:
+                least = min(sum(a * b for a, b in zip(w[i : i + 5], linededup.COEFFICIENTS, strict=False)) % linededup.MODULUS for i in range(max(1, len(w) - 4)))
+                marks = {("first", *raw[:5]), ("last", *raw[-5:]), ("least", least)} if len(w) >= linededup.GENERAL_TOKENS else set()
+                lines[text][line] = (least, linededup.templates(line.encode())[1], marks)
+                for key in (*lines[text][line][1], *marks):
+                    having[key].add(text)
+    common = {k for k, own in having.items() if len(own) >= linededup.MIN_DOCS}
+    found = defaultdict(dict)
+    for text, own in lines.items():
+        new = [least for least, keys, marks in own.values() if marks and not common.intersection(keys) and not common & marks]
+        for line, (_, keys, _) in own.items():
+            rest = min(new) if new else min((v[0] for x, v in own.items() if x != line), default=-1)
+            for k in common.intersection(keys):
                 found[k][text] = min(rest, found[k].get(text, rest))
     return {k for k, own in found.items() if len(set(own.values())) >= linededup.MIN_DOCS and len(set(own.values())) >= linededup.MIN_SHARE * len(own)}
 
@@ -66,9 +75,20 @@ def corpus():
         own = list(near)
         own[k % 12] = f"{said(1)} {own[k % 12]}"
         rows.append(("near", "\n".join(own)))
+    for kind, lines, words_, own in (("heavy", 4, 20, 12), ("many", 6, 15, 60)):  # more boilerplate than text of their own
+        site = [said(words_) for _ in range(lines)]
+        rows += [(kind, "\n".join([*site[:2], said(own), *site[2:]])) for _ in range(400)]
+    edited = [said(30) for _ in range(10)]
+    for k in range(60):  # near copies with words changed and left out in several lines
+        own = [x.split() for x in edited]
+        for line in rng.sample(range(10), 2):
+            own[line][rng.randrange(30)] = said(1)
+        del own[rng.randrange(10)][rng.randrange(29)]
+        rows.append(("near", "\n".join(map(" ".join, own))))
     rows += [("clean", "\n".join(said(rng.randrange(4, 40)) for _ in range(5))) for _ in range(50)]
+    seen = Counter(x for kind, t in rows if kind in ("heavy", "many") for x in t.split("\n"))
     rng.shuffle(rows)
-    return rows, passage, block
+    return rows, passage, block + [x for x, n in seen.items() if n > 1]
 
 
 def test_recurring_lines_go_and_copies_stay(spark, corpus):
@@ -80,7 +100,7 @@ def test_recurring_lines_go_and_copies_stay(spark, corpus):
         assert got == want
     for i, (kind, text) in enumerate(rows):
         rest = [x for x in text.split("\n") if x != passage and x not in block and x != "Share" and not x.startswith("posted")]
-        assert got[i][0] == ("\n".join(rest) if kind in ("passage", "bare", "block", "short", "field") else text), kind
+        assert got[i][0] == ("\n".join(rest) if kind in ("passage", "bare", "block", "short", "field", "heavy", "many") else text), kind
 
 
 def test_edges(spark):
@@ -96,5 +116,8 @@ def test_edges(spark):
     kept = linededup.stage(spark, with_chars, "")
     assert kept.columns == with_chars.columns and {r["doc_id"]: r["n_chars"] for r in kept.collect()}[3] == 1
     assert linededup.stage(spark, with_chars.filter("1 = 0"), "").count() == 0
+    clash = docs.select("doc_id", "text").selectExpr("*", "99L AS n_lines", "'x' AS n_dropped", "7 AS _cut2", "CAST(0 AS INT) AS n_chars")
+    same = linededup.stage(spark, clash, "").collect()
+    assert {(r["n_lines"], r["n_dropped"], r["_cut2"]) for r in same} == {(99, "x", 7)} and linededup.stage(spark, clash, "").dtypes == clash.dtypes
     ties = spark.createDataFrame([(i, f"{'t' * (i + 1)} own text\nagain\nagain") for i in range(6)], "doc_id long, text string")
     assert {(r["text"].count("again"), r["n_dropped"]) for r in linededup.dedup(ties).collect()} == {(0, 2)}
