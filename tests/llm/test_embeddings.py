@@ -125,3 +125,44 @@ def test_edges(spark):
     assert embdedup.near_duplicates(vectors.filter("1 = 0")).count() == 0
 
 
+def planted(n, hot, background, pairs, seed):
+    """Unit vectors of which the first `hot` share a direction, so that their cosine is `background`, and
+    behind them a partner of cosine 0.9005 for each of some of these (or of any, without hot ones)."""
+    rng = np.random.default_rng(seed)
+    rows = rng.standard_normal((n, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    shared = rng.standard_normal(64)
+    shared /= np.linalg.norm(shared)
+    rows[:hot] -= np.outer(rows[:hot] @ shared, shared)
+    rows[:hot] /= np.linalg.norm(rows[:hot], axis=1, keepdims=True)
+    rows[:hot] = np.sqrt(background) * shared + np.sqrt(1 - background) * rows[:hot]
+    one = rows[:pairs]
+    aside = rng.standard_normal((pairs, 64))
+    aside -= (aside * one).sum(1, keepdims=True) * one
+    if hot:  # the partner lies in the source too
+        aside = rows[pairs : 2 * pairs] - (rows[pairs : 2 * pairs] * one).sum(1, keepdims=True) * one
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return np.concatenate([rows, 0.9005 * one + np.sqrt(1 - 0.9005**2) * aside])
+
+
+@pytest.mark.parametrize(("hot", "background"), [(0, 0.0), (9000, 0.85), (4000, 0.75), (4000, 0.85)])
+def test_recall_in_close_sources(spark, hot, background):
+    """Lone pairs just over the threshold, in tables without a source, of one, and with one within."""
+    n, pairs = 9000, 400
+    rows = planted(n, hot, background, pairs, 3)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embdedup.near_duplicates(vectors).collect()}
+    near = np.flatnonzero((rows[:pairs] * rows[n:]).sum(1) >= 0.9)
+    met = np.mean([got[i]["component_id"] == got[n + i]["component_id"] and got[n + i]["n_links"] > 0 for i in near])
+    assert len(near) == pairs and met >= 0.95
+
+
+def test_regions(spark):
+    rows = planted(9000, 4000, 0.8, 1, 5)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(10**6, [1.0, 0.0])], "rid long, embedding array<double>")
+    found, placed = embdedup.regions(vectors)
+    dense = max(found, key=lambda r: r.rows)
+    assert 3800 <= dense.rows <= 4600 and abs(dense.spread - 0.2) < 0.08 and sum(r.rows for r in found) in (9001, 9002)
+    assert placed.count() == 9002 and embdedup.passes_for(dense.rows, dense.spread, 0.9, 256, 0.995) > embdedup.passes_for(9001, 0.8, 0.9, 256, 0.995)
+    few = vectors.limit(3)
+    assert embdedup.links_of_regions(few, 0.9, 4, 256, 0.995) is None

@@ -7,9 +7,15 @@ are of the vectors less their mean, so that a direction which all share doesn't
 
 A pair is met in a pass if it agrees in about the first log2(rows / neighbours) signs, so the number
 of passes follows from the number of rows, the spread of the vectors and the wanted recall: it grows
-with the table and the recall doesn't fall. Within the components so found every link is counted
-exactly, so that a window never bounds how many partners a vector has. An exact pass over all pairs
-of blocks (`exact`) is there for tables that must not lose one link; its work grows with the square.
+with the table and the recall doesn't fall. Where vectors of one source lie close together inside a
+spread-out table, signs that tell the table's vectors apart don't tell theirs apart. So all vectors are
+filed under the nearest of some pivots, cells whose means point one way are a region, and a region that
+by its own rows and spread needs more passes than the table gets them, around its own mean; or all its
+pairs are compared, in blocks, where that is less work than the passes would be.
+
+Within the components so found every link is counted exactly, so that a window never bounds how many
+partners a vector has. An exact pass over all pairs of blocks (`exact`) is there for tables that must
+not lose one link; its work grows with the square.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,8 +42,11 @@ PASSES_AT_ONCE = 4
 NEIGHBOURS = 256
 HASHES = 63
 LEAST_PASSES = 4
-#: Least chance that is reckoned with for two vectors at the threshold to agree in a sign.
-LEAST_AGREEMENT = 0.7
+#: More passes than these make way for comparing all pairs in blocks, where that is less work.
+MANY_PASSES = 64
+#: A pivot for so many vectors, and the most of them; the cosine of their cells' means from which cells are one region.
+PIVOT_ROWS, MOST_PIVOTS = 64, 1024
+ALIKE = 0.5
 SEED = 7
 #: Rows of a block of comparisons; rows of a sorted partition, about.
 BLOCK = 512
@@ -70,11 +80,13 @@ def units(vectors: list) -> list[np.ndarray]:
 def passes_for(rows: int, spread: float, threshold: float, neighbours: int, recall: float) -> int:
     """The passes after which two vectors of cosine `threshold` have met with the chance `recall`.
     `spread` is the mean squared distance of unit vectors from their mean: less the mean, such a
-    pair has the cosine 1 - (1 - threshold) / spread, and agrees in a sign with the chance of its angle."""
-    cosine = max(-1.0, 1 - (1 - threshold) / max(spread, 1e-9))
-    agree = max(LEAST_AGREEMENT, 1 - math.acos(cosine) / math.pi)
-    met = agree ** math.log2(max(2.0, rows / neighbours))
-    return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    pair has the cosine 1 - (1 - threshold) / spread, and agrees in a sign with the chance of its angle.
+    Where the mean cosine of all pairs is over the threshold nearly all link, and any window does."""
+    if 1 - spread >= threshold:
+        return LEAST_PASSES
+    agree = 1 - math.acos(max(-1.0, 1 - (1 - threshold) / spread)) / math.pi
+    met = max(agree ** math.log2(max(2.0, rows / neighbours)), 1e-12)
+    return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log1p(-met))) if met < 1 else LEAST_PASSES
 
 
 def sort_keys(unit: np.ndarray, first: int, passes: int, mean: np.ndarray | float = 0.0) -> np.ndarray:
@@ -209,8 +221,10 @@ def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int,
         rows = pdf.sort_values("place").rename(columns={"b": "rid"})
         return pd.DataFrame(_links(rows, threshold, neighbours), columns=["a", "b"], dtype=np.int64)
 
-    for first in range(0, passes, PASSES_AT_ONCE):
-        some = min(PASSES_AT_ONCE, passes - first)
+    # Small regions take more passes at once: a job then has as many rows as it may have anyway.
+    at_once = max(PASSES_AT_ONCE, PASSES_AT_ONCE * PARTITION_ROWS // max(1, n))
+    for first in range(0, passes, at_once):
+        some = min(at_once, passes - first)
         parts = max(1, round(n * some / PARTITION_ROWS))
         spread = reps.select("rid", "embedding").mapInPandas(_spread(first, some, means), "lane long, key long, rid long, unit binary")
         ordered = spread.repartitionByRange(parts, "lane", "key", "rid").sortWithinPartitions("lane", "key", "rid")
@@ -225,6 +239,93 @@ def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int,
     return found
 
 
+@dataclass(frozen=True)
+class Region:
+    """Cells (by their pivots' numbers) of vectors of one length that lie close together."""
+
+    dim: int
+    pivots: list[int]
+    rows: int
+    mean: np.ndarray
+
+    @property
+    def spread(self) -> float:
+        return 1 - float(self.mean @ self.mean)
+
+
+def regions(reps: DataFrame) -> tuple[list[Region], DataFrame]:
+    """The regions of distinct vectors (rid, embedding), and the vectors with their two nearest pivots
+    (rid, embedding, p1, p2). Every vector is filed; the pivots are chosen by a hash of their ids, and
+    the driver holds them and their cells' means: MOST_PIVOTS vectors, twice."""
+    chosen = reps.orderBy(F.xxhash64(F.lit("region"), "rid")).limit(max(1, min(MOST_PIVOTS, reps.count() // PIVOT_ROWS))).select("embedding").collect()
+    numbered: dict[int, list] = {}
+    for k, u in enumerate(units([r["embedding"] for r in chosen])):
+        numbered.setdefault(len(u), []).append((k, u))
+    pivots = {dim: (np.array([k for k, _ in own], np.int64), np.array([u for _, u in own])) for dim, own in numbered.items()}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = units(b["embedding"].tolist())
+            near = np.full((len(own), 2), -1, np.int64)
+            for dim in {len(u) for u in own} & pivots.keys():
+                at = [i for i, u in enumerate(own) if len(u) == dim]
+                numbers, matrix = pivots[dim]
+                order = np.argsort(-(np.array([own[i] for i in at]) @ matrix.T), 1, kind="stable")
+                near[at] = numbers[order[:, [0, min(1, len(numbers) - 1)]]]
+            yield b.assign(p1=near[:, 0], p2=near[:, 1])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, u in zip(b["p1"].tolist(), units(b["embedding"].tolist()), strict=True):
+                held = sums.setdefault(k, [0, 0.0])
+                held[0] += 1
+                held[1] = held[1] + u
+        yield pd.DataFrame([(k, n, total.tolist()) for k, (n, total) in sums.items()], columns=["p1", "n", "total"])
+
+    def pool(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"p1": group["p1"].iloc[:1], "n": group["n"].sum(), "total": [np.sum(group["total"].tolist(), 0).tolist()]})
+
+    shape = "p1 long, n long, total array<double>"
+    placed = materialise(reps.select("rid", "embedding").mapInPandas(place, "rid long, embedding array<double>, p1 long, p2 long"), "vector-pivots")
+    cells = placed.filter("p1 >= 0").select("p1", "embedding").mapInPandas(add, shape).groupBy("p1").applyInPandas(pool, shape).collect()
+    by_dim: dict[int, list] = {}
+    for r in sorted(cells, key=lambda r: r["p1"]):
+        by_dim.setdefault(len(r["total"]), []).append((r["p1"], r["n"], np.array(r["total"])))
+    out = []
+    for dim, own in by_dim.items():
+        directions = np.array([total / max(np.sqrt(total @ total), 1e-300) for *_, total in own])
+        i, j = np.nonzero(directions @ directions.T >= ALIKE)
+        root = dict(forest(i, j))
+        grouped: dict[int, list] = {}
+        for k in range(len(own)):
+            grouped.setdefault(root.get(k, k), []).append(own[k])
+        for group in grouped.values():
+            n = sum(x[1] for x in group)
+            out.append(Region(dim, [x[0] for x in group], n, np.sum([x[2] for x in group], 0) / n))
+    return out, placed
+
+
+def links_of_regions(reps: DataFrame, threshold: float, passes: int, neighbours: int, recall: float) -> DataFrame | None:
+    """Links (a, b) within the regions that by themselves need more than `passes`; None without such.
+    A vector takes part in the regions of its two nearest pivots, so that a pair which a border parts
+    is together on one of its sides."""
+    found, placed = None, None
+    told, placed = regions(reps)
+    for r in told:
+        needed = passes_for(r.rows, r.spread, threshold, neighbours, recall)
+        if r.rows <= neighbours or needed <= passes:
+            continue
+        own = placed.filter((F.size("embedding") == r.dim) & (F.col("p1").isin(r.pivots) | F.col("p2").isin(r.pivots))).select("rid", "embedding")
+        if needed > MANY_PASSES and 2 * needed * neighbours >= r.rows:
+            links = exact_links(own, threshold)
+        else:
+            links = find_links(own, threshold, needed, neighbours, {r.dim: r.mean})
+        found = links if found is None else found.union(links)
+    drop_written(placed)
+    return found
+
+
 class Chunk:
     """Rows of (dim, pivot, rid, unit) in that order, cut into blocks with centre and radius."""
 
@@ -418,9 +519,17 @@ def near_duplicates(
     )
     classes = materialise(classes, "vector-classes")
     around = centres(classes)
-    if passes is None:
+    rows = sum(n for *_, n in around.values())
+    given = passes is not None
+    if not given:
         passes = max((passes_for(n, spread, threshold, neighbours, recall) for _, spread, n in around.values()), default=LEAST_PASSES)
-    links = find_links(classes, threshold, passes, neighbours, {d: m for d, (m, *_) in around.items()})
+    if not given and len(around) == 1 and passes > MANY_PASSES and 2 * passes * neighbours >= rows:
+        links = exact_links(classes, threshold)  # all vectors lie close together
+    else:
+        links = find_links(classes, threshold, passes, neighbours, {d: m for d, (m, *_) in around.items()})
+        if not given and rows > neighbours:
+            more = links_of_regions(classes, threshold, passes, neighbours, recall)
+            links = links if more is None else links.union(more)
     if exact:
         links = links.union(exact_links(classes, threshold))
     nodes = materialise(connected_components(links).select(F.col("node").alias("rid"), "component"), "vector-components")

@@ -48,7 +48,10 @@ CHUNK = 500_000
 
 def templates(line: bytes) -> tuple[int, list[int]]:
     """(tokens of a line, keys of the templates at the end of its way down the tree)."""
-    tokens = line.split()
+    return _ways(line, line.split())
+
+
+def _ways(line: bytes, tokens: list[bytes]) -> tuple[int, list[int]]:
     n = len(tokens)
     if not n:
         return 0, []
@@ -117,8 +120,9 @@ class Lines:
         self.templates, self.anchors = {}, {}
         for x, n in self.least.items():
             coded = x.encode("utf-8", "surrogatepass")
-            size, self.templates[x] = templates(coded)
-            self.anchors[x] = anchors(coded.split(), n) if size >= GENERAL_TOKENS else []
+            tokens = coded.split()
+            size, self.templates[x] = _ways(coded, tokens)
+            self.anchors[x] = anchors(tokens, n) if size >= GENERAL_TOKENS else []
 
     def keys(self) -> set[int]:
         return {k for own in (*self.templates.values(), *self.anchors.values()) for k in own}
@@ -153,6 +157,11 @@ def lines_in(texts: list[str]) -> Iterator[tuple[str, Lines]]:
             waiting, size = [], 0
 
 
+def template_keys(text: str) -> set[int]:
+    """Keys of all templates of a text's lines."""
+    return {k for x in set(lines_of(text)) for k in templates(x.encode("utf-8", "surrogatepass"))[1]}
+
+
 def text_number(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -201,7 +210,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_
         def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in tidy("lines", batches):
                 keys, texts, others = [], [], []
-                for text, own in lines_in([t for t in set(b["text"].dropna()) if t]):
+                # Most texts have no common template, and need no more than that to be known.
+                some = [t for t in set(b["text"].dropna()) if t and held.value.among(template_keys(t))]
+                for text, own in lines_in(some):
                     found = own.rests(held.value.among(own.keys()).__contains__)
                     keys.extend(found)
                     others.extend(found.values())
@@ -298,7 +309,7 @@ def _joined(docs: DataFrame, keys: DataFrame, shape: str) -> DataFrame:
             columns=["text", "n_lines", "n_dropped"],
         )
 
-    found = _known_of_texts(docs, keys, lambda text: {k for x in lines_of(text) for k in templates(x.encode("utf-8", "surrogatepass"))[1]})
+    found = _known_of_texts(docs, keys, template_keys)
     return docs.withColumn("_t", _text_key("text")).join(found, "_t", "left").withColumn("_cut", cut("text", "_keys"))
 
 
