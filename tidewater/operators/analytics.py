@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text
 from tidewater.operators.joins import link_label, worded_pairs
+from tidewater.plans.shared import shared_path
 from tidewater.sources.fixtures import table, view, with_views
 
 
@@ -32,7 +33,18 @@ def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
     Values are counted; a group's range is cut into slices, whose sums tell in which ones the wanted
     places lie; only their values are put in order. So no task holds or sorts a whole group."""
+    return _quantiles(_counted(rows, key, value), key, shares)
+
+
+def _counted(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, _v, _n): how often each value occurs; written once, since several passes go over it."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    path = shared_path(rows.sparkSession, "counted")
+    counted.write.parquet(path)
+    return rows.sparkSession.read.schema(counted.schema).parquet(path)
+
+
+def _quantiles(counted: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
     ends = counted.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
     at = F.when(
         F.col("_high") > F.col("_low"),
@@ -68,16 +80,15 @@ def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
 
 def describe_by(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each group."""
-    plain = rows.groupBy(key).agg(
-        F.count(value).alias("n"),
-        F.round(F.avg(value), digits).alias("mean"),
-        F.round(F.stddev_samp(value), digits).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
-    )
-    q = quantiles_by(rows, key, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return plain.join(q, key, "left").select(key, "n", "mean", "std", "min", *[F.round(p, digits).alias(p) for p in ("p25", "p50", "p75")], "max")
+    """count, mean, std, min, quartiles and max of each group. The rows are read once, to count their values."""
+    counted = _counted(rows, key, value)
+    plain = counted.groupBy(key).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    off = F.col("_v") - F.col("mean")
+    spread = counted.join(plain, key).groupBy(key).agg(F.sum(F.col("_n") * off * off).alias("_squares"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
+    q = _quantiles(counted, key, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    rounded = [F.round(x, digits).alias(n) for n, x in (("mean", F.col("mean")), ("std", std))]
+    return plain.join(spread, key, "left").join(q, key, "left").select(key, "n", *rounded, "min", *[F.round(p, digits).alias(p) for p in ("p25", "p50", "p75")], "max")
 
 
 def fill_pages(paragraphs: DataFrame, key: str = "report_id", page: str = "page", order: str = "pos") -> DataFrame:
@@ -312,17 +323,23 @@ def q_merge_small_sections(spark, d):
 def first_ranks(rows: DataFrame, key: str, member: str, *order: Column) -> DataFrame:
     """(key, member, first_rank): the place of each member's first row among the rows of its key.
 
-    Only each member's first row is gathered; every row is counted under the number of first rows
-    before it, and the counts are summed up. No key's rows are put in order."""
-    placed = rows.withColumn("_o", F.struct(*[x.alias(f"o{k}") for k, x in enumerate(order)]))
-    firsts = placed.groupBy(key, member).agg(F.min("_o").alias("_o"))
-    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(member).alias("m")))).alias("_firsts"))
-    counted = placed.join(lists, key).select(
-        key,
-        F.size(F.filter("_firsts", lambda f: f["o"] < F.col("_o"))).alias("_k"),
-    ).groupBy(key, "_k").agg(F.count("*").alias("_n"))
-    ranked = lists.select(key, F.posexplode("_firsts").alias("_j", "_f")).join(counted, key).filter(F.col("_k") <= F.col("_j"))
-    return ranked.groupBy(key, F.col("_f.m").alias(member)).agg(F.sum("_n").cast("int").alias("first_rank"))
+    The rows are dealt out by ranges of key and order and numbered where they lie. A key's rows in the
+    ranges before, a count for each key and range, are added. So a key of any size is spread over tasks,
+    and what is written is one row for each member and range."""
+    names = [f"_o{k}" for k in range(len(order))]
+    dealt = rows.select(key, member, *[o.alias(n) for o, n in zip(order, names, strict=True)]).repartitionByRange(key, *names).sortWithinPartitions(key, *names)
+    # The number's upper bits are the range, its lower 33 the place within.
+    placed = dealt.select(key, member, F.monotonically_increasing_id().alias("_at"))
+    met = placed.groupBy(key, member, F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    path = shared_path(rows.sparkSession, "first-places")
+    met.write.parquet(path)
+    met = rows.sparkSession.read.schema(met.schema).parquet(path)
+    ranges = met.groupBy(key, "_range").agg(F.min("_first").alias("_start"), F.sum("_n").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col(key).alias("_key"), F.col("_range").alias("_r"), "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    firsts = met.groupBy(key, member).agg(F.min("_first").alias("_first")).withColumn("_range", F.shiftright("_first", 33))
+    found = firsts.join(ranges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    return found.select(key, member, (F.col("_before") + F.col("_first") - F.col("_start") + 1).cast("int").alias("first_rank"))
 
 
 def q_first_rank(spark, d):

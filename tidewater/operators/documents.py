@@ -68,15 +68,24 @@ def important_text(docs: DataFrame, ranges: DataFrame, most: int = 384_000) -> D
     )
 
 
+def numeral_value(label: Column) -> Column:
+    """The value of a numeral of 1 to 399 in small letters, by its hundreds, tens and ones; 0 of anything else."""
+    pattern = "^(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+    digit = lambda group, ten, five, one: (
+        F.when(group == one + ten, 9).when(group == one + five, 4).otherwise(F.when(F.startswith(group, F.lit(five)), F.length(group) + 4).otherwise(F.length(group)))
+    )
+    at = lambda k: F.regexp_extract(label, pattern, k)
+    return F.when(F.rlike(label, F.lit(pattern)), F.length(at(1)) * 100 + digit(at(2), "c", "l", "x") * 10 + digit(at(3), "x", "v", "i")).otherwise(0).cast("int")
+
+
 def validate_labels(labelled: DataFrame, key: str = "report_id") -> DataFrame:
     """(key, valid) from arrays `labels` of page labels: blanks only in front, then numerals, then
     numbers, each without gaps; numbers start at 1 or go on after the numerals; some number."""
-    numerals = F.create_map(*[F.lit(x) for k, r in enumerate(ROMAN_LIST) for x in (r, k + 1)])
     typed = F.transform(
         "labels",
         lambda x: F.struct(
             F.when(x == "", 0).when(F.rlike(x, F.lit("^[0-9]+$")), 2).otherwise(1).alias("kind"),
-            F.coalesce(x.try_cast("int"), F.element_at(numerals, x), F.lit(0)).alias("n"),
+            F.coalesce(x.try_cast("int"), numeral_value(x)).alias("n"),
         ),
     )
     rows = labelled.withColumn("t", typed)
@@ -419,12 +428,17 @@ def q_previous_section(spark, d):
     return view(spark, d, "lines").select("report_id", "pos", number.alias("section"), ids.previous_section(number).alias("previous"))
 
 
-def q_extract_sections(spark, d):
-    words = F.transform(F.split(F.regexp_replace("text", "[0-9.]", ""), "\n"), lambda x: F.trim(F.substring(x, 1, 300)))
+def numbered_texts(spark, d) -> DataFrame:
+    """(report_id, told): reports with a number before each line, two deep or three."""
+    words = F.transform(F.split(F.regexp_replace("text", "[0-9.]", ""), "\n"), F.trim)
     plain = lambda x, i: F.concat(F.floor(i / 6) + 1, F.lit("."), i % 6 + 1, F.lit(" "), x)
     deep = lambda x, i: F.concat(F.floor(i / 12) + 1, F.lit("."), F.floor(i % 12 / 4) + 1, F.lit("."), i % 4 + 1, F.lit("  "), x)
     lines = F.when(F.col("doc_id") % 2 == 0, F.transform(words, plain)).otherwise(F.transform(words, deep))
-    return _reports(spark, d).select("report_id", F.inline(section_list(F.array_join(lines, "\n"))))
+    return _reports(spark, d).select("report_id", F.array_join(lines, "\n").alias("told"))
+
+
+def q_extract_sections(spark, d):
+    return numbered_texts(spark, d).select("report_id", F.inline(section_list("told")))
 
 
 def q_choose_link(spark, d):
@@ -588,8 +602,7 @@ n AS (SELECT *, count(*) FILTER (mark = '-') OVER (PARTITION BY report_id) AS da
 count(*) FILTER (mark = ':') OVER (PARTITION BY report_id) AS colons FROM f WHERE said <> '')
 SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY pos) - 1 AS INT) AS k, said AS safety_issue FROM n WHERE mark =
 CASE WHEN colons > dashes THEN ':' ELSE '-' END""".replace("\\\\", "\\"), _R),
-    "extract_sections": with_views(r"""WITH l AS (SELECT doc_id, report_id, list_transform(string_split(regexp_replace(text, '[0-9.]', '', 'g'), chr(10)), lambda x: trim(substr(x,
-1, 300), ' ')) AS w FROM reports),
+    "extract_sections": with_views(r"""WITH l AS (SELECT doc_id, report_id, list_transform(string_split(regexp_replace(text, '[0-9.]', '', 'g'), chr(10)), lambda x: trim(x, ' ')) AS w FROM reports),
 r AS (SELECT doc_id, report_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS x FROM l),
 h AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN (i // 6 + 1) || '.' || (i % 6 + 1)
 ELSE (i // 12 + 1) || '.' || (i % 12 // 4 + 1) || '.' || (i % 4 + 1) END AS section FROM r),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.analysis import stem_sql, words_sql
+from tidewater.functions.analysis import stem_sql, words, words_sql
 from tidewater.plans.index import SearchIndex, opened
 from tidewater.plans.shared import shared_path
 from tidewater.sources.fixtures import table
@@ -15,6 +15,12 @@ from tidewater.sources.fixtures import table
 #: What the queries ask for: inflected words, single ones, and phrases.
 ASKED = "Licensing reserves versioned été"
 INFLECTED = ("licensing", "licenses", "reserving", "versions", "conditions", "righted", "used")
+#: Words that say nothing about what is asked for: of questions, of requests, and of every document here.
+IDLE = tuple(
+    "a about all an and any are as at be been by can common could did do does find for from give had has have how i in into is it list "
+    "me of on or please report reports safety issue issues shall should show some tell that the their them there these this those to was "
+    "were what when where which who whose why will with would you".split()
+)
 PHRASES = ("All rights reserved", "licensed under the", "of the", "the the", "à la")
 
 
@@ -41,6 +47,15 @@ def word_recall(index: SearchIndex, asked: tuple[str, ...]) -> DataFrame:
     return found.select("word", F.coalesce("plain", F.lit(0)).alias("plain"), F.coalesce("stemmed", F.lit(0)).alias("stemmed"))
 
 
+def rewritten(question: Column) -> Column:
+    """A question's words without idle ones, in order and each once, as a search asks for them: what a
+    model is asked to do with it (`providers.rewritten`), without a model. All words of a question of
+    idle ones alone stay; null has none."""
+    own = F.array_distinct(words(question))
+    kept = F.filter(own, lambda w: ~w.isin(*IDLE))
+    return F.coalesce(F.when(F.size(kept) > 0, kept).otherwise(own), F.array().cast("array<string>"))
+
+
 def q_bm25_stemmed(spark, d):
     index = documents_index(spark, d)
     return index.bm25(index.words(ASKED), stemmed=True).select(F.col("vec_id").alias("doc_id"), "score")
@@ -58,6 +73,12 @@ def q_inflected_recall(spark, d):
     return word_recall(documents_index(spark, d), INFLECTED)
 
 
+def q_rewritten_search(spark, d):
+    """The ten best documents for what the user says first in every fiftieth conversation."""
+    said = table(spark, d, "conversations").filter("conv_id % 50 = 0 AND turn = 0 AND role = 'user'").select(F.col("conv_id").alias("query_id"), rewritten(F.col("text")).alias("w"))
+    return documents_index(spark, d).bm25_many(said, 10).withColumnRenamed("vec_id", "doc_id")
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 #: Every word of the documents with its place, and the stems of the distinct ones.
@@ -84,7 +105,17 @@ def _phrases_sql(asked: tuple[str, ...], stemmed: bool) -> str:
 
 _ASKED_TERMS = f"every AS (SELECT term FROM tokens UNION ALL SELECT unnest({words_sql(_TEXT(ASKED))}) AS term)"
 _INFLECTED = ", ".join(f"({_TEXT(w)})" for w in INFLECTED)
+_IDLE = "(" + ", ".join(f"'{w}'" for w in IDLE) + ")"
 ORACLES = {
+    "rewritten_search": f"""WITH {_TOKENS}, said AS (SELECT conv_id AS query_id, {words_sql("text")} AS w FROM conversations WHERE conv_id % 50 = 0 AND turn = 0 AND role = 'user'),
+own AS (SELECT DISTINCT query_id, unnest(w) AS term FROM said), kept AS (SELECT * FROM own WHERE term NOT IN {_IDLE}),
+ask AS (SELECT * FROM kept UNION ALL SELECT * FROM own WHERE query_id NOT IN (SELECT query_id FROM kept)),
+every AS (SELECT term FROM tokens UNION ALL SELECT term FROM ask), {stem_sql("every")}, len AS (SELECT doc_id, len(w) AS len FROM cut WHERE len(w) > 0),
+size AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM len), wanted AS (SELECT DISTINCT query_id, stem FROM ask JOIN stems USING (term)),
+post AS (SELECT stem, doc_id, count(*) AS tf FROM tokens JOIN stems USING (term) WHERE stem IN (SELECT stem FROM wanted) GROUP BY ALL), df AS (SELECT stem, count(*) AS df FROM post GROUP BY stem),
+scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+FROM wanted JOIN post USING (stem) JOIN df USING (stem) JOIN len USING (doc_id), size GROUP BY ALL)
+SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored) WHERE rank <= 10""",
     "bm25_stemmed": f"""WITH {_TOKENS}, {_ASKED_TERMS}, {stem_sql("every")}, len AS (SELECT doc_id, len(w) AS len FROM cut WHERE len(w) > 0),
 size AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM len), wanted AS (SELECT DISTINCT stem FROM stems WHERE list_contains({words_sql(_TEXT(ASKED))}, term)),
 post AS (SELECT stem, doc_id, count(*) AS tf FROM tokens JOIN stems USING (term) WHERE stem IN (SELECT stem FROM wanted) GROUP BY ALL), df AS (SELECT stem, count(*) AS df FROM post GROUP BY stem)

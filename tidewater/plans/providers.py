@@ -101,6 +101,19 @@ def ask(model: ChatModel, system: str, user: str, n: int = 1, temperature: float
     return out
 
 
+#: What a model is told that puts a question into words for a search.
+REWRITE = (
+    "Put the question into the words of a search: leave out what doesn't say what is sought, and the words "
+    "`report` and `safety issue`; change nothing else of its meaning."
+)
+
+
+def rewritten(question: str, model: ChatModel) -> str:
+    """The question as a model puts it for a search; as it is where the model has no answer."""
+    got = ask(model, REWRITE, question)
+    return (got[0].strip() if got else "") or question
+
+
 def answer_column(df: DataFrame, models: dict[str, ChatModel], model: str, system: str, user: str, into: str = "answers", **how) -> DataFrame:
     """Adds `into`, an array of the model's answers to the prompt in the column `user`; null for a
     null prompt and where there is none. An unknown model raises ValueError."""

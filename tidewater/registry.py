@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.columns", "operators.joins", "operators.analytics", "operators.documents", "operators.retrieval", "operators.sources", "operators.gathering", "operators.fulltext", "operators.quantiser", "streaming.registry")
+MODULES: tuple[str, ...] = ("operators.columns", "operators.joins", "operators.analytics", "operators.documents", "operators.retrieval", "operators.sources", "operators.gathering", "operators.fulltext", "operators.quantiser", "operators.sampling", "operators.projection", "operators.table_functions", "operators.page_fields", "streaming.registry")
 
 
 def _gather(attribute: str) -> dict:
