@@ -60,6 +60,8 @@ def split(rows: DataFrame, key: str, shares: dict[str, float], seed: int, stratu
         ends.append(min(1.0, so_far))
     if abs(so_far - 1) > 1e-9 or min(shares.values()) < 0:
         raise ValueError("shares must add up to one")
+    if len(names) == 1:
+        return rows.withColumn(into, F.lit(names[0]))
     drawn = rows.withColumn("_at", draw(seed, key)).withColumn("_stratum", F.lit(0) if stratum is None else stratum)
     places = drawn.select(F.col("_stratum").alias("stratum"), "_at")
     sizes = places.groupBy("stratum").agg(F.count("*").alias("n"))
