@@ -155,3 +155,15 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     kept = jaccard.stage(spark, docs, "")
     assert kept.columns == docs.columns and kept.filter("doc_id = 5").count() == 1 and kept.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_decontam_stage_leaves_clashing_columns(spark, tmp_path):
+    """What the documents bring along stays, whatever it is called."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(1, None), (2, ""), (3, item), (4, "a clean text"), (4, "a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' AS n_words", "7 AS n_hit", "'i' AS items", "'no' AS contaminated", "'s' AS _state", "1.5 AS items_sha256", "2 AS n_items")
+    kept = decontam.stage(spark, docs, f"file://{tmp_path}")
+    assert kept.dtypes == docs.dtypes and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 4]
+    assert set(kept.drop("doc_id", "text").collect()) == set(docs.drop("doc_id", "text").limit(1).collect())
+    assert decontam.stage(spark, docs.filter("1 = 0"), f"file://{tmp_path}").count() == 0

@@ -131,6 +131,10 @@ def _pass(index):
     return step
 
 
+#: The columns that `find` adds.
+MADE = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated and items (the sorted ids).
 
@@ -139,7 +143,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     counts as the empty string. An empty benchmark hits nothing. One row in, one row out.
     """
     spark = docs.sparkSession
-    kept = [F.col(c) for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "_state")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*MADE, "_state")]
     given = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = given.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
@@ -170,9 +174,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the contaminated documents."""
+    """Drops the contaminated documents. The others keep their columns, such as are named like the
+    operator's own too; null and empty texts stay, as does every row with an empty benchmark, and an
+    empty table gives none."""
     small_batches(spark)
-    return find(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+    clash = {c: f"_own_{c}" for c in (*MADE, "_state") if c in docs.columns}
+    out = find(docs.withColumnsRenamed(clash), table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).drop(*MADE)
+    return out.withColumnsRenamed({own: c for c, own in clash.items()}).select(*docs.columns)
 
 
 #: Every window against every run of as many words.
