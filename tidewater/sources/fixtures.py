@@ -83,14 +83,16 @@ def _closure(names: list[str], dialect: int, done: dict[str, str]) -> None:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A report-shaped view as a DataFrame; only the tables that it names are read."""
+    """A report-shaped view as a DataFrame; only the tables that it names are read. The session's own
+    tables and views are left alone: the plain tables go by names of the library's."""
     import re
 
     views: dict[str, str] = {}
     _closure([name], 0, views)
     for plain in ("documents", "embeddings", "conversations"):
         if any(re.search(rf"\b{plain}\b", sql) for sql in views.values()):
-            table(spark, sf_dir, plain).createOrReplaceTempView(plain)
+            table(spark, sf_dir, plain).createOrReplaceTempView(f"_tidewater_{plain}")
+            views = {k: re.sub(rf"\b{plain}\b", f"_tidewater_{plain}", sql) for k, sql in views.items()}
     with_ = ", ".join(f"{k} AS ({v})" for k, v in views.items())
     return spark.sql(f"WITH {with_} SELECT * FROM {name}")
 
