@@ -182,12 +182,20 @@ def fuse(ranked: list[DataFrame], key: str = "doc_id", k: int = RRF_K) -> DataFr
     return votes.groupBy(key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
 
 
-def tfidf(docs: DataFrame, stop: list[str]) -> DataFrame:
-    """(doc_id, term, tfidf) without stop-words; the number of documents is counted over all."""
-    kept = postings(docs).filter(~F.col("term").isin(stop))
-    n = docs.agg(F.sum((F.size(words_of(F.col("text"))) > 0).cast("long")).alias("docs"))
+def tfidf(docs: DataFrame, stop: list[str], most_terms: int = 2_000_000) -> DataFrame:
+    """(doc_id, term, tfidf) without stop-words; the number of documents is counted over all. Texts are
+    cut once, into postings that are written; each term's documents are counted from them and, up to
+    `most_terms` terms, broadcast, so that the postings of common words stay where they are."""
+    path = shared_path(docs.sparkSession, "postings")
+    cut = postings(docs)
+    cut.write.parquet(path)
+    every = docs.sparkSession.read.schema(cut.schema).parquet(path)
+    n = every.select("doc_id").distinct().count()
+    kept = every.filter(~F.col("term").isin(stop))
     df = kept.groupBy("term").agg(F.count("*").alias("df"))
-    return kept.join(df, "term").join(F.broadcast(n), F.lit(True)).select("doc_id", "term", (F.col("tf") * F.log(F.col("docs") / F.col("df"))).alias("tfidf"))
+    if df.count() <= most_terms:
+        df = F.broadcast(df)
+    return kept.join(df, "term").select("doc_id", "term", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("tfidf"))
 
 
 def plan(spark: SparkSession, sf_dir: str, query: str, settings: SearchSettings, vector: list[float] | None = None) -> DataFrame:
