@@ -211,6 +211,8 @@ def test_two_additions_at_once(spark, tmp_path):
 
 def test_odd_documents(spark, tmp_path):
     index = SearchIndex(Catalog(spark, f"file://{tmp_path}"))
+    with pytest.raises(FileNotFoundError):
+        index.add(docs_of(spark, 0, 1))
     rows_ = [(1, None, None), (2, "", [0.0] * 4), (3, "a b", [1.0, 0.0, 0.0, 0.0]), (None, "a", [1.0] * 4), (4, "b", [1.0, None, 0.0, 0.0]), (5, "b", [1.0, 0.1, 0.0, 0.0])]
     index.build(spark.createDataFrame(rows_, "vec_id long, document string, embedding array<double>"), cells=2)
     assert sum(s["docs"] for s in index.segments) == 5 and {r["vec_id"] for r in index.bm25(["b"]).collect()} == {3, 4, 5}

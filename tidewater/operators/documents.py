@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions import ids, pages, sections, text
+from tidewater.functions import blocks, ids, pages, sections, text
 from tidewater.sources.fixtures import table, view, with_views
 
 
@@ -181,7 +180,7 @@ def labelled_pages(texts: pd.Series, agencies: pd.Series) -> pd.DataFrame:
 @column_udf("double")
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, 0 to 1."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([blocks.matching_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
 @column_udf("array<struct<safety_issue:string,quality:string>>")
