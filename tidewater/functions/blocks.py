@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Product of two lengths up to which blocks are sought place by place.
-SMALL = 2500
+SMALL = 200_000
 
 
 class Kinds:
@@ -34,15 +34,16 @@ class Kinds:
 
 def _by_places(a: str, b: str) -> tuple[int, int, int]:
     """(start in a, start in b, length) of the first longest block, by the lengths that end at each pair of places."""
-    best, before = (0, 0, 0), [0] * (len(b) + 1)
+    where: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        where.setdefault(y, []).append(j)
+    best, before = (0, 0, 0), {}
     for i, x in enumerate(a):
-        row = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                n = row[j + 1] = before[j] + 1
-                # Blocks end in the order of their starts where they are equally long.
-                if n > best[2]:
-                    best = (i + 1 - n, j + 1 - n, n)
+        row = {j: before.get(j - 1, 0) + 1 for j in where.get(x, ())}
+        # Blocks end in the order of their starts where they are equally long.
+        if row and (n := max(row.values())) > best[2]:
+            j = next(j for j, m in row.items() if m == n)
+            best = (i + 1 - n, j + 1 - n, n)
         before = row
     return best
 

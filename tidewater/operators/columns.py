@@ -136,7 +136,7 @@ def q_toc_hierarchy(spark, d):
             F.collect_list(
                 F.struct(
                     "pos",
-                    F.substring("line", 1, 20).alias("title"),
+                    F.col("line").alias("title"),
                     (F.col("pos") % 3 + 1).alias("level"),
                     F.when(F.col("pos") % 4 == 0, "").otherwise(F.col("pos").cast("string")).alias("page"),
                 ),
@@ -281,7 +281,7 @@ printf('%.4f', CAST(embedding[1] AS DOUBLE) / 2 + 0.5) AS relevance, CASE WHEN l
 1, 1200) || '...' END AS document FROM vectors""", "vectors"),
     "investigation_type": with_views("""SELECT report_id, CASE WHEN doc_id % 5 IN (0, 1) OR doc_id % 6 BETWEEN 1 AND 3 THEN 'full' WHEN doc_id % 5 > 2 THEN 'unknown'
 ELSE 'short' END AS type FROM reports""", _R),
-    "toc_hierarchy": with_views("""SELECT report_id, string_agg(repeat('- - ', CAST(pos % 3 AS INT)) || substr(line, 1, 20) || ' ' || CASE WHEN pos % 4 = 0 THEN '0'
+    "toc_hierarchy": with_views("""SELECT report_id, string_agg(repeat('- - ', CAST(pos % 3 AS INT)) || line || ' ' || CASE WHEN pos % 4 = 0 THEN '0'
 ELSE CAST(pos AS VARCHAR) END, chr(10) ORDER BY pos) AS toc FROM lines GROUP BY report_id""", "lines"),
     "summary_nullify": with_views("""WITH s AS (SELECT report_id, CASE WHEN doc_id % 3 = 0 THEN '[' || text ELSE text END AS t FROM reports) SELECT report_id, CAST(CASE
 WHEN length(t) < 200 OR (starts_with(t, '[') AND length(t) < 500) THEN -1 ELSE length(t) END AS BIGINT) AS summary_length FROM s""", _R),

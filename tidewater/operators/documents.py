@@ -386,7 +386,7 @@ def q_toc_span(spark, d):
     told = F.concat(
         F.lit("Contents of the report\nsection list ........ 1\n"),
         F.array_join(
-            F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.substring(x, 1, 30), F.lit(" ...... "), (i + 1).cast("string"))),
+            F.transform(F.split("text", "\n"), lambda x, i: F.concat(x, F.lit(" ...... "), (i + 1).cast("string"))),
             "\n",
         ),
         F.lit("\n"),

@@ -77,13 +77,12 @@ def q_html_tables(spark, d):
 
 
 def q_summary_block(spark, d):
-    line = F.element_at(F.split("text", "\n"), 1)
     heading = F.when(F.col("doc_id") % 3 == 0, "<h2>Executive Summary</h2>").when(F.col("doc_id") % 3 == 1, "<h2>Findings</h2>").otherwise("")
     page = F.concat(
         F.lit("<div><h2>Facts</h2>facts "),
         heading,
         F.lit("<p>"),
-        F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+        F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
         F.lit("</p><h2>Next</h2>next</div>"),
     )
     return view(spark, d, "reports").select("report_id", summary_of(page).alias("summary"))
@@ -95,12 +94,12 @@ def q_page_starts(spark, d):
 
 
 def q_outline_rows(spark, d):
-    entries = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.substring(x, 1, 40).alias("title"), (i % 3 + 1).alias("level"), F.when(i % 4 > 0, i + 1).alias("page"), (i % 5 > 0).alias("structured")))
+    entries = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("title"), (i % 3 + 1).alias("level"), F.when(i % 4 > 0, i + 1).alias("page"), (i % 5 > 0).alias("structured")))
     return view(spark, d, "reports").select("report_id", F.inline(outline_rows(entries)))
 
 
 def q_joined_title(spark, d):
-    lines = F.slice(F.split("text", "\n"), 1, 3)
+    lines = F.split("text", "\n")
     date = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("15 March "), F.col("year").cast("string")))
     return view(spark, d, "reports").select("report_id", joined_title(F.concat(lines, F.array(F.lit(" "))), date).alias("title"))
 
@@ -126,10 +125,14 @@ def q_list_setting(spark, d):
 
 
 def q_evaluation_set(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id % 7 = 0").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # An evaluated search expects a part of a label's rows, so that no label makes one long text.
+    part = F.floor(F.col("vec_id") / 200).alias("part")
+    e = table(spark, d, "embeddings").groupBy("label", part).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     one = F.concat(
         F.lit("- query: \"label "),
         F.col("label").cast("string"),
+        F.lit(" part "),
+        F.col("part").cast("string"),
         F.lit("\"\n  expected_reports:\n"),
         F.array_join(F.transform("ids", lambda x: F.concat(F.lit("    - \"r"), x.cast("string"), F.lit("\""))), "\n"),
         F.lit("\n  settings:\n    min_year: 2000\n    max_year: 2024\n    modes: [0, 2]\n    relevanceCutoff: 0.5\n"),
@@ -157,7 +160,7 @@ def q_contents_text(spark, d):
     told = F.concat(
         F.lit("Contents of the report\nsection list ........ 1\n"),
         F.array_join(
-            F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.substring(x, 1, 30), F.lit(" ...... "), (i + 1).cast("string"))),
+            F.transform(F.split("text", "\n"), lambda x, i: F.concat(x, F.lit(" ...... "), (i + 1).cast("string"))),
             "\n",
         ),
         F.lit("\n"),
@@ -188,13 +191,13 @@ ORACLES = {
 SELECT n_regionkey, 0 AS "table", CAST(row AS INT) AS row, 'Key' AS "column", CAST(n_nationkey AS VARCHAR) AS text, NULL AS href FROM n
 UNION ALL SELECT n_regionkey, 0, CAST(row AS INT), 'Name', n_name || ' & co', '/p/' || n_nationkey FROM n UNION ALL SELECT n_regionkey, 0,
 CAST(row AS INT), 'Note', '', NULL FROM n""",
-    "summary_block": with_views("""WITH t AS (SELECT report_id, doc_id % 3 AS k, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'), ' ') AS x FROM reports)
+    "summary_block": with_views("""WITH t AS (SELECT report_id, doc_id % 3 AS k, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS x FROM reports)
 SELECT report_id, CASE k WHEN 0 THEN nullif(x, '') ELSE trim('facts ' || x, ' ') || 'next' END AS summary FROM t""", _R),
     "page_starts": with_views(f"""WITH {_LINES} SELECT report_id, string_agg(chr(10) || chr(10) || '--- Page ' || (i + 1) || ' start ---' || chr(10) || CASE
 WHEN i % 7 = 3 THEN '' ELSE x END, '' ORDER BY i) AS text FROM l GROUP BY report_id""", _R),
-    "outline_rows": with_views(f"""WITH {_LINES} SELECT report_id, substr(x, 1, 40) AS title, CAST(i % 3 + 1 AS INT) AS level, CASE WHEN i % 4 > 0 THEN CAST(i + 1 AS VARCHAR)
+    "outline_rows": with_views(f"""WITH {_LINES} SELECT report_id, x AS title, CAST(i % 3 + 1 AS INT) AS level, CASE WHEN i % 4 > 0 THEN CAST(i + 1 AS VARCHAR)
 ELSE '' END AS page FROM l WHERE i % 5 > 0""", _R),
-    "joined_title": with_views(f"""WITH {_LINES}, p AS (SELECT report_id, string_agg(trim(x, ' '), ', ' ORDER BY i) FILTER (trim(x, ' ') <> '' AND i < 3) AS t FROM l
+    "joined_title": with_views(f"""WITH {_LINES}, p AS (SELECT report_id, string_agg(trim(x, ' '), ', ' ORDER BY i) FILTER (trim(x, ' ') <> '') AS t FROM l
 GROUP BY report_id) SELECT report_id, concat_ws(', ', t, CASE WHEN doc_id % 2 = 0 THEN '15 March ' || year END) AS title FROM reports
 JOIN p USING (report_id)""", _R),
     "year_collection": """WITH y AS (SELECT event_type, event_id % 12 AS year, count(*) FILTER (value > 50) AS collected, count(*) AS potential,
@@ -202,8 +205,8 @@ count(*) / 8 AS seconds FROM events GROUP BY ALL) SELECT event_type, CAST(sum(co
 CAST(sum(potential) AS BIGINT) AS potential, round(sum(seconds), 6) AS seconds, round(avg(seconds), 6) AS mean_seconds FROM y
 GROUP BY event_type""",
     "list_setting": with_views("SELECT report_id, CASE doc_id % 4 WHEN 0 THEN lang || '|x y|3' WHEN 1 THEN '0|-1|2.5|' || doc_id WHEN 2 THEN '' END AS items FROM reports", _R),
-    "evaluation_set": """SELECT 'label ' || label AS query, 'r' || vec_id AS report, 2000 AS min_year, 2024 AS max_year, 2 AS n_modes, CAST(0.5 AS DOUBLE) AS cutoff
-FROM embeddings WHERE vec_id % 7 = 0""",
+    "evaluation_set": """SELECT 'label ' || label || ' part ' || CAST(floor(vec_id / 200) AS BIGINT) AS query, 'r' || vec_id AS report, 2000 AS min_year, 2024 AS max_year, 2 AS n_modes, CAST(0.5 AS DOUBLE) AS cutoff
+FROM embeddings""",
     "extract_issues": with_views(f"""WITH {_LINES} SELECT report_id, CAST(count(DISTINCT trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) AS INT) AS n_issues FROM l
 GROUP BY report_id""", _R),
     "parse_recommendations": with_views(f"""WITH {_LINES} SELECT report_id, 'R' || i AS recommendation_id, 'someone' AS recipient, CAST(NULL AS VARCHAR) AS made FROM l
