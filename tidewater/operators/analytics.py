@@ -37,14 +37,15 @@ def quantiles_by(rows: DataFrame, key: str, value: str, shares: dict[str, float]
 
 
 def _counted(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, _v, _n): how often each value occurs; written once, since several passes go over it."""
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    """(key, _v, _n): how often each value occurs, null too; written once, since several passes go over it."""
+    counted = rows.groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     path = shared_path(rows.sparkSession, "counted")
     counted.write.parquet(path)
     return rows.sparkSession.read.schema(counted.schema).parquet(path)
 
 
 def _quantiles(counted: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
+    counted = counted.filter(F.col("_v").isNotNull())
     ends = counted.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
     at = F.when(
         F.col("_high") > F.col("_low"),
@@ -82,7 +83,9 @@ def _quantiles(counted: DataFrame, key: str, shares: dict[str, float]) -> DataFr
 def describe_by(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max of each group. The rows are read once, to count their values."""
     counted = _counted(rows, key, value)
-    plain = counted.groupBy(key).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    n = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
+    mean = F.when(n > 0, F.sum(F.col("_v") * F.col("_n")) / n)
+    plain = counted.groupBy(key).agg(n.alias("n"), mean.alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
     off = F.col("_v") - F.col("mean")
     spread = counted.join(plain, key).groupBy(key).agg(F.sum(F.col("_n") * off * off).alias("_squares"))
     std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
