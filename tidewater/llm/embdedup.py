@@ -241,7 +241,8 @@ def find_links(reps: DataFrame, threshold: float, passes: int, neighbours: int,
 
 @dataclass(frozen=True)
 class Region:
-    """Cells (by their pivots' numbers) of vectors of one length that lie close together."""
+    """Cells (by their pivots' numbers) of vectors of one length that lie close together, all their rows,
+    and the mean of those that make it out."""
 
     dim: int
     pivots: list[int]
@@ -292,18 +293,34 @@ def regions(reps: DataFrame) -> tuple[list[Region], DataFrame]:
     by_dim: dict[int, list] = {}
     for r in sorted(cells, key=lambda r: r["p1"]):
         by_dim.setdefault(len(r["total"]), []).append((r["p1"], r["n"], np.array(r["total"])))
-    out = []
+    grouped: list[tuple[int, list]] = []
     for dim, own in by_dim.items():
         directions = np.array([total / max(np.sqrt(total @ total), 1e-300) for *_, total in own])
         i, j = np.nonzero(directions @ directions.T >= ALIKE)
         root = dict(forest(i, j))
-        grouped: dict[int, list] = {}
+        groups: dict[int, list] = {}
         for k in range(len(own)):
-            grouped.setdefault(root.get(k, k), []).append(own[k])
-        for group in grouped.values():
-            n = sum(x[1] for x in group)
-            out.append(Region(dim, [x[0] for x in group], n, np.sum([x[2] for x in group], 0) / n))
-    return out, placed
+            groups.setdefault(root.get(k, k), []).append(own[k])
+        grouped += [(dim, g) for g in groups.values()]
+    # Strangers that are filed with a source for want of a nearer pivot would make it seem wider than it is:
+    # a region's mean is that of the vectors that lie at least half as far along its direction as its mean.
+    means = [np.sum([x[2] for x in g], 0) / sum(x[1] for x in g) for _, g in grouped]
+    region_of = {x[0]: k for k, (_, g) in enumerate(grouped) for x in g}
+
+    def add_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for p, u in zip(b["p1"].tolist(), units(b["embedding"].tolist()), strict=True):
+                k = region_of[p]
+                if u @ means[k] >= 0.5 * (means[k] @ means[k]):
+                    held = sums.setdefault(k, [0, 0.0])
+                    held[0] += 1
+                    held[1] = held[1] + u
+        yield pd.DataFrame([(k, n, total.tolist()) for k, (n, total) in sums.items()], columns=["p1", "n", "total"])
+
+    near = placed.filter("p1 >= 0").select("p1", "embedding").mapInPandas(add_near, shape).groupBy("p1").applyInPandas(pool, shape).collect()
+    means = {r["p1"]: np.array(r["total"]) / r["n"] for r in near}
+    return [Region(dim, [x[0] for x in g], sum(x[1] for x in g), means[k]) for k, (dim, g) in enumerate(grouped) if k in means], placed
 
 
 def links_of_regions(reps: DataFrame, threshold: float, passes: int, neighbours: int, recall: float) -> DataFrame | None:
