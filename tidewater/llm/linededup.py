@@ -43,7 +43,7 @@ COEFFICIENTS = (104729, 15485863, 32452843, 49979687, 67867967)
 MODULUS = 1099511627689
 FACTOR, PLACES, WORD = 40503, 65521, 4294967291
 #: Characters of texts whose shingles are hashed in one go, about.
-CHUNK = 500_000
+CHUNK = 100_000
 
 
 def templates(line: bytes) -> tuple[int, list[int]]:
