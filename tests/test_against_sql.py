@@ -3,9 +3,19 @@
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
+from tidewater.operators import documents, table_functions
 
 
 def test_key_words_end_at_other_letters(spark):
     cases = {"mit underäverber": "under consideration", "éaccepted": "accepted", "rejected_": "n/a", "2rejected": "n/a", "(rejected)": "rejected"}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.reply_category(F.col("t"))).collect()
     assert {t: c for t, c in got} == cases
+
+
+def test_numbered_lines_are_trimmed(spark, tmp_path):
+    rows = [(0, "  one \ntwo  ", "s", "en"), (1, " one\n two ", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r["report_id"]: r["told"] for r in documents.numbered_texts(spark, str(tmp_path)).collect()}
+    assert told == {"TAIC_a_2000_000000": "1.1 one\n1.2 two", "ATSB_a_2001_000001": "1.1.1  one\n1.1.2  two"}
+    for query in (documents.q_extract_sections, table_functions.q_sections_lateral):
+        assert {(r["report_id"], r["section"], r["section_text"]) for r in query(spark, str(tmp_path)).collect()} == {(k, "p0.0", v) for k, v in told.items()}

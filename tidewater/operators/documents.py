@@ -429,7 +429,8 @@ def q_previous_section(spark, d):
 
 def numbered_texts(spark, d) -> DataFrame:
     """(report_id, told): reports with a number before each line, two deep or three."""
-    words = F.transform(F.split(F.regexp_replace("text", "[0-9.]", ""), "\n"), F.trim)
+    # Not `F.trim` itself: of two parameters, it would take a line's place for the letters to trim.
+    words = F.transform(F.split(F.regexp_replace("text", "[0-9.]", ""), "\n"), lambda x: F.trim(x))
     plain = lambda x, i: F.concat(F.floor(i / 6) + 1, F.lit("."), i % 6 + 1, F.lit(" "), x)
     deep = lambda x, i: F.concat(F.floor(i / 12) + 1, F.lit("."), F.floor(i % 12 / 4) + 1, F.lit("."), i % 4 + 1, F.lit("  "), x)
     lines = F.when(F.col("doc_id") % 2 == 0, F.transform(words, plain)).otherwise(F.transform(words, deep))
