@@ -9,12 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import blocks, ids, pages, sections, text
+from tidewater.functions.replies import read_yaml
+from tidewater.plans.shared import small_batches
 from tidewater.sources.fixtures import table, view, with_views
 
 
 def column_udf(ddl: str):
-    """A pandas function of columns, made a UDF when it is first used in a session."""
-    return lambda f: lambda *cols: F.pandas_udf(f, ddl)(*cols)
+    """A pandas function of columns, made a UDF when it is first used in a session. Whole texts come
+    in small batches, so that a task's memory doesn't grow with its rows."""
+
+    def made(f):
+        def use(*cols):
+            small_batches()
+            return F.pandas_udf(f, ddl)(*cols)
+
+        return use
+
+    return made
 
 
 #: The numerals that page labels may have.
@@ -193,7 +204,7 @@ def issues_from_yaml(replies: pd.Series) -> pd.Series:
             return None
         body = "\n".join(x for x in reply.strip().splitlines() if not x.strip().startswith("```"))
         try:
-            rows = yaml.safe_load(body)
+            rows = read_yaml(body)
         except yaml.YAMLError:
             return None
         return [{"safety_issue": str(r.get("safety_issue")), "quality": str(r.get("quality"))} for r in rows if isinstance(r, dict)] if isinstance(rows, list) else None

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewater.functions.replies import read_yaml
+
 #: Longer prompts than this many tokens get no answer.
 CONTEXT_TOKENS = 128_000
 NO_ANSWER = "No answer was found in the reports."
@@ -143,7 +145,7 @@ def extract_issues(model: ChatModel, system: str, text: str, **how) -> list[dict
         if got is None:
             return None
         try:
-            rows = [{"safety_issue": r["safety_issue"].strip(), "quality": r["quality"]} for r in yaml.safe_load(_fenceless(got[0]))]
+            rows = [{"safety_issue": r["safety_issue"].strip(), "quality": r["quality"]} for r in read_yaml(_fenceless(got[0]))]
         except (yaml.YAMLError, TypeError, KeyError, AttributeError):
             continue
         if len({r["safety_issue"] for r in rows}) == len(rows):
@@ -160,7 +162,7 @@ def recommendations_from(reply: str | None) -> list[dict] | None:
     import yaml
 
     try:
-        rows = yaml.safe_load(_fenceless(reply)) if reply else None
+        rows = read_yaml(_fenceless(reply)) if reply else None
     except yaml.YAMLError:
         return None
     if not isinstance(rows, list):
