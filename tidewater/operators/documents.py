@@ -337,14 +337,20 @@ def q_truncate_document(spark, d):
     return _reports(spark, d).select("report_id", text.truncate(F.col("text"), 512).alias("text"))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs of texts dealt over all cores: they are few bytes but long to compare, and adaptive execution,
+    which goes by bytes, would leave them to a few tasks."""
+    return pairs.repartition(8 * pairs.sparkSession.sparkContext.defaultParallelism)
+
+
 def q_text_similarity(spark, d):
-    both = view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id")
+    both = spread(view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id"))
     a, b = (F.regexp_replace(c, "[^ -~]", "") for c in ("recommendation", "safety_issue"))
     return both.select("recommendation_id", "safety_issue_id", F.levenshtein(a, b).alias("edits"))
 
 
 def q_sequence_similarity(spark, d):
-    both = view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id")
+    both = spread(view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id"))
     return both.select("recommendation_id", "safety_issue_id", F.round(sequence_ratio("recommendation", "safety_issue"), 6).alias("ratio"))
 
 
