@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import analysis
+from tidewater.operators import retrieval
 from tidewater.plans import index
 from tidewater.plans.catalog import Catalog
 from tidewater.plans.index import Best, SearchIndex, bounded
@@ -46,3 +48,23 @@ def test_queries_in_blocks_and_many_terms(spark, tmp_path, monkeypatch):
         assert {r["vec_id"]: r["score"] for r in got.filter(F.col("query_id") == 10).collect()} == one
         # Pairs of queries and documents aren't shuffled: what is ranked was written already.
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leading_terms_against_all_weights(spark):
+    """Each document's first terms out of all weights, with few and many weights known, ids that several rows
+    share, ties, documents without words; each text's postings aren't shuffled."""
+    words = ["the", "of", *(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop")]
+    texts = [" ".join(words[(i * j + j * j) % (7 + i)] for j in range(i)) for i in range(60)] + ["", None, "Étude KELVİN the", "zz yy xx ww vv uu tt", "12"]
+    docs = spark.createDataFrame([(i % 55, t) for i, t in enumerate(texts)] + [(99, "solo the term"), (99, "Solo again")], "doc_id long, text string")
+    all_ = retrieval.tfidf(docs, ["the", "of"]).withColumn("tfidf", F.round("tfidf", 6))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("tfidf"), "term")
+    want = sorted(tuple(r) for r in all_.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("doc_id", "term", "tfidf", "rank").collect())
+    for most in (1000, 20, 0):
+        got = retrieval.top_terms(docs, ["the", "of"], 5, most)
+        assert sorted(tuple(r) for r in got.select("doc_id", "term", "tfidf", "rank").collect()) == want
+
+
+def test_top_terms_of_a_table_shuffle_no_postings(spark):
+    docs = spark.createDataFrame([(i, f"word{'abc'[i % 3]} other the") for i in range(40)], "doc_id long, text string")
+    plan = retrieval.top_terms(docs, ["the"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
