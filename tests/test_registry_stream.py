@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from tidewater.streaming import registry
@@ -88,3 +89,82 @@ def test_odd_events(spark, folders):
     registry.run(spark, stream(spark, source), sink, state, 660, 600)
     assert got(spark, sink) == [(1, at(0), at(1200), 3, None), (1, at(1200), at(2400), 1, "exactly at the sweep"), (2, at(5), at(1200), 1, None)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != registry.PROVIDER
+
+
+class Held:
+    """A state's value or list, and the calls that it took."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return self.rows
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.put([*self.rows, *rows])
+
+    def clear(self):
+        self.put([])
+
+
+class One(Held):
+    def get(self):
+        return super().get() or None
+
+    def update(self, row):
+        self.put(row)
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getListState(self, name, shape):
+        return self.states.setdefault(name, Held())
+
+    def getValueState(self, name, shape):
+        return self.states.setdefault(name, One())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_of_the_state_dont_grow_with_the_keys():
+    """A bucket of 400 keys takes as many calls of the state and timers as one key; evicted is the same."""
+    epoch, calls = datetime(1970, 1, 1), []
+    us = lambda t: (t - epoch) // timedelta(microseconds=1)
+    for keys in (1, 400):
+        events, handle, box = made(2000, keys), Handle(), registry.Registry(1500, 600)
+        box.init(handle)
+        box.handleInputRows((0,), iter([pd.DataFrame([(k, i, us(t), s) for k, i, t, s in events], columns=["key", "id", "us", "status"])]), None)
+        first, end = set(handle.timers), START + timedelta(hours=8)
+        out = [tuple(r) for f in box.handleExpiredTimer((0,), Now(us(end) // 1000), None) for r in f.itertuples(index=False)]
+        assert sorted(out) == [(k, us(a), us(b) // 1000 * 1000, n, s) for k, a, b, n, s in plain(events, 1500, 600, end)] != []
+        assert list(box.handleExpiredTimer((0,), Now(us(end) // 1000), None)) == [] and len(first) == 1 and len(handle.timers) == 2
+        calls.append(sum(x.calls for x in handle.states.values()))
+    assert calls[0] == calls[1]
+
+
+def test_any_number_of_buckets(spark, tmp_path):
+    events = made(600, 40)
+    source = f"file://{tmp_path}/in"
+    spark.createDataFrame(events, SHAPE).coalesce(1).write.parquet(source)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for buckets in (1, 7):
+        sink = f"file://{tmp_path}/out{buckets}"
+        registry.run(spark, stream(spark, source), sink, f"file://{tmp_path}/state{buckets}", 1500, 600, buckets=buckets, partitions=2)
+        assert got(spark, sink) == plain(events, 1500, 600, events[-1][2] - timedelta(minutes=1)) != []
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
