@@ -68,3 +68,24 @@ def test_top_terms_of_a_table_shuffle_no_postings(spark):
     docs = spark.createDataFrame([(i, f"word{'abc'[i % 3]} other the") for i in range(40)], "doc_id long, text string")
     plan = retrieval.top_terms(docs, ["the"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_building_an_index_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{'abc'[i % 3]} other the" if i % 5 else None) for i in range(40)], "vec_id long, document string")
+    plans, store = [], SearchIndex._store
+    monkeypatch.setattr(SearchIndex, "_store", lambda self, part, rows, path: plans.append((part, rows._jdf.queryExecution().executedPlan().toString())) or store(self, part, rows, path))
+    built = SearchIndex(Catalog(spark, f"file://{tmp_path}"), cut=analysis.words)
+    built.build(docs)
+    plan = dict(plans)["postings"]
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan and "Sort" not in plan
+    # Texts are cut by one of the stored parts alone.
+    assert [part for part, p in plans if "regexp_extract_all" in p] == ["postings"]
+    segment = built.segments[0]
+    assert (segment["docs"], segment["filled"], segment["words"]) == (40, 32, 96) and built._read("stems", [segment]).count() == 5
+
+
+def test_runs(spark, monkeypatch):
+    rows = [["b", "a"], None, ["a", "c", "a"], [], ["b"]]
+    batches = [pa.RecordBatch.from_pydict({"vec_id": [i], "w": pa.array([w], pa.list_(pa.string()))}) for i, w in enumerate(rows)]
+    monkeypatch.setattr(index, "RUN_WORDS", 4)
+    assert [(a.to_pylist(), b.to_pylist()) for a, b in index.runs(iter(batches))] == [([0, 1, 2], rows[:3]), ([3, 4], rows[3:])]
