@@ -89,3 +89,16 @@ def test_runs(spark, monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"vec_id": [i], "w": pa.array([w], pa.list_(pa.string()))}) for i, w in enumerate(rows)]
     monkeypatch.setattr(index, "RUN_WORDS", 4)
     assert [(a.to_pylist(), b.to_pylist()) for a, b in index.runs(iter(batches))] == [([0, 1, 2], rows[:3]), ([3, 4], rows[3:])]
+
+
+def test_terms_that_many_queries_ask_for(spark, tmp_path, monkeypatch):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j + j) % 8] for j in range(1 + i % 9))) for i in range(300)], "vec_id long, document string")
+    built = SearchIndex(Catalog(spark, f"file://{tmp_path}"), cut=analysis.words)
+    built.build(docs)
+    asked = spark.createDataFrame([(q, [words[q % 8], words[q % 3], words[-1 - q % 2]]) for q in range(40)], "query_id long, w array<string>")
+    got = {}
+    for often in (10**9, 8, 0):
+        monkeypatch.setattr(index, "OFTEN", often)
+        got[often] = sorted(map(tuple, built.bm25_many(asked, 5).collect()))
+    assert got[10**9] == got[8] == got[0] and len(got[0]) == 200
