@@ -40,3 +40,21 @@ def test_long_texts():
 
     (short, fast), (long, slow) = seconds(2_000), seconds(16_000)
     assert long > 200_000 and slow / fast < 3 * long / short
+
+
+def test_equal_texts_need_no_search(monkeypatch):
+    monkeypatch.setattr(blocks, "_by_places", lambda *a: pytest.fail("searched"))
+    monkeypatch.setattr(blocks, "Kinds", lambda *a: pytest.fail("numbered"))
+    assert blocks.matching_ratio("some text " * 500, "some text " * 500) == 1.0
+
+
+def test_lines_take_less_time_than_by_pairs_of_places():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    lines = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(30)]
+    took = []
+    for ratio in (blocks.matching_ratio, lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()):
+        start = time.process_time()
+        got = [ratio(a, b) for a, b in zip(lines, lines[1:])]
+        took.append((time.process_time() - start, got))
+    assert took[0][1] == took[1][1] and took[0][0] < 0.6 * took[1][0]
