@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import blocks, ids, pages, sections, text
+from tidewater.functions.edits import edit_distance
 from tidewater.functions.replies import read_yaml
 from tidewater.plans.shared import small_batches
 from tidewater.sources.fixtures import table, view, with_views
@@ -188,6 +189,12 @@ def labelled_pages(texts: pd.Series, agencies: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([pages.label_pages(t or "", a) for t, a in zip(texts, agencies, strict=True)], columns=["text", "labels"])
 
 
+@column_udf("int")
+def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The edit distance of two texts; null if one is null."""
+    return pd.Series([edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 @column_udf("double")
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts, 0 to 1."""
@@ -346,7 +353,7 @@ def spread(pairs: DataFrame) -> DataFrame:
 def q_text_similarity(spark, d):
     both = spread(view(spark, d, "recommendations").join(view(spark, d, "issues"), "report_id"))
     a, b = (F.regexp_replace(c, "[^ -~]", "") for c in ("recommendation", "safety_issue"))
-    return both.select("recommendation_id", "safety_issue_id", F.levenshtein(a, b).alias("edits"))
+    return both.select("recommendation_id", "safety_issue_id", edits(a, b).alias("edits"))
 
 
 def q_sequence_similarity(spark, d):
